@@ -121,6 +121,15 @@ def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def span_sums(flat: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of every ``size`` consecutive bytes."""
+    up, down = _kept_powers(len(flat) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
+        return mix((sums[size:] - sums[:-size]) * down[: len(flat) - size + 1])
+
+
 def words(flat: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first word of each document and one past the last) of maximal runs outside ``gap``.
 

@@ -148,3 +148,10 @@ def _spans(raw: bytes, hit: list[int]) -> list[tuple[int, int]]:
     cut = np.flatnonzero(np.diff(word) > 1)
     first, last = word[np.concatenate([[0], cut + 1])], word[np.concatenate([cut, [len(word) - 1]])]
     return [(int(start[a]), int(end[b])) for a, b in zip(first, last, strict=True)]
+
+
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``documents`` without the rows that any window occurs in; all columns of the input stay as they are."""
+    named = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(documents.columns)]
+    marked = mark(documents.select(*named, F.col("text").cast("string").alias("text")), benchmark.select("item_id", "text"))
+    return marked.where(~F.col("contaminated")).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(documents.columns)])

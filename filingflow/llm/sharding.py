@@ -79,17 +79,3 @@ def shard_layout(documents: DataFrame, shards: int = 24) -> DataFrame:
     out = numbered(assign_shards(rows, "doc_id", [1.0] * shards, [1.0] * (shards + 1)), "shard", ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
-
-LAYOUT_SQL = """
-WITH d AS (
-  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
-         md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''))) AS m FROM documents
-), s AS (
-  SELECT doc_id, size, j, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(j AS VARCHAR)), 1, 13) AS BIGINT) AS u
-  FROM d, range(25) AS r(j)
-)
-SELECT doc_id, any_value(size) AS size, 'key' AS law,
-       CAST(arg_max(j, u * 32 + j) FILTER (WHERE j < 24) AS INTEGER) AS shard,
-       CAST(arg_max(j, u * 32 + j) AS INTEGER) AS grown_shard
-FROM s GROUP BY doc_id
-"""
