@@ -7,6 +7,7 @@ the memory of a Python worker whatever the table holds.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,11 +44,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once to the shared folder and read from there: later steps survive lost executors."""
+    """The rows of ``df``, written once to the shared folder and read from there: later steps survive lost executors.
+
+    Nothing later reads the shuffle files of this step, so the garbage that holds them is collected now: Spark's cleaner
+    deletes such files only when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -164,3 +172,21 @@ def sums_by_document(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def ranges(x: np.ndarray, parts: int) -> list[int]:
+    """Where the ranges of sorted hashes begin and the last one ends."""
+    cut = np.searchsorted(x, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
+    return [0, *cut.tolist(), len(x)]
+
+
+def arrow_table(schema: str, rows: list[tuple]) -> pa.Table:
+    """An Arrow table of rows, by a schema of int, long, binary and string columns."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
+
+
+def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The arrays packed in a binary column, one after another."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])

@@ -18,14 +18,12 @@ and equal strings have equal keys wherever they stand. That deals the work out e
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, small_batches, span_hashes, span_sums, written
+from .common import arrow_table, blocks, joined, mix, ranges, small_batches, span_hashes, span_sums, written
 from .induced import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 48
@@ -85,22 +83,6 @@ def segments(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return document, start, end, key, digest, twice
 
 
-def _ranges(x: np.ndarray, parts: int) -> list[int]:
-    """Where the ranges of sorted hashes begin and the last one ends."""
-    cut = np.searchsorted(x, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
-    return [0, *cut.tolist(), len(x)]
-
-
-def _table(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
-
-
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
-
-
 # --- what is known of a segment over all chunks ---------------------------------------------------------------------
 
 SENT = "part int, chunk int, keys binary, digests binary, counts binary"
@@ -118,8 +100,8 @@ def _sent(documents: DataFrame, parts: int) -> DataFrame:
                 keys = np.concatenate([keys, k])[at]
         order = np.argsort(keys, kind="stable")
         keys, digests, counts = keys[order], digests[order], np.minimum(counts[order], 2).astype(np.int8)
-        edges = _ranges(keys, parts)
-        return _table(SENT, [(p, key[0].as_py(), keys[a:b].tobytes(), digests[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
+        edges = ranges(keys, parts)
+        return arrow_table(SENT, [(p, key[0].as_py(), keys[a:b].tobytes(), digests[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
 
     return documents.groupBy("chunk").applyInArrow(gather, SENT)
 
@@ -128,7 +110,7 @@ def _known(sent: DataFrame, most: int) -> DataFrame:
     def answer(key, table):
         chunks = table.column("chunk").to_numpy()
         sizes = np.array([len(x) // 8 for x in table.column("keys").to_pylist()])
-        keys, digests, counts = _joined(table.column("keys"), np.uint64), _joined(table.column("digests"), np.uint64), _joined(table.column("counts"), np.int8)
+        keys, digests, counts = joined(table.column("keys"), np.uint64), joined(table.column("digests"), np.uint64), joined(table.column("counts"), np.int8)
         owner = np.repeat(chunks, sizes)
         order = np.lexsort((owner, digests, keys))
         keys, digests, counts, owner = keys[order], digests[order], counts[order], owner[order]
@@ -142,7 +124,7 @@ def _known(sent: DataFrame, most: int) -> DataFrame:
         told = np.flatnonzero(code)
         told = told[np.argsort(owner[told], kind="stable")]
         edges = np.flatnonzero(np.append(True, owner[told][1:] != owner[told][:-1])).tolist() + [len(told)] if len(told) else []
-        return _table(KNOWN, [(int(owner[told[a]]), digests[told[a:b]].tobytes(), code[told[a:b]].astype(np.int8).tobytes()) for a, b in zip(edges, edges[1:], strict=False)])
+        return arrow_table(KNOWN, [(int(owner[told[a]]), digests[told[a:b]].tobytes(), code[told[a:b]].astype(np.int8).tobytes()) for a, b in zip(edges, edges[1:], strict=False)])
 
     return sent.groupBy("part").applyInArrow(answer, KNOWN)
 
@@ -167,7 +149,7 @@ def _spans_of(rid: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
 def _found(documents: DataFrame, known: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
     def follow(key, left, right):
         chunk = key[0].as_py()
-        told, codes = _joined(right.column("digests"), np.uint64), _joined(right.column("codes"), np.int8)
+        told, codes = joined(right.column("digests"), np.uint64), joined(right.column("codes"), np.int8)
         order = np.argsort(told)
         told, codes = told[order], codes[order]
         spans, rows, hot, sent = [], [], [], set()
@@ -208,11 +190,11 @@ def _found(documents: DataFrame, known: DataFrame, parts: int, length: int = LEN
             here = np.repeat(n > 1, n)
             spans.append(_spans_of(rid[here], start[here], length))
             h, rid, start = h[first], np.where(n > 1, 0, rid[first]), np.where(n > 1, -1, start[first])
-            edges = _ranges(h, parts)
+            edges = ranges(h, parts)
             rows += [(2, chunk, p, None, None, None, np.stack([h[a:b].view(np.int64), rid[a:b], start[a:b]], 1).tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         if spans:
             rows.append((0, chunk, None, None, None, None, np.concatenate(spans).astype(np.int64).tobytes()))
-        return _table(FOUND, rows)
+        return arrow_table(FOUND, rows)
 
     return documents.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(follow, FOUND)
 
@@ -224,7 +206,7 @@ def _by_chunk(chunk: np.ndarray, spans: np.ndarray) -> pa.Table:
     order = np.argsort(chunk, kind="stable")
     chunk, spans = chunk[order], spans[order]
     edges = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])).tolist() + [len(chunk)] if len(chunk) else []
-    return _table(SPANS, [(int(chunk[a]), spans[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)])
+    return arrow_table(SPANS, [(int(chunk[a]), spans[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)])
 
 
 def repeated_starts(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +288,7 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 
 def _cut(documents: DataFrame, spans: DataFrame, texts: bool) -> DataFrame:
     def cut(key, left, right):
-        triples = _joined(right.column("data"), np.int64).reshape(-1, 3)
+        triples = joined(right.column("data"), np.int64).reshape(-1, 3)
         triples = triples[np.lexsort((triples[:, 1], triples[:, 0]))]
         out = []
         for b in left.combine_chunks().to_batches():
