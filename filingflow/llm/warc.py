@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches
+from .common import scratch, small_batches, written
 
 #: Fixed date of the regenerated headers, so that the same rows give the same bytes.
 DATE = "2000-01-01T00:00:00Z"
@@ -38,20 +38,17 @@ def _filesystem(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
-def mark_revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to: for each record whose payload an earlier record has, that record's page_id.
+def revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
+    """page_id, sha, refers_to of each row (page_id, sha, n) whose payload an earlier record has.
 
     Of rows with equal payloads of at least ``min_payload`` bytes, those with the smallest page_id stay responses; a null
-    page_id comes last. Repeated digests are counted with partial aggregates first, and only digests that occur more than
-    once are joined back, where Spark may split a hot one.
+    page_id comes last. Digests are counted with partial aggregates first, and only digests that occur more than once are
+    joined back, where Spark may split a hot one. Payloads themselves are not moved.
     """
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    rows = rows.withColumn("_sha", F.sha1(F.col("html").cast("binary")))
-    first = rows.select("_sha", "page_id", F.octet_length("html").alias("_n")).groupBy("_sha", "_n").agg(F.min("page_id").alias("_first"), F.count("*").alias("_c"))
-    first = first.where((F.col("_c") > 1) & (F.col("_n") >= min_payload)).select(F.col("_sha").alias("_s"), "_first")
-    joined = rows.join(first, F.col("_sha") == F.col("_s"), "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return joined.select("page_id", "url", "html", F.when(again, F.col("_first")).alias("refers_to"))
+    first = pages.groupBy("sha", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_c"))
+    first = first.where((F.col("_c") > 1) & (F.col("n") >= min_payload)).select(F.col("sha").alias("_s"), "refers_to")
+    joined = pages.join(written(first, "payloads"), F.col("sha") == F.col("_s"))
+    return joined.where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha", "refers_to")
 
 
 def shard_bounds(pages: DataFrame, shards: int) -> list[int]:
@@ -120,20 +117,28 @@ def write_archives(pages: DataFrame, folder: str, shards: int, min_payload: int
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
     bounds = shard_bounds(pages.select(F.col("page_id").cast("long")), shards)
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    again = revisits(rows.select("page_id", "sha", F.octet_length("html").alias("n")), min_payload).distinct()
+    # a note that a record is a revisit sorts right before the record, so that payloads are shuffled once
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(again, allowMissingColumns=True)
     shard = sum((F.coalesce(F.col("page_id") >= b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
-    rows = mark_revisits(pages, min_payload).withColumn("shard", shard)
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.md5(F.col("html").cast("binary")))
+    both = both.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha", F.col("html").isNotNull())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, done = None, []
+        roll, done, noted = None, [], None
         for b in batches:
-            for k, page_id, url, html, refers in zip(*(b.column(c) for c in ("shard", "page_id", "url", "html", "refers_to")), strict=True):
+            for k, page_id, url, html, sha, refers in zip(*(b.column(c) for c in ("shard", "page_id", "url", "html", "sha", "refers_to")), strict=True):
+                place = (page_id.as_py(), sha.as_py())
+                if not html.is_valid:
+                    noted = (*place, refers.as_py())
+                    continue
                 if roll is None or roll.shard != k.as_py():
                     if roll is not None:
                         roll.close()
                         done += roll.rows
                     roll = _Roll(folder, k.as_py(), file_bytes)
-                roll.add(record(page_id.as_py(), url.as_py(), html.as_py().encode("utf-8"), refers.as_py()))
+                roll.add(record(page_id.as_py(), url.as_py(), html.as_py().encode("utf-8"), noted[2] if noted and noted[:2] == place else None))
         if roll is not None:
             roll.close()
             done += roll.rows
@@ -141,7 +146,7 @@ def write_archives(pages: DataFrame, folder: str, shards: int, min_payload: int
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
     # the rows come from the attempts that Spark accepted, one for each task
-    files = sorted(tuple(r) for r in rows.mapInArrow(write, MANIFEST).collect())
+    files = sorted(tuple(r) for r in both.mapInArrow(write, MANIFEST).collect())
     return _commit(spark, fs, root, folder, files)
 
 
