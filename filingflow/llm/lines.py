@@ -1,8 +1,8 @@
 """Substring removal by line hashing: keep the earliest occurrence of a line in the corpus, remove the others.
 
 A task cuts texts into lines, normalises them and sends a 128-bit digest with the line's place. Digests are grouped over
-all documents with partial aggregates, so a very common line costs each task one row; the places are joined to the earliest
-one as a shuffle join, whose hot digests Spark may split.
+all documents with partial aggregates, so a very common line costs each task one row; the places, written once, are joined to
+the earliest one as a shuffle join, whose hot digests Spark may split.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 #: Lines of fewer words are never removed.
 MIN_WORDS = 5
@@ -51,10 +51,10 @@ def removals(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Occurrences rank by (doc_id, rid, start), nulls last; a document repeated row for row has one rank for all its rows.
     """
-    rows = units(documents, min_words)
+    rows = written(units(documents, min_words), "units")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "start")
     first = rows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("high").alias("_h"), F.col("low").alias("_l"), "first")
-    later = rows.join(first, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l"))).where(~place.eqNullSafe(F.col("first")))
+    later = rows.join(written(first, "first-lines"), (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l"))).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
