@@ -22,7 +22,7 @@ from .common import LOWER, blocks, crc_text, mix, small_batches, span_hashes, wo
 
 TOP, SUFFIXES = 128, 126
 END, BEGIN, CLASSES = TOP + SUFFIXES, TOP + SUFFIXES + 1, TOP + SUFFIXES + 2
-WIDTH, NOISE, STEP, BATCH, EPOCHS = 16, 8, 0.15, 1024, 2
+WIDTH, NOISE, STEP, BATCH, EPOCHS = 16, 64, 0.15, 1024, 2
 DEAL = 2  # chunks for each input partition
 
 
@@ -161,33 +161,37 @@ class LogBilinear:
         return np.concatenate([x.ravel() for x in (self.q, self.c, self.r, self.b)])
 
     def train(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, weight: np.ndarray, noise: np.ndarray, seed: int) -> None:
-        """Noise-contrastive estimation with Adagrad over weighted trigrams; noise: the share of each class."""
+        """Noise-contrastive estimation with Adagrad over weighted trigrams; noise: the share of each class. The tokens of
+        a batch share their noise, so that all scores and gradients are matrix products."""
         rng = np.random.default_rng(seed)
-        bound, log_noise = np.cumsum(noise), np.log(NOISE * noise)
-        grown = [np.full(s, 1e-3) for s in self.SHAPES]
+        bound, log_noise = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
+        q, c, r, b = (x.astype(np.float32) for x in (self.q, self.c, self.r, self.b))
+        grown = [np.full(s, 1e-3, np.float32) for s in self.SHAPES]
+        weight = weight.astype(np.float32)
         for _ in range(EPOCHS):
             order = rng.permutation(len(target))
             for k in range(0, len(order), BATCH):
                 i = order[k : k + BATCH]
-                n, rows = len(i), np.arange(len(i))
-                w = weight[i] / weight[i].sum()
-                q2, q1 = self.q[two[i]], self.q[one[i]]
-                p = q2 * self.c[0] + q1 * self.c[1]
-                drawn = np.searchsorted(bound, rng.random((n, NOISE)) * bound[-1], "right").clip(0, END)
-                picked = np.concatenate([target[i][:, None], drawn], 1)
-                score = np.einsum("nd,nkd->nk", p, self.r[picked]) + self.b[picked] - log_noise[picked]
-                error = -1 / (1 + np.exp(-score.clip(-30, 30)))
-                error[:, 0] += 1
-                error *= w[:, None]
-                g = np.bincount((rows[:, None] * CLASSES + picked).ravel(), error.ravel(), n * CLASSES).reshape(n, CLASSES)
-                dp = g @ self.r
-                dq = np.zeros_like(self.q)
-                np.add.at(dq, two[i], dp * self.c[0])
-                np.add.at(dq, one[i], dp * self.c[1])
+                w, t = weight[i] / weight[i].sum(), target[i]
+                q2, q1 = q[two[i]], q[one[i]]
+                p = q2 * c[0] + q1 * c[1]
+                drawn = np.searchsorted(bound, rng.random(NOISE) * bound[-1], "right").clip(0, END)
+                own = (p * r[t]).sum(1) + b[t] - log_noise[t]
+                other = p @ r[drawn].T + (b[drawn] - log_noise[drawn])
+                up = w / (1 + np.exp(own.clip(-30, 30)))
+                down = w[:, None] / (1 + np.exp(-other.clip(-30, 30)))
+                dp = up[:, None] * r[t] - down @ r[drawn]
+                dr, dq = np.zeros_like(r), np.zeros_like(q)
+                np.add.at(dr, t, up[:, None] * p)
+                np.subtract.at(dr, drawn, down.T @ p)
+                np.add.at(dq, two[i], dp * c[0])
+                np.add.at(dq, one[i], dp * c[1])
+                db = np.bincount(t, up, CLASSES) - np.bincount(drawn, down.sum(0), CLASSES)
                 dc = np.stack([(dp * q2).sum(0), (dp * q1).sum(0)])
-                for x, d, s in zip((self.q, self.c, self.r, self.b), (dq, dc, g.T @ p, g.sum(0)), grown, strict=True):
+                for x, d, s in zip((q, c, r, b), (dq, dc, dr, db.astype(np.float32)), grown, strict=True):
                     s += d * d
                     x += STEP * d / np.sqrt(s)
+        self.q, self.c, self.r, self.b = (x.astype(np.float64) for x in (q, c, r, b))
 
     def table(self) -> np.ndarray:
         """log10 P(class | two back, one back) for every context: batched products with all class vectors, normalised."""
