@@ -1,6 +1,402 @@
-"""The registered queries of the filing operators and the SQL that each must agree with."""
+"""The registered queries of the filing operators and the SQL that each must agree with.
+
+There are no submissions or model answers among the test tables, so such inputs are built inside a query from whole tables,
+in the same way on both sides; the branch that a row tests follows from its id.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import cache as C
+from ..operators import html_units as H
+from ..operators import ladder as L
+from ..operators import planning as P
+from ..operators import report as R
+from ..operators import responses as V
+from ..operators import submission as S
+from ..operators.provider import KeyedProvider, usage_totals
+from ..session import materialize, ship
+from ..sources.files import empty_files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: White space and digits of the SQL side, which has ASCII classes only.
+_WS, _NS = r"[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]", r"[^\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]"
+_NORM = rf"trim(regexp_replace({{}}, '{_WS}+', ' ', 'g'))"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pick(key: str, *choices: str | Column) -> Column:
+    """The choice by a key's remainder."""
+    n, out = F.pmod(F.col(key), F.lit(len(choices))), None
+    for k, c in enumerate(choices):
+        c = F.lit(c) if isinstance(c, str) else c
+        out = F.when(n == k, c) if out is None else out.when(n == k, c)
+    return out
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents as units."""
+    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    return lines.select(
+        "doc_id", (F.col("pos") + 1).alias("ordinal"), F.concat(F.lit("u_"), F.lpad((F.col("pos") + 1).cast("string"), 4, "0")).alias("unit_id"),
+        F.col("line").alias("text"), F.col("line").alias("source_text"), F.array().cast("array<struct<name:string,html:string>>").alias("placeholders"),
+    )
+
+
+_UNITS = """
+u AS (
+  SELECT doc_id, CAST(i AS INTEGER) AS ordinal, 'u_' || lpad(CAST(i AS VARCHAR), 4, '0') AS unit_id, line AS text
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line, ' ') <> ''
+)"""
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_NORM.format('text')} AS normal FROM documents")
+def normalize_spaces(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.normalize_spaces(F.col("text")).alias("normal"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length(t) <= 160 THEN t ELSE substr(t, 1, 157) || '...' END AS preview FROM (SELECT doc_id, {_NORM.format('text')} AS t FROM documents)")
+def clip_preview(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.clip(F.col("text")).alias("preview"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN '<PH_>' || text ELSE text END AS plain FROM documents")
+def strip_placeholders(spark, sf_dir):
+    marked = _pick("doc_id", F.concat(F.lit("<PH_0>"), "text", F.lit("</PH_0>")), F.concat("text", F.lit("<PH_12></PH_12>")), F.concat(F.lit("<PH_>"), "text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", T.strip_placeholders(marked).alias("plain"))
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, {_NORM.format("unnest(string_split(text, ' '))")} AS t FROM documents)
+SELECT doc_id, count(*) AS n, CAST(count(*) FILTER (WHERE t = '' OR lower(t) IN {T.PROTECTED_TERMS} OR regexp_full_match(t, '[\p{{Nd}}\s\p{{Z}},.$()%/\-–—]+') OR regexp_full_match(t, '[A-Z]{{1,6}}')
+  OR regexp_full_match(t, '[A-Z]{{1,4}}-?\p{{Nd}}{{1,4}}') OR regexp_full_match(t, '[Ff]-?\p{{Nd}}+') OR regexp_full_match(t, 'https?://{_NS}+|www\.{_NS}+') OR regexp_full_match(t, '[^@ ]+@[^@ ]+\.[^@ ]+')
+  OR NOT regexp_matches(t, '[A-Za-z]')) AS BIGINT) AS low
+FROM w GROUP BY doc_id""")
+def low_value_filter(spark, sf_dir):
+    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("t"))
+    return words.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(T.is_low_value(F.col("t"))).alias("low"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, (length(text) + 1) // 2) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+_NUMBERS = r"list_transform(regexp_extract_all({}, '\p{{Nd}}[\p{{Nd}},]*(?:\.\p{{Nd}}+)?'), lambda x: replace(x, ',', ''))"
+
+
+@query(f"SELECT doc_id, array_to_string({_NUMBERS.format('text')}, '|') AS numbers FROM documents")
+def number_tokens(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.number_tokens(F.col("text")), "|").alias("numbers"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_NUMBERS.format('text')} AS a, {_NUMBERS.format("CASE WHEN doc_id % 2 = 0 THEN text || ' 7' ELSE replace(text, '1', '') END")} AS b FROM documents)
+SELECT doc_id, len(list_filter(list_distinct(a), lambda n: len(list_filter(a, lambda x: x = n)) > len(list_filter(b, lambda x: x = n)))) = 0 AS preserved FROM d""")
+def numbers_preserved(spark, sf_dir):
+    answer = _pick("doc_id", F.concat("text", F.lit(" 7")), F.replace(F.col("text"), F.lit("1"), F.lit("")))
+    return _read(spark, sf_dir, "documents").select("doc_id", T.numbers_preserved(F.col("text"), answer).alias("preserved"))
+
+
+@query("SELECT doc_id, doc_id % 4 IN (0, 3) AS ok FROM documents")
+def placeholder_check(spark, sf_dir):
+    both = F.concat(F.lit("<PH_0>a</PH_0>"), F.substring("text", 1, 40), F.lit("<PH_1>b</PH_1>"))
+    wrong = F.concat(F.lit("<PH_0>a</PH_0>"), F.substring("text", 1, 40), F.lit("<PH_1>b</PH_2>"))
+    swapped = F.concat(F.lit("<PH_1>b</PH_1>"), F.substring("text", 1, 40), F.lit("<PH_0>a</PH_0>"))
+    answer = _pick("doc_id", both, wrong, F.col("text"), swapped)
+    return _read(spark, sf_dir, "documents").select("doc_id", T.placeholders_match(answer, F.array(F.lit("PH_0"), F.lit("PH_1"))).alias("ok"))
+
+
+_REFUSED = " OR ".join(f"regexp_matches({{0}}, '{p.replace(chr(39), chr(39) * 2)}')" for p in T.REFUSALS)
+_SAID = "text || CASE conv_id % 5 WHEN 0 THEN ' I cannot comply.' WHEN 1 THEN ' See our policy here' WHEN 2 THEN ' 抱歉，我无法协助翻译该内容。' WHEN 3 THEN ' 我们可能无法维持增长' ELSE '' END"
+
+
+@query(f"SELECT conv_id, turn, coalesce({_REFUSED.format('t')}, false) AS refused FROM (SELECT conv_id, turn, lower({_SAID}) AS t FROM conversations)")
+def refusal_flags(spark, sf_dir):
+    tail = _pick("conv_id", " I cannot comply.", " See our policy here", " 抱歉，我无法协助翻译该内容。", " 我们可能无法维持增长", "")
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(T.looks_like_refusal(F.concat("text", tail)), F.lit(False)).alias("refused"))
+
+
+@query("SELECT conv_id, turn, coalesce(contains(text, chr(65533)), false) OR conv_id % 7 = 0 AS damaged FROM conversations")
+def replacement_char(spark, sf_dir):
+    t = F.concat(F.coalesce("text", F.lit("")), _pick("conv_id", "�", "", "", "", "", "", ""))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", T.has_replacement_character(t).alias("damaged"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 3 THEN 'no payload' ELSE props END AS payload FROM events""")
+def json_payload_slice(spark, sf_dir):
+    wrapped = _pick("event_id", F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.concat(F.lit("Here: "), "props", F.lit(" bye")), F.col("props"), F.lit("no payload"))
+    return _read(spark, sf_dir, "events").select("event_id", T.json_payload(wrapped).alias("payload"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a|' || CAST(user_id AS VARCHAR) WHEN 1 THEN 'b|' || event_type END AS first,
+       CASE event_id % 4 WHEN 2 THEN 'model_response_invalid' WHEN 3 THEN 'model_refusal' END AS reason FROM events""")
+def parse_responses(spark, sf_dir):
+    many = F.concat(F.lit('Sure: [{"id":"a","text":'), F.col("user_id").cast("string"), F.lit("}]"))
+    one = F.concat(F.lit('```json\n{"id":"b","text":"'), "event_type", F.lit('"}\n```'))
+    rows = _read(spark, sf_dir, "events").select("event_id", _pick("event_id", many, one, F.concat("props", F.lit("]")), F.lit("I cannot do this.")).alias("response"), F.lit(None).cast("string").alias("error"))
+    first = F.get("items", F.lit(0))
+    return V.parse_responses(rows).select("event_id", F.concat(first["id"], F.lit("|"), first["text"]).alias("first"), "reason")
+
+
+_VALID = "CASE doc_id % 6 WHEN 1 THEN 'empty_translation' WHEN 2 THEN 'model_refusal' WHEN 3 THEN 'replacement_character_validation_failed' WHEN 4 THEN 'placeholder_validation_failed' WHEN 5 THEN 'number_validation_failed' END"
+
+
+def _validated(spark, sf_dir):
+    source = F.concat(F.lit("In 2024: "), F.regexp_replace(F.substring("text", 1, 80), "(?i)policy|cannot|can't|unable|[0-9]", ""))
+    answer = _pick("doc_id", source, F.lit(" \n"), F.concat(source, F.lit(" policy")), F.concat(source, F.lit("�")), F.concat(source, F.lit("<PH_0>x</PH_0>")), F.replace(source, F.lit("2024"), F.lit("")))
+    return _read(spark, sf_dir, "documents").select("doc_id", V.unit_failure(source, answer, F.array().cast("array<string>")).alias("reason"))
+
+
+@query(f"SELECT doc_id, {_VALID} AS reason FROM documents")
+def validate_first_failure(spark, sf_dir):
+    return _validated(spark, sf_dir)
+
+
+@query(f"SELECT doc_id % 10 AS doc_id, reason, count(*) AS n FROM (SELECT doc_id, {_VALID} AS reason FROM documents) WHERE reason IS NOT NULL GROUP BY 1, 2")
+def failure_histogram(spark, sf_dir):
+    return R.failure_histogram(_validated(spark, sf_dir).withColumn("doc_id", F.col("doc_id") % 10).withColumn("reason", F.concat("reason", F.lit(": detail"))))
+
+
+# --- submissions ----------------------------------------------------------------------------------------------------
+
+
+def _submissions(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.col("lang"), F.translate("text", "<>&", "   ").alias("t"))
+    head = F.concat(F.lit("<SEC-DOCUMENT>\n<SEC-HEADER>0001.hdr.sgml\nACCESSION NUMBER:\t\t"), F.col("doc_id").cast("string"), F.lit("\n  company conformed name:  Firm: "), "lang", F.lit("\nOTHER: x\nCOMPANY CONFORMED NAME: second\nFISCAL YEAR END:\n</SEC-HEADER>\n"))
+    kinds = _pick("doc_id", "a.htm", "b.XHTML", "c.png", "d.xsd", "e.xml", "f.txt", "g.pdf", "R1")
+    one = F.concat(F.lit("<DOCUMENT>\n<TYPE>20-F\n<SEQUENCE>1\n<FILENAME>"), kinds, F.lit("\n<DESCRIPTION>Main\n<TEXT>\n"), F.trim(F.regexp_replace("t", r"[\s]+", " ")), F.lit("\n</TEXT>\n</DOCUMENT>\n"))
+    two = F.concat(F.lit("<DOCUMENT>\n<TYPE>"), _pick("doc_id", "GRAPHIC", "EX-101.INS", "ZIP"), F.lit("\n<SEQUENCE>x\n<FILENAME>data.bin\n<TEXT>QUJD</TEXT>\n</DOCUMENT>"))
+    return d.select(F.col("doc_id").cast("string").alias("filing_id"), F.concat(head, one, two).alias("submission"))
+
+
+@query(r"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS filing_id, doc_id, trim(regexp_replace(translate(text, '<>&', '   '), '[\s\x0b]+', ' ', 'g')) AS t FROM documents)
+SELECT filing_id, 0 AS doc_ordinal, 1 AS sequence, '20-F' AS doc_type, list_extract(['a.htm', 'b.XHTML', 'c.png', 'd.xsd', 'e.xml', 'f.txt', 'g.pdf', 'R1'], doc_id % 8 + 1) AS filename, 'Main' AS description, sha256(t) AS text,
+       list_extract(['html', 'html', 'image', 'xbrl', 'xml', 'text', 'binary', 'unknown'], doc_id % 8 + 1) AS content_kind FROM d
+UNION ALL SELECT filing_id, 1, NULL, list_extract(['GRAPHIC', 'EX-101.INS', 'ZIP'], doc_id % 3 + 1), 'data.bin', '', sha256('QUJD'), list_extract(['image', 'xbrl', 'unknown'], doc_id % 3 + 1) FROM d""")
+def submission_split(spark, sf_dir):
+    return S.split_documents(_submissions(spark, sf_dir)).drop("error").withColumn("text", F.sha2("text", 256))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS filing_id, CAST(doc_id AS VARCHAR) AS accession, 'Firm: ' || lang AS company, '' AS year_end, 3 AS n FROM documents")
+def header_fields(spark, sf_dir):
+    m = S.header_fields(F.col("submission"))
+    return _submissions(spark, sf_dir).select("filing_id", m.alias("m")).select("filing_id", F.col("m")["accession_number"].alias("accession"), F.col("m")["company_name"].alias("company"), F.col("m")["fiscal_year_end"].alias("year_end"), F.size("m").alias("n"))
+
+
+def _payload_texts(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filing_id"), "doc_id", F.substring("text", 1, 300).alias("t")).withColumn("b", F.replace(F.base64(F.col("t").cast("binary")), F.lit("\r\n"), F.lit("\n")))
+    uu = F.lit("begin 644 cat.txt\n#0V%T\n`\nend")
+    text = _pick("doc_id", F.col("b"), F.concat(F.col("b"), F.lit("*")), F.concat(F.lit("note "), F.col("t")), uu, F.lit("begin 644 x\nMé"))
+    kind = _pick("doc_id", "image", "binary", "text", "text", "html")
+    return d.select("filing_id", F.lit(0).alias("doc_ordinal"), text.alias("text"), kind.alias("content_kind"))
+
+
+@query("""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS filing_id, doc_id % 5 AS k, substr(text, 1, 300) AS t FROM documents),
+p AS (SELECT *, octet_length(encode(t)) AS n FROM d)
+SELECT filing_id, CASE k WHEN 0 THEN 'base64' WHEN 1 THEN 'raw' WHEN 3 THEN 'uuencode' ELSE 'text' END AS decode_status,
+       CASE k WHEN 0 THEN sha256(t) WHEN 2 THEN sha256('note ' || t) WHEN 3 THEN sha256('Cat') WHEN 4 THEN sha256('begin 644 x' || chr(10) || 'Mé') END AS payload,
+       CAST(CASE k WHEN 0 THEN n WHEN 2 THEN length(t) + 5 WHEN 3 THEN 3 WHEN 4 THEN 14 END AS BIGINT) AS size FROM p""")
+def decode_payloads(spark, sf_dir):
+    out = S.decode_payloads(_payload_texts(spark, sf_dir))
+    raw = F.col("decode_status") == "raw"  # the size of what is not base64 follows Spark's line breaks
+    return out.select("filing_id", "decode_status", F.when(~raw, F.sha2("payload", 256)).alias("payload"), F.when(~raw, F.col("size")).alias("size"))
+
+
+@query(None)
+def manifests(spark, sf_dir):
+    s = _submissions(spark, sf_dir)
+    d = S.split_documents(s)
+    return S.manifests(s, d, S.decode_payloads(d))
+
+
+# --- cache ----------------------------------------------------------------------------------------------------------
+
+
+def _keyed(spark, sf_dir):
+    parts = (F.lit("f"), F.col("unit_id"), F.col("text"), F.array(F.lit("PH_2"), F.lit("PH_10")), F.lit("p"), F.lit("zh"), F.lit("m"))
+    return _units(spark, sf_dir).withColumn("cache_key", C.cache_key(*parts))
+
+
+_KEYED = _UNITS + ", k AS (SELECT *, sha256('f' || chr(10) || unit_id || chr(10) || sha256(text) || chr(10) || 'PH_10,PH_2' || chr(10) || 'p' || chr(10) || 'zh' || chr(10) || 'm') AS cache_key FROM u)"
+
+
+@query(f"WITH {_KEYED} SELECT doc_id, unit_id, cache_key FROM k")
+def cache_key(spark, sf_dir):
+    return _keyed(spark, sf_dir).select("doc_id", "unit_id", "cache_key")
+
+
+def _cache(spark, sf_dir):
+    rows = _keyed(spark, sf_dir).where("doc_id % 3 <> 0").groupBy("cache_key").agg(F.min("doc_id").alias("d"))
+    return rows.select("cache_key", F.concat(F.lit("t"), F.col("d").cast("string")).alias("text"), F.when(F.col("d") % 2 == 0, "source").otherwise("m").alias("provider"))
+
+
+_CACHED = _KEYED + ", c AS (SELECT cache_key, 't' || CAST(min(doc_id) AS VARCHAR) AS text, CASE WHEN min(doc_id) % 2 = 0 THEN 'source' ELSE 'm' END AS provider FROM k WHERE doc_id % 3 <> 0 GROUP BY 1)"
+
+
+@query(f"WITH {_CACHED} SELECT k.doc_id, k.unit_id, c.text AS cached_text, c.provider AS cached_provider FROM k LEFT JOIN c USING (cache_key)")
+def cache_hits(spark, sf_dir):
+    return C.lookup(_keyed(spark, sf_dir), _cache(spark, sf_dir)).select("doc_id", "unit_id", "cached_text", "cached_provider")
+
+
+@query(f"WITH {_CACHED} SELECT doc_id, unit_id FROM k ANTI JOIN c USING (cache_key)")
+def cache_misses(spark, sf_dir):
+    return C.misses(_keyed(spark, sf_dir), _cache(spark, sf_dir)).select("doc_id", "unit_id")
+
+
+@query(f"WITH {_CACHED} SELECT k.doc_id, k.unit_id, 'cached_source_retained' AS reason FROM k JOIN c USING (cache_key) WHERE c.provider = 'source'")
+def retained_from_cache(spark, sf_dir):
+    return C.retained_from_cache(C.lookup(_keyed(spark, sf_dir), _cache(spark, sf_dir))).select("doc_id", "unit_id", "reason")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS cache_key, arg_max(event_type, event_id) AS text FROM events WHERE event_id % 11 <> 0 GROUP BY 1")
+def cache_last_wins(spark, sf_dir):
+    text = F.when(F.col("event_id") % 11 == 0, F.lit("�")).otherwise(F.col("event_type"))
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("cache_key"), text.alias("text"), F.col("event_id").alias("seq"))
+    return C.last_wins(rows).select("cache_key", "text")
+
+
+# --- planning -------------------------------------------------------------------------------------------------------
+
+_BATCHES = f"""
+WITH RECURSIVE {_UNITS}, s AS (SELECT doc_id, ordinal, unit_id, text, length(text) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS r FROM u),
+g AS (
+  SELECT doc_id, ordinal, unit_id, text, r, 1 AS batch_no, 1 AS n, size AS chars FROM s WHERE r = 1
+  UNION ALL
+  SELECT s.doc_id, s.ordinal, s.unit_id, s.text, s.r, CASE WHEN g.n >= 3 OR g.chars + s.size > 250 THEN g.batch_no + 1 ELSE g.batch_no END,
+         CASE WHEN g.n >= 3 OR g.chars + s.size > 250 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n >= 3 OR g.chars + s.size > 250 THEN s.size ELSE g.chars + s.size END
+  FROM g JOIN s ON s.doc_id = g.doc_id AND s.r = g.r + 1
+)"""
+
+
+def _batched(spark, sf_dir):
+    return P.greedy_batches(_units(spark, sf_dir), 3, 250)
+
+
+@query(_BATCHES + " SELECT doc_id, ordinal, CAST(batch_no AS INTEGER) AS batch_no FROM g")
+def greedy_batches(spark, sf_dir):
+    return _batched(spark, sf_dir).select("doc_id", "ordinal", "batch_no")
+
+
+@query(_BATCHES + """, b AS (SELECT doc_id, batch_no, min(r) AS lo, max(r) AS hi FROM g GROUP BY 1, 2),
+l AS (SELECT doc_id, r, ordinal, unit_id || ': ' || text AS line, length(unit_id || ': ' || text) + 1 AS n FROM g),
+f AS (SELECT b.doc_id, b.batch_no, l.r, l.line, l.ordinal, sum(l.n) OVER (PARTITION BY b.doc_id, b.batch_no ORDER BY l.r DESC) AS t, l.r = b.lo - 1 AS next FROM b JOIN l ON l.doc_id = b.doc_id AND l.r < b.lo)
+SELECT b.doc_id, CAST(b.batch_no AS INTEGER) AS batch_no, coalesce((SELECT string_agg(line, chr(10) ORDER BY r) FROM f WHERE f.doc_id = b.doc_id AND f.batch_no = b.batch_no AND (t <= 300 OR next)), '') AS context_before FROM b""")
+def context_before(spark, sf_dir):
+    dense = _batched(spark, sf_dir).withColumn("ordinal", F.expr("CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS INT)"))
+    return P.with_contexts(dense, 300, 0).select("doc_id", "batch_no", "context_before")
+
+
+@query(_BATCHES + """, b AS (SELECT DISTINCT doc_id, batch_no FROM g)
+SELECT doc_id, CAST(batch_no AS INTEGER) AS batch_no, array_to_string(list(batch_no) OVER (PARTITION BY doc_id ORDER BY batch_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ',') AS near FROM b""")
+def mini_blocks(spark, sf_dir):
+    rows = _batched(spark, sf_dir).groupBy("doc_id", "batch_no").agg(F.collect_list("unit_id").alias("items")).withColumn("block_no", F.lit(1))
+    return P.mini_blocks(rows).select("doc_id", "batch_no", F.array_join(F.transform("near", lambda x: x["batch_no"].cast("string")), ",").alias("near"))
+
+
+@query(None)
+def plan_blocks(spark, sf_dir):
+    return P.plan_blocks(_batched(spark, sf_dir), 400, 5)
+
+
+# --- calls, ladder, reports -----------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT event_type AS model, count(*) FILTER (WHERE event_id % 5 <> 0) AS requests, CAST(sum(CASE WHEN event_id % 5 <> 0 THEN user_id ELSE 0 END) AS BIGINT) AS prompt_tokens, CAST(0 AS BIGINT) AS completion_tokens,
+       CAST(sum(CASE WHEN event_id % 5 <> 0 THEN user_id ELSE 0 END) AS BIGINT) AS total_tokens, CAST(count(*) FILTER (WHERE event_id % 5 <> 0) * 8 AS BIGINT) AS prompt_cache_hit_tokens,
+       CAST(count(*) FILTER (WHERE event_id % 5 <> 0) * 2 AS BIGINT) AS prompt_cache_miss_tokens, 0.8::DOUBLE AS prompt_cache_hit_ratio
+FROM events GROUP BY 1""")
+def usage_report(spark, sf_dir):
+    known = F.col("event_id") % 5 != 0
+    n = F.when(known, F.col("user_id"))
+    rows = _read(spark, sf_dir, "events").select(F.col("event_type").alias("model"), n.alias("prompt_tokens"), F.lit(None).cast("long").alias("completion_tokens"), n.alias("total_tokens"), F.when(known, 8).alias("prompt_cache_hit_tokens"), F.when(known, 2).alias("prompt_cache_miss_tokens"))
+    return usage_totals(rows)
+
+
+def _keyed_provider():
+    return KeyedProvider("keyed", make=lambda t: "�" if len(t) % 10 == 3 else t.upper())
+
+
+def _fallback_provider():
+    return KeyedProvider("second", make=lambda t: "" if len(t) % 20 == 3 else t.lower())
+
+
+def _ran(spark, sf_dir):
+    results, attempts = L.run_ladder(P.greedy_batches(_units(spark, sf_dir), 4, 2000), _keyed_provider, _fallback_provider)
+    return materialize(results, "results"), attempts
+
+
+@query(None)
+def ladder_results(spark, sf_dir):
+    return _ran(spark, sf_dir)[0]
+
+
+@query(None)
+def ladder_reports(spark, sf_dir):
+    return R.reports(*_ran(spark, sf_dir))
+
+
+@query("""
+SELECT user_id % 50 AS doc_id, count(*) AS total_units, count(*) FILTER (WHERE event_id % 6 = 0) AS cache_hits, count(*) FILTER (WHERE event_id % 6 = 1) AS primary_success, count(*) FILTER (WHERE event_id % 6 = 2) AS repair_success,
+       count(*) FILTER (WHERE event_id % 6 = 3) AS mini_block_success, count(*) FILTER (WHERE event_id % 6 = 4) AS fallback_success, count(*) FILTER (WHERE event_id % 6 = 5) AS source_retained FROM events GROUP BY 1""")
+def report_summary(spark, sf_dir):
+    rung = _pick("event_id", "cache", "primary", "repair-0", "mini", "fallback", "source")
+    return R.summary(_read(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("doc_id"), rung.alias("rung"), F.lit("m").alias("provider")))
+
+
+# --- pages ----------------------------------------------------------------------------------------------------------
+
+
+@query(None)
+def extract_units(spark, sf_dir):
+    return H.extract_units(_read(spark, sf_dir, "pages"), "page_id")
+
+
+@query(None)
+def extract_units_stats(spark, sf_dir):
+    units = H.extract_units(_read(spark, sf_dir, "pages"), "page_id")
+    return units.groupBy("doc_id").agg(F.count("*").alias("units"), F.sum(F.char_length("text")).alias("chars"), F.sum(F.size("placeholders")).alias("placeholders"))
+
+
+@query(None)
+def apply_units(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    answers = H.extract_units(pages, "page_id").select("doc_id", "ordinal", F.upper("text").alias("text"), (F.col("ordinal") % 7 == 0).alias("is_fallback"))
+    return H.apply_units(pages.select("page_id", "html"), answers, "page_id")
+
+
+@query(None)
+def zero_byte_files(spark, sf_dir):
+    return empty_files(spark, sf_dir)
