@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import LOW_VALUE, PROTECTED_TERMS
 
@@ -201,7 +202,10 @@ def splice(page: str, answers: list[tuple[int, str, bool]]) -> str:
     return page
 
 
-UNIT = "array<struct<ordinal:int,start:int,stop:int,text:string,source_text:string,placeholders:array<struct<name:string,html:string>>>>"
+UNIT = T.ArrayType(T.StructType([
+    T.StructField("ordinal", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("source_text", T.StringType()),
+    T.StructField("placeholders", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("html", T.StringType())]))),
+]))
 
 
 @F.pandas_udf(UNIT)
@@ -220,7 +224,7 @@ def extract_units(pages: DataFrame, key: str = "doc_id", column: str = "html") -
     return units.withColumn("unit_id", F.concat(F.lit("u_"), F.lpad(F.col("ordinal").cast("string"), F.greatest(F.lit(4), F.length(F.col("ordinal").cast("string"))), F.lit("0"))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _splice(pages: pd.Series, answers: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else splice(p, [(x["ordinal"], x["text"], bool(x["is_fallback"])) for x in ([] if a is None else a)]) for p, a in zip(pages, answers, strict=True)])
 

@@ -67,7 +67,6 @@ def run_ladder(units: DataFrame, primary: Callable[[], Provider], fallback: Call
     arrays; an empty table gives empty results.
     """
     todo, log, limited = batches_of(units), [], None
-    near = None
     for k in range(max_rounds):
         first = _attempt(todo, "primary" if k == 0 else f"split-{k}", primary)
         log.append(first)
@@ -83,11 +82,9 @@ def run_ladder(units: DataFrame, primary: Callable[[], Provider], fallback: Call
         todo = materialize(_halves(open_), "halves")
         if todo.isEmpty():
             break
-    if near is None:  # the batch that a unit came from is its neighbourhood
-        item = prompts.items_json(F.col("units"))
-        around = batches_of(units).select("doc_id", F.col("batch").alias("_root"), item.alias("near"))
-        rooted = limited.select("doc_id", "batch", F.substring_index("batch", ".", 1).alias("_root"))
-        near = rooted.join(around, ["doc_id", "_root"]).select("doc_id", "batch", "near")
+    # the batch that a unit came from is its neighbourhood
+    around = batches_of(units).select("doc_id", F.col("batch").alias("_root"), prompts.items_json(F.col("units")).alias("near"))
+    near = limited.select("doc_id", "batch", F.substring_index("batch", ".", 1).alias("_root")).join(around, ["doc_id", "_root"]).select("doc_id", "batch", "near")
     mini = _attempt(limited.where(T.is_repairable_error(F.col("reason"))), "mini", primary, near=near)
     log.append(mini.withColumn("reason", F.when(F.col("reason").isNotNull(), F.concat(F.lit("mini_block_failed: "), "reason"))))
     left = limited.join(mini.where("reason is null").select("doc_id", "batch"), ["doc_id", "batch"], "left_anti")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import partial
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import failure_key
@@ -24,6 +26,10 @@ def failure_histogram(attempts: DataFrame) -> DataFrame:
     return attempts.where("reason is not null").groupBy("doc_id", failure_key(F.col("reason")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _is(kind: str, x: Column) -> Column:
+    return x["kind"] == kind
+
+
 def reports(results: DataFrame, attempts: DataFrame) -> DataFrame:
     """doc_id, report (JSON) and markdown: counters, failure counts sorted by key, and the units each late rung answered."""
     counts = failure_histogram(attempts).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("reason", "n"))).alias("failure_reasons"))
@@ -33,7 +39,7 @@ def reports(results: DataFrame, attempts: DataFrame) -> DataFrame:
     parts = [F.lit("# Translation report\n\n"), *[F.concat(F.lit(f"- {title[c]}: "), F.col(c).cast("string"), F.lit("\n")) for c in COUNTERS], F.lit("\n## Failure reasons\n")]
     parts.append(F.coalesce(F.array_join(F.transform("failure_reasons", lambda r: F.concat(F.lit("- "), r["reason"], F.lit(": "), r["n"].cast("string"))), "\n"), F.lit("- none")))
     for kind, heading in (("fallback", "Fallback units"), ("repair", "Repaired units"), ("mini", "Mini-block units"), ("source", "Retained source units")):
-        own = F.filter("listed", lambda x, kind=kind: x["kind"] == kind)
+        own = F.filter("listed", partial(_is, kind))
         lines = F.array_join(F.transform(own, lambda x: F.concat(F.lit("- "), x["id"], F.lit(": "), x["source"])), "\n")
         parts.append(F.when(F.size(own) > 0, F.concat(F.lit(f"\n\n## {heading}\n"), lines)).otherwise(""))
     body = F.to_json(F.struct(F.struct(*COUNTERS).alias("summary"), "failure_reasons", F.col("listed").alias("units")))

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text as T
 
-ITEMS = "array<struct<id:string,text:string>>"
+ITEMS = ArrayType(StructType([StructField("id", StringType()), StructField("text", StringType())]))
 
 
 def _items(payload: str | None) -> list[dict[str, str]] | None:

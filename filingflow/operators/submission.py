@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Fixed value: the header keys that are kept and the names they get.
 HEADER_FIELDS = {
@@ -115,7 +116,7 @@ def _uudecode(text: str) -> bytes | None:
     return b"".join(out)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def uudecode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield t.map(lambda x: _uudecode(x) if isinstance(x, str) else None)

@@ -28,7 +28,18 @@ ORACLES: dict[str, str] = {}
 
 #: White space and digits of the SQL side, which has ASCII classes only.
 _WS, _NS = r"[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]", r"[^\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]"
-_NORM = rf"trim(regexp_replace({{}}, '{_WS}+', ' ', 'g'))"
+
+
+def _norm(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))"
+
+
+def _numbers(x: str) -> str:
+    return rf"list_transform(regexp_extract_all({x}, '\p{{Nd}}[\p{{Nd}},]*(?:\.\p{{Nd}}+)?'), lambda x: replace(x, ',', ''))"
+
+
+def _refused(x: str) -> str:
+    return " OR ".join(f"regexp_matches({x}, '{p.replace(chr(39), chr(39) * 2)}')" for p in T.REFUSALS)
 
 
 def query(sql: str | None = None):
@@ -77,12 +88,12 @@ u AS (
 # --- text -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, {_NORM.format('text')} AS normal FROM documents")
+@query(f"SELECT doc_id, {_norm('text')} AS normal FROM documents")
 def normalize_spaces(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.normalize_spaces(F.col("text")).alias("normal"))
 
 
-@query(f"SELECT doc_id, CASE WHEN length(t) <= 160 THEN t ELSE substr(t, 1, 157) || '...' END AS preview FROM (SELECT doc_id, {_NORM.format('text')} AS t FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN length(t) <= 160 THEN t ELSE substr(t, 1, 157) || '...' END AS preview FROM (SELECT doc_id, {_norm('text')} AS t FROM documents)")
 def clip_preview(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.clip(F.col("text")).alias("preview"))
 
@@ -94,7 +105,7 @@ def strip_placeholders(spark, sf_dir):
 
 
 @query(rf"""
-WITH w AS (SELECT doc_id, {_NORM.format("unnest(string_split(text, ' '))")} AS t FROM documents)
+WITH w AS (SELECT doc_id, {_norm("unnest(string_split(text, ' '))")} AS t FROM documents)
 SELECT doc_id, count(*) AS n, CAST(count(*) FILTER (WHERE t = '' OR lower(t) IN {T.PROTECTED_TERMS} OR regexp_full_match(t, '[\p{{Nd}}\s\p{{Z}},.$()%/\-–—]+') OR regexp_full_match(t, '[A-Z]{{1,6}}')
   OR regexp_full_match(t, '[A-Z]{{1,4}}-?\p{{Nd}}{{1,4}}') OR regexp_full_match(t, '[Ff]-?\p{{Nd}}+') OR regexp_full_match(t, 'https?://{_NS}+|www\.{_NS}+') OR regexp_full_match(t, '[^@ ]+@[^@ ]+\.[^@ ]+')
   OR NOT regexp_matches(t, '[A-Za-z]')) AS BIGINT) AS low
@@ -109,16 +120,13 @@ def token_estimate(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-_NUMBERS = r"list_transform(regexp_extract_all({}, '\p{{Nd}}[\p{{Nd}},]*(?:\.\p{{Nd}}+)?'), lambda x: replace(x, ',', ''))"
-
-
-@query(f"SELECT doc_id, array_to_string({_NUMBERS.format('text')}, '|') AS numbers FROM documents")
+@query(f"SELECT doc_id, array_to_string({_numbers('text')}, '|') AS numbers FROM documents")
 def number_tokens(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.number_tokens(F.col("text")), "|").alias("numbers"))
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {_NUMBERS.format('text')} AS a, {_NUMBERS.format("CASE WHEN doc_id % 2 = 0 THEN text || ' 7' ELSE replace(text, '1', '') END")} AS b FROM documents)
+WITH d AS (SELECT doc_id, {_numbers('text')} AS a, {_numbers("CASE WHEN doc_id % 2 = 0 THEN text || ' 7' ELSE replace(text, '1', '') END")} AS b FROM documents)
 SELECT doc_id, len(list_filter(list_distinct(a), lambda n: len(list_filter(a, lambda x: x = n)) > len(list_filter(b, lambda x: x = n)))) = 0 AS preserved FROM d""")
 def numbers_preserved(spark, sf_dir):
     answer = _pick("doc_id", F.concat("text", F.lit(" 7")), F.replace(F.col("text"), F.lit("1"), F.lit("")))
@@ -134,11 +142,10 @@ def placeholder_check(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.placeholders_match(answer, F.array(F.lit("PH_0"), F.lit("PH_1"))).alias("ok"))
 
 
-_REFUSED = " OR ".join(f"regexp_matches({{0}}, '{p.replace(chr(39), chr(39) * 2)}')" for p in T.REFUSALS)
 _SAID = "text || CASE conv_id % 5 WHEN 0 THEN ' I cannot comply.' WHEN 1 THEN ' See our policy here' WHEN 2 THEN ' 抱歉，我无法协助翻译该内容。' WHEN 3 THEN ' 我们可能无法维持增长' ELSE '' END"
 
 
-@query(f"SELECT conv_id, turn, coalesce({_REFUSED.format('t')}, false) AS refused FROM (SELECT conv_id, turn, lower({_SAID}) AS t FROM conversations)")
+@query(f"SELECT conv_id, turn, coalesce({_refused('t')}, false) AS refused FROM (SELECT conv_id, turn, lower({_SAID}) AS t FROM conversations)")
 def refusal_flags(spark, sf_dir):
     tail = _pick("conv_id", " I cannot comply.", " See our policy here", " 抱歉，我无法协助翻译该内容。", " 我们可能无法维持增长", "")
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(T.looks_like_refusal(F.concat("text", tail)), F.lit(False)).alias("refused"))
@@ -358,9 +365,9 @@ def _ran(spark, sf_dir):
     return materialize(results, "results"), attempts
 
 
-@query(None)
+@query(f"WITH {_UNITS} SELECT doc_id, unit_id, CASE WHEN length(text) % 20 = 3 THEN 'source' WHEN length(text) % 10 = 3 THEN 'second' ELSE 'keyed' END AS provider FROM u")
 def ladder_results(spark, sf_dir):
-    return _ran(spark, sf_dir)[0]
+    return _ran(spark, sf_dir)[0].select("doc_id", "unit_id", "provider")
 
 
 @query(None)
