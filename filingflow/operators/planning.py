@@ -1,12 +1,31 @@
-"""Batches, contexts and blocks: order-dependent folds over a document's units, as higher-order functions and windows.
+"""Batches, contexts and blocks: order-dependent folds over a document's units, and windows.
 
-Units are rows of ``doc_id, ordinal, unit_id, text, source_text`` and, for batches, an optional boolean ``cached``.
+A greedy fold resets itself by its own running sum, which no window expresses; it runs over the array of one document's
+sizes, in Arrow batches and linear time. Texts do not enter it. Units are rows of ``doc_id, ordinal, unit_id, text, source_text`` and, for batches, an optional boolean ``cached``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+
+def _folded(step: Callable[[], Callable[[int, bool], int | None]]):
+    """A column function from arrays of sizes and flags to the array of numbers that a fresh ``step`` gives them in turn."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(sizes: pd.Series, flags: pd.Series) -> pd.Series:
+        out = []
+        for own, marks in zip(sizes, flags, strict=True):
+            number = step()
+            out.append([number(int(x), bool(m)) for x, m in zip(own, marks, strict=True)])
+        return pd.Series(out)
+
+    return run
 
 
 def greedy_batches(units: DataFrame, max_units: int = 40, max_chars: int = 20_000) -> DataFrame:
@@ -18,17 +37,25 @@ def greedy_batches(units: DataFrame, max_units: int = 40, max_chars: int = 20_00
     cached = F.coalesce(F.col("cached"), F.lit(False)) if "cached" in units.columns else F.lit(False)
     item = F.struct("ordinal", F.char_length("text").alias("size"), cached.alias("cached"))
     lists = units.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast("array<struct<ordinal:int,no:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] == 0) | (acc["n"] >= max_units) | (acc["chars"] + x["size"] > max_chars)
-        no = F.when(full, acc["no"] + 1).otherwise(acc["no"])
-        placed = F.struct(no.alias("no"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["size"]).otherwise(acc["chars"] + x["size"]).alias("chars"), F.concat(acc["out"], F.array(F.struct(x["ordinal"].alias("ordinal"), no.alias("no")))).alias("out"))
-        skipped = F.struct(acc["no"].alias("no"), F.lit(0).alias("n"), F.lit(0).alias("chars"), acc["out"].alias("out"))
-        return F.when(x["cached"], skipped).otherwise(placed)
+    def start() -> Callable[[int, bool], int | None]:
+        no = n = chars = 0
+
+        def number(size: int, skip: bool) -> int | None:
+            nonlocal no, n, chars
+            if skip:
+                n = 0
+                return None
+            if n == 0 or n >= max_units or chars + size > max_chars:
+                no, n, chars = no + 1, 0, 0
+            n, chars = n + 1, chars + size
+            return no
 
-    folded = lists.select("doc_id", F.explode(F.aggregate("items", start, step)["out"]).alias("b"))
-    numbers = folded.select(F.col("doc_id").alias("_d"), F.col("b.ordinal").alias("_o"), F.col("b.no").alias("batch_no"))
+        return number
+
+    numbered = lists.withColumn("no", _folded(start)(F.transform("items", lambda x: x["size"]), F.transform("items", lambda x: x["cached"])))
+    pairs = numbered.select(F.col("doc_id").alias("_d"), F.explode(F.arrays_zip(F.transform("items", lambda x: x["ordinal"]).alias("o"), F.col("no"))).alias("b"))
+    numbers = pairs.select("_d", F.col("b.o").alias("_o"), F.col("b.no").alias("batch_no"))
     return units.join(numbers, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("ordinal") == F.col("_o")), "left").drop("_d", "_o")
 
 
@@ -48,11 +75,17 @@ def _context(units: DataFrame, before: bool, budget: int) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("ordinal")
     ran = units.withColumn("_line", line).withColumn("_end", F.sum(F.char_length("_line") + 1).over(order)).withColumn("_start", F.col("_end") - F.char_length("_line") - 1)
     edges = ran.where("batch_no is not null").groupBy("doc_id", "batch_no").agg(F.min("ordinal").alias("_lo"), F.max("ordinal").alias("_hi"), F.min("_start").alias("_s"), F.max("_end").alias("_e"))
-    # a line is near if it starts within the budget before the batch (or ends within it behind): prefix sums have no reset
     other = ran.select(F.col("doc_id").alias("_d"), F.col("ordinal").alias("_o"), "_line", F.col("_start").alias("_ls"), F.col("_end").alias("_le"))
-    near = (F.col("_o") < F.col("_lo")) & ((F.col("_s") - F.col("_ls") <= budget) | (F.col("_o") == F.col("_lo") - 1)) if before else (F.col("_o") > F.col("_hi")) & ((F.col("_le") - F.col("_e") <= budget) | (F.col("_o") == F.col("_hi") + 1))
-    met = edges.join(other, (F.col("doc_id") == F.col("_d")) & near)
-    lines = F.sort_array(F.collect_list(F.struct("_o", "_line")))
+    # a line is near if it starts within the budget before the batch (or ends within it behind): prefix sums have no reset,
+    # and cells of the budget's width keep the join to neighbours; the next line is near in any case
+    own, edge, far = (F.col("_ls"), F.col("_s"), -1) if before else (F.col("_le"), F.col("_e"), 1)
+    cell = F.floor(edge / budget)
+    cells = edges.withColumn("_cell", F.explode(F.array(cell, cell + far)))
+    inside = (own < edge) & (edge - own <= budget) if before else (own > edge) & (own - edge <= budget)
+    met = cells.join(other.withColumn("_own", F.floor(own / budget)), (F.col("doc_id") == F.col("_d")) & (F.col("_cell") == F.col("_own")) & inside).select("doc_id", "batch_no", "_o", "_line")
+    next_line = F.col("_lo") - 1 if before else F.col("_hi") + 1
+    met = met.union(edges.join(other, (F.col("doc_id") == F.col("_d")) & (F.col("_o") == next_line)).select("doc_id", "batch_no", "_o", "_line"))
+    lines = F.sort_array(F.collect_set(F.struct("_o", "_line")))
     return met.groupBy("doc_id", "batch_no").agg(F.array_join(F.transform(lines, lambda x: x["_line"]), "\n").alias("context"))
 
 
@@ -91,18 +124,24 @@ def plan_blocks(units: DataFrame, body_tokens: int, max_batches: int = 20) -> Da
     sizes = units.where("batch_no is not null").groupBy("doc_id", "batch_no").agg((F.sum(json_size(F.col("text"), F.col("unit_id"))) + 2 * F.count("*") - 2).alias("size"))
     lists = sizes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("batch_no", "size"))).alias("items"))
     frame = len('{"batch_id": "batch_001", "items": []}')
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<struct<batch_no:int,no:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        own = x["size"] + frame
-        chars = acc["chars"] + own + 2
-        tokens = F.floor((chars + 1) / 2)
-        new = (acc["n"] == 0) | (acc["n"] >= max_batches) | (tokens > body_tokens)
-        no = F.when(new, acc["no"] + 1).otherwise(acc["no"])
-        return F.struct(no.alias("no"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, own + 2).otherwise(chars).cast("long").alias("chars"), F.concat(acc["out"], F.array(F.struct(x["batch_no"].alias("batch_no"), no.alias("no")))).alias("out"))
-
-    folded = lists.select("doc_id", F.explode(F.aggregate("items", start, step)["out"]).alias("b"))
-    return folded.select("doc_id", F.col("b.batch_no").alias("batch_no"), F.col("b.no").alias("block_no"))
+
+    def start() -> Callable[[int, bool], int | None]:
+        no = n = chars = 0
+
+        def number(size: int, skip: bool) -> int:
+            nonlocal no, n, chars
+            own = size + frame + 2
+            if n == 0 or n >= max_batches or (chars + own + 1) // 2 > body_tokens:
+                no, n, chars = no + 1, 0, 0
+            n, chars = n + 1, chars + own
+            return no
+
+        return number
+
+    none = F.transform("items", lambda x: F.lit(False))
+    numbered = lists.withColumn("no", _folded(start)(F.transform("items", lambda x: x["size"].cast("int")), none))
+    pairs = numbered.select("doc_id", F.explode(F.arrays_zip(F.transform("items", lambda x: x["batch_no"]).alias("batch_no"), F.col("no"))).alias("b"))
+    return pairs.select("doc_id", F.col("b.batch_no").alias("batch_no"), F.col("b.no").alias("block_no"))
 
 
 def mini_blocks(batches: DataFrame, reach: int = 2) -> DataFrame:
