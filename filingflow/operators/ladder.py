@@ -39,6 +39,15 @@ def _attempt(batches: DataFrame, rung: str, factory: Callable[[], Provider], str
     return materialize(checked.select(*ATTEMPT), f"attempt-{rung}")
 
 
+def _surroundings(batches: DataFrame, contexts: DataFrame | None) -> DataFrame | None:
+    """doc_id, batch, near: the context of the batch that each batch came from."""
+    if contexts is None:
+        return None
+    text = F.concat(F.lit("# Text before\n"), "context_before", F.lit("\n# Text after\n"), "context_after")
+    given = contexts.select("doc_id", F.col("batch_no").cast("string").alias("_root"), text.alias("near"))
+    return batches.select("doc_id", "batch", F.substring_index("batch", ".", 1).alias("_root")).join(given, ["doc_id", "_root"]).select("doc_id", "batch", "near")
+
+
 def _failed(attempts: DataFrame) -> DataFrame:
     return attempts.where("reason is not null")
 
@@ -59,16 +68,18 @@ def _results(attempts: DataFrame) -> DataFrame:
     return attempts.where("reason is null").select("doc_id", F.col("model").alias("provider"), "rung", pairs.alias("r")).select("doc_id", "r.*", "provider", "rung")
 
 
-def run_ladder(units: DataFrame, primary: Callable[[], Provider], fallback: Callable[[], Provider] | None = None, max_rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def run_ladder(units: DataFrame, primary: Callable[[], Provider], fallback: Callable[[], Provider] | None = None, contexts: DataFrame | None = None, max_rounds: int = 12) -> tuple[DataFrame, DataFrame]:
     """(results, attempts) for units with batch_no.
 
+    ``contexts`` (doc_id, batch_no, context_before, context_after) go in front of the prompts of a batch and of its parts.
+
     results: doc_id, ordinal, unit_id, source_text, result, provider, rung, one row per unit; units that nothing answered
     have provider ``source``. attempts: the log of every call, which failure counts are made from. Placeholders may be empty
     arrays; an empty table gives empty results.
     """
     todo, log, limited = batches_of(units), [], None
     for k in range(max_rounds):
-        first = _attempt(todo, "primary" if k == 0 else f"split-{k}", primary)
+        first = _attempt(todo, "primary" if k == 0 else f"split-{k}", primary, near=_surroundings(todo, contexts))
         log.append(first)
         strict = _attempt(_failed(first).where(T.is_format_error(F.col("reason"))), f"strict-{k}", primary, strict=True)
         log.append(strict)

@@ -47,7 +47,8 @@ def translate(pages: DataFrame, primary: Callable[[], Provider], fallback: Calla
     size = min(config.block.target_batch_units, config.batch.max_units) if config.block.enabled else config.batch.initial_units
     chars = config.block.max_batch_chars if config.block.enabled else config.batch.max_batch_chars
     batched = materialize(P.greedy_batches(units, size, chars), "batches")
-    fresh, attempts = L.run_ladder(batched, primary, fallback)
+    contexts = P.with_contexts(batched, config.batch.previous_context_chars, config.batch.next_context_chars)
+    fresh, attempts = L.run_ladder(batched, primary, fallback, materialize(contexts, "contexts"))
     hits = units.where("cached").select("doc_id", "ordinal", "unit_id", "source_text", F.col("cached_text").alias("result"), F.col("cached_provider").alias("provider"), F.lit("cache").alias("rung"))
     results = materialize(fresh.unionByName(hits), "results")
     second = F.col("provider") == F.lit(fallback_model) if fallback_model else F.lit(False)

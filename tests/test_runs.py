@@ -28,6 +28,19 @@ def test_translate_and_rerun(spark):
     assert translate(changed, one, two, cache=run.cache_rows.select("cache_key", "text", "provider")).attempts.count() > 0
 
 
+def test_requests_carry_their_context(spark):
+    class Echo:
+        model = "echo"
+
+        def translate(self, request):
+            return json.dumps([{"id": u["id"], "text": request["prompt"]} for u in request["units"]])
+
+    pages = spark.createDataFrame([("a", "<p>alpha words</p><p>beta words</p><p>gamma words</p>")], "doc_id string, html string")
+    run = translate(pages, lambda: Echo(), config=Config(batch=Batch(initial_units=1)))
+    got = {r.unit_id: r.result for r in run.results.collect()}
+    assert "u_0001: alpha words" in got["u_0002"] and "u_0003: gamma words" in got["u_0002"] and "alpha" not in got["u_0001"].split("# Task")[0]
+
+
 def test_unpack_writes_files(spark, tmp_path):
     s = spark.createDataFrame([("f", BUNDLE.replace("../b.png", "a.htm"))], "filing_id string, submission string")
     files, _ = unpack(s)
