@@ -1,9 +1,10 @@
 """Quality rules: word, line and repetition counts, and a perplexity band per language.
 
-The perplexity comes from an interpolated modified Kneser-Ney model of the corpus itself. Its symbols are 40 classes of
-UTF-8 bytes (letters without case, digits, groups of punctuation, groups of non-ASCII bytes), its order is four, so a model
-has at most 40**4 n-grams however large the corpus is: that is the bound on what Spark's counts send to the driver and on
-what is broadcast. The n-grams are counted over all documents; the model is kept as sorted arrays of n-gram codes, which a
+The perplexity comes from an interpolated modified Kneser-Ney model of the corpus itself. Its symbols are 49 classes of
+UTF-8 bytes (small letters, capitals, digits, each of the symbols # * $ % & | < >, groups of other punctuation and of
+non-ASCII bytes), its order is four, so a model has at most 49**4 n-grams however large the corpus is: that is the bound on
+what Spark's counts send to the driver and on what is broadcast. It is taken per word that holds a letter or a digit: runs
+of symbols are cheap to predict, so per symbol they would hide in the mean, while per word whatever they cost is added. The n-grams are counted over all documents; the model is kept as sorted arrays of n-gram codes, which a
 worker turns into a table of log-probabilities by binary search, once.
 """
 
@@ -19,24 +20,29 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, blocks, mix, run_hashes, small_batches, span_hashes, sums_by_document, words, written
 
-A, ORDER = 40, 4
-GAP, DIGIT, STOP, MARK, SYMBOL, CONTROL, EDGE = 26, 27, 28, 29, 30, 31, 39
+A, ORDER = 49, 4
+GAP, DIGIT, STOP, MARK, CAPITAL, CONTROL, EDGE, SYMBOL = 26, 27, 28, 29, 30, 31, 39, 40
 MIN_WORDS = 50
-#: Width of a band: so many interquartile ranges of log10 perplexity beyond the quartiles, and this much at least.
-REACH, LEAST = 4.0, 0.08
+#: Width of a band: so many interquartile ranges of log10 perplexity beyond the quartiles, and this much at least. Clean
+#: prose has a range of about 0.18 in each language, so LEAST widens a band only where many texts are alike.
+REACH, LEAST = 3.0, 0.45
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+#: Bytes that make a word count for the perplexity: letters, digits, all of non-ASCII characters.
+LETTERS = np.zeros(256, bool)
+LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 
 
 def _classes() -> np.ndarray:
     out = np.full(256, CONTROL, np.int64)
     out[0x20:0x7F] = MARK
     for k in range(26):
-        out[[65 + k, 97 + k]] = k
+        out[97 + k] = k
+    out[65:91] = CAPITAL
     out[48:58] = DIGIT
     out[list(b".,;:!?")] = STOP
-    out[SYMBOLS] = SYMBOL
+    out[SYMBOLS] = SYMBOL + np.arange(SYMBOLS.sum())
     out[SPACE] = GAP
     out[0x80:0xC0] = 32 + np.arange(64) % 4
     out[0xC0:] = 36 + np.arange(64) % 3
@@ -131,7 +137,7 @@ def kneser_ney(code: np.ndarray, n: np.ndarray) -> KneserNey:
 
 
 def fit(documents: DataFrame) -> KneserNey:
-    """The model of all texts; at most 40**4 counts come to the driver."""
+    """The model of all texts; at most A**4 counts come to the driver."""
     got = gram_counts(documents).toArrow()
     return kneser_ney(got.column("code").to_numpy(), got.column("n").to_numpy())
 
@@ -179,8 +185,15 @@ def _repeat_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def _lettered(flat: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words of each document that hold a letter or a digit."""
+    letters = np.concatenate([[0], np.cumsum(LETTERS[flat])])
+    total = np.concatenate([[0], np.cumsum(letters[end] > letters[start])])
+    return total[first[1:]] - total[first[:-1]]
+
+
 def measure(documents: DataFrame, model: KneserNey) -> DataFrame:
-    """doc_id, lang, the counts of the contract and log10 perplexity per symbol, one row per document, in a narrow stage."""
+    """doc_id, lang, the counts of the contract and log10 perplexity per word with a letter or digit, one row per document, in a narrow stage."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +203,7 @@ def measure(documents: DataFrame, model: KneserNey) -> DataFrame:
                 start, end, first = words(flat, offsets)
                 gram, bound = codes(flat, offsets)
                 logs = np.concatenate([[0.0], np.cumsum(table[gram], dtype=np.float64)])
-                size = np.maximum(np.diff(bound), 1)
+                size = np.maximum(_lettered(flat, start, end, first), 1)
                 columns = [
                     b.column("doc_id")[i:j], b.column("lang")[i:j],
                     *map(pa.array, (
@@ -209,9 +222,13 @@ def measure(documents: DataFrame, model: KneserNey) -> DataFrame:
 
 
 def bands(measures: DataFrame, reach: float = REACH, least: float = LEAST) -> DataFrame:
-    """band_lang, low, high: the accepted log10 perplexities of each language, from all its documents of enough words."""
+    """band_lang, low, high: the accepted log10 perplexities of each language, from all its documents of enough words.
+
+    Equal perplexities count once, so that a large group of copies does not set the quartiles.
+    """
     q = F.percentile_approx("log10_ppl", [0.25, 0.75], 10_000)
-    rows = measures.where(F.col("n_words") >= MIN_WORDS).groupBy(F.col("lang").alias("band_lang")).agg(q.alias("q"))
+    each = measures.where(F.col("n_words") >= MIN_WORDS).select("lang", "log10_ppl").distinct()
+    rows = each.groupBy(F.col("lang").alias("band_lang")).agg(q.alias("q"))
     wide = F.greatest((F.col("q")[1] - F.col("q")[0]) * reach, F.lit(least))
     return rows.select("band_lang", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
 

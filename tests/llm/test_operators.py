@@ -100,6 +100,19 @@ def test_planted_gibberish_leaves_the_band(spark):
     assert sum(r.kept for r in fine) >= 0.98 * len(fine)
 
 
+def test_symbol_laden_junk_leaves_the_band_and_prose_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    prose = next(r.text for r in docs.where("lang = 'en' and length(text) > 1200").sort("doc_id").collect() if not set("#*$%&|<>") & set(r.text)).split()[:150]
+    junk = [" ".join(w + ("***", "%%%", "$$$")[k % 3] for k, w in enumerate(prose)), " | ".join(prose), " ".join(c for w in prose for c in (w, "###"))]
+    planted = spark.createDataFrame([(-k - 1, "en", t) for k, t in enumerate(junk)], "doc_id long, lang string, text string")
+    rows = [r for r in quality.judge(docs.unionByName(planted)).collect() if not r.base_failed]
+    laden = [r for r in rows if 100 * r.n_symbols > 2 * r.word_chars]
+    plain = [r for r in rows if not r.n_symbols]
+    assert {-1, -2, -3} <= {r.doc_id for r in laden} and not any(r.kept for r in laden if r.doc_id < 0)
+    assert len(laden) > 50 and sum(r.kept for r in laden) <= 0.05 * len(laden)
+    assert sum(r.kept for r in plain) >= 0.99 * len(plain)
+
+
 def shingle_set(text):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
