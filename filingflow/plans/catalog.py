@@ -135,9 +135,9 @@ def numbers_preserved(spark, sf_dir):
 
 @query("SELECT doc_id, doc_id % 4 IN (0, 3) AS ok FROM documents")
 def placeholder_check(spark, sf_dir):
-    both = F.concat(F.lit("<PH_0>a</PH_0>"), F.substring("text", 1, 40), F.lit("<PH_1>b</PH_1>"))
-    wrong = F.concat(F.lit("<PH_0>a</PH_0>"), F.substring("text", 1, 40), F.lit("<PH_1>b</PH_2>"))
-    swapped = F.concat(F.lit("<PH_1>b</PH_1>"), F.substring("text", 1, 40), F.lit("<PH_0>a</PH_0>"))
+    both = F.concat(F.lit("<PH_0>a</PH_0>"), F.col("text"), F.lit("<PH_1>b</PH_1>"))
+    wrong = F.concat(F.lit("<PH_0>a</PH_0>"), F.col("text"), F.lit("<PH_1>b</PH_2>"))
+    swapped = F.concat(F.lit("<PH_1>b</PH_1>"), F.col("text"), F.lit("<PH_0>a</PH_0>"))
     answer = _pick("doc_id", both, wrong, F.col("text"), swapped)
     return _read(spark, sf_dir, "documents").select("doc_id", T.placeholders_match(answer, F.array(F.lit("PH_0"), F.lit("PH_1"))).alias("ok"))
 
@@ -179,7 +179,7 @@ _VALID = "CASE doc_id % 6 WHEN 1 THEN 'empty_translation' WHEN 2 THEN 'model_ref
 
 
 def _validated(spark, sf_dir):
-    source = F.concat(F.lit("In 2024: "), F.regexp_replace(F.substring("text", 1, 80), "(?i)policy|cannot|can't|unable|[0-9]", ""))
+    source = F.concat(F.lit("In 2024: "), "text")
     answer = _pick("doc_id", source, F.lit(" \n"), F.concat(source, F.lit(" policy")), F.concat(source, F.lit("�")), F.concat(source, F.lit("<PH_0>x</PH_0>")), F.replace(source, F.lit("2024"), F.lit("")))
     return _read(spark, sf_dir, "documents").select("doc_id", V.unit_failure(source, answer, F.array().cast("array<string>")).alias("reason"))
 
@@ -221,8 +221,8 @@ def header_fields(spark, sf_dir):
     return _submissions(spark, sf_dir).select("filing_id", m.alias("m")).select("filing_id", F.col("m")["accession_number"].alias("accession"), F.col("m")["company_name"].alias("company"), F.col("m")["fiscal_year_end"].alias("year_end"), F.size("m").alias("n"))
 
 
-def _payload_texts(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filing_id"), "doc_id", F.substring("text", 1, 300).alias("t")).withColumn("b", F.replace(F.base64(F.col("t").cast("binary")), F.lit("\r\n"), F.lit("\n")))
+def _payload_texts(spark, sf_dir, part="substring(text, 1, 300)", line_break="\n"):
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filing_id"), "doc_id", F.expr(part).alias("t")).withColumn("b", F.replace(F.base64(F.col("t").cast("binary")), F.lit("\r\n"), F.lit(line_break)))
     uu = F.lit("begin 644 cat.txt\n#0V%T\n`\nend")
     text = _pick("doc_id", F.col("b"), F.concat(F.col("b"), F.lit("*")), F.concat(F.lit("note "), F.col("t")), uu, F.lit("begin 644 x\nMé"))
     kind = _pick("doc_id", "image", "binary", "text", "text", "html")
@@ -241,6 +241,17 @@ def decode_payloads(spark, sf_dir):
     return out.select("filing_id", "decode_status", F.when(~raw, F.sha2("payload", 256)).alias("payload"), F.when(~raw, F.col("size")).alias("size"))
 
 
+@query("""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS filing_id, doc_id % 5 AS k, text AS t, base64(encode(text)) || '*' AS raw FROM documents)
+SELECT filing_id, CASE k WHEN 0 THEN 'base64' WHEN 1 THEN 'raw' WHEN 3 THEN 'uuencode' ELSE 'text' END AS decode_status,
+       CASE k WHEN 0 THEN sha256(t) WHEN 1 THEN sha256(raw) WHEN 2 THEN sha256('note ' || t) WHEN 3 THEN sha256('Cat') WHEN 4 THEN sha256('begin 644 x' || chr(10) || 'Mé') END AS payload,
+       CAST(CASE k WHEN 0 THEN octet_length(encode(t)) WHEN 1 THEN length(raw) WHEN 2 THEN length(t) + 5 WHEN 3 THEN 3 WHEN 4 THEN 14 END AS BIGINT) AS size FROM d""")
+def decode_whole_payloads(spark, sf_dir):
+    """As decode_payloads, over the whole texts, base64 without line breaks and raw rows compared as well."""
+    out = S.decode_payloads(_payload_texts(spark, sf_dir, "text", ""))
+    return out.select("filing_id", "decode_status", F.sha2("payload", 256).alias("payload"), "size")
+
+
 @query(None)
 def manifests(spark, sf_dir):
     s = _submissions(spark, sf_dir)
