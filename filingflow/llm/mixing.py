@@ -133,10 +133,11 @@ def _expected(rows: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.
     return x[:k], x[k:].reshape(k, k)
 
 
-def solve(rows: DataFrame, targets: Mapping[str, float], budget: float | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def solve(rows: DataFrame, targets: Mapping[str, float], budget: float | None = None, absent: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(steps, targets in tokens, expected tokens): projected gradient until the residual is below a millionth.
 
     Without a budget the total is the smallest that lets every domain whose share grows keep all its expected tokens.
+    An ``absent`` domain has no labelled row to learn it from, so it keeps its share instead of meeting a target.
     """
     share = np.array([targets[d] for d in DOMAINS], float)
     if share.min() < 0 or not share.sum():
@@ -144,6 +145,9 @@ def solve(rows: DataFrame, targets: Mapping[str, float], budget: float | None =
     share /= share.sum()
     steps: list[np.ndarray] = []
     now, gram = _expected(rows, steps)
+    if absent is not None and absent.any() and now.sum() and share[~absent].sum():
+        share[absent] = now[absent] / now.sum()
+        share[~absent] *= (1 - share[absent].sum()) / share[~absent].sum()
     grows = (share > 0) & (share * now.sum() >= now * (1 - 1e-9))
     total = budget if budget is not None else max((now[grows] / share[grows]).max(initial=0.0), now.sum())
     want = share * total
@@ -168,7 +172,10 @@ def mix(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float] =
     """
     small_batches(documents.sparkSession)
     rows = written(posteriors(documents, fit_classifier(documents, labels)), "mixing")
-    steps, _, _ = solve(rows, targets, budget)
+    known = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("_domain")).join(documents.select("doc_id"), "doc_id", "left_semi")
+    named = {r["_domain"] for r in known.select("_domain").distinct().collect()}
+    absent = np.array([d not in named for d in DOMAINS])
+    steps, _, _ = solve(rows, targets, budget, absent if not absent.all() else None)
     out = rows.withColumn("rate", F.lit(1.0))
     weight = [F.col(f"p_{d}") for d in DOMAINS]
     if steps:

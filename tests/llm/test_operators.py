@@ -265,3 +265,24 @@ def test_pipeline_agrees_with_its_operators(spark):
     assert not decontaminate.mark(out.select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count()
     steps = [name for name, _ in corpus_pipeline.STAGES]
     assert steps == ["quality rules", "near duplicates", "decontamination", "mixing", "sharding"]
+
+
+def test_pipeline_returns_each_expected_row(spark):
+    import corpus_pipeline
+
+    docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = sorted(r.doc_id for r in quality.judge(docs).where("kept").collect())
+    sets = {k: shingle_set(texts[k]) for k in kept}
+    group = {k: k for k in kept}
+    for i, a in enumerate(kept):
+        for b in kept[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    first = docs.where(docs.doc_id.isin(sorted(set(group.values()))))
+    clean = [r.doc_id for r in decontaminate.mark(first.select("doc_id", "text"), bench).where("not contaminated").collect()]
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs.where(docs.doc_id.isin(clean)), labels).collect()}
+    draw = lambda key, s: int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16)
+    want = Counter({(k, texts[k], max(range(corpus_pipeline.SHARDS), key=lambda s: (draw(k, s), s))): n for k, n in copies.items() if n})
+    assert len(want) > 50 and Counter((r.doc_id, r.text, r.shard) for r in corpus_pipeline.run(spark, SF).collect()) == want
