@@ -1,89 +1,125 @@
-"""Substring removal by line hashing: keep the earliest occurrence of a line in the corpus, remove the others.
+"""Substring removal by hashing lines and sentences: keep the earliest occurrence in the corpus, remove the others.
 
-A task cuts texts into lines, normalises them and sends a 128-bit digest with the line's place. Digests are grouped over
-all documents with partial aggregates, so a very common line costs each task one row; the places, written once, are joined to
-the earliest one as a shuffle join, whose hot digests Spark may split.
+A task cuts texts into units (a unit ends after a run of ``.``, ``!``, ``?`` and line breaks), normalises them and sends a
+128-bit digest with the unit's place. Digests are grouped over all documents with partial aggregates, so a very common unit
+costs each task one row; the places, written once, are joined to the earliest one as a shuffle join, whose hot digests Spark
+may split. A repeated unit alone proves little (sentences such as boilerplate recur in clean documents), so only runs of
+consecutive repeated units with ``RUN_WORDS`` words or more count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import LOWER, small_batches, written
 
-#: Lines of fewer words are never removed.
-MIN_WORDS = 5
+#: Words of a run of consecutive repeated units; shorter runs stay.
+RUN_WORDS = 30
 
-UNITS = "doc_id long, rid long, high long, low long, start long, end long"
+UNIT = re.compile(rb"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
+_FOLD = LOWER.tobytes()
 
+UNITS = "uid long, doc_id long, rid long, high long, low long, place int, words int, start long, end long"
 
-def normalise(line: str) -> str:
-    """Lower case, runs of white space as one space, none at the ends."""
-    return " ".join(line.lower().split())
 
+def pieces(raw: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, end, words) of each unit with a word, in order: A-Z in lower case, white space between words is not kept."""
+    folded = raw.translate(_FOLD)
+    for m in UNIT.finditer(folded):
+        words = m.group().split()
+        if words:
+            yield m.start(), m.end(), words
 
-def units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per line with enough words: its digest and its place, as byte offsets of the UTF-8 text without the break."""
+
+def units(documents: DataFrame) -> DataFrame:
+    """One row per unit: its digest, its number in the document, its words and its place as byte offsets of the text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in UNITS.split(", ")]
+        kinds = [pa.int32() if x.endswith("int") else pa.int64() for x in UNITS.split(", ")]
         for b in batches:
-            ids, rids, rows = b.column("doc_id").to_pylist(), b.column("rid").to_pylist(), []
-            for doc_id, rid, text in zip(ids, rids, b.column("text"), strict=True):
-                at = 0
-                for raw in (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n"):
-                    words = raw.decode("utf-8", "surrogatepass").lower().split()
-                    if len(words) >= min_words:
-                        digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        rows.append((doc_id, rid, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), at, at + len(raw)))
-                    at += len(raw) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(6)], names=[x.split()[0] for x in UNITS.split(", ")])
+            rows = []
+            for uid, doc_id, rid, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("rid").to_pylist(), b.column("text"), strict=True):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                for place, (start, end, words) in enumerate(pieces(raw)):
+                    digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                    rows.append((uid, doc_id, rid, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), place, len(words), start, end))
+                if len(rows) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
     return documents.mapInArrow(cut, UNITS)
 
 
-def removals(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, rid, spans: the lines to remove from each document that has any.
+def repeats(documents: DataFrame) -> DataFrame:
+    """uid, marks: the repeated units of each row that has any, in order, and whether each is a later occurrence.
 
-    Occurrences rank by (doc_id, rid, start), nulls last; a document repeated row for row has one rank for all its rows.
+    Occurrences rank by (doc_id, hash of the row, row, place), a null doc_id last: of rows that are equal in full one ranks
+    first too.
     """
-    rows = written(units(documents, min_words), "units")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "start")
-    first = rows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("high").alias("_h"), F.col("low").alias("_l"), "first")
-    later = rows.join(written(first, "first-lines"), (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l"))).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-
-
-REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept_text string"
-
-
-def dedupe_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, kept_text for each row of ``documents``.
-
-    Spans are byte offsets of the original text; a removed line takes its line break with it. Null texts are empty; empty
-    texts and tables stay as they are; other columns are not read.
+    rows = written(units(documents), "units")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "uid", "place")
+    first = rows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+    first = first.select(F.col("high").alias("_h"), F.col("low").alias("_l"), F.col("first.uid").alias("_u"), F.col("first.place").alias("_p"))
+    met = rows.join(written(first, "first-units"), (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l")))
+    later = (F.col("uid") != F.col("_u")) | (F.col("place") != F.col("_p"))
+    return met.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("place", "words", "start", "end", later.alias("later")))).alias("marks"))
+
+
+def runs(marks: list[dict], least: int, later: bool) -> list[tuple[int, int]]:
+    """(start, end) of the runs of consecutive repeated units (later occurrences only, if so wished) with enough words."""
+    out, held, words = [], [], 0
+    for m in [*marks, None]:
+        if m is not None and later and not m["later"]:
+            continue
+        if held and (m is None or m["place"] != held[-1]["place"] + 1):
+            if words >= least:
+                out.append((held[0]["start"], held[-1]["end"]))
+            held, words = [], 0
+        if m is not None:
+            held.append(m)
+            words += m["words"]
+    return out
+
+
+REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept_text string"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def dedupe_lines(documents: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_repeated, spans, kept_sha256, kept_text for each row of ``documents``.
+
+    Spans are byte offsets of the original text; a removed unit takes its closing signs with it. ``n_repeated`` counts the
+    bytes of all such runs of repeated units, those of the kept earliest occurrences included. Null texts are empty; empty
+    texts and tables stay as they are; of rows equal in full one is the earliest; other columns are not read.
     """
     small_batches(documents.sparkSession)
     text = F.col("text").cast("string")
-    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("rid"), text.alias("text"))
-    gone = removals(rows, min_words).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "spans")
-    joined = rows.join(gone, (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "text", "spans")
+    # numbered and written once, so that a row has the same number whichever task reads it again
+    rows = written(documents.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64("doc_id", text).alias("rid"), F.monotonically_increasing_id().alias("uid")), "texts")
+    marks = repeats(rows).select(F.col("uid").alias("_u"), "marks")
+    joined = rows.join(marks, F.col("uid") == F.col("_u"), "left").select("doc_id", "text", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, text, spans in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist(), strict=True):
-                raw, kept, at = (text.as_py() or "").encode("utf-8", "surrogatepass"), [], 0
-                for s in spans or ():
-                    kept.append(raw[at : s["start"]])
-                    at = min(s["end"] + 1, len(raw))
+            for doc_id, text, marks in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("marks"), strict=True):
+                raw, kept, at, marks = text.as_buffer().to_pybytes() if text.is_valid else b"", [], 0, marks.as_py() or []
+                spans = runs(marks, run_words, True)
+                for start, end in spans:
+                    kept.append(raw[at:start])
+                    at = end
                 kept = b"".join([*kept, raw[at:]])
-                out.append((doc_id, len(raw), len(raw) - len(kept), len(spans or ()), spans or [], hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept_text"])
+                again = sum(end - start for start, end in runs(marks, run_words, False))
+                out.append((doc_id, len(raw), len(raw) - len(kept), len(spans), again, [{"start": s, "end": e} for s, e in spans], hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), SPANS, pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in REPORT.split(", ")])
 
     return joined.mapInArrow(cut, REPORT)

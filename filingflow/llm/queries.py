@@ -40,7 +40,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedupe_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept_sha256")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,20 +106,31 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CA
 FROM d
 """
 
+#: Units of op 7 as pieces that make up the whole text; runs are found by numbers that grow together.
 _LINES = r"""
-WITH l AS (
-  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
-), u AS (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS unit FROM l),
-m AS (
-  SELECT doc_id, line || CASE WHEN i < n THEN chr(10) ELSE '' END AS piece, i,
-         len(string_split(unit, ' ')) >= 5 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1 AS gone FROM u
-), k AS (
-  SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept, string_agg(piece, '' ORDER BY i) AS whole,
-         count(*) FILTER (WHERE gone) AS n_spans FROM m GROUP BY doc_id
+WITH p AS (
+  SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS ps FROM documents)
+), w AS (
+  SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM p
+), u AS (
+  SELECT doc_id, i, len(ws) AS n, array_to_string(ws, ' ') AS unit, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM w WHERE len(ws) > 0
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1 AS later, count(*) OVER (PARTITION BY unit) > 1 AS again FROM u
+), gone AS (
+  SELECT doc_id, min(i) AS a, max(i) AS z FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM m WHERE later) GROUP BY doc_id, g HAVING sum(n) >= 30
+), twice AS (
+  SELECT doc_id, min(i) AS a, max(i) AS z FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM m WHERE again) GROUP BY doc_id, g HAVING sum(n) >= 30
+), f AS (
+  SELECT p.doc_id, p.piece, p.i, gone.a IS NOT NULL AS gone, twice.a IS NOT NULL AS twice
+  FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND p.i BETWEEN gone.a AND gone.z LEFT JOIN twice ON twice.doc_id = p.doc_id AND p.i BETWEEN twice.a AND twice.z
+), t AS (
+  SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept, sum(octet_length(encode(piece))) FILTER (WHERE gone) AS removed,
+         sum(octet_length(encode(piece))) FILTER (WHERE twice) AS repeated FROM f GROUP BY doc_id
 )
-SELECT doc_id, CAST(octet_length(encode(whole)) AS BIGINT) AS n_bytes, CAST(octet_length(encode(whole)) - octet_length(encode(kept)) AS BIGINT) AS n_removed,
-       CAST(n_spans AS BIGINT) AS n_spans, sha256(kept) AS kept_sha256
-FROM k
+SELECT d.doc_id, CAST(octet_length(encode(coalesce(d.text, ''))) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(s.n, 0) AS BIGINT) AS n_spans, CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeated, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) s USING (doc_id)
 """
 
 _CONTAMINATION = r"""
