@@ -113,14 +113,17 @@ WITH p AS (
   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS ps FROM documents)
 ), w AS (
   SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM p
+), g AS (
+  SELECT *, sum(CAST(len(ws) >= 5 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM w
 ), u AS (
-  SELECT doc_id, i, len(ws) AS n, array_to_string(ws, ' ') AS unit, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM w WHERE len(ws) > 0
+  SELECT doc_id, min(i) FILTER (WHERE len(ws) > 0) AS a, max(i) AS z, sum(len(ws)) AS n, string_agg(array_to_string(ws, ' '), ' ' ORDER BY i) FILTER (WHERE len(ws) > 0) AS unit,
+         row_number() OVER (PARTITION BY doc_id ORDER BY g) AS k FROM g GROUP BY doc_id, g HAVING sum(len(ws)) > 0
 ), m AS (
-  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1 AS later, count(*) OVER (PARTITION BY unit) > 1 AS again FROM u
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, k) > 1 AS later, count(*) OVER (PARTITION BY unit) > 1 AS again FROM u
 ), gone AS (
-  SELECT doc_id, min(i) AS a, max(i) AS z FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM m WHERE later) GROUP BY doc_id, g HAVING sum(n) >= 30
+  SELECT doc_id, min(a) AS a, max(z) AS z FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM m WHERE later) GROUP BY doc_id, g HAVING sum(n) >= 20
 ), twice AS (
-  SELECT doc_id, min(i) AS a, max(i) AS z FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM m WHERE again) GROUP BY doc_id, g HAVING sum(n) >= 30
+  SELECT doc_id, min(a) AS a, max(z) AS z FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM m WHERE again) GROUP BY doc_id, g HAVING sum(n) >= 20
 ), f AS (
   SELECT p.doc_id, p.piece, p.i, gone.a IS NOT NULL AS gone, twice.a IS NOT NULL AS twice
   FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND p.i BETWEEN gone.a AND gone.z LEFT JOIN twice ON twice.doc_id = p.doc_id AND p.i BETWEEN twice.a AND twice.z
