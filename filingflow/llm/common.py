@@ -7,7 +7,6 @@ the memory of a Python worker whatever the table holds.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,36 +30,53 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path for intermediate tables under the shared folder that the session names.
+    """A new folder path for intermediate tables under the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (as in tests) a temporary folder is set.
+    Only a local session without that setting gets a temporary folder; on a cluster, where other machines would not see
+    it, this is an error. The folders stay until the shared folder is cleared: results may still be read from them.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="filingflow-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/filingflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Lets Spark delete the shuffle files of a finished write.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read from there: later steps survive lost executors.
 
-    Nothing later reads the shuffle files of this step, so the garbage that holds them is collected now: Spark's cleaner
-    deletes such files only when the driver happens to collect its garbage.
+    Nothing later reads the shuffle files of this step, so Spark deletes them when the write ends; the setting for that is
+    put back. ``rows_per_file`` splits the files, so that few long rows are dealt over tasks when they are read.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small: rows here can be long texts, and Python workers have little memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, for what holds Python objects for each row; nothing is copied."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

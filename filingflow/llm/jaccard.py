@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_table, blocks, joined, mix, ranges, run_hashes, small_batches, span_hashes, words, written
+from .common import LOWER, arrow_table, blocks, joined, mix, ranges, run_hashes, span_hashes, words, written
 from .components import connected
 
 SHINGLE = 5
@@ -314,7 +314,6 @@ def components(documents: DataFrame) -> DataFrame:
     component's id is its smallest doc_id; null doc_ids take part but are not smallest unless alone. Sets are known by a
     64-bit digest. Repeated rows stay; an empty table gives an empty result; other columns are not read.
     """
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     table = written(prefixes(rows), "prefixes")
     entries = written(shared_entries(table), "entries")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, small_batches, written
+from .common import LOWER, sliced, written
 
 #: Words of a line or sentence that begins a unit, and of a run of consecutive repeated units; shorter runs stay.
 UNIT_WORDS, RUN_WORDS = 5, 20
@@ -56,7 +56,7 @@ def units(documents: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in UNITS.split(", ")]
         kinds = [pa.int32() if x.endswith("int") else pa.int64() for x in UNITS.split(", ")]
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -109,7 +109,6 @@ def dedupe_lines(documents: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     bytes of all such runs of repeated units, those of the kept earliest occurrences included. Null texts are empty; empty
     texts and tables stay as they are; of rows equal in full one is the earliest; other columns are not read.
     """
-    small_batches(documents.sparkSession)
     text = F.col("text").cast("string")
     # numbered and written once, so that a row has the same number whichever task reads it again
     rows = written(documents.select(F.col("doc_id").cast("long"), text.alias("text"), F.monotonically_increasing_id().alias("uid")), "texts")
@@ -117,7 +116,7 @@ def dedupe_lines(documents: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     joined = rows.join(marks, F.col("uid") == F.col("_u"), "left").select("doc_id", "text", "places", "later")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for doc_id, text, places, later in zip(*(b.column(c) for c in ("doc_id", "text", "places", "later")), strict=True):
                 raw, kept, at = text.as_buffer().to_pybytes() if text.is_valid else b"", [], 0

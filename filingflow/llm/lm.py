@@ -4,26 +4,32 @@ A token's probability is that of its class given the classes of the two tokens b
 its class. The most frequent words are classes of their own; other words share a class with words of the same last three
 bytes. Word counts are exact over all training texts. They never meet in one place: documents are dealt over chunks, a
 chunk sends its distinct words (as sorted hash arrays, cut by hash range) to the tasks that own the ranges, and gets back
-the counts of just these words. The bilinear model has a fixed number of parameters; each task trains on the class
-trigrams of its own documents, and the parameters are averaged by Spark.
+the counts of just these words.
+
+The bilinear model is fitted to the counts of class trigrams over all training texts. Spark sums them into shards, whose
+number follows from the number of training tokens and a trigram's shard from its hash, so that shards hold the same counts
+however the table is partitioned. In each round every shard trains from the common parameters, and their means, weighted
+by how often a shard saw what a parameter belongs to and summed as integers, start the next round.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, crc_text, mix, small_batches, span_hashes, words, written
+from .common import LOWER, arrow_table, blocks, crc_text, joined, mix, ranges, span_hashes, words, written
 
-TOP, SUFFIXES = 128, 126
+TOP, SUFFIXES = 768, 254
 END, BEGIN, CLASSES = TOP + SUFFIXES, TOP + SUFFIXES + 1, TOP + SUFFIXES + 2
-WIDTH, NOISE, STEP, BATCH, EPOCHS = 16, 64, 0.15, 1024, 2
-DEAL = 2  # chunks for each input partition
+WIDTH, NOISE, STEP, BATCH, ROUNDS = 16, 64, 0.15, 1024, 4
+#: Bytes of text in a chunk and behind a range of words, on average; at least so many of each.
+CHUNK_BYTES, RANGE_BYTES, LEAST = 4_000_000, 64_000_000, 32
+#: Training tokens behind a shard of trigrams, and distinct trigrams that a task holds before it sends them.
+SHARD_TOKENS, HELD = 2_000_000, 1_000_000
 
 
 def tokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,13 +66,9 @@ def _distinct_words(documents: DataFrame, parts: int) -> DataFrame:
                 hashes, at, back = np.unique(np.concatenate([hashes, h]), return_index=True, return_inverse=True)
                 counts = np.bincount(back, np.concatenate([counts, weight]), len(hashes)).astype(np.int64)
                 suffixes = np.concatenate([suffixes, s])[at]
-        cut = np.searchsorted(hashes, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
-        edges = [0, *cut.tolist(), len(hashes)]
-        rows = [(k, hashes[a:b].tobytes(), counts[a:b].tobytes(), suffixes[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-        return pa.table({
-            "part": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-            "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()), "suffixes": pa.array([r[3] for r in rows], pa.binary()),
-        })
+        edges = ranges(hashes, parts)
+        rows = [(k, key[0].as_py(), hashes[a:b].tobytes(), counts[a:b].tobytes(), suffixes[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        return arrow_table(DISTINCT, rows)
 
     return documents.groupBy("chunk").applyInArrow(gather, DISTINCT)
 
@@ -97,25 +99,31 @@ def _answers(distinct: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The most frequent words and the totals of each class, from the ranges' statistics."""
-
-    def __init__(self, stats: list[bytes], texts: int):
+    """The most frequent words and the totals of each class: what Spark sums of the ranges' statistics."""
+
+    def __init__(self, answers: DataFrame, texts: int):
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for blob in b.column("stats").to_pylist():
+                    x = np.frombuffer(blob, np.int64)
+                    h, c, s = x[2 * SUFFIXES :].reshape(3, -1)
+                    suffix = np.concatenate([np.arange(SUFFIXES), s])
+                    none = np.zeros(len(h), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([False, True], [SUFFIXES, len(h)])), pa.array(suffix), pa.array(np.concatenate([x[:SUFFIXES], c])), pa.array(np.concatenate([x[SUFFIXES : 2 * SUFFIXES], none])), pa.array(np.concatenate([np.zeros(SUFFIXES, np.int64), h]))], names=["word", "suffix", "n", "v", "h"])
+
+        rows = answers.where("stats is not null").select("stats").mapInArrow(unpack, "word boolean, suffix long, n long, v long, h long")
+        sums = rows.where("not word").groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
+        top = rows.where("word and n > 0").orderBy(F.desc("n"), "h").limit(TOP).toArrow()
         n, v = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
-        top = []
-        for blob in stats:
-            x = np.frombuffer(blob, np.int64)
-            n, v = n + x[:SUFFIXES], v + x[SUFFIXES : 2 * SUFFIXES]
-            top.append(x[2 * SUFFIXES :].reshape(3, -1))
-        h, c, s = np.concatenate(top, 1) if top else np.zeros((3, 0), np.int64)
-        best = np.lexsort((h.view(np.uint64), -c))[:TOP]
-        best = best[c[best] > 0]
+        n[sums.column("suffix").to_numpy()], v[sums.column("suffix").to_numpy()] = sums.column("n").to_numpy(), sums.column("v").to_numpy()
+        h, c, s = (top.column(x).to_numpy() for x in ("h", "n", "suffix"))
         self.texts = texts
         self.tokens, self.distinct = int(n.sum()) + texts, int(v.sum()) + (texts > 0)
-        np.subtract.at(n, s[best], c[best])
-        np.subtract.at(v, s[best], 1)
-        order = np.argsort(h[best].view(np.uint64))
-        self.top = h[best].view(np.uint64)[order]
-        self.class_tokens = np.concatenate([c[best][order], np.zeros(TOP - len(best), np.int64), n, [texts, 0]])
+        np.subtract.at(n, s, c)
+        np.subtract.at(v, s, 1)
+        order = np.argsort(h.view(np.uint64))
+        self.top = h.view(np.uint64)[order]
+        self.class_tokens = np.concatenate([c[order], np.zeros(TOP - len(h), np.int64), n, [texts, 0]])
         self.suffix_n, self.suffix_v = n, v
 
     def classes(self, hashes: np.ndarray, suffix: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +147,48 @@ def contexts(classes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nda
     return one, two
 
 
+# --- the counts of class trigrams ------------------------------------------------------------------------------------
+
+TRIGRAMS = "shard int, codes binary, counts binary"
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code, back = np.unique(codes, return_inverse=True)
+    return code, np.bincount(back, counts, len(code)).astype(np.int64)
+
+
+def trigrams(documents: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
+    """For each shard the codes of its class trigrams, sorted, and how often the texts have each."""
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def sent(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        shard = (mix(code.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        code, n = code[order].astype(np.uint32), n[order].astype(np.int64)
+        rows = [(k, code[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        return arrow_table(TRIGRAMS, rows).combine_chunks().to_batches()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, code, n = shared.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            for _, _, flat, offsets in blocks(b):
+                target, begin = vocabulary.classes(*tokens(flat, offsets))
+                one, two = contexts(target, begin)
+                every = (two * CLASSES + one) * CLASSES + target
+                code, n = _summed(np.concatenate([code, every]), np.concatenate([n, np.ones(len(every), np.int64)]))
+                if len(code) > HELD:
+                    yield from sent(code, n)
+                    code, n = code[:0], n[:0]
+        yield from sent(code, n)
+
+    def merge(key, table):
+        code, n = _summed(joined(table.column("codes"), np.uint32), joined(table.column("counts"), np.int64))
+        return arrow_table(TRIGRAMS, [(key[0].as_py(), code.astype(np.uint32).tobytes(), n.tobytes())])
+
+    return documents.select("text").mapInArrow(count, TRIGRAMS).groupBy("shard").applyInArrow(merge, TRIGRAMS)
+
+
 # --- the log-bilinear model --------------------------------------------------------------------------------------------
 
 
@@ -149,7 +199,7 @@ class LogBilinear:
 
     def __init__(self, flat: np.ndarray):
         cut = np.cumsum([np.prod(s) for s in self.SHAPES])
-        self.q, self.c, self.r, self.b = (x.reshape(s).astype(np.float64) for x, s in zip(np.split(flat, cut[:-1]), self.SHAPES, strict=True))
+        self.q, self.c, self.r, self.b = (x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, cut[:-1]), self.SHAPES, strict=True))
 
     @classmethod
     def start(cls, class_tokens: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -158,83 +208,116 @@ class LogBilinear:
         return np.concatenate([rng.normal(0, 0.1, CLASSES * WIDTH), np.ones(2 * WIDTH), rng.normal(0, 0.1, CLASSES * WIDTH), np.log(share)])
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.q, self.c, self.r, self.b)])
+        return np.concatenate([x.ravel() for x in (self.q, self.c, self.r, self.b)]).astype(np.float64)
+
+    def train(self, code: np.ndarray, n: np.ndarray, noise: np.ndarray, seed: int, step: float = STEP) -> None:
+        """One pass of noise-contrastive estimation with Adagrad over counted trigrams; noise: the share of each class.
 
-    def train(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, weight: np.ndarray, noise: np.ndarray, seed: int) -> None:
-        """Noise-contrastive estimation with Adagrad over weighted trigrams; noise: the share of each class. The tokens of
-        a batch share their noise, so that all scores and gradients are matrix products."""
+        A trigram weighs as much as it is frequent, and one far more frequent than the mean comes in several batches. The
+        trigrams of a batch share their noise, so that all scores and gradients are matrix products.
+        """
         rng = np.random.default_rng(seed)
         bound, log_noise = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
-        q, c, r, b = (x.astype(np.float32) for x in (self.q, self.c, self.r, self.b))
+        mean = n.mean()
+        times = np.ceil(n / (4 * mean)).astype(np.int64)
+        at = rng.permutation(np.repeat(np.arange(len(code)), times))
+        weight = (n / times / (mean * BATCH)).astype(np.float32)[at]
+        code = code[at].astype(np.int64)
+        two, one, target = code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES
+        q, c, r, b = self.q, self.c, self.r, self.b
         grown = [np.full(s, 1e-3, np.float32) for s in self.SHAPES]
-        weight = weight.astype(np.float32)
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(target))
-            for k in range(0, len(order), BATCH):
-                i = order[k : k + BATCH]
-                w, t = weight[i] / weight[i].sum(), target[i]
-                q2, q1 = q[two[i]], q[one[i]]
-                p = q2 * c[0] + q1 * c[1]
-                drawn = np.searchsorted(bound, rng.random(NOISE) * bound[-1], "right").clip(0, END)
-                own = (p * r[t]).sum(1) + b[t] - log_noise[t]
-                other = p @ r[drawn].T + (b[drawn] - log_noise[drawn])
-                up = w / (1 + np.exp(own.clip(-30, 30)))
-                down = w[:, None] / (1 + np.exp(-other.clip(-30, 30)))
-                dp = up[:, None] * r[t] - down @ r[drawn]
-                dr, dq = np.zeros_like(r), np.zeros_like(q)
-                np.add.at(dr, t, up[:, None] * p)
-                np.subtract.at(dr, drawn, down.T @ p)
-                np.add.at(dq, two[i], dp * c[0])
-                np.add.at(dq, one[i], dp * c[1])
-                db = np.bincount(t, up, CLASSES) - np.bincount(drawn, down.sum(0), CLASSES)
-                dc = np.stack([(dp * q2).sum(0), (dp * q1).sum(0)])
-                for x, d, s in zip((q, c, r, b), (dq, dc, dr, db.astype(np.float32)), grown, strict=True):
-                    s += d * d
-                    x += STEP * d / np.sqrt(s)
-        self.q, self.c, self.r, self.b = (x.astype(np.float64) for x in (q, c, r, b))
-
-    def table(self) -> np.ndarray:
-        """log10 P(class | two back, one back) for every context: batched products with all class vectors, normalised."""
-        out = np.empty((CLASSES * CLASSES, CLASSES), np.float32)
-        first, second = self.q * self.c[0], self.q * self.c[1]
-        for k in range(CLASSES):
-            score = (first[k] + second) @ self.r.T + self.b
-            score[:, BEGIN] = -np.inf
-            score -= score.max(1, keepdims=True)
-            out[k * CLASSES : (k + 1) * CLASSES] = (score - np.log(np.exp(score).sum(1, keepdims=True))) / np.log(10)
+        for k in range(0, len(at), BATCH):
+            own_two, own_one, t, w = two[k : k + BATCH], one[k : k + BATCH], target[k : k + BATCH], weight[k : k + BATCH]
+            q2, q1 = q[own_two], q[own_one]
+            p = q2 * c[0] + q1 * c[1]
+            drawn = np.searchsorted(bound, rng.random(NOISE) * bound[-1], "right").clip(0, END)
+            own = (p * r[t]).sum(1) + b[t] - log_noise[t]
+            other = p @ r[drawn].T + (b[drawn] - log_noise[drawn])
+            up = w / (1 + np.exp(own.clip(-30, 30)))
+            down = w[:, None] / (1 + np.exp(-other.clip(-30, 30)))
+            dp = up[:, None] * r[t] - down @ r[drawn]
+            dr, dq = np.zeros_like(r), np.zeros_like(q)
+            np.add.at(dr, t, up[:, None] * p)
+            np.subtract.at(dr, drawn, down.T @ p)
+            np.add.at(dq, own_two, dp * c[0])
+            np.add.at(dq, own_one, dp * c[1])
+            db = np.bincount(t, up, CLASSES) - np.bincount(drawn, down.sum(0), CLASSES)
+            dc = np.stack([(dp * q2).sum(0), (dp * q1).sum(0)])
+            for x, d, s in zip((q, c, r, b), (dq, dc, dr, db.astype(np.float32)), grown, strict=True):
+                s += d * d
+                x += step * d / np.sqrt(s)
+
+    def normaliser(self, two: int) -> np.ndarray:
+        """log of the sum over all classes for a class two tokens back and every class one back."""
+        score = (self.q[two] * self.c[0] + self.q * self.c[1]) @ self.r.T + self.b
+        score[:, BEGIN] = -np.inf
+        top = score.max(1)
+        return top + np.log(np.exp(score - top[:, None]).sum(1))
+
+    def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, normalisers: np.ndarray) -> np.ndarray:
+        """log10 P(target | two back, one back)."""
+        out = np.empty(len(target))
+        for k in range(0, len(target), 100_000):
+            s = slice(k, k + 100_000)
+            score = ((self.q[two[s]] * self.c[0] + self.q[one[s]] * self.c[1]) * self.r[target[s]]).sum(1) + self.b[target[s]]
+            out[s] = (score - normalisers[two[s], one[s]]) / np.log(10)
         return out
 
 
-def fit(documents: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """Train on all rows of ``documents``: every task on its own rows from the same start, then the weighted mean."""
-    start = LogBilinear.start(vocabulary.class_tokens)
-    noise = (vocabulary.class_tokens + 0.5) / (vocabulary.class_tokens + 0.5).sum()
-    shared = documents.sparkSession.sparkContext.broadcast((vocabulary, start, noise))
+#: Parameters and weights are averaged as integers, whose sums do not depend on their order: units of 2**-20 and 2**-12.
+UNIT, SHARE = 1 << 20, 1 << 12
+
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, start, noise = shared.value
-        code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def fit(counts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
+    """The model of the shards of ``trigrams``: rounds of one pass over every shard and a weighted mean."""
+    flat = LogBilinear.start(vocabulary.class_tokens)
+    noise = (vocabulary.class_tokens + 0.5) / (vocabulary.class_tokens + 0.5).sum()
+    context = counts.sparkSession.sparkContext
+
+    def masses(code: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How often the shard saw what each parameter belongs to; every class is drawn as noise."""
+        total = n.sum()
+        back = np.bincount(code // CLASSES**2, n, CLASSES) + np.bincount(code // CLASSES % CLASSES, n, CLASSES)
+        here = np.bincount(code % CLASSES, n, CLASSES) + noise * total
+        return np.concatenate([np.repeat(back, WIDTH), np.full(2 * WIDTH, total), np.repeat(here, WIDTH), here])
+
+    for k in range(ROUNDS):
+        shared = context.broadcast(flat)
+
+        def train(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for shard, codes, n in zip(*(b.column(x).to_pylist() for x in ("shard", "codes", "counts")), strict=True):
+                    code, n = np.frombuffer(codes, np.uint32).astype(np.int64), np.frombuffer(n, np.int64)
+                    model = LogBilinear(shared.value)
+                    model.train(code, n, noise, 1000 * k + shard, STEP / (1 + k))
+                    weight = np.rint(masses(code, n) * (SHARE / SHARD_TOKENS * 64)).astype(np.int64)
+                    at = np.flatnonzero(weight)
+                    x = np.rint(model.flat()[at] * UNIT).astype(np.int64) * weight[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(x), pa.array(weight[at])], names=["k", "x", "w"])
+
+        got = counts.mapInArrow(train, "k int, x long, w long").groupBy("k").agg(F.sum("x").alias("x"), F.sum("w").alias("w")).toArrow()
+        flat = flat.copy()
+        flat[got.column("k").to_numpy()] = got.column("x").to_numpy() / got.column("w").to_numpy() / UNIT
+        shared.unpersist()
+    return LogBilinear(flat)
+
+
+def normalisers(spark: SparkSession, model: LogBilinear) -> np.ndarray:
+    """The logs of the sums for every pair of context classes: batched matrix products, one row a class, a fixed size."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, flat, offsets in blocks(b):
-                target, begin = vocabulary.classes(*tokens(flat, offsets))
-                one, two = contexts(target, begin)
-                seen, times = np.unique((two * CLASSES + one) * CLASSES + target, return_counts=True)
-                code, back = np.unique(np.concatenate([code, seen]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([n, times])).astype(np.int64)
-        if len(code):
-            model = LogBilinear(start)
-            model.train(code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES, n, noise, len(code))
-            flat, total = model.flat(), float(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * total), pa.array(np.full(len(flat), total))], names=["k", "x", "w"])
+            two = b.column("id").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(two, pa.int64()), pa.array([shared.value.normaliser(k).astype(np.float32).tobytes() for k in two], pa.binary())], names=["two", "z"])
 
-    rows = documents.select("text").mapInArrow(train, "k int, x double, w double").groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow().sort_by("k")
-    return LogBilinear(rows.column("x").to_numpy() if rows.num_rows else start)
+    got = spark.range(0, CLASSES, 1, 32).mapInArrow(run, "two long, z binary").toArrow().sort_by("two")
+    return joined(got.column("z"), np.float32).reshape(CLASSES, CLASSES)
 
 
 # --- scores ---------------------------------------------------------------------------------------------------------
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_TABLES: dict[str, np.ndarray] = {}
 
 
 def score_texts(documents: DataFrame) -> DataFrame:
@@ -242,26 +325,21 @@ def score_texts(documents: DataFrame) -> DataFrame:
 
     Documents whose crc32(doc_id as text) leaves 1 when divided by 5 are held out; all others train. Null and empty texts
     have the end token alone. Repeated rows are scored each; a null doc_id trains (its remainder is unknown) and is not
-    held out. Only doc_id and text are read; an empty table gives an empty result.
+    held out. Only doc_id and text are read; an empty table gives an empty result. Scores do not depend on the partitioning.
     """
     spark = documents.sparkSession
-    small_batches(spark)
-    chunks = max(1, DEAL * documents.rdd.getNumPartitions())
-    train = F.coalesce(_training(), F.lit(True))
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), train.alias("train"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    answers = written(_answers(_distinct_words(rows, chunks)), "lm-words")
-    stats = [r[0] for r in answers.where("stats is not null").select("stats").toLocalIterator()]
-    vocabulary = Vocabulary(stats, rows.where("train").count())
-    model = fit(rows.where("train"), vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, model))
-    mark = uuid.uuid4().hex
+    total, texts = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")), F.count_if(F.coalesce(_training(), F.lit(True)))).first()
+    chunks, parts = max(LEAST, -(-(total or 0) // CHUNK_BYTES)), max(LEAST, -(-(total or 0) // RANGE_BYTES))
+    text = F.col("text").cast("string")
+    rows = documents.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(_training(), F.lit(True)).alias("train"), F.pmod(F.xxhash64("doc_id", text), F.lit(chunks)).cast("int").alias("chunk"))
+    answers = written(_answers(_distinct_words(rows, parts)), "lm-words")
+    vocabulary = Vocabulary(answers, texts)
+    shards = max(1, -(-vocabulary.tokens // SHARD_TOKENS))
+    model = fit(written(trigrams(rows.where("train"), vocabulary, shards), "lm-trigrams", 1), vocabulary)
+    shared = spark.sparkContext.broadcast((vocabulary, model, normalisers(spark, model)))
 
     def score(key, left, right):
-        vocabulary, model = shared.value
-        if mark not in _TABLES:
-            _TABLES.clear()
-            _TABLES[mark] = model.table()
-        table = _TABLES[mark]
+        vocabulary, model, sums = shared.value
         parts = sorted(zip(right.column("hashes").to_pylist(), right.column("counts").to_pylist(), right.column("part").to_pylist(), strict=True), key=lambda x: x[2])
         known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x[0], np.uint64) for x in parts)])
         count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[1], np.int64) for x in parts)])
@@ -275,7 +353,7 @@ def score_texts(documents: DataFrame) -> DataFrame:
                 c = count[np.searchsorted(known, h)] if len(h) else np.zeros(0, np.int64)
                 classes, begin = vocabulary.classes(h, s, first)
                 one, two = contexts(classes, begin)
-                logs = table[two * CLASSES + one, classes].astype(np.float64)
+                logs = model.log10(two, one, classes, sums)
                 smooth = np.log10(c + 0.5)
                 word = np.ones(len(classes), bool)
                 word[begin[1:] - 1] = False
@@ -295,5 +373,9 @@ def score_texts(documents: DataFrame) -> DataFrame:
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[first[1:]] - total[first[:-1]]
+    """The sum of each document's values, whatever stands beside it in the block."""
+    out = np.zeros(len(first) - 1)
+    own = np.flatnonzero(np.diff(first))
+    if len(own):
+        out[own] = np.add.reduceat(values.astype(np.float64), first[own])
+    return out

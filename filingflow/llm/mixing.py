@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, small_batches, span_hashes, words, written
+from .common import LOWER, blocks, span_hashes, words, written
 
 DOMAINS = ("high", "low", "toxic")
 #: Posteriors are soft, so clean documents carry some toxic mass: a target near none would drop them too.
@@ -170,7 +170,6 @@ def mix(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float] =
     the rate of their posterior; a null doc_id has a number like any other. Repeated rows are mixed each; without labels
     all posteriors are equal and with an empty table nothing is solved. Other columns are not read.
     """
-    small_batches(documents.sparkSession)
     rows = written(posteriors(documents, fit_classifier(documents, labels)), "mixing")
     known = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("_domain")).join(documents.select("doc_id"), "doc_id", "left_semi")
     named = {r["_domain"] for r in known.select("_domain").distinct().collect()}

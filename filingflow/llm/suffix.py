@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_table, blocks, joined, mix, ranges, small_batches, span_hashes, span_sums, written
+from .common import arrow_table, blocks, joined, mix, ranges, span_hashes, span_sums, written
 from .induced import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 48
@@ -316,7 +316,6 @@ def remove_repeats(documents: DataFrame, texts: bool = True, most: int = MOST, c
     stay rows and are repeats of each other; a null doc_id is a value like others; an empty table gives an empty result;
     other columns are not read. ``texts`` false leaves ``kept`` null.
     """
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     chunks = max(CHUNKS, -(-total // chunk_bytes))
