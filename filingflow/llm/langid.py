@@ -1,8 +1,9 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, calibrated rejection.
 
-Subwords are pairs and triples of UTF-8 bytes with ASCII letters lower-cased and other ASCII bytes as one gap. The model
-is trained by stochastic gradient descent in numpy on a bounded sample of labelled documents; prediction is a narrow stage
-over all documents. As both layers are linear, a worker folds them into one table of a row per bucket.
+Subwords are pairs and triples of UTF-8 bytes with ASCII letters lower-cased and other ASCII bytes as one gap; a gap stands
+before and behind each text, so that a single letter has subwords too. The model is trained by stochastic gradient descent in
+numpy on a bounded sample of labelled documents; prediction is a narrow stage over all documents. As both layers are linear,
+a worker folds them into one table of a row per bucket. A prediction depends on its own text alone.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_text, small_batches
+from .common import blocks, crc_text
 
 BUCKETS, WIDTH = 8192, 16
-#: About so many labelled documents are sampled by a hash of doc_id; a fifth of them calibrates.
-TRAIN_DOCUMENTS = 3000
+#: About so many labelled documents are sampled by a hash of doc_id and text, and of a rarer language about so many of its
+#: own; a fifth of them calibrates.
+TRAIN_DOCUMENTS, TRAIN_OF_EACH = 3000, 200
 EPOCHS, BATCH, STEP = 15, 32, 0.5
 #: Share of calibration documents whose score lies above the rejection threshold.
 ACCEPT = 0.995
@@ -31,6 +33,14 @@ _FOLD[128:] = np.arange(128, 256)
 _LETTER = regex.compile(r"\p{L}")
 
 
+def padded(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with a gap before and behind each document, and the documents' offsets in them."""
+    size, n = np.diff(offsets), len(offsets) - 1
+    out = np.full(len(flat) + 2 * n, 32, np.uint8)
+    out[np.arange(len(flat)) + np.repeat(2 * np.arange(n) + 1, size)] = flat
+    return out, offsets + 2 * np.arange(n + 1)
+
+
 def buckets(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of the pair and of the triple that begin at each byte (shorter by one and by two than the bytes)."""
     x = _FOLD[flat]
@@ -46,10 +56,11 @@ def _bags(samples: DataFrame) -> pa.Table:
         for b in batches:
             rows = []
             for i, j, flat, offsets in blocks(b):
+                flat, offsets = padded(flat, offsets)
                 for k in range(i, j):
                     own = flat[offsets[k - i] : offsets[k - i + 1]]
-                    seen, times = np.unique(np.concatenate(buckets(own)), return_counts=True)
-                    if len(seen):
+                    if len(own) > 2:
+                        seen, times = np.unique(np.concatenate(buckets(own)), return_counts=True)
                         rows.append((b.column("lang")[k].as_py(), seen.astype(np.int32).tobytes(), (times / times.sum()).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2))], names=["label", "buckets", "shares"])
 
@@ -115,12 +126,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def fit(documents: DataFrame, size: int = TRAIN_DOCUMENTS) -> Model | None:
-    """A model of the labelled rows of ``documents``, or None without any; about ``size`` of them are used."""
+def fit(documents: DataFrame, size: int = TRAIN_DOCUMENTS, each: int = TRAIN_OF_EACH) -> Model | None:
+    """A model of the labelled rows of ``documents``, or None without any; about ``size`` of them are used, and of a language
+    that would have fewer than ``each`` among these, about so many of its own. There is one count per language."""
     labelled = documents.where("lang is not null and text is not null")
-    total = labelled.count()
-    share = min(1.0, size / max(total, 1))
-    bags = _bags(labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) <= int(share * 1_000_003)))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, max(size / sum(counts.values()), each / n)))])
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    bags = _bags(labelled.where(drawn < share[F.col("lang")]))
     return train(bags) if bags.num_rows else None
 
 
@@ -140,14 +155,14 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             for i, j, flat, offsets in blocks(b):
                 best, top = [None] * (j - i), np.zeros(j - i)
-                if model and len(flat) > 2:
-                    n = np.maximum(2 * np.diff(offsets) - 3, 1)
+                if model:
+                    flat, offsets = padded(flat, offsets)
+                    n = 2 * np.diff(offsets) - 3
                     pair, triple = buckets(flat)
                     logits = np.empty((j - i, len(model.languages)))
                     for k in range(logits.shape[1]):
                         column = np.ascontiguousarray(model.table[:, k])
-                        total = _spans(column[pair], offsets, 1) + _spans(column[triple], offsets, 2)
-                        logits[:, k] = total / n + model.bias[k]
+                        logits[:, k] = (_spans(column[pair], offsets, 1) + _spans(column[triple], offsets, 2)) / n + model.bias[k]
                     p = _softmax(logits / model.temperature)
                     best, top = [model.languages[k] for k in p.argmax(1)], p.max(1)
                 letter = [_LETTER.search(x) is not None if x else False for x in b.column("text")[i:j].to_pylist()]
@@ -162,11 +177,15 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
 
 
 def _spans(values: np.ndarray, offsets: np.ndarray, less: int) -> np.ndarray:
-    """Sums over each document's own subwords: those that begin ``less`` bytes before its end or earlier."""
-    total = np.zeros(len(values) + 1)
-    np.cumsum(values, out=total[1:])
-    end = np.minimum(np.maximum(offsets[1:] - less, offsets[:-1]), len(values))
-    return total[end] - total[np.minimum(offsets[:-1], len(values))]
+    """Sums over each document's own subwords: those that begin more than ``less`` bytes before its end.
+
+    A document has two bytes at least, its gaps; its sum does not depend on what stands beside it.
+    """
+    own = np.zeros(offsets[-1])
+    own[: len(values)] = values
+    for k in range(1, less + 1):
+        own[offsets[1:] - k] = 0
+    return np.add.reduceat(own, offsets[:-1])
 
 
 def identify(documents: DataFrame) -> DataFrame:
@@ -175,7 +194,6 @@ def identify(documents: DataFrame) -> DataFrame:
     Documents whose crc32(doc_id as text) leaves 2 when divided by 4 are held out; a null doc_id is not. Repeated rows are
     predicted each, an empty table gives an empty result, and other columns are not read.
     """
-    small_batches(documents.sparkSession)
     held = F.coalesce(F.pmod(crc_text("doc_id"), F.lit(4)) == 2, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), held.alias("held_out"))
     model = fit(rows.where("not held_out"))
