@@ -1,27 +1,29 @@
-"""Benchmark decontamination with an Aho-Corasick automaton.
+"""Benchmark decontamination with one Aho-Corasick automaton over words.
 
-The test items are normalised to words and cut into windows of ten words; all windows form one automaton, and each document
-is normalised and scanned once. Hits come back as word numbers and as byte offsets of the original text. An automaton is
-built from at most ``BLOCK_WINDOWS`` distinct windows, which bounds what is broadcast; a larger test set is scanned in
-blocks, one after another in the same narrow stage.
+The test items are normalised to words and cut into windows of ten words. All windows form one automaton over numbers of
+words, which one task builds and writes to the shared folder; a worker process loads it once, and each document is
+normalised and scanned once. Hits come back as word numbers and as byte offsets of the original text. Neither the test set
+nor the automaton passes through the driver. What bounds it is the test set: about 750 bytes a window in each process.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import scratch, sliced
 
 WINDOW = 10
-BLOCK_WINDOWS = 50_000
 
 #: Bytes that belong to words once A-Z is lower-cased: 0-9, a-z and all bytes of non-ASCII characters.
 _FOLD = bytearray(b" " * 256)
@@ -58,85 +60,94 @@ def window_table(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return rows.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _scanner(found: list[tuple[bytes, list[str]]]):
-    import ahocorasick
+class Numbers(dict):
+    """The number of each benchmark word; 0 for any other word."""
 
-    automaton = ahocorasick.Automaton()
-    for k, (window, _) in enumerate(found):
-        automaton.add_word(window.decode("latin-1"), (k, len(window), window.count(b" ") - 1))
-    if found:
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
+def _build(found: Iterator[tuple[bytes, list[str]]]) -> tuple[Numbers, object, list[list[str]]]:
+    """(word numbers, automaton, items of each window) of all windows; the automaton gives (window, words)."""
+    numbers, automaton, items = Numbers(), ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), []
+    for window, ids in found:
+        words = window.split()
+        automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words), (len(items), len(words)))
+        items.append(ids)
+    if items:
         automaton.make_automaton()
-    return automaton
+    return numbers, automaton, items
 
 
-def mark(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """``documents`` with n_words, n_hit, n_items, items_sha256, contaminated and hit_spans.
+def automaton_file(windows: DataFrame) -> str | None:
+    """The path of the automaton of all rows of ``window_table``, in the shared folder; None without windows.
 
-    ``hit_spans`` holds the maximal runs of hit words as (start, end) byte offsets of the original UTF-8 text. Empty and
-    null texts have no words and no hits; rows stay one for one, repeated rows included, and columns of the input that
-    have one of these names are replaced. The scan is narrow: it needs no shuffle and no state, and a lost task is redone.
+    One task builds it. The path is that of the attempt which Spark accepted.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
-    table = window_table(benchmark, size)
-    distinct = table.count()
-    parts = max(1, -(-distinct // block) if distinct <= block else -(-2 * distinct // block))
-    part = F.pmod(F.xxhash64("window"), F.lit(parts))
-    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"]
-    out = documents.drop(*added).withColumn("_hit", F.lit(None).cast("array<int>")).withColumn("_items", F.lit(None).cast("array<string>"))
-    for k in range(parts):
-        rows = [(bytes(r["window"]), list(r["items"])) for r in (table if parts == 1 else table.where(part == k)).toLocalIterator()]
-        shared = spark.sparkContext.broadcast(pickle.dumps(rows))
-        out = _scan(out, shared, last=k == parts - 1)
-    return out
+    folder = scratch(windows.sparkSession, "automaton")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((w, i) for b in batches for w, i in zip(b.column("window").to_pylist(), b.column("items").to_pylist(), strict=True))
+        built = _build(rows)
+        if built[2]:
+            fs, root = pafs.FileSystem.from_uri(folder)
+            fs.create_dir(root, recursive=True)
+            name = f"{uuid.uuid4().hex}.pickle"
+            with fs.open_output_stream(f"{root}/{name}") as out:
+                pickle.dump(built, out, protocol=5)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+    made = windows.repartition(1).mapInArrow(build, "path string").collect()
+    return made[0]["path"] if made else None
+
+
+_LOADED: dict[str, tuple] = {}
+
+
+def _loaded(path: str | None) -> tuple:
+    """The automaton of this path, read once per worker process."""
+    if path is None:
+        return _build(iter(()))
+    if path not in _LOADED:
+        _LOADED.clear()
+        fs, name = pafs.FileSystem.from_uri(path)
+        with fs.open_input_stream(name, buffer_size=1 << 20) as f:
+            _LOADED[path] = pickle.load(f)
+    return _LOADED[path]
 
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:long,end:long>>"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(documents: DataFrame, shared, last: bool) -> DataFrame:
-    """One block's automaton over all documents; the last one turns the collected hits into result columns."""
-    passed = [f for f in documents.schema if f.name not in ("_hit", "_items")]
-    state = T.StructType.fromDDL(RESULT if last else "_hit array<int>, _items array<string>")
-    schema = T.StructType(passed + state.fields)
+def mark(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``documents`` with n_words, n_hit, n_items, items_sha256, contaminated and hit_spans.
+
+    ``hit_spans`` holds the maximal runs of hit words as (start, end) byte offsets of the original UTF-8 text. Empty and
+    null texts have no words and no hits; rows stay one for one, repeated rows included, and columns of the input that
+    have one of these names are replaced. The scan is narrow: it needs no shuffle and no state, and a lost task is redone.
+    """
+    path = automaton_file(window_table(benchmark, size))
+    added = T.StructType.fromDDL(RESULT)
+    rows = documents.drop(*added.names)
+    passed = rows.schema.fields
+    schema = T.StructType(passed + added.fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = pickle.loads(shared.value)
-        automaton = _scanner(found)
-        for b in batches:
-            hits, items = b.column("_hit").to_pylist(), b.column("_items").to_pylist()
-            n_words, spans = [], []
-            for i, text in enumerate(b.column("text")):
-                raw = (text.as_py() or "").encode("utf-8")
-                line = b" " + b" ".join(raw.translate(FOLD).split()) + b" "
-                got = [(end, *value) for end, value in automaton.iter(line.decode("latin-1"))] if found else []
-                if got:
-                    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                    word = set(hits[i] or ())
-                    for end, _, length, n in got:
-                        first = int(np.searchsorted(spaces, end - length + 1))
-                        word.update(range(first, first + n))
-                    hits[i] = sorted(word)
-                    items[i] = sorted({x for _, k, _, _ in got for x in found[k][1]} | set(items[i] or ()))
-                if last:
-                    n_words.append(line.count(b" ") - 1 if len(line) > 2 else 0)
-                    spans.append(_spans(raw, hits[i]) if hits[i] else [])
-            if last:
-                ids, n_hit = [x or [] for x in items], [len(x or ()) for x in hits]
-                made = [
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array(map(len, ids), pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()),
-                    pa.array([x > 0 for x in n_hit], pa.bool_()),
-                    pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], SPANS),
-                ]
-            else:
-                made = [pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in passed] + made, names=schema.names)
-
-    return documents.mapInArrow(scan, schema)
+        numbers, automaton, items = _loaded(path)
+        for b in sliced(batches):
+            made = []
+            for text in b.column("text"):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                words = raw.translate(FOLD).split()
+                got = list(automaton.iter(tuple(map(numbers.__getitem__, words)))) if items and words else []
+                hit = sorted({k for end, (_, n) in got for k in range(end - n + 1, end + 1)})
+                ids = sorted({x for _, (w, _) in got for x in items[w]})
+                made.append((len(words), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit), [{"start": s, "end": e} for s, e in _spans(raw, hit)] if hit else []))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), SPANS)
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in passed), *(pa.array([m[i] for m in made], t) for i, t in enumerate(kinds))], names=schema.names)
+
+    return rows.mapInArrow(scan, schema)
 
 
 def _spans(raw: bytes, hit: list[int]) -> list[tuple[int, int]]:
