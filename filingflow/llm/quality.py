@@ -1,31 +1,37 @@
 """Quality rules: word, line and repetition counts, and a perplexity band per language.
 
-The perplexity comes from an interpolated modified Kneser-Ney model of the corpus itself. Its symbols are 49 classes of
-UTF-8 bytes (small letters, capitals, digits, each of the symbols # * $ % & | < >, groups of other punctuation and of
-non-ASCII bytes), its order is four, so a model has at most 49**4 n-grams however large the corpus is: that is the bound on
-what Spark's counts send to the driver and on what is broadcast. It is taken per word that holds a letter or a digit: runs
-of symbols are cheap to predict, so per symbol they would hide in the mean, while per word whatever they cost is added. The n-grams are counted over all documents; the model is kept as sorted arrays of n-gram codes, which a
-worker turns into a table of log-probabilities by binary search, once.
+The perplexity comes from interpolated modified Kneser-Ney models of the corpus itself, one for each language: n-grams of four
+code points, A-Z in lower case, digits and white space as one symbol each. It is taken per word that holds a letter or a
+digit: runs of symbols are cheap to predict, so per symbol they would hide in the mean, while per word whatever they cost is
+added.
+
+Nothing of a model meets in one place. Texts are packed into chunks of some megabytes; a chunk sends its distinct n-grams with
+their counts, as arrays sorted by hash and cut by hash range. Spark sums them, lower orders count distinct left contexts, and
+joins of the orders give each n-gram its probability. The model is kept as sorted hash arrays by range, and a chunk gets back
+the probabilities of just the n-grams it sent. An n-gram that no other text has counts as unseen in its own text: else junk
+would be predicted from itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, blocks, mix, run_hashes, small_batches, span_hashes, sums_by_document, words, written
+from .common import SPACE, arrow_table, blocks, fresh, joined, mix, run_hashes, span_hashes, sums_by_document, words, written
 
-A, ORDER = 49, 4
-GAP, DIGIT, STOP, MARK, CAPITAL, CONTROL, EDGE, SYMBOL = 26, 27, 28, 29, 30, 31, 39, 40
+ORDER = 4
+#: Stands before and behind each text; code points beyond 16 bits share the numbers of the surrogates, which no text has.
+EDGE = 0xFFFF
 MIN_WORDS = 50
-#: Width of a band: so many interquartile ranges of log10 perplexity beyond the quartiles, and this much at least. Clean
-#: prose has a range of about 0.18 in each language, so LEAST widens a band only where many texts are alike.
-REACH, LEAST = 3.0, 0.45
+#: A band reaches from the median of log10 perplexity so many times as far as the nearer quartile, and this far at least: junk
+#: on one side, even a quarter of a language, does not widen it.
+REACH, LEAST = 7.0, 0.7
+#: Bytes of text in a chunk, and behind a range of hashes; the number of ranges is a power of two.
+PACK_BYTES, RANGE_BYTES, LEAST_RANGES = 8_000_000, 256_000_000, 16
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -34,115 +40,212 @@ LETTERS = np.zeros(256, bool)
 LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 
 
-def _classes() -> np.ndarray:
-    out = np.full(256, CONTROL, np.int64)
-    out[0x20:0x7F] = MARK
-    for k in range(26):
-        out[97 + k] = k
-    out[65:91] = CAPITAL
-    out[48:58] = DIGIT
-    out[list(b".,;:!?")] = STOP
-    out[SYMBOLS] = SYMBOL + np.arange(SYMBOLS.sum())
-    out[SPACE] = GAP
-    out[0x80:0xC0] = 32 + np.arange(64) % 4
-    out[0xC0:] = 36 + np.arange(64) % 3
-    return out
+def _folded() -> np.ndarray:
+    out = np.arange(0x110000, dtype=np.uint32)
+    out[0x10000:] = 0xD800 + out[0x10000:] % 0x800
+    out[65:91] += 32
+    out[48:58] = 48
+    out[: len(SPACE)][SPACE] = 32
+    return out.astype(np.uint16)
 
 
-CLASSES = _classes()
+FOLD = _folded()
 
 
 def codes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the 4-gram that ends at each symbol, an end symbol per document included; offsets of the documents.
+    """The 64-bit code of the 4-gram that ends at each code point, an edge per document included; offsets of the documents.
 
-    Each document begins with three edge symbols as context, so none of its n-grams reaches into another document.
+    Each document begins with three edges as context, so none of its n-grams reaches into another document. The first symbol
+    has the highest bits: a context is the code without its lowest 16 bits, a lower order the code without its highest.
     """
+    points = np.frombuffer(flat.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    n = len(offsets) - 1
+    offsets = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])[offsets]
     size = np.diff(offsets)
-    out = np.full(len(flat) + ORDER * len(size), EDGE, np.int64)
-    if len(flat):
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(size)) * ORDER + ORDER - 1, size)] = CLASSES[flat]
+    out = np.full(len(points) + ORDER * n, EDGE, np.uint64)
+    out[np.arange(len(points)) + np.repeat(np.arange(n) * ORDER + ORDER - 1, size)] = FOLD[points]
     gram = out[ORDER - 1 :].copy()
     for k in range(1, ORDER):
-        gram += out[ORDER - 1 - k : len(out) - k] * A**k
+        gram |= out[ORDER - 1 - k : len(out) - k] << np.uint64(16 * k)
     keep = np.ones(len(out), bool)
-    start = offsets[:-1] + ORDER * np.arange(len(size))
+    start = offsets[:-1] + ORDER * np.arange(n)
     for k in range(ORDER - 1):
         keep[start + k] = False
-    return gram[keep[ORDER - 1 :]], offsets + np.arange(len(offsets))
+    return gram[keep[ORDER - 1 :]], offsets + np.arange(n + 1)
+
+
+# --- chunks of texts and their n-grams -------------------------------------------------------------------------------
+
+PACKED = "blob binary"
+SENT = "part int, chunk long, lang_key long, codes binary, counts binary"
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """chunk, blob: the rows (doc_id, lang, lang_key, rid, text), some megabytes of text in each compressed blob."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for b in batches:
+            for i, j, _, _ in blocks(b, limit=PACK_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=options) as out:
+                    out.write_batch(b.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["blob"])
+
+    return written(documents.mapInArrow(pack, PACKED).select(F.monotonically_increasing_id().alias("chunk"), "blob"), "quality-texts")
+
+
+def _languages(blob: bytes) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a blob, a language after the other."""
+    for b in pa.ipc.open_stream(blob):
+        key = b.column("lang_key").to_numpy()
+        for k in np.unique(key):
+            yield int(k), b.filter(pa.array(key == k))
+
 
+def _grams(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of the rows in the order of their hashes, and how often they have each."""
+    code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _, _, flat, offsets in blocks(rows):
+        own, times = np.unique(codes(flat, offsets)[0], return_counts=True)
+        code, back = np.unique(np.concatenate([code, own]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([n, times]), len(code)).astype(np.int64)
+    order = np.argsort(mix(code))
+    return code[order], n[order]
 
-def gram_counts(documents: DataFrame, column: str = "text") -> DataFrame:
-    """code, n: how often each 4-gram occurs in all texts. Each task sends a row per distinct 4-gram at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(A**ORDER, np.int64)
+def _edges(h: np.ndarray, bits: int) -> list[int]:
+    """Where the ranges of sorted hashes begin and the last one ends."""
+    return [*np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(h)]
+
+
+def sent_grams(packs: DataFrame, bits: int) -> DataFrame:
+    """For each chunk, hash range and language the distinct n-grams, sorted by hash, and how often the chunk has each."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, flat, offsets in blocks(b, column):
-                total += np.bincount(codes(flat, offsets)[0], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["code", "n"])
-
-    return documents.select(column).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class KneserNey:
-    """Sorted n-gram codes with discounted shares, and sorted context codes with what is left for the lower order."""
-
-    grams: list[np.ndarray]
-    shares: list[np.ndarray]
-    contexts: list[np.ndarray]
-    left: list[np.ndarray]
-
-    def table(self) -> np.ndarray:
-        """log10 of the probability of the last symbol for every 4-gram code."""
-        p = np.full(1, 1 / A)
-        for order in range(1, ORDER + 1):
-            every = np.arange(A**order)
-            lower = np.tile(p, A) if order > 1 else np.full(A, 1 / A)
-            own = _lookup(self.grams[order - 1], self.shares[order - 1], every, 0.0)
-            left = _lookup(self.contexts[order - 1], self.left[order - 1], every // A, 1.0)
-            p = own + left * lower
-        return np.log10(p).astype(np.float32)
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
-
-
-def kneser_ney(code: np.ndarray, n: np.ndarray) -> KneserNey:
-    """The model from 4-gram counts: lower orders count distinct left contexts; discounts 1, 2 and 3+ from counts of counts."""
-    order = np.argsort(code)
-    grams, counts = [code[order]], [n[order]]
-    for k in range(ORDER - 1, 0, -1):  # each longer n-gram is one left context of its suffix
-        suffix, c = np.unique(grams[0] % A**k, return_counts=True)
-        grams.insert(0, suffix)
-        counts.insert(0, c)
-    out = KneserNey(grams, [], [], [])
-    for g, c in zip(grams, counts, strict=True):
-        n1, n2, n3, n4 = ((c == k).sum() for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        d = np.array([0.0, 1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else 2 * y, 3 - 4 * y * n4 / n3 if n3 else 3 * y])
-        d = np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
-        cut = d[np.minimum(c, 3)]
-        context, at = np.unique(g // A, return_inverse=True)
-        total = np.bincount(at, c)
-        out.shares.append((c - cut) / total[at])
-        out.contexts.append(context)
-        out.left.append(np.bincount(at, cut) / total)
-    return out
-
-
-def fit(documents: DataFrame) -> KneserNey:
-    """The model of all texts; at most A**4 counts come to the driver."""
-    got = gram_counts(documents).toArrow()
-    return kneser_ney(got.column("code").to_numpy(), got.column("n").to_numpy())
-
-
-MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log10_ppl double"
+            for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob"), strict=True):
+                for key, rows in _languages(blob.as_py()):
+                    code, n = _grams(rows)
+                    edges = _edges(mix(code), bits)
+                    n = n.astype(np.uint32)
+                    yield from arrow_table(SENT, [(p, chunk, key, code[x:y].tobytes(), n[x:y].tobytes()) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]).to_batches()
+
+    return packs.mapInArrow(send, SENT)
+
+
+def gram_counts(sent: DataFrame) -> DataFrame:
+    """lang_key, code, n: how often all texts of a language have each n-gram."""
+
+    def total(key, table):
+        langs, out = table.column("lang_key").to_numpy(), []
+        for k in np.unique(langs):
+            own = table.filter(pa.array(langs == k))
+            code, back = np.unique(joined(own.column("codes"), np.uint64), return_inverse=True)
+            n = np.bincount(back, joined(own.column("counts"), np.uint32)).astype(np.int64)
+            out.append(pa.table({"lang_key": pa.array(np.full(len(code), k)), "code": pa.array(code.view(np.int64)), "n": pa.array(n)}))
+        return pa.concat_tables(out)
+
+    return sent.groupBy("part").applyInArrow(total, "lang_key long, code long, n long")
+
+
+# --- the model --------------------------------------------------------------------------------------------------------
+
+MODEL = "part int, lang_key long, hashes binary, logs binary, lower_logs binary, counts binary"
+
+
+def _discounts(grams: DataFrame) -> DataFrame:
+    """lang_key, d1, d2, d3: the discounts of counts 1, 2 and more, from counts of counts."""
+    n1, n2, n3, n4 = (F.col(f"n{k}").cast("double") for k in (1, 2, 3, 4))
+    y = F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(0.5)
+    clip = lambda x, top: F.least(F.lit(top), F.greatest(F.lit(0.05), x))
+    return (
+        grams.groupBy("lang_key").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+        .select("lang_key", clip(F.when(n1 > 0, 1 - 2 * y * n2 / n1).otherwise(y), 0.95).alias("d1"), clip(F.when(n2 > 0, 2 - 3 * y * n3 / n2).otherwise(2 * y), 1.95).alias("d2"), clip(F.when(n3 > 0, 3 - 4 * y * n4 / n3).otherwise(3 * y), 2.95).alias("d3"))
+    )
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """lang_key, code, p, lower, n: the probability of the last symbol of each n-gram after its context, what it would be had
+    the n-gram not been seen, and its count.
+
+    Lower orders count distinct left contexts. A group of one context has at most as many rows as there are symbols, 65,536.
+    """
+    orders = [counts]
+    for k in range(ORDER - 1, 0, -1):
+        orders.insert(0, orders[0].groupBy("lang_key", F.col("code").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("code")).agg(F.count("*").alias("n")))
+    below = None
+    for k, grams in enumerate(orders, 1):
+        context = Window.partitionBy("lang_key", F.shiftrightunsigned("code", 16))
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = grams.join(_discounts(grams), "lang_key").withColumn("cut", cut)
+        total = F.sum("n").over(context)
+        rows = rows.select("lang_key", "code", "n", ((F.col("n") - F.col("cut")) / total).alias("share"), (F.sum("cut").over(context) / total).alias("rest"))
+        if below is None:
+            sizes = grams.groupBy("lang_key").agg((F.count("*") + 1).alias("symbols"))
+            rows = rows.join(sizes, "lang_key").withColumn("under", 1 / F.col("symbols"))
+        else:
+            under = below.select("lang_key", F.col("code").alias("suffix"), F.col("p").alias("under"))
+            rows = rows.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))).join(under, ["lang_key", "suffix"])
+        lower = F.col("rest") * F.col("under")
+        below = rows.select("lang_key", "code", (F.col("share") + lower).alias("p"), lower.alias("lower"), "n")
+    return below
+
+
+def model(probability: DataFrame, bits: int) -> DataFrame:
+    """The model as arrays sorted by hash, one row for each hash range and language."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = mix(b.column("code").to_numpy().view(np.uint64))
+            part = (h >> np.uint64(64 - bits)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), b.column("lang_key"), pa.array(h.view(np.int64)), *(pa.array(np.log10(b.column(c).to_numpy()).astype(np.float32)) for c in ("p", "lower")), b.column("n")], names=["part", "lang_key", "h", "log", "low", "n"])
+
+    def sort(key, table):
+        langs, h, log, low, n = (table.column(c).to_numpy() for c in ("lang_key", "h", "log", "low", "n"))
+        order = np.lexsort((h.view(np.uint64), langs))
+        langs, h, log, low, n = (x[order] for x in (langs, h, log, low, n))
+        edges = [*np.flatnonzero(np.append(True, langs[1:] != langs[:-1])).tolist(), len(langs)]
+        return arrow_table(MODEL, [(key[0].as_py(), int(langs[a]), h[a:b].tobytes(), log[a:b].tobytes(), low[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)])
+
+    return probability.mapInArrow(keyed, "part int, lang_key long, h long, log float, low float, n long").groupBy("part").applyInArrow(sort, MODEL)
+
+
+ANSWERS = "chunk long, part int, lang_key long, logs binary, lower_logs binary, counts binary"
+
+
+def answers(sent: DataFrame, model: DataFrame) -> DataFrame:
+    """chunk, part, lang_key, logs, lower_logs, counts: what is known of the n-grams that a chunk sent, in their order."""
+
+    def find(key, left, right):
+        names = ("lang_key", "hashes", "logs", "lower_logs", "counts")
+        known = {k: [np.frombuffer(x, t) for x, t in zip(own, (np.uint64, np.float32, np.float32, np.int64), strict=True)] for k, *own in zip(*(right.column(c).to_pylist() for c in names), strict=True)}
+        rows = []
+        for chunk, k, wanted in zip(*(left.column(c).to_pylist() for c in ("chunk", "lang_key", "codes")), strict=True):
+            h, log, low, n = known[k]
+            at = np.searchsorted(h, mix(np.frombuffer(wanted, np.uint64)))
+            rows.append((chunk, key[0].as_py(), k, log[at].tobytes(), low[at].tobytes(), np.minimum(n[at], 0xFFFFFFFF).astype(np.uint32).tobytes()))
+        return arrow_table(ANSWERS, rows)
+
+    return sent.select("part", "chunk", "lang_key", "codes").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(find, ANSWERS)
+
+
+def log_sums(gram: np.ndarray, bound: np.ndarray, code: np.ndarray, log: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The log10 probability of each document of a block; ``code`` and what belongs to it are sorted by code."""
+    at = np.searchsorted(code, gram)
+    value = log[at].astype(np.float64)
+    # only n-grams that the block has as often as all texts can belong to one document alone
+    alone = np.flatnonzero((np.bincount(at, minlength=len(code)) >= n)[at])
+    document = np.repeat(np.arange(len(bound) - 1), np.diff(bound))[alone]
+    _, back, times = np.unique(document * len(code) + at[alone], return_inverse=True, return_counts=True)
+    own = alone[times[back] >= n[at[alone]]]
+    value[own] = low[at[own]]
+    return np.add.reduceat(value, bound[:-1])
+
+
+# --- the measures -----------------------------------------------------------------------------------------------------
+
+MEASURES = "doc_id long, lang string, rid long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log10_ppl double"
 
 
 def _line_repeats(flat: np.ndarray, offsets: np.ndarray, word_start: np.ndarray) -> np.ndarray:
@@ -192,33 +295,50 @@ def _lettered(flat: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.nd
     return total[first[1:]] - total[first[:-1]]
 
 
-def measure(documents: DataFrame, model: KneserNey) -> DataFrame:
-    """doc_id, lang, the counts of the contract and log10 perplexity per word with a letter or digit, one row per document, in a narrow stage."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.table()
-        for b in batches:
-            for i, j, flat, offsets in blocks(b):
-                start, end, first = words(flat, offsets)
-                gram, bound = codes(flat, offsets)
-                logs = np.concatenate([[0.0], np.cumsum(table[gram], dtype=np.float64)])
-                size = np.maximum(_lettered(flat, start, end, first), 1)
-                columns = [
-                    b.column("doc_id")[i:j], b.column("lang")[i:j],
-                    *map(pa.array, (
-                        np.diff(first).astype(np.int64),
-                        sums_by_document(((flat & 0xC0) != 0x80) & ~SPACE[flat], offsets),
-                        sums_by_document(SYMBOLS[flat], offsets),
-                        _line_repeats(flat, offsets, start).astype(np.int64),
-                        _repeat_words(span_hashes(flat, start, end), first).astype(np.int64),
-                        -(logs[bound[1:]] - logs[bound[:-1]]) / size,
-                    )),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+def measure(documents: DataFrame) -> DataFrame:
+    """doc_id, lang, rid, the counts of the contract and log10 perplexity per word with a letter or digit, one row per document.
 
+    ``rid`` is a hash of doc_id, language and text, by which a row's verdict finds it again.
+    """
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    rows = documents.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.xxhash64(lang).alias("lang_key"), F.xxhash64(F.col("doc_id").cast("long"), lang, text).alias("rid"), text.alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = int(np.ceil(np.log2(max(LEAST_RANGES, total / RANGE_BYTES))))
+    packs = packed(rows)
+    sent = written(sent_grams(packs, bits), "quality-grams")
+    arrays = written(model(probabilities(written(gram_counts(sent), "quality-counts")), bits), "quality-model")
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    return documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, MEASURES)
+
+    def run(key, left, right):
+        right = right.sort_by("part")
+        langs = right.column("lang_key").to_numpy()
+        out = []
+        for blob in left.column("blob"):
+            for k, b in _languages(blob.as_py()):
+                code, _ = _grams(b)
+                own = right.filter(pa.array(langs == k))
+                known = [joined(own.column(c), t) for c, t in (("logs", np.float32), ("lower_logs", np.float32), ("counts", np.uint32))]
+                by_code = np.argsort(code)
+                code, known = code[by_code], [x[by_code] for x in known]
+                for i, j, flat, offsets in blocks(b):
+                    start, end, first = words(flat, offsets)
+                    gram, bound = codes(flat, offsets)
+                    total = log_sums(gram, bound, code, *known)
+                    columns = [
+                        b.column("doc_id")[i:j], b.column("lang")[i:j], b.column("rid")[i:j],
+                        *map(pa.array, (
+                            np.diff(first).astype(np.int64),
+                            sums_by_document(((flat & 0xC0) != 0x80) & ~SPACE[flat], offsets),
+                            sums_by_document(SYMBOLS[flat], offsets),
+                            _line_repeats(flat, offsets, start).astype(np.int64),
+                            _repeat_words(span_hashes(flat, start, end), first).astype(np.int64),
+                            -total / np.maximum(_lettered(flat, start, end, first), 1),
+                        )),
+                    ]
+                    out.append(pa.RecordBatch.from_arrays(columns, names=names))
+        return pa.Table.from_batches(out)
+
+    return packs.groupBy("chunk").cogroup(answers(sent, arrays).groupBy("chunk")).applyInArrow(run, MEASURES)
 
 
 def bands(measures: DataFrame, reach: float = REACH, least: float = LEAST) -> DataFrame:
@@ -226,11 +346,11 @@ def bands(measures: DataFrame, reach: float = REACH, least: float = LEAST) -> Da
 
     Equal perplexities count once, so that a large group of copies does not set the quartiles.
     """
-    q = F.percentile_approx("log10_ppl", [0.25, 0.75], 10_000)
+    q = F.percentile_approx("log10_ppl", [0.25, 0.5, 0.75], 10_000)
     each = measures.where(F.col("n_words") >= MIN_WORDS).select("lang", "log10_ppl").distinct()
     rows = each.groupBy(F.col("lang").alias("band_lang")).agg(q.alias("q"))
-    wide = F.greatest((F.col("q")[1] - F.col("q")[0]) * reach, F.lit(least))
-    return rows.select("band_lang", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
+    wide = F.greatest(F.least(F.col("q")[1] - F.col("q")[0], F.col("q")[2] - F.col("q")[1]) * reach, F.lit(least))
+    return rows.select("band_lang", (F.col("q")[1] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
 
 
 def judge(documents: DataFrame, reach: float = REACH, least: float = LEAST) -> DataFrame:
@@ -238,10 +358,10 @@ def judge(documents: DataFrame, reach: float = REACH, least: float = LEAST) -> D
 
     A document fails the base rules with fewer than 50 words or with more than half its words in repeated three-word
     windows; the others are kept if their perplexity lies in the band of their language. Null texts count as empty; a null
-    language has a band of its own. Rows stay one for one, repeated rows included; other columns are not read.
+    language has a model and a band of its own. Rows stay one for one, repeated rows included; an empty table gives an empty
+    result; other columns are not read.
     """
-    small_batches(documents.sparkSession)
-    rows = written(measure(documents, fit(documents)), "quality")
+    rows = written(measure(documents), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     joined = rows.join(bands(rows, reach, least), F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
     inside = F.coalesce(F.col("log10_ppl").between(F.col("low"), F.col("high")), F.lit(False))
@@ -251,7 +371,9 @@ def judge(documents: DataFrame, reach: float = REACH, least: float = LEAST) -> D
 def quality_filter(documents: DataFrame) -> DataFrame:
     """``documents`` without the rows whose counts or perplexity fail; all columns of the input stay as they are.
 
-    Rows are matched by doc_id, so repeated ids share the verdict that all of them pass.
+    Each row gets the verdict of its own language and text, whatever other rows have its doc_id.
     """
-    good = judge(documents).groupBy("doc_id").agg(F.min(F.col("kept").cast("int")).alias("_kept")).where("_kept = 1")
-    return documents.join(good.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    key, doc = fresh(documents, "key"), fresh(documents, "doc")
+    good = judge(documents).where("kept").select(F.col("doc_id").alias(doc), F.col("rid").alias(key)).distinct()
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    return documents.join(good, (own == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_semi")

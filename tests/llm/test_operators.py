@@ -77,27 +77,63 @@ def test_quality_counts(spark, odd):
     assert got == want
 
 
-def test_perplexity_model_sums_to_one_and_counts(spark):
-    texts = ["abab abba", "baba, abab.", None, "ab"]
-    frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = {r.code: r.n for r in quality.gram_counts(frame).collect()}
-    want = Counter()
+def brute_kneser_ney(texts):
+    """For each 4-gram of symbols its probability by the definition, the same had it not been seen, and its count, over the
+    texts of one language."""
+    fold = lambda c: "\x00" if c is None else " " if c in " \t\n\r\x0b\x0c" else "0" if c in "0123456789" else c.lower() if "A" <= c <= "Z" else c
+    grams = Counter()
     for t in texts:
-        s = [quality.EDGE] * 3 + [int(quality.CLASSES[b]) for b in (t or "").encode()] + [quality.EDGE]
-        for k in range(3, len(s)):
-            want[((s[k - 3] * quality.A + s[k - 2]) * quality.A + s[k - 1]) * quality.A + s[k]] += 1
-    assert counts == want
-    table = quality.fit(frame).table()
-    assert np.allclose((10.0 ** table.astype(float)).reshape(-1, quality.A).sum(1), 1, atol=1e-4)
-
-
-def test_planted_gibberish_leaves_the_band(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
-    junk = " ".join("zxqj" + chr(97 + k % 26) * 3 + str(k * 7919) for k in range(120))
-    got = {r.doc_id: r for r in quality.judge(docs.unionByName(spark.createDataFrame([(-1, "en", junk)], "doc_id long, lang string, text string"))).collect()}
-    assert not got[-1].base_failed and not got[-1].kept
-    fine = [r for r in got.values() if not r.base_failed and r.doc_id >= 0]
-    assert sum(r.kept for r in fine) >= 0.98 * len(fine)
+        s = [None] * 3 + list(t or "") + [None]
+        grams.update(tuple(map(fold, s[k - 3 : k + 1])) for k in range(3, len(s)))
+    orders = [grams]
+    for _ in range(3):
+        orders.insert(0, Counter(g[1:] for g in orders[0]))
+    p = None
+    for c in orders:
+        n = [0, *(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        d = [1 - 2 * y * n[2] / n[1] if n[1] else y, 2 - 3 * y * n[3] / n[2] if n[2] else 2 * y, 3 - 4 * y * n[4] / n[3] if n[3] else 3 * y]
+        d = [min(max(x, 0.05), top) for x, top in zip(d, (0.95, 1.95, 2.95), strict=True)]
+        total, rest = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            rest[g[:-1]] += d[min(v, 3) - 1]
+        lower = (lambda g, c=c: 1 / (len(c) + 1)) if p is None else (lambda g, p=p: p[g[1:]])
+        low = {g: rest[g[:-1]] * lower(g) / total[g[:-1]] for g in c}
+        p = {g: (v - d[min(v, 3) - 1]) / total[g[:-1]] + low[g] for g, v in c.items()}
+    return p, low, grams
+
+
+def test_perplexities_follow_the_definition(spark):
+    texts = [("en", "abab abba, ABBA 12"), ("en", "baba, abab.\n"), ("en", None), (None, "ab"), ("zh", "\u65e5\u672c\u8a9e \u65e5\u672c \U0001f600"), ("zh", "\u672c\u65e5"), ("en", "")]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(texts)], "doc_id long, lang string, text string").repartition(3)
+    got = {r.doc_id: r.log10_ppl for r in quality.judge(frame).collect()}
+    fold = lambda t: "".join(" " if c in " \t\n" else "0" if c in "0123456789" else c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    for lang in ("en", None, "zh"):
+        p, low, count = brute_kneser_ney([t for x, t in texts if x == lang])
+        for k, (x, t) in enumerate(texts):
+            if x == lang:
+                s = ["\x00"] * 3 + list(fold(t)) + ["\x00"]
+                lettered = sum(any(c.isdigit() or c.isalpha() or ord(c) > 127 for c in w) for w in words(t))
+                own = Counter(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))
+                want = -sum(v * math.log10(low[g] if v == count[g] else p[g]) for g, v in own.items()) / max(lettered, 1)
+                assert got[k] == pytest.approx(want, rel=1e-5), (k, t)
+
+
+def test_planted_junk_leaves_the_band_in_every_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rng, planted = np.random.default_rng(8), []
+    for k, lang in enumerate(("en", "de", "fr", "es")):
+        planted += [
+            (-10 * k - 1, lang, " ".join("zxqj" + chr(97 + i % 26) * 3 + str(i * 7919) for i in range(120))),
+            (-10 * k - 2, lang, " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(150))),
+            (-10 * k - 3, lang, " ".join(f"{chr(97 + i % 26)}{chr(97 + i * 7 % 26)} ~~^^{i}=={i * 31}" for i in range(90))),
+        ]
+    rows = [r for r in quality.judge(docs.unionByName(spark.createDataFrame(planted, "doc_id long, lang string, text string"))).collect() if not r.base_failed]
+    assert len([r for r in rows if r.doc_id < 0]) == 12 and not any(r.kept for r in rows if r.doc_id < 0)
+    good, laden = [r for r in rows if labels.get(r.doc_id) == 1], [r for r in rows if r.doc_id >= 0 and 100 * r.n_symbols > 2 * r.word_chars]
+    assert sum(r.kept for r in good) >= 0.98 * len(good) and not any(r.kept for r in laden)
 
 
 def test_symbol_laden_junk_leaves_the_band_and_prose_stays(spark):
@@ -170,6 +206,29 @@ def test_languages_of_held_out_documents(spark):
     assert {r.doc_id: r.lang_pred for r in langid.identify(odd).collect()} == {1: "und", 2: "und", 3: "en"}
 
 
+def test_a_prediction_depends_on_its_text_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    texts = ["I", "ab", "\u00e9", "Das ist ein Haus", "the house of 12", "", "12 3", None, "x" * 3000]
+
+    def predicted(own):
+        rows = spark.createDataFrame([(k, False, t) for k, t in own], "doc_id long, held_out boolean, text string").coalesce(1)
+        return {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(rows, model).collect()}
+
+    together = predicted(list(enumerate(texts)))
+    for k, t in enumerate(texts):
+        assert predicted([(k, t)])[k] == together[k]
+        assert (together[k][0] == "und") == (not re.search("[a-zA-Z\u00e9]", t or ""))
+    fold = lambda t: bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in t.encode())
+    for k, t in ((0, "I"), (3, texts[3]), (4, texts[4])):  # the softmax by its definition
+        x = b" " + fold(t) + b" "
+        keys = [a * 257 + b for a, b in zip(x, x[1:], strict=False)] + [(a * 257 + b) * 257 + c + (1 << 30) for a, b, c in zip(x, x[1:], x[2:], strict=False)]
+        rows = [model.table[(q * 0x9E3779B97F4A7C15 % 2**64) >> 51].astype(float) for q in keys]
+        z = (sum(rows) / len(rows) + model.bias) / model.temperature
+        share = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert together[k][1] == pytest.approx(share.max(), rel=1e-4) and together[k][0] == model.languages[int(share.argmax())]
+
+
 def test_scores_follow_their_definition(spark, odd):
     got = sorted(lm.score_texts(odd).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
@@ -187,11 +246,21 @@ def test_scores_follow_their_definition(spark, odd):
         assert g.base_score == pytest.approx(base) and g.score < 0
 
 
-def test_model_is_normalised_and_beats_the_base(spark):
+def test_model_is_normalised(spark):
     model = lm.LogBilinear(lm.LogBilinear.start(np.ones(lm.CLASSES)))
-    assert np.allclose((10.0 ** model.table()[:50].astype(float)).sum(1), 1, atol=1e-4)
-    rows = lm.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    sums = np.stack([model.normaliser(k) for k in range(3)])
+    every = np.arange(lm.CLASSES - 1)
+    for two, one in ((0, 0), (2, 9)):
+        logs = model.log10(np.full(len(every), two), np.full(len(every), one), every, sums)
+        assert (10.0**logs).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_are_the_same_for_any_partitioning_and_beat_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    runs = [sorted(map(tuple, lm.score_texts(docs.repartition(n)).collect())) for n in (1, 8, 64)]
+    assert runs[0] == runs[1] == runs[2]
+    held = [r for r in runs[0] if r[1]]
+    assert sum(r[6] - r[5] for r in held) >= 0.17 * sum(r[2] for r in held)
 
 
 def test_shards(spark, odd):
@@ -216,12 +285,22 @@ def test_shards(spark, odd):
 def test_decontamination_offsets(spark):
     docs = spark.createDataFrame([(1, "Intro! The QUICK, brown fox -- jumps é over a lazy dog today again."), (2, "nothing here"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(10, "the quick brown fox jumps é over a lazy dog today"), (2, "lazy dog"), (3, "zebra")], "item_id long, text string")
-    for block in (50_000, 1):
-        got = {r.doc_id: r for r in decontaminate.mark(docs, bench, block=block).collect()}
-        text = "Intro! The QUICK, brown fox -- jumps é over a lazy dog today again.".encode()
-        assert [text[s.start : s.end].decode() for s in got[1].hit_spans] == ["The QUICK, brown fox -- jumps é over a lazy dog today"]
-        assert (got[1].n_hit, got[1].n_items, got[1].items_sha256) == (11, 2, hashlib.sha256(b"10,2").hexdigest())
-        assert not got[2].contaminated and got[3].n_words == 0
+    got = {r.doc_id: r for r in decontaminate.mark(docs, bench).collect()}
+    text = "Intro! The QUICK, brown fox -- jumps é over a lazy dog today again.".encode()
+    assert [text[s.start : s.end].decode() for s in got[1].hit_spans] == ["The QUICK, brown fox -- jumps é over a lazy dog today"]
+    assert (got[1].n_hit, got[1].n_items, got[1].items_sha256) == (11, 2, hashlib.sha256(b"10,2").hexdigest())
+    assert not got[2].contaminated and got[3].n_words == 0
+    none = decontaminate.mark(docs, bench.limit(0)).collect()
+    assert len(none) == 3 and not any(r.contaminated for r in none)
+
+
+def test_one_scan_whatever_the_number_of_windows(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('w', id, ' x', id, ' said') AS text")
+    bench = spark.range(3000).selectExpr("id AS item_id", "concat('w', id, ' x', id) AS text")
+    marked = decontaminate.mark(docs, bench)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in marked.collect()} == {k: (2, 1) for k in range(40)}
 
 
 def test_archives_round_trip(spark, tmp_path):
@@ -247,6 +326,22 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0), f"file://{tmp_path}/e", 2).count() == 0
 
 
+def test_shards_of_archives_share_the_bytes_whatever_the_settings(spark, tmp_path):
+    rows = [(k, "u", f"{k} " * 5) for k in range(4000)] + [(10**15, "u", "far")] + [(17, "u", f"same page {k}") for k in range(3000)] + [(None, "u", f"no page {k}") for k in range(3000)]
+    pages, before, seen = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (3, 11):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            manifest = warc.write_archives(pages.repartition(parts), f"file://{tmp_path}/{parts}").collect()
+            seen.append(sorted((r.shard, r.file, r.records, r.sha256) for r in manifest))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len(seen[0]) == warc.SHARDS
+    assert max(r[2] for r in seen[0]) < 1.5 * len(rows) / warc.SHARDS
+    ids = warc.read_archives(spark.createDataFrame(manifest)).groupBy("page_id").count().where("page_id = 17 or page_id is null").collect()
+    assert {r.page_id: r["count"] for r in ids} == {17: 3001, None: 3000}
+
+
 def test_pipeline_agrees_with_its_operators(spark):
     import corpus_pipeline
 
