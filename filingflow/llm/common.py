@@ -26,7 +26,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -115,16 +114,21 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     return out
 
 
-_POWERS: dict[str, np.ndarray] = {}
+#: Another base, for digests of 128 bits.
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-def _kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
+
+def _kept_powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of a base and of its inverse; kept unless they are for one very long document."""
+    kept = _POWERS.get(int(base))
+    if kept is None or len(kept[0]) < n:
         size = max(n, BLOCK_BYTES + 200_000)
-        _POWERS["up"], _POWERS["down"] = powers(size), powers(size, INVERSE)
-        if size > 4 * BLOCK_BYTES:  # one very long document: do not keep tables of its size
-            return _POWERS.pop("up"), _POWERS.pop("down")
-    return _POWERS["up"], _POWERS["down"]
+        kept = powers(size, base), powers(size, np.uint64(pow(int(base), -1, 1 << 64)))
+        if size <= 4 * BLOCK_BYTES:
+            _POWERS[int(base)] = kept
+    return kept
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,9 +139,9 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end): equal bytes give equal hashes, wherever they stand."""
-    up, down = _kept_powers(len(flat) + 1)
+    up, down = _kept_powers(len(flat) + 1, base)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(flat) + 1, np.uint64)
         np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
@@ -147,7 +151,7 @@ def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def span_sums(flat: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of every ``size`` consecutive bytes."""
-    up, down = _kept_powers(len(flat) + 1)
+    up, down = _kept_powers(len(flat) + 1, BASE)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(flat) + 1, np.uint64)
         np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])

@@ -2,9 +2,9 @@
 
 Suffixes are classified as smaller (S) or larger (L) than their right neighbour. The leftmost-smaller (LMS) substrings are
 sorted and named; where names repeat, the string of names is sorted by the same function. All other suffixes are then
-induced from the sorted LMS suffixes in two linear scans. Over a small alphabet a scan takes a whole bucket at a time: what a
-bucket induces into itself comes as further waves of the same bucket. Over the large alphabet of names the substrings are
-sorted symbol by symbol and a scan takes one suffix at a time.
+induced from the sorted LMS suffixes in two linear scans; the LMS substrings are sorted by the same scans. Over a small
+alphabet a scan takes a whole bucket at a time: what a bucket induces into itself comes as further waves of the same bucket.
+Over the large alphabet of names a scan takes one suffix at a time.
 """
 
 from __future__ import annotations
@@ -122,30 +122,6 @@ def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return name[lms]
 
 
-def _sorted_substrings(s: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The name of each LMS substring, in text order, by sorting them symbol by symbol; only groups that still agree go on.
-
-    Where one substring ends and another goes on with the same symbol, that one is of type L there, so it comes first.
-    """
-    length = np.append(lms[1:], lms[-1]) - lms + 1
-    rank = np.zeros(len(lms), np.int64)
-    live, k = np.arange(len(lms)), 0
-    while len(live):
-        group, symbol = rank[live], 2 * s[lms[live] + k] + (length[live] == k + 1)
-        order = np.lexsort((symbol, group))
-        live, group, symbol = live[order], group[order], symbol[order]
-        new_group = np.append(True, group[1:] != group[:-1])
-        new = new_group | np.append(True, symbol[1:] != symbol[:-1])
-        at = np.arange(len(live))
-        inside = at - np.maximum.accumulate(np.where(new_group, at, 0))
-        first = np.maximum.accumulate(np.where(new, at, 0))
-        rank[live] = group + inside[first]
-        size = np.diff(np.append(np.flatnonzero(new), len(live)))[np.cumsum(new) - 1]
-        k += 1
-        live = live[(size > 1) & (length[live] > k)]
-    return np.unique(rank, return_inverse=True)[1]
-
-
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """The starts of the suffixes of ``s`` in sorted order. Symbols are below ``k``; the last is a 0 that occurs once."""
     s = np.asarray(s)
@@ -157,14 +133,11 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     if k <= SMALL:
         s = s.astype(np.uint16)  # such symbols are sorted by radix
     if len(lms) > 1:
-        if k <= SMALL:
-            by_symbol = lms[np.argsort(s[lms], kind="stable")]
-            marked = np.zeros(len(s), bool)
-            marked[lms] = True
-            ordered = induce(s, smaller, by_symbol, k)
-            name = _names(s, lms, ordered[marked[ordered]])
-        else:
-            name = _sorted_substrings(s, lms)
+        by_symbol = lms[np.argsort(s[lms], kind="stable")]
+        marked = np.zeros(len(s), bool)
+        marked[lms] = True
+        ordered = induce(s, smaller, by_symbol, k)
+        name = _names(s, lms, ordered[marked[ordered]])
         top = int(name.max()) + 1
         lms = lms[suffix_array(name, top) if top < len(lms) else np.argsort(name)]
     return induce(s, smaller, lms, k)

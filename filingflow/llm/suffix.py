@@ -1,8 +1,9 @@
 """Exact removal of long repeated byte strings, with a suffix array per shard.
 
 A string of ``LENGTH`` bytes is known by its key: the smallest hash among the ``GRAM``-byte strings inside it. Consecutive
-strings with the same key make a segment of a document, so a document is cut into segments that overlap by LENGTH - 1 bytes,
-and equal strings have equal keys wherever they stand. That deals the work out exactly:
+strings with the same key make a segment of a document (a new one after ``STRINGS`` of them), so a document is cut into segments
+that overlap by LENGTH - 1 bytes, and equal strings have equal keys wherever they stand. Segments are known by digests of 128
+bits. That deals the work out exactly:
 
 1. Documents are dealt over chunks. A chunk sends, for each range of keys, the distinct segments it holds (key, digest, how
    often) to the task that owns the range, and gets back what is known of each over all chunks: it stands alone, all of it is
@@ -10,8 +11,8 @@ and equal strings have equal keys wherever they stand. That deals the work out e
 2. Distinct segments that share a key go once to the shard of that key. A shard's suffix array is made by induced sorting,
    and the permuted common prefixes give the strings that start twice.
 3. A key with more than ``MOST`` different segments (a passage that a third of all documents share has that at its edges)
-   would make one shard grow with the corpus. Its strings are hashed one by one, reduced within each chunk, and met over
-   ranges of hashes: the exact way for what is left of hot keys.
+   would make one shard grow with the corpus. Its strings are hashed one by one to 128 bits, reduced within each chunk, and
+   met over ranges of hashes: the exact way for what is left of hot keys.
 4. The removed spans of a document meet its text again, which is cut and hashed.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_table, blocks, joined, mix, ranges, span_hashes, span_sums, written
+from .common import BLOCK_BYTES, SECOND, arrow_table, blocks, joined, mix, ranges, span_hashes, span_sums, written
 from .induced import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 48
@@ -31,8 +32,8 @@ LENGTH, GRAM = 200, 48
 CHUNK_BYTES, SHARD_BYTES = 4_000_000, 1_500_000
 #: Chunks at least, so that a small table is dealt over all tasks too.
 CHUNKS = 48
-#: Different segments of one key that a shard takes.
-MOST = 1000
+#: Different segments of one key that a shard takes, and strings of one segment: together they bound the bytes of a key.
+MOST, STRINGS = 1000, 4096
 #: What is known of a segment, as bits: all of it is repeated; the shard of its key needs it; so do the hot keys' hashes.
 REPEATED, SHARED, HOT = 1, 2, 4
 
@@ -47,14 +48,26 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def segments(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(document, start, end, key, digest, twice): runs of strings with one key, none across documents.
+def sliced_blocks(batch: pa.RecordBatch, length: int = LENGTH):
+    """(first row, bytes in front, bytes, offsets) of blocks of rows; a very long document comes in slices that overlap, so
+    that each of its strings lies in one of them."""
+    for i, _, flat, offsets in blocks(batch):
+        if len(offsets) == 2 and len(flat) > 2 * BLOCK_BYTES:
+            for at in range(0, len(flat) - length + 1, BLOCK_BYTES):
+                own = flat[at : at + BLOCK_BYTES + length - 1]
+                yield i, at, own, np.array([0, len(own)])
+        else:
+            yield i, 0, flat, offsets
+
+
+def segments(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, most: int = STRINGS):
+    """(document, start, end, key, digest, check, twice): runs of strings with one key, none across documents.
 
     ``twice`` tells that the key's gram stands twice in the segment; only then can a string start twice within it.
     """
     if len(flat) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        return none, none, none, *(none.astype(np.uint64) for _ in range(3)), none.astype(bool)
     h = span_sums(flat, gram)
     width = length - gram + 1
     least = _smallest(h, width)
@@ -69,6 +82,11 @@ def segments(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     document = np.searchsorted(offsets, start, "right") - 1
     inside = start + length <= offsets[document + 1]
     start, last, document = start[inside], last[inside], document[inside]
+    if len(start) and (last - start).max() > most:
+        parts = -(-(last - start) // most)
+        part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, last, document = np.repeat(start, parts) + part * most, np.repeat(last, parts), np.repeat(document, parts)
+        last = np.minimum(last, start + most)
     end, key = last + length - 1, least[start]
     # grams that are the smallest of some string; the next one of the same value shows a key that stands twice
     outside = np.zeros(width - 1, np.uint64)
@@ -80,28 +98,39 @@ def segments(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     twice = np.append(code, np.iinfo(np.int64).max)[np.minimum(at, len(code))] <= own + end - gram
     with np.errstate(over="ignore"):
         digest = mix(span_hashes(flat, start, end) + key)
-    return document, start, end, key, digest, twice
+    return document, start, end, key, digest, span_hashes(flat, start, end, SECOND), twice
+
+
+def _distinct(digests: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one row of each different pair, pair of each row)."""
+    order = np.lexsort((checks, digests))
+    d, c = digests[order], checks[order]
+    first = np.append(True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])) if len(order) else np.zeros(0, bool)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(first) - 1
+    return order[first], back
 
 
 # --- what is known of a segment over all chunks ---------------------------------------------------------------------
 
-SENT = "part int, chunk int, keys binary, digests binary, counts binary"
-KNOWN = "chunk int, digests binary, codes binary"
+SENT = "part int, chunk int, keys binary, digests binary, checks binary, counts binary"
+KNOWN = "chunk int, digests binary, checks binary, codes binary"
 
 
 def _sent(documents: DataFrame, parts: int) -> DataFrame:
     def gather(key, table):
-        keys, digests, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, digests, checks, counts = *(np.zeros(0, np.uint64) for _ in range(3)), np.zeros(0, np.int64)
         for b in table.combine_chunks().to_batches():
-            for _, _, flat, offsets in blocks(b):
-                _, _, _, k, d, _ = segments(flat, offsets)
-                digests, at, back = np.unique(np.concatenate([digests, d]), return_index=True, return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, np.ones(len(d), np.int64)]), len(digests)).astype(np.int64)
-                keys = np.concatenate([keys, k])[at]
+            for _, _, flat, offsets in sliced_blocks(b):
+                _, _, _, k, d, c, _ = segments(flat, offsets)
+                keys, digests, checks = np.concatenate([keys, k]), np.concatenate([digests, d]), np.concatenate([checks, c])
+                at, back = _distinct(digests, checks)
+                counts = np.bincount(back, np.concatenate([counts, np.ones(len(d), np.int64)]), len(at)).astype(np.int64)
+                keys, digests, checks = keys[at], digests[at], checks[at]
         order = np.argsort(keys, kind="stable")
-        keys, digests, counts = keys[order], digests[order], np.minimum(counts[order], 2).astype(np.int8)
+        keys, digests, checks, counts = keys[order], digests[order], checks[order], np.minimum(counts[order], 2).astype(np.int8)
         edges = ranges(keys, parts)
-        return arrow_table(SENT, [(p, key[0].as_py(), keys[a:b].tobytes(), digests[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
+        return arrow_table(SENT, [(p, key[0].as_py(), *(x[a:b].tobytes() for x in (keys, digests, checks, counts))) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
 
     return documents.groupBy("chunk").applyInArrow(gather, SENT)
 
@@ -110,11 +139,11 @@ def _known(sent: DataFrame, most: int) -> DataFrame:
     def answer(key, table):
         chunks = table.column("chunk").to_numpy()
         sizes = np.array([len(x) // 8 for x in table.column("keys").to_pylist()])
-        keys, digests, counts = joined(table.column("keys"), np.uint64), joined(table.column("digests"), np.uint64), joined(table.column("counts"), np.int8)
+        keys, digests, checks, counts = (joined(table.column(c), t) for c, t in (("keys", np.uint64), ("digests", np.uint64), ("checks", np.uint64), ("counts", np.int8)))
         owner = np.repeat(chunks, sizes)
-        order = np.lexsort((owner, digests, keys))
-        keys, digests, counts, owner = keys[order], digests[order], counts[order], owner[order]
-        first = np.append(True, (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])) if len(keys) else np.zeros(0, bool)
+        order = np.lexsort((owner, checks, digests, keys))
+        keys, digests, checks, counts, owner = (x[order] for x in (keys, digests, checks, counts, owner))
+        first = np.append(True, (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1]) | (checks[1:] != checks[:-1])) if len(keys) else np.zeros(0, bool)
         group = np.cumsum(first) - 1
         repeated = np.bincount(group, counts) > 1
         new_key = np.append(True, keys[1:] != keys[:-1]) if len(keys) else first
@@ -124,7 +153,7 @@ def _known(sent: DataFrame, most: int) -> DataFrame:
         told = np.flatnonzero(code)
         told = told[np.argsort(owner[told], kind="stable")]
         edges = np.flatnonzero(np.append(True, owner[told][1:] != owner[told][:-1])).tolist() + [len(told)] if len(told) else []
-        return arrow_table(KNOWN, [(int(owner[told[a]]), digests[told[a:b]].tobytes(), code[told[a:b]].astype(np.int8).tobytes()) for a, b in zip(edges, edges[1:], strict=False)])
+        return arrow_table(KNOWN, [(int(owner[told[a]]), digests[told[a:b]].tobytes(), checks[told[a:b]].tobytes(), code[told[a:b]].astype(np.int8).tobytes()) for a, b in zip(edges, edges[1:], strict=False)])
 
     return sent.groupBy("part").applyInArrow(answer, KNOWN)
 
@@ -132,7 +161,7 @@ def _known(sent: DataFrame, most: int) -> DataFrame:
 # --- what follows for each chunk -------------------------------------------------------------------------------------
 
 #: kind 0: removed spans of the chunk's documents (rid, start, end); 1: a segment for the shard of its key;
-#: 2: strings of hot keys for a range of hashes (hash, rid, start; rid 0 and start -1 if the chunk has it twice).
+#: 2: strings of hot keys for a range of hashes (two hashes, rid, start; rid 0 and start -1 if the chunk has it twice).
 FOUND = "kind int, chunk int, key long, rid long, start long, whole int, data binary"
 
 
@@ -149,49 +178,49 @@ def _spans_of(rid: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
 def _found(documents: DataFrame, known: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
     def follow(key, left, right):
         chunk = key[0].as_py()
-        told, codes = joined(right.column("digests"), np.uint64), joined(right.column("codes"), np.int8)
+        told, proof, codes = joined(right.column("digests"), np.uint64), joined(right.column("checks"), np.uint64), joined(right.column("codes"), np.int8)
         order = np.argsort(told)
-        told, codes = told[order], codes[order]
+        told, proof, codes = told[order], proof[order], codes[order]
         spans, rows, hot, sent = [], [], [], set()
         for b in left.combine_chunks().to_batches():
             rids = b.column("rid").to_numpy()
-            for i, _, flat, offsets in blocks(b):
-                document, start, end, keys, digest, twice = segments(flat, offsets)
+            for i, front, flat, offsets in sliced_blocks(b):
+                document, start, end, keys, digest, check, twice = segments(flat, offsets)
                 if not len(document):
                     continue
                 code = np.zeros(len(document), np.int8)
                 if len(told):
                     at = np.minimum(np.searchsorted(told, digest), len(told) - 1)
-                    code = np.where(told[at] == digest, codes[at], 0)
+                    code = np.where((told[at] == digest) & (proof[at] == check), codes[at], 0)
                 code = np.where((code == 0) & twice, SHARED, code)
-                rid, own = rids[i + document], start - offsets[document]
+                rid, own = rids[i + document], start - offsets[document] + front
                 whole = np.flatnonzero(code & REPEATED)
                 spans.append(np.stack([rid[whole], own[whole], own[whole] + end[whole] - start[whole]], 1))
                 for r in np.flatnonzero(code & SHARED):
-                    if digest[r] not in sent:
+                    if (digest[r], check[r]) not in sent:
                         if code[r] & REPEATED:
-                            sent.add(digest[r])
+                            sent.add((digest[r], check[r]))
                         rows.append((1, chunk, int(keys[r].view(np.int64)), int(rid[r]), int(own[r]), int(code[r] & REPEATED), flat[start[r] : end[r]].tobytes()))
-                picked = [r for r in np.flatnonzero(code & HOT) if not (code[r] & REPEATED and digest[r] in sent)]
-                sent.update(digest[r] for r in picked if code[r] & REPEATED)
+                picked = [r for r in np.flatnonzero(code & HOT) if not (code[r] & REPEATED and (digest[r], check[r]) in sent)]
+                sent.update((digest[r], check[r]) for r in picked if code[r] & REPEATED)
                 if picked:
                     size = end[picked] - start[picked] - length + 1
                     row = np.repeat(np.array(picked), size)
                     at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                     with np.errstate(over="ignore"):
                         h = mix(span_hashes(flat, at, at + length) + keys[row])
-                    hot.append((h, rid[row], at - offsets[document[row]]))
+                    hot.append((h, span_hashes(flat, at, at + length, SECOND), rid[row], at - offsets[document[row]] + front))
         if hot:
-            h, rid, start = (np.concatenate([x[k] for x in hot]) for k in range(3))
-            order = np.argsort(h, kind="stable")
-            h, rid, start = h[order], rid[order], start[order]
-            first = np.append(True, h[1:] != h[:-1])
+            h, second, rid, start = (np.concatenate([x[k] for x in hot]) for k in range(4))
+            order = np.lexsort((second, h))
+            h, second, rid, start = (x[order] for x in (h, second, rid, start))
+            first = np.append(True, (h[1:] != h[:-1]) | (second[1:] != second[:-1]))
             n = np.diff(np.append(np.flatnonzero(first), len(h)))
             here = np.repeat(n > 1, n)
             spans.append(_spans_of(rid[here], start[here], length))
-            h, rid, start = h[first], np.where(n > 1, 0, rid[first]), np.where(n > 1, -1, start[first])
+            h, second, rid, start = h[first], second[first], np.where(n > 1, 0, rid[first]), np.where(n > 1, -1, start[first])
             edges = ranges(h, parts)
-            rows += [(2, chunk, p, None, None, None, np.stack([h[a:b].view(np.int64), rid[a:b], start[a:b]], 1).tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            rows += [(2, chunk, p, None, None, None, np.stack([h[a:b].view(np.int64), second[a:b].view(np.int64), rid[a:b], start[a:b]], 1).tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         if spans:
             rows.append((0, chunk, None, None, None, None, np.concatenate(spans).astype(np.int64).tobytes()))
         return arrow_table(FOUND, rows)
@@ -260,10 +289,11 @@ def _hot(found: DataFrame, length: int = LENGTH) -> DataFrame:
     """The removed spans of hot keys: strings whose hash comes from two places or more."""
 
     def meet(key, table):
-        rows = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in table.column("data").to_pylist()]
+        rows = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in table.column("data").to_pylist()]
         chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in rows])
-        h, rid, start = np.concatenate(rows).T
-        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        h, second, rid, start = np.concatenate(rows).T
+        at, back = _distinct(h, second)
+        n = np.bincount(back, minlength=len(at))
         keep = (n[back] > 1) & (start >= 0)
         chunk, rid, start = chunk[keep], rid[keep], start[keep]
         return _by_chunk(chunk, np.stack([rid, start, start + length], 1))

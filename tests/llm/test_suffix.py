@@ -11,7 +11,7 @@ import pytest
 
 from filingflow.llm import induced
 from filingflow.llm.induced import common_prefixes, suffix_array
-from filingflow.llm.suffix import LENGTH, remove_repeats, repeated_starts
+from filingflow.llm.suffix import LENGTH, STRINGS, remove_repeats, repeated_starts, segments
 
 
 def sorted_suffixes(s):
@@ -88,3 +88,16 @@ def test_repeats_within_a_piece():
     text = b"0123456789" * 30
     piece, at = repeated_starts([text, b"z" * 250, b"q" * 200])
     assert at[piece == 0].tolist() == list(range(101)) and at[piece == 1].tolist() == list(range(51)) and not (piece == 2).any()
+
+
+def test_long_repetitive_texts():
+    flat = np.frombuffer(b"ab" * 3_000_000, np.uint8)
+    document, start, end, key, digest, check, _ = segments(flat, np.array([0, len(flat)]))
+    assert (end - start).max() == STRINGS + LENGTH - 1 and len(set(zip(digest.tolist(), check.tolist(), strict=True))) <= 4
+    assert start[0] == 0 and end[-1] == len(flat) and ((start[1:] + LENGTH - 1) == end[:-1]).all()
+
+
+def test_very_long_document(spark):
+    text = "ab" * 2_300_000 + "".join(chr(99 + k * k % 23) for k in range(199)) + "cd" * 100
+    got = remove_repeats(spark.createDataFrame([(1, text), (2, "cd" * 120)], "doc_id long, text string"), texts=False).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in got} == {1: (4_600_000 + 200, 2), 2: (240, 1)}
