@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,6 +201,17 @@ def ranges(x: np.ndarray, parts: int) -> list[int]:
     return [0, *cut.tolist(), len(x)]
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """An array, compressed with the first bytes of all numbers together, then the second ones: small numbers take little."""
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 3)
+
+
+def widened(data: bytes, kind: type) -> np.ndarray:
+    """What ``squeezed`` was given."""
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def arrow_table(schema: str, rows: list[tuple]) -> pa.Table:
     """An Arrow table of rows, by a schema of int, long, binary and string columns."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}

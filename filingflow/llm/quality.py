@@ -6,7 +6,7 @@ digit: runs of symbols are cheap to predict, so per symbol they would hide in th
 added.
 
 Nothing of a model meets in one place. Texts are packed into chunks of some megabytes; a chunk sends its distinct n-grams with
-their counts, as arrays sorted by hash and cut by hash range. Spark sums them, lower orders count distinct left contexts, and
+their counts, as compressed arrays cut by hash range. Spark sums them, lower orders count distinct left contexts, and
 joins of the orders give each n-gram its probability. The model is kept as sorted hash arrays by range, and a chunk gets back
 the probabilities of just the n-grams it sent. An n-gram that no other text has counts as unseen in its own text: else junk
 would be predicted from itself.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow_table, blocks, fresh, joined, mix, run_hashes, span_hashes, sums_by_document, words, written
+from .common import SPACE, arrow_table, blocks, fresh, mix, run_hashes, span_hashes, squeezed, sums_by_document, widened, words, written
 
 ORDER = 4
 #: Stands before and behind each text; code points beyond 16 bits share the numbers of the surrogates, which no text has.
@@ -104,36 +104,41 @@ def _languages(blob: bytes) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def _grams(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of the rows in the order of their hashes, and how often they have each."""
+    """The distinct n-grams of the rows, sorted, and how often they have each."""
     code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for _, _, flat, offsets in blocks(rows):
         own, times = np.unique(codes(flat, offsets)[0], return_counts=True)
         code, back = np.unique(np.concatenate([code, own]), return_inverse=True)
         n = np.bincount(back, np.concatenate([n, times]), len(code)).astype(np.int64)
-    order = np.argsort(mix(code))
-    return code[order], n[order]
+    return code, n
 
 
-def _edges(h: np.ndarray, bits: int) -> list[int]:
-    """Where the ranges of sorted hashes begin and the last one ends."""
-    return [*np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(h)]
+def _dealt(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by hash range, and by code within each, and where the ranges begin and the last one ends."""
+    part = (mix(code) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange((1 << bits) + 1))
 
 
 def sent_grams(packs: DataFrame, bits: int) -> DataFrame:
-    """For each chunk, hash range and language the distinct n-grams, sorted by hash, and how often the chunk has each."""
+    """For each chunk, hash range and language the distinct n-grams, as differences, and how often the chunk has each."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob"), strict=True):
                 for key, rows in _languages(blob.as_py()):
                     code, n = _grams(rows)
-                    edges = _edges(mix(code), bits)
-                    n = n.astype(np.uint32)
-                    yield from arrow_table(SENT, [(p, chunk, key, code[x:y].tobytes(), n[x:y].tobytes()) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]).to_batches()
+                    order, edges = _dealt(code, bits)
+                    code, n = code[order], n[order].astype(np.uint32)
+                    yield from arrow_table(SENT, [(p, chunk, key, squeezed(np.diff(code[x:y], prepend=np.uint64(0))), squeezed(n[x:y])) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]).to_batches()
 
     return packs.mapInArrow(send, SENT)
 
 
+def _codes_of(data: bytes) -> np.ndarray:
+    return np.cumsum(widened(data, np.uint64), dtype=np.uint64)
+
+
 def gram_counts(sent: DataFrame) -> DataFrame:
     """lang_key, code, n: how often all texts of a language have each n-gram."""
 
@@ -141,8 +146,8 @@ def gram_counts(sent: DataFrame) -> DataFrame:
         langs, out = table.column("lang_key").to_numpy(), []
         for k in np.unique(langs):
             own = table.filter(pa.array(langs == k))
-            code, back = np.unique(joined(own.column("codes"), np.uint64), return_inverse=True)
-            n = np.bincount(back, joined(own.column("counts"), np.uint32)).astype(np.int64)
+            code, back = np.unique(np.concatenate([_codes_of(x) for x in own.column("codes").to_pylist()]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([widened(x, np.uint32) for x in own.column("counts").to_pylist()])).astype(np.int64)
             out.append(pa.table({"lang_key": pa.array(np.full(len(code), k)), "code": pa.array(code.view(np.int64)), "n": pa.array(n)}))
         return pa.concat_tables(out)
 
@@ -211,23 +216,40 @@ def model(probability: DataFrame, bits: int) -> DataFrame:
     return probability.mapInArrow(keyed, "part int, lang_key long, h long, log float, low float, n long").groupBy("part").applyInArrow(sort, MODEL)
 
 
-ANSWERS = "chunk long, part int, lang_key long, logs binary, lower_logs binary, counts binary"
+ANSWERS = "chunk long, part int, lang_key long, logs binary, alone binary, lower_logs binary"
 
 
 def answers(sent: DataFrame, model: DataFrame) -> DataFrame:
-    """chunk, part, lang_key, logs, lower_logs, counts: what is known of the n-grams that a chunk sent, in their order."""
+    """chunk, part, lang_key, logs, alone, lower_logs: what is known of the n-grams that a chunk sent, in their order.
+
+    ``alone`` tells those that no other chunk has; ``lower_logs`` holds the logs of these, had they not been seen.
+    """
 
     def find(key, left, right):
         names = ("lang_key", "hashes", "logs", "lower_logs", "counts")
         known = {k: [np.frombuffer(x, t) for x, t in zip(own, (np.uint64, np.float32, np.float32, np.int64), strict=True)] for k, *own in zip(*(right.column(c).to_pylist() for c in names), strict=True)}
         rows = []
-        for chunk, k, wanted in zip(*(left.column(c).to_pylist() for c in ("chunk", "lang_key", "codes")), strict=True):
+        for chunk, k, wanted, count in zip(*(left.column(c).to_pylist() for c in ("chunk", "lang_key", "codes", "counts")), strict=True):
             h, log, low, n = known[k]
-            at = np.searchsorted(h, mix(np.frombuffer(wanted, np.uint64)))
-            rows.append((chunk, key[0].as_py(), k, log[at].tobytes(), low[at].tobytes(), np.minimum(n[at], 0xFFFFFFFF).astype(np.uint32).tobytes()))
+            at = np.searchsorted(h, mix(_codes_of(wanted)))
+            alone = n[at] == widened(count, np.uint32)
+            rows.append((chunk, key[0].as_py(), k, squeezed(log[at]), squeezed(np.packbits(alone)), squeezed(low[at[alone]])))
         return arrow_table(ANSWERS, rows)
 
-    return sent.select("part", "chunk", "lang_key", "codes").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(find, ANSWERS)
+    return sent.select("part", "chunk", "lang_key", "codes", "counts").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(find, ANSWERS)
+
+
+def told(rows: pa.Table, code: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logs, logs had they not been seen, counts) of a chunk's n-grams of one language, from the answers in the order of
+    their ranges; the count of an n-gram that other chunks have too is more than any document can have."""
+    order, edges = _dealt(code, bits)
+    log, low, count = np.zeros(len(code), np.float32), np.zeros(len(code), np.float32), np.full(len(code), np.iinfo(np.int64).max)
+    for part, logs, alone, lower in zip(*(rows.column(c).to_pylist() for c in ("part", "logs", "alone", "lower_logs")), strict=True):
+        own = order[edges[part] : edges[part + 1]]
+        log[own] = widened(logs, np.float32)
+        single = own[np.unpackbits(widened(alone, np.uint8), count=len(own)).astype(bool)]
+        low[single], count[single] = widened(lower, np.float32), n[single]
+    return log, low, count
 
 
 def log_sums(gram: np.ndarray, bound: np.ndarray, code: np.ndarray, log: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -310,16 +332,12 @@ def measure(documents: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in MEASURES.split(", ")]
 
     def run(key, left, right):
-        right = right.sort_by("part")
         langs = right.column("lang_key").to_numpy()
         out = []
         for blob in left.column("blob"):
             for k, b in _languages(blob.as_py()):
-                code, _ = _grams(b)
-                own = right.filter(pa.array(langs == k))
-                known = [joined(own.column(c), t) for c, t in (("logs", np.float32), ("lower_logs", np.float32), ("counts", np.uint32))]
-                by_code = np.argsort(code)
-                code, known = code[by_code], [x[by_code] for x in known]
+                code, n = _grams(b)
+                known = told(right.filter(pa.array(langs == k)), code, n, bits)
                 for i, j, flat, offsets in blocks(b):
                     start, end, first = words(flat, offsets)
                     gram, bound = codes(flat, offsets)
