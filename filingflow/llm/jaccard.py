@@ -7,9 +7,10 @@ it for every shingle they share; only sets that are still in different component
 length and positional filters, and each pair is verified once. So a large group of near copies costs a few tries for each
 member, and no link between different components is lost.
 
-Counts are exact over all documents up to hash collisions, which move two shingles in the order and change no result, since
-any fixed order gives the same links. They never meet in one place: documents are dealt over chunks, a chunk sends its
-different shingles, as packed codes by ranges of hashes, to the tasks that own the ranges, and gets back how common each is.
+A shingle's count is that of its hash's range and ``FINE`` bits below it: shingles that agree there share a count, which moves
+both in the order and changes no result, since any fixed order gives the same links. Counts never meet in one place:
+documents are dealt over chunks, a chunk sends its different codes by ranges to the tasks that own the ranges, and gets back
+how many documents have each.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_table, blocks, joined, mix, ranges, run_hashes, span_hashes, words, written
+from .common import LOWER, arrow_table, blocks, fresh, joined, mix, ranges, run_hashes, span_hashes, squeezed, widened, words, written
 from .components import connected
 
 SHINGLE = 5
@@ -90,7 +91,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
 
 
 def _levels(documents: DataFrame, parts: int) -> DataFrame:
-    """chunk, part, levels: log2 of the documents that have each of the chunk's codes, in the order of the codes."""
+    """chunk, part, levels: how many documents have each of the chunk's codes, in the order of the codes."""
 
     def send(key, table):
         code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -99,15 +100,16 @@ def _levels(documents: DataFrame, parts: int) -> DataFrame:
                 code, back = np.unique(np.concatenate([code, *(_codes(s, parts) for s in sets)]), return_inverse=True)
                 n = np.bincount(back, np.concatenate([n, np.ones(len(back) - len(n), np.int64)]), len(code)).astype(np.int64)
         edges = np.searchsorted(code, np.arange(parts + 1, dtype=np.uint64) << np.uint64(FINE)).tolist()
-        rows = [(p, key[0].as_py(), _gaps(code[a:b] - np.uint64(p << FINE)), np.minimum(n[a:b], 255).astype(np.uint8).tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        rows = [(p, key[0].as_py(), _gaps(code[a:b] - np.uint64(p << FINE)), squeezed(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         return arrow_table("part int, chunk int, codes binary, counts binary", rows)
 
     def answer(key, table):
         codes = [_from_gaps(x) for x in table.column("codes").to_pylist()]
         _, back = np.unique(np.concatenate(codes), return_inverse=True)
-        level = np.log2(np.bincount(back, joined(table.column("counts"), np.uint8))[back]).astype(np.uint8)
+        n = np.concatenate([widened(x, np.uint32) for x in table.column("counts").to_pylist()])
+        level = np.minimum(np.bincount(back, n), 0xFFFFFFFF).astype(np.uint32)[back]
         edges = np.cumsum([0, *map(len, codes)])
-        return arrow_table("chunk int, part int, levels binary", [(c, key[0].as_py(), level[a:b].tobytes()) for c, a, b in zip(table.column("chunk").to_pylist(), edges, edges[1:], strict=False)])
+        return arrow_table("chunk int, part int, levels binary", [(c, key[0].as_py(), squeezed(level[a:b])) for c, a, b in zip(table.column("chunk").to_pylist(), edges, edges[1:], strict=False)])
 
     sent = documents.groupBy("chunk").applyInArrow(send, "part int, chunk int, codes binary, counts binary")
     return sent.groupBy("part").applyInArrow(answer, "chunk int, part int, levels binary")
@@ -135,7 +137,7 @@ def prefixes(documents: DataFrame) -> DataFrame:
     levels = written(_levels(rows, chunks), "levels")
 
     def run(key, left, right):
-        level = joined(right.sort_by("part").column("levels"), np.uint8)
+        level = np.concatenate([np.zeros(0, np.uint32), *(widened(x, np.uint32) for x in right.sort_by("part").column("levels").to_pylist())])
         left = left.combine_chunks()
         code = np.zeros(0, np.uint64)
         for b in left.to_batches():
@@ -155,7 +157,7 @@ def prefixes(documents: DataFrame) -> DataFrame:
                     if n and digests not in met:
                         size = n - -(-n * NUMERATOR // DENOMINATOR) + 1
                         first = np.argsort(mine, kind="stable")[:size]
-                        if mine[first[-1]]:
+                        if mine[first[-1]] > 1:
                             prefix, hashes = s[first].tobytes(), s.tobytes()
                     met.add(digests)
                     rows.append((n, *digests, prefix, hashes))
@@ -354,5 +356,6 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
     Rows that repeat that doc_id stay together; all columns of the input stay as they are.
     """
-    first = components(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    name = fresh(documents, "id")
+    first = components(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(first, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
