@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Hexadecimal digits of md5 that make a draw: below 2**52, so that a draw is exact as a double.
 DIGITS = 13
 
@@ -58,14 +60,15 @@ def numbered(records: DataFrame, shard: str, order: Sequence[str], parts: int =
     broadcast. Rows that agree in all ordering columns get neighbouring slots in any order.
     """
     part = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])), 1, 8), 16, 10).cast("long")
-    dealt = records.withColumn("_part", (part % parts).cast("int"))
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(shard, "_part").agg(F.count("*").alias("_rows"))
-    shift = counts.select(F.col(shard).alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
-    own = Window.partitionBy(shard, "_part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    ranked = dealt.withColumn("_rank", F.row_number().over(own))
-    joined = ranked.join(F.broadcast(shift), (F.col(shard) == F.col("_s")) & (F.col("_part") == F.col("_p")))
-    return joined.withColumn("slot", (F.col("_rank") - 1 + F.col("_shift")).cast("long")).drop("_part", "_rank", "_s", "_p", "_shift")
+    p, rank, s, q, rest, n = (fresh(records, c) for c in ("part", "rank", "s", "p", "shift", "rows"))
+    dealt = records.withColumn(p, (part % parts).cast("int"))
+    before = Window.partitionBy(shard).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(shard, p).agg(F.count("*").alias(n))
+    shift = counts.select(F.col(shard).alias(s), F.col(p).alias(q), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(rest))
+    own = Window.partitionBy(shard, p).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    ranked = dealt.withColumn(rank, F.row_number().over(own))
+    joined = ranked.join(F.broadcast(shift), (F.col(shard) == F.col(s)) & (F.col(p) == F.col(q)))
+    return joined.withColumn("slot", (F.col(rank) - 1 + F.col(rest)).cast("long")).drop(p, rank, s, q, rest)
 
 
 def shard_layout(documents: DataFrame, shards: int = 24) -> DataFrame:

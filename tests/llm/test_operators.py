@@ -16,14 +16,14 @@ from filingflow.llm import decontaminate, jaccard, langid, lines, lm, mixing, qu
 from filingflow.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-ODD = "doc_id long, text string, lang string, source string, n_chars long, chunk int, rid string, n int, node double, part string, high string, copies string"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, chunk int, rid string, n int, node double, part string, high string, copies string, _id long, _part int, _rid string, _key string"
 
 
 def odd_rows():
     prose = "The quick brown fox jumps over the lazy dog near the old stone bridge while rain falls softly on green hills. " * 3
     texts = [None, "", " \n\t ", "a", "é" * 500, prose, prose, prose.replace("fox", "cat"), "word " * 400, "#$%\n\n#$%", "x" * 70_000, "日本語のテキスト " * 80, "Ünïcode straße\r\nline two\x0bthree"]
-    rows = [(k, t, ("en", None, "de")[k % 3], "s", 1, 1, "r", 2, 0.5, "p", "h", "c") for k, t in enumerate(texts)]
-    return [*rows, rows[5], (None, prose, None, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None, None)]
+    rows = [(k, t, ("en", None, "de")[k % 3], "s", 1, 1, "r", 2, 0.5, "p", "h", "c", 1, 1, "r", "k") for k, t in enumerate(texts)]
+    return [*rows, rows[5], (None, prose, *[None] * 14), (None,) * 16]
 
 
 @pytest.fixture(scope="module")
