@@ -127,6 +127,22 @@ def loads(text: str) -> Config:
     )
 
 
+#: Fixed value: the key of a template that nobody has filled in.
+PLACEHOLDER_KEY = "YOUR_API_KEY"
+
+
+def need_model(config: Config) -> Model:
+    """The model of a run; refused without its address, key and name, or with the template's key."""
+    for m in filter(None, (config.model, config.fallback_model)):
+        if not (m.base_url.strip() and m.api_key.strip() and m.model.strip()):
+            raise ConfigError("a model needs base_url, api_key and model")
+    if config.model is None:
+        raise ConfigError("no [model] section with base_url, api_key and model")
+    if config.model.api_key == PLACEHOLDER_KEY:
+        raise ConfigError("[model].api_key must be set")
+    return config.model
+
+
 def default_output(path: str, suffix: str = "_translated") -> str:
     p = Path(path)
     return str(p.with_name(f"{p.stem}{suffix}{p.suffix or '.html'}"))
@@ -141,7 +157,7 @@ TEMPLATE = """\
 [model]
 model = ""
 base_url = ""
-api_key = ""
+api_key = "YOUR_API_KEY"
 
 [batch]
 initial_units = 20

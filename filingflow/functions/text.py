@@ -37,6 +37,7 @@ LOW_VALUE = (
     r"[^@\s]+@[^@\s]+\.[^@\s]+",
 )
 
+#: Fixed value: codes of answers whose form is wrong, and of those that another try may mend.
 FORMAT_ERRORS = ("model_response_invalid", "id_validation_failed", "count_validation_failed", "empty_translation")
 REPAIRABLE_ERRORS = (*FORMAT_ERRORS, "placeholder_validation_failed", "number_validation_failed", "replacement_character_validation_failed")
 SPACES = r"(?U)[\s\x1c-\x1f]+"
@@ -59,9 +60,10 @@ def clip(text: Column, limit: int = 160) -> Column:
 
 def is_low_value(text: Column) -> Column:
     """Whether a text is empty, protected, of a low-value shape or without an ASCII letter."""
-    t = normalize_spaces(text)
-    shapes = t.rlike(r"(?U)\A(?:" + "|".join(LOW_VALUE) + r")\z")
-    return (t == "") | F.lower(t).isin(*PROTECTED_TERMS) | shapes | ~t.rlike("[A-Za-z]")
+    shapes = r"(?U)\A(?:" + "|".join(LOW_VALUE) + r")\z"
+    rules = lambda t: (t == "") | F.lower(t).isin(*PROTECTED_TERMS) | t.rlike(shapes) | ~t.rlike("[A-Za-z]")
+    # a lambda's variable: the text is normalised once, though four rules name it
+    return F.element_at(F.transform(F.array(normalize_spaces(text)), rules), 1)
 
 
 def number_tokens(text: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 PROMPT_VERSION = "1"
 
@@ -25,11 +29,30 @@ def last_wins(rows: DataFrame, key: str = "cache_key", seq: str = "seq") -> Data
     return usable.groupBy(key).agg(F.max_by(F.struct(*names), F.col(seq)).alias("_r")).select(key, "_r.*")
 
 
+#: What a cache row holds; ``run`` numbers the runs that wrote to one log.
+ROW = "cache_key string, file_hash string, unit_id string, source_hash string, prompt_hash string, target_language string, model string, provider string, text string, source_preview string, run long"
+
+
+@F.arrow_udf(BooleanType())
+def _is_object(lines: pa.Array) -> pa.Array:
+    """Whether a line is one JSON object and nothing else; Spark's parser would accept text behind it."""
+
+    def one(line: str | None) -> bool:
+        try:
+            return isinstance(json.loads(line or ""), dict)
+        except ValueError:
+            return False
+
+    return pa.array(map(one, lines.to_pylist()), pa.bool_())
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Cache rows of JSON lines (value, seq); blank lines, bad JSON and lines that are no objects are left out."""
-    schema = "cache_key string, file_hash string, unit_id string, source_hash string, prompt_hash string, target_language string, model string, provider string, text string, source_preview string"
-    parsed = lines.where(F.trim("value").startswith("{")).select(F.from_json("value", schema, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}).alias("r"), "seq")
-    return parsed.select("r.*", "seq").where("cache_key is not null")
+    """Cache rows of JSON lines (value, seq); blank lines, bad JSON and lines that are no objects are left out.
+
+    ``seq`` orders first by the run that a row names (0 without one), then by the order of the lines.
+    """
+    parsed = lines.where(F.startswith(F.ltrim("value"), F.lit("{")) & _is_object("value")).select(F.from_json("value", ROW, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}).alias("r"), "seq")
+    return parsed.select("r.*", F.struct(F.coalesce("r.run", F.lit(0)).alias("run"), F.col("seq").alias("line")).alias("seq")).where("cache_key is not null")
 
 
 def lookup(units: DataFrame, cache: DataFrame) -> DataFrame:
@@ -48,8 +71,21 @@ def retained_from_cache(looked_up: DataFrame) -> DataFrame:
     return kept.withColumn("reason", F.lit("cached_source_retained"))
 
 
-def cache_rows(results: DataFrame) -> DataFrame:
-    """Rows to append: results of all providers, sources that were kept included, so that a rerun makes no calls."""
-    order = Window.partitionBy("doc_id").orderBy("ordinal")
+def cache_rows(results: DataFrame, prompt: Column, language: str, model: str, run: int = 0) -> DataFrame:
+    """Rows to append for results with cache_key and file_hash: those of all providers, sources that were kept included, so
+    that a rerun makes no calls. ``run`` must grow from run to run, for the last one to win."""
     preview = F.when(F.char_length("source_text") <= 160, F.col("source_text")).otherwise(F.concat(F.substring("source_text", 1, 157), F.lit("...")))
-    return results.select("cache_key", "unit_id", F.sha2("source_text", 256).alias("source_hash"), "provider", F.col("result").alias("text"), preview.alias("source_preview"), F.row_number().over(order).cast("long").alias("seq"))
+    return results.select(
+        "cache_key", "file_hash", "unit_id", F.sha2("source_text", 256).alias("source_hash"), prompt.alias("prompt_hash"), F.lit(language).alias("target_language"), F.lit(model).alias("model"),
+        "provider", F.col("result").alias("text"), preview.alias("source_preview"), F.lit(run).cast("long").alias("run"),
+    )
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a log of JSON lines; their run numbers order them, whatever the names of their files."""
+    rows.write.mode("append").json(path)
+
+
+def next_run(cache: DataFrame) -> int:
+    """One more than the largest run of a log."""
+    return (cache.agg(F.max("run")).first()[0] or 0) + 1

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import LOW_VALUE, PROTECTED_TERMS
+from ..session import fresh
 
 #: Fixed value: elements that hold units, and elements whose text never is one.
 BLOCKS = frozenset("p li td th caption h1 h2 h3 h4 h5 h6 div".split())
@@ -231,7 +232,8 @@ def _splice(pages: pd.Series, answers: pd.Series) -> pd.Series:
 
 def apply_units(pages: DataFrame, answers: DataFrame, key: str = "doc_id", column: str = "html") -> DataFrame:
     """``pages`` with the answers (doc_id, ordinal, text, is_fallback) spliced in; pages without answers stay as they are."""
-    given = answers.groupBy("doc_id").agg(F.collect_list(F.struct("ordinal", "text", "is_fallback")).alias("_answers")).withColumnRenamed("doc_id", "_key")
-    joined = pages.join(given, F.col(key) == F.col("_key"), "left")
-    done = F.when(F.col("_answers").isNull(), F.col(column)).otherwise(_splice(F.col(column), F.col("_answers")))
-    return joined.withColumn(column, done).drop("_key", "_answers")
+    own, held = fresh(pages, "key"), fresh(pages, "answers")
+    given = answers.groupBy("doc_id").agg(F.collect_list(F.struct("ordinal", "text", "is_fallback")).alias(held)).withColumnRenamed("doc_id", own)
+    joined = pages.join(given, F.col(key) == F.col(own), "left")
+    done = F.when(F.col(held).isNull(), F.col(column)).otherwise(_splice(F.col(column), F.col(held)))
+    return joined.withColumn(column, done).drop(own, held)

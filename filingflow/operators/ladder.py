@@ -1,23 +1,28 @@
 """The ladder of attempts as rounds over DataFrames: first call, strict retry, repair, split, mini block, fallback, source.
 
-Every round works on the batches that failed before; each stage of calls is materialised once. A batch that is refused as a
-whole is halved, so there are about log2(batch size) rounds. A unit that nothing answers keeps its source.
+Every round works on the batches that failed before, of all documents at once; each stage of calls is materialised once, and a
+stage without rows is left out. A batch that is refused as a whole is halved, so there are about log2(batch size) rounds. A
+batch whose prompt does not fit the model's context goes on with half of its block around it, then with its own context, then
+alone; blocks that fit are not shrunk, so nothing has to grow again. A unit that nothing answers keeps its source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import materialize
 from . import prompts
-from .provider import Provider, call
+from .provider import USAGE, Provider, call, prime
 from .responses import parse_responses, validate_batches
 
-ATTEMPT = ("doc_id", "batch", "rung", "model", "units", "reason", "response", "items")
+#: ``wide``: how many batches of its block stand around a batch; 0 its context alone, -1 nothing.
+STATE = ("doc_id", "batch", "units", "wide", "near")
+ATTEMPT = (*STATE, "rung", "model", "reason", "response", "items", *USAGE)
 
 
 def batches_of(units: DataFrame) -> DataFrame:
@@ -27,39 +32,96 @@ def batches_of(units: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("batch_no").cast("string").alias("batch"), "units")
 
 
-def _attempt(batches: DataFrame, rung: str, factory: Callable[[], Provider], strict: bool = False, near: DataFrame | None = None) -> DataFrame:
-    """One call for each batch, parsed and validated, as an attempt of this rung."""
-    known = set(batches.columns)
-    reason = F.col("reason") if "reason" in known else F.lit(None).cast("string")
-    previous = F.col("response") if "response" in known else F.lit(None).cast("string")
-    rows = batches.select("doc_id", "batch", "units", F.lit(rung).alias("rung"), prompts.task_prompt(F.col("units"), F.lit(strict), reason, previous).alias("prompt"))
-    if near is not None:
-        rows = rows.join(near, ["doc_id", "batch"], "left").withColumn("prompt", F.concat(F.coalesce("near", F.lit("")), F.lit("\n"), "prompt")).drop("near")
-    checked = validate_batches(parse_responses(call(rows, factory)))
-    return materialize(checked.select(*ATTEMPT), f"attempt-{rung}")
-
-
-def _surroundings(batches: DataFrame, contexts: DataFrame | None) -> DataFrame | None:
-    """doc_id, batch, near: the context of the batch that each batch came from."""
-    if contexts is None:
-        return None
-    text = F.concat(F.lit("# Text before\n"), "context_before", F.lit("\n# Text after\n"), "context_after")
-    given = contexts.select("doc_id", F.col("batch_no").cast("string").alias("_root"), text.alias("near"))
-    return batches.select("doc_id", "batch", F.substring_index("batch", ".", 1).alias("_root")).join(given, ["doc_id", "_root"]).select("doc_id", "batch", "near")
-
-
-def _failed(attempts: DataFrame) -> DataFrame:
-    return attempts.where("reason is not null")
-
-
-def _halves(failed: DataFrame) -> DataFrame:
-    """Batches of several units as two halves each."""
+class Surroundings:
+    """What stands around each first batch: its block, its place there, and the text before and after it."""
+
+    def __init__(self, batches: DataFrame, contexts: DataFrame | None, blocks: DataFrame | None, language: str):
+        rows = batches.select("doc_id", F.col("batch").alias("root"), F.col("batch").cast("int").alias("no"), prompts.framed(F.col("batch"), F.col("units")).alias("framed"))
+        none = F.lit("")
+        if contexts is not None:
+            given = contexts.select("doc_id", F.col("batch_no").alias("no"), F.col("context_before").alias("before"), F.col("context_after").alias("after"))
+            rows = rows.join(given, ["doc_id", "no"], "left").fillna("", ["before", "after"])
+        else:
+            rows = rows.withColumn("before", none).withColumn("after", none)
+        rows = rows.join(blocks.select("doc_id", F.col("batch_no").alias("no"), "block_no"), ["doc_id", "no"]) if blocks is not None else rows.withColumn("block_no", F.lit(1))
+        order = Window.partitionBy("doc_id", "block_no")
+        self.rows = materialize(rows.withColumn("pos", F.row_number().over(order.orderBy("no")) - 1).withColumn("size", F.count("*").over(order)), "surroundings")
+        self.language, self.outer, self.in_blocks = language, contexts is not None, blocks is not None
+
+    def start(self, batches: DataFrame) -> DataFrame:
+        """The batches with the widest surroundings there are."""
+        wide = F.col("size").cast("int") if self.in_blocks else F.lit(0 if self.outer else -1)
+        rows = batches.join(self.rows.select("doc_id", F.col("root").alias("batch"), "size", "pos"), ["doc_id", "batch"])
+        return self.around(rows.select("doc_id", "batch", "units", wide.alias("wide")))
+
+    def around(self, batches: DataFrame) -> DataFrame:
+        """Rows doc_id, batch, units, wide with ``near``: the part of the block, or the context, that the prompt begins with."""
+        if not self.outer and not self.in_blocks:
+            return batches.select("doc_id", "batch", "units", "wide", F.lit("").alias("near"))
+        rows = batches.withColumn("root", F.substring_index("batch", ".", 1)).join(self.rows.select("doc_id", "root", "block_no", "pos", "before", "after"), ["doc_id", "root"])
+        rows = rows.withColumn("piece", F.when(F.col("wide") > 0, F.floor(F.try_divide(F.col("pos"), F.col("wide"))).cast("int")))
+        piece = ["doc_id", "block_no", "wide", "piece"]
+        wanted = rows.where("wide > 0").select(*piece).distinct()
+        inside = wanted.join(self.rows.select("doc_id", "block_no", "pos", "framed", "before", "after"), ["doc_id", "block_no"]).where(F.floor(F.col("pos") / F.col("wide")) == F.col("piece"))
+        parts = inside.groupBy(*piece).agg(F.sort_array(F.collect_list(F.struct("pos", "framed", "before", "after"))).alias("m"))
+        body = F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: x["framed"]), ", "), F.lit("]"))
+        block = parts.select(*piece, prompts.block_prompt(self.language, F.col("m")[0]["before"], body, F.element_at("m", -1)["after"]).alias("block"))
+        own = F.when(F.col("wide") == 0, prompts.context_prompt(F.col("before"), F.col("after"))).otherwise("")
+        return rows.join(block, piece, "left").select("doc_id", "batch", "units", "wide", F.coalesce("block", own).alias("near"))
+
+    def mini(self, singles: DataFrame, reach: int = 2) -> DataFrame:
+        """The units with the batches up to ``reach`` before and behind their own in the block, and no outer context."""
+        rows = singles.withColumn("root", F.substring_index("batch", ".", 1)).join(self.rows.select("doc_id", "root", "block_no", "pos"), ["doc_id", "root"])
+        other = self.rows.select("doc_id", "block_no", F.col("pos").alias("p"), "framed")
+        met = rows.select("doc_id", "block_no", "pos").distinct().withColumn("p", F.explode(F.sequence(F.col("pos") - reach, F.col("pos") + reach))).join(other, ["doc_id", "block_no", "p"])
+        near = met.groupBy("doc_id", "block_no", "pos").agg(F.sort_array(F.collect_list(F.struct("p", "framed"))).alias("m"))
+        body = F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: x["framed"]), ", "), F.lit("]"))
+        near = near.select("doc_id", "block_no", "pos", prompts.block_prompt(self.language, F.lit(""), body, F.lit("")).alias("near"))
+        return rows.drop("near").join(near, ["doc_id", "block_no", "pos"])
+
+
+class Calls:
+    """How calls are made: retries of a failed one, and how many partitions, so calls at a time, a stage has."""
+
+    def __init__(self, retries: int = 1, workers: int | None = None):
+        self.retries, self.workers = retries, workers
+
+    def attempt(self, batches: DataFrame, rung: str | Column, factory: Callable[[], Provider], strict: bool = False) -> DataFrame | None:
+        """One call for each batch, parsed and validated, as an attempt of this rung; None without a batch."""
+        if batches.isEmpty():
+            return None
+        known = set(batches.columns)
+        reason, previous = (F.col(c) if c in known else F.lit(None).cast("string") for c in ("reason", "response"))
+        rung = F.lit(rung) if isinstance(rung, str) else rung
+        task = prompts.task_prompt(F.col("units"), F.lit(strict), reason if strict else F.lit(None).cast("string"), previous)
+        rows = batches.select(*STATE, rung.alias("rung"), F.concat("near", F.lit("\n"), task).alias("prompt"))
+        rows = rows.repartition(self.workers) if self.workers else rows
+        return materialize(validate_batches(parse_responses(call(rows, factory, self.retries))).select(*ATTEMPT), "attempt")
+
+
+def _failed(attempts: DataFrame | None, like: DataFrame) -> DataFrame:
+    return (like.limit(0) if attempts is None else attempts).where("reason is not null")
+
+
+def _left(failed: DataFrame, later: DataFrame | None) -> DataFrame:
+    """The failed batches after a later rung: those it did not try, and those that failed there too, as that rung left them."""
+    if later is None:
+        return failed
+    return failed.join(later.select("doc_id", "batch"), ["doc_id", "batch"], "left_anti").select(*ATTEMPT).unionByName(_failed(later, later))
+
+
+def _smaller(failed: DataFrame) -> DataFrame:
+    """doc_id, batch, units, wide, shrunk: batches over the context limit with less around them, others in two halves."""
+    limited = T.is_context_limit_error(F.col("reason")) & (F.col("wide") >= 0)
+    less = F.when(F.col("wide") > 1, F.ceil(F.col("wide") / 2).cast("int")).otherwise(F.col("wide") - 1)
     half = F.floor(F.size("units") / 2).cast("int")
-    parts = F.array(
-        F.struct(F.concat("batch", F.lit(".0")).alias("batch"), F.slice("units", F.lit(1), half).alias("units")),
-        F.struct(F.concat("batch", F.lit(".1")).alias("batch"), F.slice("units", half + 1, F.size("units") - half).alias("units")),
+    part = lambda name, units, wide, shrunk: F.struct(name.alias("batch"), units.alias("units"), wide.cast("int").alias("wide"), F.lit(shrunk).alias("shrunk"))
+    whole = F.array(part(F.col("batch"), F.col("units"), less, True))
+    halves = F.array(
+        part(F.concat("batch", F.lit(".0")), F.slice("units", F.lit(1), half), F.col("wide"), False),
+        part(F.concat("batch", F.lit(".1")), F.slice("units", half + 1, F.size("units") - half), F.col("wide"), False),
     )
-    return failed.where(F.size("units") > 1).select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.*")
+    return failed.where(limited | (F.size("units") > 1)).select("doc_id", F.explode(F.when(limited, whole).otherwise(halves)).alias("p")).select("doc_id", "p.*")
 
 
 def _results(attempts: DataFrame) -> DataFrame:
@@ -68,43 +130,62 @@ def _results(attempts: DataFrame) -> DataFrame:
     return attempts.where("reason is null").select("doc_id", F.col("model").alias("provider"), "rung", pairs.alias("r")).select("doc_id", "r.*", "provider", "rung")
 
 
-def run_ladder(units: DataFrame, primary: Callable[[], Provider], fallback: Callable[[], Provider] | None = None, contexts: DataFrame | None = None, max_rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def _named(attempts: DataFrame, prefix: str) -> DataFrame:
+    return attempts.withColumn("reason", F.when(F.col("reason").isNotNull(), F.concat(F.lit(f"{prefix}: "), "reason")))
+
+
+def run_ladder(
+    units: DataFrame, primary: Callable[[], Provider], fallback: Callable[[], Provider] | None = None, contexts: DataFrame | None = None, blocks: DataFrame | None = None,
+    language: str = "zh-CN", calls: Calls | None = None, fallback_calls: Calls | None = None, warm_up: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(results, attempts) for units with batch_no.
 
-    ``contexts`` (doc_id, batch_no, context_before, context_after) go in front of the prompts of a batch and of its parts.
+    ``contexts`` (doc_id, batch_no, context_before, context_after) and ``blocks`` (doc_id, batch_no, block_no) give what
+    stands in front of every prompt of a batch and of its parts. With ``warm_up`` seconds each block's prompt is sent once
+    to fill the provider's prompt cache, and the first batch of a block is answered before the others.
 
     results: doc_id, ordinal, unit_id, source_text, result, provider, rung, one row per unit; units that nothing answered
     have provider ``source``. attempts: the log of every call, which failure counts are made from. Placeholders may be empty
     arrays; an empty table gives empty results.
     """
-    todo, log, limited = batches_of(units), [], None
-    for k in range(max_rounds):
-        first = _attempt(todo, "primary" if k == 0 else f"split-{k}", primary, near=_surroundings(todo, contexts))
-        log.append(first)
-        strict = _attempt(_failed(first).where(T.is_format_error(F.col("reason"))), f"strict-{k}", primary, strict=True)
-        log.append(strict)
-        done = ["doc_id", "batch"]
-        open_ = _failed(first).join(strict.select(*done), done, "left_anti").unionByName(_failed(strict))
-        repair = _attempt(open_.where(T.is_repairable_error(F.col("reason"))), f"repair-{k}", primary, strict=True)
-        log.append(repair.withColumn("reason", F.when(F.col("reason").isNotNull(), F.concat(F.lit("repair_failed: "), "reason"))))
-        open_ = open_.join(repair.select(*done), done, "left_anti").unionByName(_failed(repair))
-        single = open_.where(F.size("units") == 1)
-        limited = single if limited is None else limited.unionByName(single)
-        todo = materialize(_halves(open_), "halves")
-        if todo.isEmpty():
+    calls, fallback_calls = calls or Calls(), fallback_calls or Calls()
+    batches = materialize(batches_of(units), "batches")
+    around = Surroundings(batches, contexts, blocks, language)
+    todo, log, singles, k = materialize(around.start(batches), "todo").withColumn("shrunk", F.lit(False)), [], [], 0
+    empty = todo.drop("shrunk").select(*STATE, *[F.lit(None).cast("string").alias(c) for c in ("rung", "model", "reason", "response")], F.lit(None).cast("array<struct<id:string,text:string>>").alias("items"), *[F.lit(None).cast("long").alias(c) for c in USAGE]).limit(0)
+    early = None
+    if warm_up is not None and blocks is not None:
+        primed = materialize(prime(todo.where("wide > 0").select("doc_id", F.col("near").alias("block_prompt")), primary, warm_up), "primed")
+        log.append(empty.unionByName(primed.where("error is not null").select("doc_id", F.lit("prime").alias("rung"), F.col("error").alias("reason")), allowMissingColumns=True))
+        first = around.rows.where("pos = 0").select("doc_id", F.col("root").alias("batch"))
+        early = calls.attempt(todo.join(first, ["doc_id", "batch"], "left_semi"), "primary", primary)
+        todo = todo.join(first, ["doc_id", "batch"], "left_anti")
+    while True:
+        rung = F.lit("primary") if k == 0 else F.when(F.col("shrunk"), F.lit(f"shrunk-{k}")).otherwise(F.lit(f"split-{k}"))
+        tried = [x for x in (early, calls.attempt(todo, rung, primary)) if x is not None]
+        if not tried:
             break
-    # the batch that a unit came from is its neighbourhood
-    around = batches_of(units).select("doc_id", F.col("batch").alias("_root"), prompts.items_json(F.col("units")).alias("near"))
-    near = limited.select("doc_id", "batch", F.substring_index("batch", ".", 1).alias("_root")).join(around, ["doc_id", "_root"]).select("doc_id", "batch", "near")
-    mini = _attempt(limited.where(T.is_repairable_error(F.col("reason"))), "mini", primary, near=near)
-    log.append(mini.withColumn("reason", F.when(F.col("reason").isNotNull(), F.concat(F.lit("mini_block_failed: "), "reason"))))
-    left = limited.join(mini.where("reason is null").select("doc_id", "batch"), ["doc_id", "batch"], "left_anti")
-    if fallback is not None:
-        last = _attempt(left, "fallback", fallback)
+        first, early = reduce(DataFrame.unionByName, tried), None
+        log.append(first)
+        open_ = _failed(first, empty)
+        strict = calls.attempt(open_.where(T.is_format_error(F.col("reason"))), f"strict-{k}", primary, strict=True)
+        open_ = _left(open_, strict)
+        repair = calls.attempt(open_.where(T.is_repairable_error(F.col("reason"))), f"repair-{k}", primary, strict=True)
+        log += [x for x in (strict, None if repair is None else _named(repair, "repair_failed")) if x is not None]
+        open_ = materialize(_left(open_, repair), "open")
+        singles.append(open_.where((F.size("units") == 1) & ~(T.is_context_limit_error(F.col("reason")) & (F.col("wide") >= 0))))
+        less = _smaller(open_)
+        todo = materialize(around.around(less.drop("shrunk")).join(less.select("doc_id", "batch", "shrunk"), ["doc_id", "batch"]), "todo")
+        k += 1
+    left = reduce(DataFrame.unionByName, singles, empty)
+    mini = calls.attempt(around.mini(left.where(T.is_repairable_error(F.col("reason")))), "mini", primary)
+    if mini is not None:
+        log.append(_named(mini, "mini_block_failed"))
+        left = left.join(mini.where("reason is null").select("doc_id", "batch"), ["doc_id", "batch"], "left_anti")
+    last = fallback_calls.attempt(left, "fallback", fallback) if fallback is not None else None
+    if last is not None:
         log.append(last)
-    attempts = log[0]
-    for more in log[1:]:
-        attempts = attempts.unionByName(more)
+    attempts = reduce(DataFrame.unionByName, log, empty)
     answered = _results(attempts)
     missing = units.where("batch_no is not null").join(answered.select("doc_id", "unit_id"), ["doc_id", "unit_id"], "left_anti")
     kept = missing.select("doc_id", "ordinal", "unit_id", "source_text", F.col("source_text").alias("result"), F.lit("source").alias("provider"), F.lit("source").alias("rung"))

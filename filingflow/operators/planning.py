@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ..session import fresh
+
 
 def _folded(step: Callable[[], Callable[[int, bool], int | None]]):
     """A column function from arrays of sizes and flags to the array of numbers that a fresh ``step`` gives them in turn."""
@@ -54,9 +56,10 @@ def greedy_batches(units: DataFrame, max_units: int = 40, max_chars: int = 20_00
         return number
 
     numbered = lists.withColumn("no", _folded(start)(F.transform("items", lambda x: x["size"]), F.transform("items", lambda x: x["cached"])))
-    pairs = numbered.select(F.col("doc_id").alias("_d"), F.explode(F.arrays_zip(F.transform("items", lambda x: x["ordinal"]).alias("o"), F.col("no"))).alias("b"))
-    numbers = pairs.select("_d", F.col("b.o").alias("_o"), F.col("b.no").alias("batch_no"))
-    return units.join(numbers, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("ordinal") == F.col("_o")), "left").drop("_d", "_o")
+    doc, place = fresh(units, "doc"), fresh(units, "place")
+    pairs = numbered.select(F.col("doc_id").alias(doc), F.explode(F.arrays_zip(F.transform("items", lambda x: x["ordinal"]).alias("o"), F.col("no"))).alias("b"))
+    numbers = pairs.select(doc, F.col("b.o").alias(place), F.col("b.no").alias("batch_no"))
+    return units.join(numbers, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col("ordinal") == F.col(place)), "left").drop(doc, place)
 
 
 def shrink_size(size: Column, least: int, factor: float) -> Column:

@@ -6,19 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SYSTEM = "You translate passages of regulatory filings. Keep every <PH_n> tag pair, every number and every id as they are."
+REMINDER = "\nAnswer with a JSON array of objects with id and text, and nothing else."
 
 
 def items_json(units: Column) -> Column:
     return F.to_json(F.transform(units, lambda u: F.struct(u["id"].alias("id"), u["text"].alias("text"))))
 
 
+def framed(batch: Column, units: Column) -> Column:
+    """A batch as it stands in a block: its id and its items."""
+    return F.concat(F.lit('{"batch_id": "batch_'), F.lpad(batch, 3, "0"), F.lit('", "items": '), items_json(units), F.lit("}"))
+
+
 def block_prompt(language: str, before: Column, batches: Column, after: Column) -> Column:
     """What all batches of a block share, so that a provider can cache it."""
     return F.concat(F.lit(f"Target language: {language}\n# Text before\n"), before, F.lit("\n# Block\n"), batches, F.lit("\n# Text after\n"), after)
 
 
+def context_prompt(before: Column, after: Column) -> Column:
+    """The text around a batch that has no block around it."""
+    return F.concat(F.lit("# Text before\n"), before, F.lit("\n# Text after\n"), after)
+
+
 def task_prompt(units: Column, strict: Column, reason: Column, previous: Column) -> Column:
     """The batch to answer now, a reminder of the format, and what was wrong before."""
-    reminder = F.when(strict, "\nAnswer with a JSON array of objects with id and text, and nothing else.").otherwise("")
+    reminder = F.when(strict, REMINDER).otherwise("")
     repair = F.when(reason.isNotNull(), F.concat(F.lit("\n# Rejected answer\nReason: "), reason, F.lit("\n"), F.coalesce(previous, F.lit("")))).otherwise("")
     return F.concat(F.lit("# Task\n"), items_json(units), reminder, repair)

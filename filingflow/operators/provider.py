@@ -1,12 +1,14 @@
 """Model calls as a stage: requests go to a pluggable provider, one client per partition, and come back with answers.
 
-A provider has ``model`` and ``translate(request) -> str``; it may have ``prime(prompt)`` for a prompt cache and
-``usage() -> dict``. A factory makes it on the executor. Calls are costly and not deterministic: materialise each stage.
+A provider has ``model`` and ``translate(request) -> str``; it may have ``prime(prompt)`` for a prompt cache and ``usage()``, the
+token fields of its last call. A factory makes it on the executor. Calls are costly and not deterministic: materialise each
+stage.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
@@ -41,10 +43,17 @@ class KeyedProvider:
         return json.dumps(out, ensure_ascii=False)
 
 
+def dry_run(model: Any) -> KeyedProvider:
+    """A provider that calls nothing: each answer is its source in capitals, placeholders and numbers kept."""
+    return KeyedProvider(model.model, make=lambda t: re.sub(r"<[^>]*>|[^<]+", lambda m: m.group() if m.group()[0] == "<" else m.group().upper(), t))
+
+
 def call(requests: DataFrame, factory: Callable[[], Provider], retries: int = 1, pause: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``requests`` with model, response and error. A failed or empty call is retried after min(2**n, 8) seconds."""
-    passed = [f for f in requests.schema if f.name not in ("model", "response", "error")]
-    schema = T.StructType([*passed, T.StructField("model", T.StringType()), T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
+    """``requests`` with model, response, error and the token fields of ``USAGE``, null where a provider does not tell. A
+    failed or empty call is retried after min(2**n, 8) seconds."""
+    added = T.StructType([T.StructField(c, T.StringType()) for c in ("model", "response", "error")] + [T.StructField(c, T.LongType()) for c in USAGE])
+    passed = [f for f in requests.schema if f.name not in added.names]
+    schema = T.StructType([*passed, *added])
     names = [f.name for f in passed]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,14 +72,19 @@ def call(requests: DataFrame, factory: Callable[[], Provider], retries: int = 1,
                         error = str(e) or type(e).__name__
                     if attempt + 1 < retries:
                         pause(min(2**attempt, 8))
-                rows.append((provider.model, response, error))
-            yield b[names].assign(model=[r[0] for r in rows], response=[r[1] for r in rows], error=[r[2] for r in rows])
+                used = (provider.usage() if hasattr(provider, "usage") else None) or {}
+                rows.append((provider.model, response, error, *(used.get(c) for c in USAGE)))
+            out = b[names].copy()
+            for k, f in enumerate(added):
+                out[f.name] = pd.Series([r[k] for r in rows], index=b.index, dtype=object)
+            yield out
 
     return requests.mapInPandas(run, schema)
 
 
-def prime(blocks: DataFrame, factory: Callable[[], Provider]) -> DataFrame:
-    """block_prompt, error: one priming call for each distinct prompt; a provider without ``prime`` is skipped."""
+def prime(blocks: DataFrame, factory: Callable[[], Provider], pause_seconds: float = 0.0) -> DataFrame:
+    """``blocks`` (block_prompt and, it may be, doc_id) with ``error``: one priming call for each distinct row, and a pause
+    behind it; a provider without ``prime`` is skipped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory()
@@ -80,19 +94,21 @@ def prime(blocks: DataFrame, factory: Callable[[], Provider]) -> DataFrame:
                 try:
                     if hasattr(provider, "prime"):
                         provider.prime(p)
+                        time.sleep(pause_seconds)
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001 - a failed warm-up is recorded, not fatal
                     errors.append(f"cache_warmup_failed: {e}")
-            yield pd.DataFrame({"block_prompt": b["block_prompt"], "error": errors})
+            yield b.assign(error=pd.Series(errors, index=b.index, dtype=object))
 
-    return blocks.select("block_prompt").distinct().mapInPandas(run, "block_prompt string, error string")
+    rows = blocks.distinct()
+    return rows.mapInPandas(run, T.StructType([*rows.schema, T.StructField("error", T.StringType())]))
 
 
-def usage_totals(calls: DataFrame) -> DataFrame:
-    """Per model: requests, token sums and the cache hit ratio to four places. Missing counts are 0; calls without any
+def usage_totals(calls: DataFrame, *by: str) -> DataFrame:
+    """Per model (and other columns): requests, token sums and the cache hit ratio to four places. Missing counts are 0; calls without any
     usage are not counted as requests."""
     sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c) for c in USAGE]
     known = F.greatest(*[F.col(c).isNotNull().cast("int") for c in USAGE])
-    out = calls.groupBy("model").agg(F.sum(known).cast("long").alias("requests"), *sums)
+    out = calls.groupBy(*by, "model").agg(F.sum(known).cast("long").alias("requests"), *sums)
     hit, miss = F.col("prompt_cache_hit_tokens"), F.col("prompt_cache_miss_tokens")
     return out.withColumn("prompt_cache_hit_ratio", F.coalesce(F.round(F.try_divide(hit.cast("double"), (hit + miss).cast("double")), 4), F.lit(0.0)))

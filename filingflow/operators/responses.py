@@ -1,8 +1,11 @@
-"""Answers of a model: parsing in Arrow batches, validation as native columns, first failure first."""
+"""Answers of a model: parsing in Arrow batches, validation as native columns, first failure first; and the same rules for one
+answer in Python, for the linear mode, where the next call depends on the last one."""
 
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,3 +69,42 @@ def validate_batches(parsed: DataFrame) -> DataFrame:
     first = F.element_at(F.filter(pairs, lambda r: r.isNotNull()), 1)
     checked = F.when(F.col("reason").isNotNull(), F.col("reason")).when(ids, "id_validation_failed").when(F.exists(pairs, lambda r: r.isNotNull()), first)
     return parsed.withColumn("reason", checked)
+
+
+_REFUSED = re.compile("|".join(f"(?:{p})" for p in T.REFUSALS))
+_NUMBER, _PAIR = re.compile(r"\d[\d,]*(?:\.\d+)?"), re.compile(r"<(PH_\d+)>.*?</\1>", re.DOTALL)
+
+
+def answered(response: str) -> tuple[list[dict[str, str]] | None, str | None]:
+    """(items, reason) of one response, as ``parse_responses`` has them."""
+    if _REFUSED.search(response.lower()):
+        return None, "model_refusal"
+    t = response.strip()
+    if t.startswith("```"):
+        t = re.sub(r"\s*```\s*\Z", "", re.sub(r"\A```(?:json)?\s*", "", t, flags=re.IGNORECASE))
+    inner = re.search(r"[\[{].*[\]}]", t, re.DOTALL)
+    items = _items(inner.group() if inner else t)
+    return items, None if items is not None else "model_response_invalid"
+
+
+def _numbers(text: str) -> Counter[str]:
+    return Counter(n.replace(",", "") for n in _NUMBER.findall(text))
+
+
+def first_failure(batch: list[dict], items: list[dict[str, str]]) -> str | None:
+    """Why the answer to a batch (unit_id, text, names) is rejected, as ``validate_batches`` has it; null if it passes."""
+    if [x["id"] for x in items] != [u["unit_id"] for u in batch]:
+        return "id_validation_failed"
+    for u, x in zip(batch, items, strict=True):
+        t = x["text"].strip()
+        if not t:
+            return "empty_translation"
+        if _REFUSED.search(t.lower()):
+            return "model_refusal"
+        if "\ufffd" in t:
+            return "replacement_character_validation_failed"
+        if Counter(m.group(1) for m in _PAIR.finditer(t)) != Counter(u["names"]):
+            return "placeholder_validation_failed"
+        if _numbers(u["text"]) - _numbers(t):
+            return "number_validation_failed"
+    return None

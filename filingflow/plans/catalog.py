@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Batch, Block, Config, Model
 from ..functions import text as T
 from ..operators import cache as C
 from ..operators import html_units as H
@@ -22,6 +23,7 @@ from ..operators import submission as S
 from ..operators.provider import KeyedProvider, usage_totals
 from ..session import materialize, ship
 from ..sources.files import empty_files
+from . import translate as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,7 +100,9 @@ def clip_preview(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.clip(F.col("text")).alias("preview"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN '<PH_>' || text ELSE text END AS plain FROM documents")
+@query(r"""
+SELECT doc_id, regexp_replace(CASE doc_id % 3 WHEN 0 THEN '<PH_0>' || text || '</PH_0>' WHEN 1 THEN text || '<PH_12></PH_12>' ELSE '<PH_>' || text END, '</?PH_[0-9]+>', '', 'g') AS plain
+FROM documents""")
 def strip_placeholders(spark, sf_dir):
     marked = _pick("doc_id", F.concat(F.lit("<PH_0>"), "text", F.lit("</PH_0>")), F.concat("text", F.lit("<PH_12></PH_12>")), F.concat(F.lit("<PH_>"), "text"))
     return _read(spark, sf_dir, "documents").select("doc_id", T.strip_placeholders(marked).alias("plain"))
@@ -133,7 +137,15 @@ def numbers_preserved(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.numbers_preserved(F.col("text"), answer).alias("preserved"))
 
 
-@query("SELECT doc_id, doc_id % 4 IN (0, 3) AS ok FROM documents")
+def _pairs(x: str, names: tuple[int, ...]) -> str:
+    """Whether a text has each of these placeholders once, well-paired, and no other one of the first six."""
+    return " AND ".join(f"len(regexp_extract_all({x}, '(?s)<PH_{k}>.*?</PH_{k}>')) = {int(k in names)}" for k in range(6))
+
+
+@query(f"""
+SELECT doc_id, {_pairs('t', (0, 1))} AS ok FROM (
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<PH_0>a</PH_0>' || text || '<PH_1>b</PH_1>' WHEN 1 THEN '<PH_0>a</PH_0>' || text || '<PH_1>b</PH_2>' WHEN 2 THEN text
+    ELSE '<PH_1>b</PH_1>' || text || '<PH_0>a</PH_0>' END AS t FROM documents)""")
 def placeholder_check(spark, sf_dir):
     both = F.concat(F.lit("<PH_0>a</PH_0>"), F.col("text"), F.lit("<PH_1>b</PH_1>"))
     wrong = F.concat(F.lit("<PH_0>a</PH_0>"), F.col("text"), F.lit("<PH_1>b</PH_2>"))
@@ -157,16 +169,28 @@ def replacement_char(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", T.has_replacement_character(t).alias("damaged"))
 
 
-@query("""
-SELECT event_id, CASE event_id % 4 WHEN 3 THEN 'no payload' ELSE props END AS payload FROM events""")
+def _payload(x: str) -> str:
+    """A text without its code fence, from the first bracket to the last one."""
+    bare = rf"CASE WHEN starts_with(trim({x}), '```') THEN regexp_replace(regexp_replace(trim({x}), '^```(?:json)?\s*', '', 'i'), '\s*```\s*$', '') ELSE trim({x}) END"
+    return rf"coalesce(nullif(regexp_extract({bare}, '(?s)([\[{{].*[\]}}])', 1), ''), {bare})"
+
+
+@query(f"""
+SELECT event_id, {_payload('w')} AS payload FROM (
+  SELECT event_id, CASE event_id % 4 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'Here: ' || props || ' bye' WHEN 2 THEN props ELSE 'no payload' END AS w FROM events)""")
 def json_payload_slice(spark, sf_dir):
     wrapped = _pick("event_id", F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.concat(F.lit("Here: "), "props", F.lit(" bye")), F.col("props"), F.lit("no payload"))
     return _read(spark, sf_dir, "events").select("event_id", T.json_payload(wrapped).alias("payload"))
 
 
-@query("""
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a|' || CAST(user_id AS VARCHAR) WHEN 1 THEN 'b|' || event_type END AS first,
-       CASE event_id % 4 WHEN 2 THEN 'model_response_invalid' WHEN 3 THEN 'model_refusal' END AS reason FROM events""")
+@query(f"""
+WITH r AS (
+  SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Sure: [{{"id":"a","text":' || CAST(user_id AS VARCHAR) || '}}]' WHEN 1 THEN '```json' || chr(10) || '{{"id":"b","text":"' || event_type || '"}}' || chr(10) || '```'
+    WHEN 2 THEN props || ']' ELSE 'I cannot do this.' END AS response FROM events
+), p AS (SELECT event_id, {_refused('lower(response)')} AS refused, {_payload('response')} AS p FROM r),
+j AS (SELECT event_id, refused, CASE WHEN NOT refused AND json_valid(p) THEN CASE WHEN json_type(p) = 'ARRAY' THEN json_extract(p, '$[0]') ELSE json(p) END END AS x FROM p)
+SELECT event_id, CASE WHEN json_exists(x, '$.id') AND json_exists(x, '$.text') THEN json_extract_string(x, '$.id') || '|' || json_extract_string(x, '$.text') END AS first,
+       CASE WHEN refused THEN 'model_refusal' WHEN x IS NULL OR NOT json_exists(x, '$.id') OR NOT json_exists(x, '$.text') THEN 'model_response_invalid' END AS reason FROM j""")
 def parse_responses(spark, sf_dir):
     many = F.concat(F.lit('Sure: [{"id":"a","text":'), F.col("user_id").cast("string"), F.lit("}]"))
     one = F.concat(F.lit('```json\n{"id":"b","text":"'), "event_type", F.lit('"}\n```'))
@@ -175,7 +199,16 @@ def parse_responses(spark, sf_dir):
     return V.parse_responses(rows).select("event_id", F.concat(first["id"], F.lit("|"), first["text"]).alias("first"), "reason")
 
 
-_VALID = "CASE doc_id % 6 WHEN 1 THEN 'empty_translation' WHEN 2 THEN 'model_refusal' WHEN 3 THEN 'replacement_character_validation_failed' WHEN 4 THEN 'placeholder_validation_failed' WHEN 5 THEN 'number_validation_failed' END"
+_VALID = rf"""
+WITH a AS (
+  SELECT doc_id, 'In 2024: ' || text AS source, CASE doc_id % 6 WHEN 0 THEN 'In 2024: ' || text WHEN 1 THEN ' ' || chr(10) WHEN 2 THEN 'In 2024: ' || text || ' policy' WHEN 3 THEN 'In 2024: ' || text || chr(65533)
+    WHEN 4 THEN 'In 2024: ' || text || '<PH_0>x</PH_0>' ELSE replace('In 2024: ' || text, '2024', '') END AS answer FROM documents
+), t AS (SELECT doc_id, regexp_replace(answer, '^{_WS}+|{_WS}+$', '', 'g') AS t, {_numbers("source")} AS x, {_numbers("answer")} AS y FROM a),
+v AS (
+  SELECT doc_id, CASE WHEN t = '' THEN 'empty_translation' WHEN {_refused("lower(t)")} THEN 'model_refusal' WHEN contains(t, chr(65533)) THEN 'replacement_character_validation_failed'
+    WHEN NOT ({_pairs("t", ())}) THEN 'placeholder_validation_failed'
+    WHEN len(list_filter(list_distinct(x), lambda n: len(list_filter(x, lambda z: z = n)) > len(list_filter(y, lambda z: z = n)))) > 0 THEN 'number_validation_failed' END AS reason FROM t
+)"""
 
 
 def _validated(spark, sf_dir):
@@ -184,12 +217,12 @@ def _validated(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", V.unit_failure(source, answer, F.array().cast("array<string>")).alias("reason"))
 
 
-@query(f"SELECT doc_id, {_VALID} AS reason FROM documents")
+@query(_VALID + " SELECT doc_id, reason FROM v")
 def validate_first_failure(spark, sf_dir):
     return _validated(spark, sf_dir)
 
 
-@query(f"SELECT doc_id % 10 AS doc_id, reason, count(*) AS n FROM (SELECT doc_id, {_VALID} AS reason FROM documents) WHERE reason IS NOT NULL GROUP BY 1, 2")
+@query(_VALID + " SELECT doc_id % 10 AS doc_id, reason, count(*) AS n FROM v WHERE reason IS NOT NULL GROUP BY 1, 2")
 def failure_histogram(spark, sf_dir):
     return R.failure_histogram(_validated(spark, sf_dir).withColumn("doc_id", F.col("doc_id") % 10).withColumn("reason", F.concat("reason", F.lit(": detail"))))
 
@@ -221,38 +254,37 @@ def header_fields(spark, sf_dir):
     return _submissions(spark, sf_dir).select("filing_id", m.alias("m")).select("filing_id", F.col("m")["accession_number"].alias("accession"), F.col("m")["company_name"].alias("company"), F.col("m")["fiscal_year_end"].alias("year_end"), F.size("m").alias("n"))
 
 
-def _payload_texts(spark, sf_dir, part="substring(text, 1, 300)", line_break="\n"):
-    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filing_id"), "doc_id", F.expr(part).alias("t")).withColumn("b", F.replace(F.base64(F.col("t").cast("binary")), F.lit("\r\n"), F.lit(line_break)))
+def _payload_texts(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filing_id"), "doc_id", F.col("text").alias("t")).withColumn("b", F.replace(F.base64(F.col("t").cast("binary")), F.lit("\r\n"), F.lit("")))
     uu = F.lit("begin 644 cat.txt\n#0V%T\n`\nend")
-    text = _pick("doc_id", F.col("b"), F.concat(F.col("b"), F.lit("*")), F.concat(F.lit("note "), F.col("t")), uu, F.lit("begin 644 x\nMé"))
+    text = _pick("doc_id", F.col("b"), F.concat(F.col("b"), F.lit("*")), F.concat(F.lit("note "), F.col("t")), uu, F.lit("begin 644 x\nM\u00e9"))
     kind = _pick("doc_id", "image", "binary", "text", "text", "html")
     return d.select("filing_id", F.lit(0).alias("doc_ordinal"), text.alias("text"), kind.alias("content_kind"))
 
 
 @query("""
-WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS filing_id, doc_id % 5 AS k, substr(text, 1, 300) AS t FROM documents),
-p AS (SELECT *, octet_length(encode(t)) AS n FROM d)
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS filing_id, doc_id % 5 AS k, text AS t, base64(encode(text)) || '*' AS raw FROM documents)
 SELECT filing_id, CASE k WHEN 0 THEN 'base64' WHEN 1 THEN 'raw' WHEN 3 THEN 'uuencode' ELSE 'text' END AS decode_status,
-       CASE k WHEN 0 THEN sha256(t) WHEN 2 THEN sha256('note ' || t) WHEN 3 THEN sha256('Cat') WHEN 4 THEN sha256('begin 644 x' || chr(10) || 'Mé') END AS payload,
-       CAST(CASE k WHEN 0 THEN n WHEN 2 THEN length(t) + 5 WHEN 3 THEN 3 WHEN 4 THEN 14 END AS BIGINT) AS size FROM p""")
+       CASE k WHEN 0 THEN sha256(t) WHEN 1 THEN sha256(raw) WHEN 2 THEN sha256('note ' || t) WHEN 3 THEN sha256('Cat') WHEN 4 THEN sha256('begin 644 x' || chr(10) || 'M\u00e9') END AS payload,
+       CAST(CASE k WHEN 0 THEN octet_length(encode(t)) WHEN 1 THEN length(raw) WHEN 2 THEN length(t) + 5 WHEN 3 THEN 3 WHEN 4 THEN 14 END AS BIGINT) AS size FROM d""")
 def decode_payloads(spark, sf_dir):
-    out = S.decode_payloads(_payload_texts(spark, sf_dir))
-    raw = F.col("decode_status") == "raw"  # the size of what is not base64 follows Spark's line breaks
-    return out.select("filing_id", "decode_status", F.when(~raw, F.sha2("payload", 256)).alias("payload"), F.when(~raw, F.col("size")).alias("size"))
+    """Payloads of the whole texts: base64, what is nearly base64, plain, uuencoded and nearly uuencoded."""
+    return S.decode_payloads(_payload_texts(spark, sf_dir)).select("filing_id", "decode_status", F.sha2("payload", 256).alias("payload"), "size")
 
 
-@query("""
-WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS filing_id, doc_id % 5 AS k, text AS t, base64(encode(text)) || '*' AS raw FROM documents)
-SELECT filing_id, CASE k WHEN 0 THEN 'base64' WHEN 1 THEN 'raw' WHEN 3 THEN 'uuencode' ELSE 'text' END AS decode_status,
-       CASE k WHEN 0 THEN sha256(t) WHEN 1 THEN sha256(raw) WHEN 2 THEN sha256('note ' || t) WHEN 3 THEN sha256('Cat') WHEN 4 THEN sha256('begin 644 x' || chr(10) || 'Mé') END AS payload,
-       CAST(CASE k WHEN 0 THEN octet_length(encode(t)) WHEN 1 THEN length(raw) WHEN 2 THEN length(t) + 5 WHEN 3 THEN 3 WHEN 4 THEN 14 END AS BIGINT) AS size FROM d""")
-def decode_whole_payloads(spark, sf_dir):
-    """As decode_payloads, over the whole texts, base64 without line breaks and raw rows compared as well."""
-    out = S.decode_payloads(_payload_texts(spark, sf_dir, "text", ""))
-    return out.select("filing_id", "decode_status", F.sha2("payload", 256).alias("payload"), "size")
+_KINDS = "list_extract(['html', 'html', 'image', 'xbrl', 'xml', 'text', 'binary', 'unknown'], doc_id % 8 + 1)"
+_PACKED = rf"regexp_replace(t, '{_WS}+', '', 'g')"
 
 
-@query(None)
+@query(rf"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS filing_id, doc_id, lang, trim(regexp_replace(translate(text, '<>&', '   '), '[\s\x0b]+', ' ', 'g')) AS t FROM documents),
+k AS (SELECT *, {_KINDS} AS kind, doc_id % 8 IN (2, 6) AS bin, length({_PACKED}) % 4 = 0 AND regexp_full_match({_PACKED}, '[A-Za-z0-9+/]*={{0,2}}') AS packs FROM d),
+z AS (SELECT *, CASE WHEN bin AND packs THEN 'base64' WHEN bin THEN 'raw' ELSE 'text' END AS status FROM k)
+SELECT filing_id, '{{"source":"' || filing_id || '","filing":{{"accession_number":"' || filing_id || '","company_name":"Firm: ' || lang || '","fiscal_year_end":""}},"documents":['
+  || '{{"doc_ordinal":0,"sequence":1,"type":"20-F","filename":"' || list_extract(['a.htm', 'b.XHTML', 'c.png', 'd.xsd', 'e.xml', 'f.txt', 'g.pdf', 'R1'], doc_id % 8 + 1) || '","description":"Main","content_kind":"' || kind
+  || '","decode_status":"' || status || '","size":' || CAST(CASE status WHEN 'base64' THEN length({_PACKED}) // 4 * 3 - length(regexp_extract({_PACKED}, '=*$')) WHEN 'raw' THEN octet_length(encode(t)) ELSE length(t) END AS VARCHAR) || '}},'
+  || '{{"doc_ordinal":1,"type":"' || list_extract(['GRAPHIC', 'EX-101.INS', 'ZIP'], doc_id % 3 + 1) || '","filename":"data.bin","description":"","content_kind":"' || list_extract(['image', 'xbrl', 'unknown'], doc_id % 3 + 1)
+  || '","decode_status":"' || CASE doc_id % 3 WHEN 0 THEN 'base64","size":3' ELSE 'text","size":4' END || '}}]}}' AS manifest FROM z""")
 def manifests(spark, sf_dir):
     s = _submissions(spark, sf_dir)
     d = S.split_documents(s)
@@ -305,6 +337,21 @@ def cache_last_wins(spark, sf_dir):
     return C.last_wins(rows).select("cache_key", "text")
 
 
+@query("""
+WITH l AS (
+  SELECT event_id AS seq, event_id % 3 AS run, CAST(user_id AS VARCHAR) AS k, event_type AS t, event_id % 7 AS kind FROM events
+), v AS (SELECT * FROM l WHERE kind NOT IN (1, 2, 3, 4, 5))
+SELECT k AS cache_key, arg_max(t, run * 1000000000 + seq) AS text, arg_max(CASE WHEN seq % 2 = 0 THEN 'source' ELSE 'm' END, run * 1000000000 + seq) AS provider FROM v GROUP BY 1""")
+def cache_log(spark, sf_dir):
+    """The log from its lines: blank, broken, listed, nameless and damaged ones are left out; the latest run wins, then the latest line."""
+    row = F.struct(F.col("user_id").cast("string").alias("cache_key"), F.col("event_type").alias("text"), F.when(F.col("event_id") % 2 == 0, "source").otherwise("m").alias("provider"), (F.col("event_id") % 3).alias("run"))
+    damaged = F.to_json(F.struct(F.col("user_id").cast("string").alias("cache_key"), F.lit("\ufffd").alias("text"), F.lit(9).alias("run")))
+    nameless = F.to_json(F.struct(F.lit("").alias("cache_key"), F.col("event_type").alias("text")))
+    line = _pick("event_id", F.to_json(row), F.lit(" "), F.concat(F.to_json(row), F.lit("}")), F.concat(F.lit("["), F.to_json(row), F.lit("]")), nameless, damaged, F.to_json(row))
+    lines = _read(spark, sf_dir, "events").select(line.alias("value"), F.struct(F.lit("a.jsonl").alias("file"), F.col("event_id").alias("line")).alias("seq"))
+    return C.last_wins(C.parse_lines(lines)).select("cache_key", "text", "provider")
+
+
 # --- planning -------------------------------------------------------------------------------------------------------
 
 _BATCHES = f"""
@@ -343,7 +390,16 @@ def mini_blocks(spark, sf_dir):
     return P.mini_blocks(rows).select("doc_id", "batch_no", F.array_join(F.transform("near", lambda x: x["batch_no"].cast("string")), ",").alias("near"))
 
 
-@query(None)
+@query(_BATCHES.replace("WITH RECURSIVE", "WITH RECURSIVE") + """, z AS (
+  SELECT doc_id, batch_no, sum(length(CAST(to_json({'id': unit_id, 'text': text}) AS VARCHAR)) + 3) + 2 * count(*) - 2 + length('{"batch_id": "batch_001", "items": []}') + 2 AS own FROM g GROUP BY 1, 2
+), k AS (
+  SELECT doc_id, batch_no, 1 AS block_no, 1 AS n, own AS chars FROM z WHERE batch_no = 1
+  UNION ALL
+  SELECT z.doc_id, z.batch_no, CASE WHEN k.n >= 5 OR (k.chars + z.own + 1) // 2 > 400 THEN k.block_no + 1 ELSE k.block_no END,
+         CASE WHEN k.n >= 5 OR (k.chars + z.own + 1) // 2 > 400 THEN 1 ELSE k.n + 1 END, CASE WHEN k.n >= 5 OR (k.chars + z.own + 1) // 2 > 400 THEN z.own ELSE k.chars + z.own END
+  FROM k JOIN z ON z.doc_id = k.doc_id AND z.batch_no = k.batch_no + 1
+)
+SELECT doc_id, CAST(batch_no AS INTEGER) AS batch_no, CAST(block_no AS INTEGER) AS block_no FROM k""")
 def plan_blocks(spark, sf_dir):
     return P.plan_blocks(_batched(spark, sf_dir), 400, 5)
 
@@ -381,11 +437,59 @@ def ladder_results(spark, sf_dir):
     return _ran(spark, sf_dir)[0].select("doc_id", "unit_id", "provider")
 
 
+_ANSWERED = "CASE WHEN length(text) % 20 = 3 THEN 'source' WHEN length(text) % 10 = 3 THEN 'second' ELSE 'keyed' END"
+
+
+@query(f"""WITH {_UNITS}, p AS (SELECT doc_id, {_ANSWERED} AS p FROM u)
+SELECT doc_id, count(*) AS total_units, count(*) FILTER (WHERE p = 'keyed') AS primary_success, count(*) FILTER (WHERE p = 'second') AS fallback_success, count(*) FILTER (WHERE p = 'source') AS source_retained FROM p GROUP BY 1""")
+def ladder_summary(spark, sf_dir):
+    """The counters of the ladder's reports, read back from their JSON."""
+    report = F.from_json("report", "summary struct<total_units:bigint,primary_success:bigint,fallback_success:bigint,source_retained:bigint>")
+    return R.reports(*_ran(spark, sf_dir)).select("doc_id", report["summary"].alias("s")).select("doc_id", "s.*")
+
+
 @query(None)
 def ladder_reports(spark, sf_dir):
     return R.reports(*_ran(spark, sf_dir))
 
 
+def _narrow_provider():
+    """A model whose context holds two batches of a block."""
+
+    class Narrow(KeyedProvider):
+        def translate(self, request):
+            if request["prompt"].count('"batch_id"') > 2:
+                raise RuntimeError("maximum context length exceeded")
+            return super().translate(request)
+
+    return Narrow("keyed", make=lambda t: "\ufffd" if len(t) % 10 == 3 else f"one: {t}")
+
+
+def _wide_provider():
+    return KeyedProvider("keyed", make=lambda t: "\ufffd" if len(t) % 10 == 3 else f"one: {t}")
+
+
+def _second_provider():
+    return KeyedProvider("second", make=lambda t: "" if len(t) % 20 == 3 else f"two: {t}")
+
+
+_RUN = f"""WITH {_UNITS} SELECT doc_id, unit_id, {_ANSWERED} AS provider,
+  CASE WHEN length(text) % 20 = 3 THEN text WHEN length(text) % 10 = 3 THEN 'two: ' || text ELSE 'one: ' || text END AS result FROM u"""
+
+
+@query(_RUN)
+def block_run(spark, sf_dir):
+    """Block mode over all documents: prompts that do not fit shrink to what does."""
+    config = Config(batch=Batch(max_units=4), block=Block(enabled=True, target_batch_units=4, max_batch_chars=2000, max_batches_per_block=6, max_workers=16, warmup_delay_seconds=0.0), model=Model("keyed", max_retries=1))
+    return W.blocks(_units(spark, sf_dir), _narrow_provider, _second_provider, config)[0].select("doc_id", "unit_id", "provider", "result")
+
+
+@query(_RUN)
+def linear_run(spark, sf_dir):
+    """Linear mode over all documents, with validation, shrinking batches and the fallback model."""
+    return W.linear(_units(spark, sf_dir), _wide_provider, _second_provider)[0].select("doc_id", "unit_id", "provider", "result")
+
+
 @query("""
 SELECT user_id % 50 AS doc_id, count(*) AS total_units, count(*) FILTER (WHERE event_id % 6 = 0) AS cache_hits, count(*) FILTER (WHERE event_id % 6 = 1) AS primary_success, count(*) FILTER (WHERE event_id % 6 = 2) AS repair_success,
        count(*) FILTER (WHERE event_id % 6 = 3) AS mini_block_success, count(*) FILTER (WHERE event_id % 6 = 4) AS fallback_success, count(*) FILTER (WHERE event_id % 6 = 5) AS source_retained FROM events GROUP BY 1""")

@@ -42,12 +42,23 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once under ``spark.checkpoint.dir`` and read from there, so that costly calls are not
-    repeated when executors are lost or a second action runs. Only where that setting is unset a folder is made for it."""
+    repeated when executors are lost or a second action runs. Only a local session without that setting gets a temporary
+    folder; on a cluster, where other machines would not see it, this is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="filingflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/filingflow/{name}-{uuid.uuid4().hex[:12]}"

@@ -5,18 +5,20 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import FilingError
-from ..operators.submission import as_text
+from ..operators.submission import as_text, header_fields
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """filing_id (the file's folder), source_file, submission: each bundle below ``path`` as one text."""
+    """filing_id (the file's folder), source_file, submission, content: each bundle below ``path`` as one text and as its bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("filing_id"), F.col("path").alias("source_file"), as_text(F.col("content")).alias("submission"))
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("filing_id"), F.col("path").alias("source_file"), as_text(F.col("content")).alias("submission"), "content")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -26,24 +28,55 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mirror(spark: SparkSession, root: str, requests: DataFrame) -> DataFrame:
-    """The submissions of a local mirror ``root/TICKER/FORM/accession/…`` that the requests (ticker, form) name, in any case."""
+    """The submissions of a local mirror ``root/TICKER/FORM/accession/…`` that the requests (ticker, form) name, in any case.
+
+    A request may have ``after`` and ``before``, the first and last day of filing as YYYY-MM-DD, and ``limit``: so many of
+    the latest. A null sets no bound; a bundle without a filing date meets no bound of time and counts as the oldest.
+    """
     rows = read_submissions(spark, root).withColumn("_p", F.split("source_file", "/"))
     rows = rows.withColumn("ticker", F.element_at("_p", -4)).withColumn("form", F.element_at("_p", -3)).drop("_p")
-    wanted = requests.select(F.upper("ticker").alias("ticker"), F.upper("form").alias("form")).distinct()
-    return rows.join(wanted, ["ticker", "form"], "left_semi")
+    known = {"after": "string", "before": "string", "limit": "int"}
+    bounds = [(F.col(c) if c in requests.columns else F.lit(None)).cast(t).alias(c) for c, t in known.items()]
+    wanted = requests.select(F.upper("ticker").alias("ticker"), F.upper("form").alias("form"), *bounds).distinct()
+    filed = F.regexp_replace(F.element_at(header_fields(F.col("submission")), "filed_as_of_date"), "[^0-9]", "")
+    day = lambda c: F.regexp_replace(c, "-", "")
+    met = rows.join(wanted, ["ticker", "form"]).withColumn("_filed", filed)
+    met = met.where((F.col("after").isNull() | (F.col("_filed") >= day("after"))) & (F.col("before").isNull() | (F.col("_filed") <= day("before"))))
+    latest = Window.partitionBy("ticker", "form", *known).orderBy(F.desc_nulls_last("_filed"), F.desc("source_file"))
+    ranks = met.select("ticker", "form", *known, "_filed", "source_file").withColumn("_n", F.row_number().over(latest)).where(F.col("limit").isNull() | (F.col("_n") <= F.col("limit")))
+    return rows.join(ranks.select("source_file").distinct(), "source_file", "left_semi")
 
 
 def read_cache_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, seq: the lines of JSONL files; later lines of a file, and later files by name, have larger numbers."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("seq"))
-    return lines.select("value", "seq")
+    """value, seq: the lines of JSONL files; later lines of a file, and later files by name, have larger numbers.
+
+    Within a split Spark numbers rows in the order of the file; splits are ordered by file and start, not by when they are read.
+    """
+    meta = F.col("_metadata")
+    return spark.read.text(path).select("value", F.struct(meta["file_name"].alias("file"), meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("line")).alias("seq"))
 
 
 def empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length of files without bytes, from a listing: Spark's file sources leave such files out when they plan a scan."""
+    """path, length of files without bytes, from a listing: Spark's file sources leave such files out when they plan a scan.
+
+    The driver lists the top folder alone; the folders in it are dealt over tasks, which list what lies below them.
+    """
     fs, root = pafs.FileSystem.from_uri(path)
-    found = [(i.path, 0) for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File and not i.size]
-    return spark.createDataFrame(found, "path string, length long")
+    top = fs.get_file_info(pafs.FileSelector(root))
+    folders = [i.path for i in top if i.type == pafs.FileType.Directory]
+    own = spark.createDataFrame([(i.path, 0) for i in top if i.type == pafs.FileType.File and not i.size], "path string, length long")
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = pafs.FileSystem.from_uri(path)
+        for b in batches:
+            for folder in b.column("folder").to_pylist():
+                found = [i.path for i in files.get_file_info(pafs.FileSelector(folder, recursive=True)) if i.type == pafs.FileType.File and not i.size]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([0] * len(found), pa.int64())], names=["path", "length"])
+
+    if not folders:
+        return own
+    dealt = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 1000))
+    return own.unionByName(dealt.mapInArrow(below, "path string, length long"))
 
 
 def check_download(spark: SparkSession, path: str, count: int | None) -> None:
@@ -89,6 +122,7 @@ def write_files(rows: DataFrame, folder: str, overwrite: bool = False) -> int:
     return rows.count()
 
 
-def pretty(column: str):
-    """A JSON text with an indent of two and non-ASCII letters kept."""
-    return F.udf(lambda x: None if x is None else json.dumps(json.loads(x), indent=2, ensure_ascii=False))(F.col(column))
+@F.arrow_udf(StringType())
+def pretty(texts: pa.Array) -> pa.Array:
+    """JSON texts with an indent of two and non-ASCII letters kept."""
+    return pa.array([None if x is None else json.dumps(json.loads(x), indent=2, ensure_ascii=False) for x in texts.to_pylist()], pa.string())

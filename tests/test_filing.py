@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +147,34 @@ def test_cache_files(spark, tmp_path):
     assert [(r.cache_key, r.text) for r in rows.collect()] == [("a", "2")]
 
 
+def test_cache_log_orders_runs_and_files(spark, tmp_path):
+    line = lambda text, **more: json.dumps({"cache_key": "k", "text": text, "provider": "m", **more}) + "\n"
+    for first, second in (("old", "new"), ("old" * 9000, "new"), ("old", "new" * 9000)):  # the order of sizes must not matter
+        folder = tmp_path / f"{len(first)}-{len(second)}"
+        folder.mkdir()
+        (folder / "a.jsonl").write_text(line("older") + line(first))
+        (folder / "b.jsonl").write_text(line(second))
+        rows = C.last_wins(C.parse_lines(files.read_cache_lines(spark, str(folder)))).collect()
+        assert [r.text for r in rows] == [second]
+    log = str(tmp_path / "log")
+    for run, text in ((1, "one"), (2, "two")):
+        results = spark.createDataFrame([("k", "f", 1, "u_0001", "source", text, "m")], "cache_key string, file_hash string, doc_id long, unit_id string, source_text string, result string, provider string")
+        C.append(C.cache_rows(results, C.prompt_hash("p"), "zh-CN", "m", run), log)
+    found = C.last_wins(C.parse_lines(files.read_cache_lines(spark, log)))
+    assert found.first().text == "two" and C.next_run(found) == 3
+    assert {f.name for f in found.schema} >= {"file_hash", "source_hash", "prompt_hash", "target_language", "model", "source_preview"}
+
+
+def test_mirror_bounds(spark, tmp_path):
+    for k, day in enumerate(("20230105", "20230601", "20240201")):
+        folder = tmp_path / "ACME" / "20-F" / f"acc{k}"
+        folder.mkdir(parents=True)
+        (folder / "full-submission.txt").write_text(f"<SEC-HEADER>\nFILED AS OF DATE: {day}\n</SEC-HEADER>\n" + BUNDLE)
+    ask = lambda **more: sorted(r.filing_id for r in files.read_mirror(spark, str(tmp_path), spark.createDataFrame([("acme", "20-f", more.get("after"), more.get("before"), more.get("limit"))], "ticker string, form string, after string, before string, limit int")).collect())
+    assert ask() == ["acc0", "acc1", "acc2"] and ask(limit=2) == ["acc1", "acc2"]
+    assert ask(after="2023-02-01", before="2023-12-31") == ["acc1"]
+
+
 def test_config():
     c = config.loads('﻿[model]\nmodel = "m"\n[batch]\nmin_units = 2\n[sec]\nemail = "a@b.co"\n')
     assert c.model.model == "m" and c.batch.min_units == 2 and c.fallback_model is None and config.loads(config.TEMPLATE).model is None

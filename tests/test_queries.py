@@ -36,7 +36,7 @@ def test_whole_texts_reach_the_operators(spark, tmp_path):
     assert counts[(0, "model_refusal")] == 1 and counts[(6, "replacement_character_validation_failed")] == 1
     ok = {r.doc_id: r.ok for r in QUERIES["placeholder_check"](spark, str(tmp_path)).collect()}
     assert (ok[0], ok[12], ok[24], ok[4]) == (True, False, True, True)
-    got = {r.filing_id: r for r in QUERIES["decode_whole_payloads"](spark, str(tmp_path)).collect()}
+    got = {r.filing_id: r for r in QUERIES["decode_payloads"](spark, str(tmp_path)).collect()}
     whole = (long + ends[10]).encode()
     raw = base64.b64encode((long + ends[16]).encode()) + b"*"
     assert got["10"].decode_status == "base64" and got["10"].size == len(whole) and got["10"].payload == hashlib.sha256(whole).hexdigest()
