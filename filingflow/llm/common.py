@@ -44,23 +44,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/filingflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Lets Spark delete the shuffle files of a finished write.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a step is written: Spark deletes the shuffle files of the finished write, and Arrow batches stay small, as
+#: rows can be long texts and executors share their memory with Python workers.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read from there: later steps survive lost executors.
 
-    Nothing later reads the shuffle files of this step, so Spark deletes them when the write ends; the setting for that is
-    put back. ``rows_per_file`` splits the files, so that few long rows are dealt over tasks when they are read.
+    Nothing later reads the shuffle files of this step. The session's settings are put back when the write ends.
+    ``rows_per_file`` splits the files, so that few long rows are dealt over tasks when they are read.
     """
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    path, before = scratch(spark, name), {k: spark.conf.get(k) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

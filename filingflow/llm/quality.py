@@ -31,7 +31,10 @@ MIN_WORDS = 50
 #: on one side, even a quarter of a language, does not widen it.
 REACH, LEAST = 7.0, 0.7
 #: Bytes of text in a chunk, and behind a range of hashes; the number of ranges is a power of two.
-PACK_BYTES, RANGE_BYTES, LEAST_RANGES = 8_000_000, 256_000_000, 16
+PACK_BYTES, RANGE_BYTES, LEAST_RANGES = 4_000_000, 256_000_000, 16
+
+#: Bytes of text whose n-grams are held at a time: 64 bits each, several times over.
+CODED_BYTES = 1_000_000
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -106,7 +109,7 @@ def _languages(blob: bytes) -> Iterator[tuple[int, pa.RecordBatch]]:
 def _grams(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of the rows, sorted, and how often they have each."""
     code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for _, _, flat, offsets in blocks(rows):
+    for _, _, flat, offsets in blocks(rows, limit=CODED_BYTES):
         own, times = np.unique(codes(flat, offsets)[0], return_counts=True)
         code, back = np.unique(np.concatenate([code, own]), return_inverse=True)
         n = np.bincount(back, np.concatenate([n, times]), len(code)).astype(np.int64)
@@ -338,7 +341,7 @@ def measure(documents: DataFrame) -> DataFrame:
             for k, b in _languages(blob.as_py()):
                 code, n = _grams(b)
                 known = told(right.filter(pa.array(langs == k)), code, n, bits)
-                for i, j, flat, offsets in blocks(b):
+                for i, j, flat, offsets in blocks(b, limit=CODED_BYTES):
                     start, end, first = words(flat, offsets)
                     gram, bound = codes(flat, offsets)
                     total = log_sums(gram, bound, code, *known)
