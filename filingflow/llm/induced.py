@@ -77,27 +77,34 @@ def _induce_buckets(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int)
 
 
 def _induce_one_by_one(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    n = len(s)
     size = np.bincount(s, minlength=k)
     end = np.cumsum(size)
-    head, tail = (end - size).tolist(), end.tolist()
-    own, is_s, n = s.tolist(), smaller.tolist(), len(s)
+    head, tail, edge = (end - size).tolist(), end.tolist(), end.tolist()
+    own = s.tolist()
+    # the left neighbour of each suffix if it is of type L, or S, else -1; so has -1, an empty place
+    left = np.arange(-1, n)
+    left[-1] = -1
+    large = np.where((left >= 0) & ~smaller[left], left, -1).tolist()
+    small = np.where((left >= 0) & smaller[left], left, -1).tolist()
     out = [-1] * n
-    edge = end.tolist()
     for i in reversed(lms.tolist()):
         edge[own[i]] -= 1
         out[edge[own[i]]] = i
-    for x in range(n):
-        i = out[x] - 1
-        if i >= 0 and not is_s[i]:
-            c = own[i]
-            out[head[c]] = i
-            head[c] += 1
-    for x in range(n - 1, -1, -1):
-        i = out[x] - 1
-        if i >= 0 and is_s[i]:
-            c = own[i]
-            tail[c] -= 1
-            out[tail[c]] = i
+    for i in out:  # what is placed further on is met later in the same loop
+        j = large[i]
+        if j >= 0:
+            c = own[j]
+            h = head[c]
+            out[h] = j
+            head[c] = h + 1
+    for i in reversed(out):
+        j = small[i]
+        if j >= 0:
+            c = own[j]
+            h = tail[c] - 1
+            out[h] = j
+            tail[c] = h
     out[0] = n - 1
     return np.array(out, np.int64)
 
