@@ -14,6 +14,7 @@ would be predicted from itself.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,23 +80,28 @@ def codes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 # --- chunks of texts and their n-grams -------------------------------------------------------------------------------
 
-PACKED = "blob binary"
+PACKED = "chunk long, blob binary"
 SENT = "part int, chunk long, lang_key long, codes binary, counts binary"
 
 
 def packed(documents: DataFrame) -> DataFrame:
-    """chunk, blob: the rows (doc_id, lang, lang_key, rid, text), some megabytes of text in each compressed blob."""
+    """chunk, blob: the rows (doc_id, lang, lang_key, rid, text), some megabytes of text in each compressed blob.
+
+    A chunk is named by a digest of its blob; where two are equal, so is all that is known of them.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
         for b in batches:
             for i, j, _, _ in blocks(b, limit=PACK_BYTES):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, b.schema, options=options) as out:
                     out.write_batch(b.slice(i, j - i))
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["blob"])
+                blob = sink.getvalue().to_pybytes()
+                chunk = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "big", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "blob"])
 
-    return written(documents.mapInArrow(pack, PACKED).select(F.monotonically_increasing_id().alias("chunk"), "blob"), "quality-texts")
+    return documents.mapInArrow(pack, PACKED)
 
 
 def _languages(blob: bytes) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -246,6 +252,8 @@ def told(rows: pa.Table, code: np.ndarray, n: np.ndarray, bits: int) -> tuple[np
     """(logs, logs had they not been seen, counts) of a chunk's n-grams of one language, from the answers in the order of
     their ranges; the count of an n-gram that other chunks have too is more than any document can have."""
     order, edges = _dealt(code, bits)
+    if set(rows.column("part").to_pylist()) != set(np.flatnonzero(np.diff(edges)).tolist()):
+        raise ValueError("a chunk was not the same when it was made again: the rows of the input must keep their order")
     log, low, count = np.zeros(len(code), np.float32), np.zeros(len(code), np.float32), np.full(len(code), np.iinfo(np.int64).max)
     for part, logs, alone, lower in zip(*(rows.column(c).to_pylist() for c in ("part", "logs", "alone", "lower_logs")), strict=True):
         own = order[edges[part] : edges[part + 1]]
@@ -329,8 +337,9 @@ def measure(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.xxhash64(lang).alias("lang_key"), F.xxhash64(F.col("doc_id").cast("long"), lang, text).alias("rid"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = int(np.ceil(np.log2(max(LEAST_RANGES, total / RANGE_BYTES))))
+    # chunks are made anew in each job, as they are as large as the texts; only the counts and the model are kept
     packs = packed(rows)
-    sent = written(sent_grams(packs, bits), "quality-grams")
+    sent = sent_grams(packs, bits)
     arrays = written(model(probabilities(written(gram_counts(sent), "quality-counts")), bits), "quality-model")
     names = [x.split()[0] for x in MEASURES.split(", ")]
 
