@@ -80,10 +80,16 @@ def split_documents(submissions: DataFrame) -> DataFrame:
     A document without a filename, or whose filename would leave its folder, has an error instead of failing the bundle.
     """
     blocks = submissions.select("filing_id", F.posexplode(F.regexp_extract_all("submission", F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))).alias("doc_ordinal", "block"))
-    b = F.col("block")
-    out = blocks.select(
-        "filing_id", "doc_ordinal", F.expr("try_cast(trim(regexp_extract(block, '(?imdU)^\\\\s*<SEQUENCE>\\\\s*(.*?)\\\\s*$', 1)) AS INT)").alias("sequence"),
-        document_field(b, "TYPE").alias("doc_type"), document_field(b, "FILENAME").alias("filename"), document_field(b, "DESCRIPTION").alias("description"), text_body(b).alias("text"),
+    # tags stand in front of the body, as a rule; a tag that does not is looked for in the whole block
+    head = F.regexp_extract("block", r"(?isd)\A(.*?<TEXT>[^\n]*)", 1)
+    cut = blocks.withColumn("head", F.when(head == "", F.col("block")).otherwise(head))
+
+    def field(tag: str) -> Column:
+        return F.when(F.col("head").rlike(rf"(?imdU)^\s*<{tag}>"), document_field(F.col("head"), tag)).otherwise(document_field(F.col("block"), tag))
+
+    out = cut.select(
+        "filing_id", "doc_ordinal", F.trim(field("SEQUENCE")).try_cast("int").alias("sequence"),
+        field("TYPE").alias("doc_type"), field("FILENAME").alias("filename"), field("DESCRIPTION").alias("description"), text_body(F.col("block")).alias("text"),
     )
     name = F.col("filename")
     error = F.when(name == "", "missing filename").when(name.rlike(r"[/\\]") | name.isin(".", ".."), "unsafe filename")
