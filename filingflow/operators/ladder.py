@@ -45,14 +45,22 @@ class Surroundings:
             rows = rows.withColumn("before", none).withColumn("after", none)
         rows = rows.join(blocks.select("doc_id", F.col("batch_no").alias("no"), "block_no"), ["doc_id", "no"]) if blocks is not None else rows.withColumn("block_no", F.lit(1))
         order = Window.partitionBy("doc_id", "block_no")
-        self.rows = materialize(rows.withColumn("pos", F.row_number().over(order.orderBy("no")) - 1).withColumn("size", F.count("*").over(order)), "surroundings")
+        self._rows, self._kept = rows.withColumn("pos", F.row_number().over(order.orderBy("no")) - 1).withColumn("size", F.count("*").over(order)), None
         self.language, self.outer, self.in_blocks = language, contexts is not None, blocks is not None
 
+    @property
+    def rows(self) -> DataFrame:
+        """Written when they are first asked for: without contexts and blocks only mini blocks need them."""
+        if self._kept is None:
+            self._kept = materialize(self._rows, "surroundings")
+        return self._kept
+
     def start(self, batches: DataFrame) -> DataFrame:
         """The batches with the widest surroundings there are."""
-        wide = F.col("size").cast("int") if self.in_blocks else F.lit(0 if self.outer else -1)
+        if not self.in_blocks:
+            return self.around(batches.select("doc_id", "batch", "units", F.lit(0 if self.outer else -1).alias("wide")))
         rows = batches.join(self.rows.select("doc_id", F.col("root").alias("batch"), "size", "pos"), ["doc_id", "batch"])
-        return self.around(rows.select("doc_id", "batch", "units", wide.alias("wide")))
+        return self.around(rows.select("doc_id", "batch", "units", F.col("size").cast("int").alias("wide")))
 
     def around(self, batches: DataFrame) -> DataFrame:
         """Rows doc_id, batch, units, wide with ``near``: the part of the block, or the context, that the prompt begins with."""
@@ -151,7 +159,9 @@ def run_ladder(
     calls, fallback_calls = calls or Calls(), fallback_calls or Calls()
     batches = materialize(batches_of(units), "batches")
     around = Surroundings(batches, contexts, blocks, language)
-    todo, log, singles, k = materialize(around.start(batches), "todo").withColumn("shrunk", F.lit(False)), [], [], 0
+    start = around.start(batches)
+    todo = (materialize(start, "todo") if contexts is not None or blocks is not None else start).withColumn("shrunk", F.lit(False))
+    log, singles, k = [], [], 0
     empty = todo.drop("shrunk").select(*STATE, *[F.lit(None).cast("string").alias(c) for c in ("rung", "model", "reason", "response")], F.lit(None).cast("array<struct<id:string,text:string>>").alias("items"), *[F.lit(None).cast("long").alias(c) for c in USAGE]).limit(0)
     early = None
     if warm_up is not None and blocks is not None:
@@ -178,7 +188,8 @@ def run_ladder(
         todo = materialize(around.around(less.drop("shrunk")).join(less.select("doc_id", "batch", "shrunk"), ["doc_id", "batch"]), "todo")
         k += 1
     left = reduce(DataFrame.unionByName, singles, empty)
-    mini = calls.attempt(around.mini(left.where(T.is_repairable_error(F.col("reason")))), "mini", primary)
+    single = left.where(T.is_repairable_error(F.col("reason")))
+    mini = None if single.isEmpty() else calls.attempt(around.mini(single), "mini", primary)
     if mini is not None:
         log.append(_named(mini, "mini_block_failed"))
         left = left.join(mini.where("reason is null").select("doc_id", "batch"), ["doc_id", "batch"], "left_anti")
