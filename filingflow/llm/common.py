@@ -1,7 +1,7 @@
 """What the corpus operators share: scratch tables, Arrow batches as flat byte arrays, word and line boundaries, hashes.
 
 A batch of texts is handled as one flat ``uint8`` array with document offsets, so that numpy does the per-byte work for
-many documents at once. Blocks hold about two million bytes (one longer document makes a block of its own), which bounds
+many documents at once. Blocks hold about a million bytes (one longer document makes a block of its own), which bounds
 the memory of a Python worker whatever the table holds.
 """
 
@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 #: ASCII white space: 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
