@@ -399,3 +399,19 @@ def test_runs_of_repeated_units_keep_the_earliest(spark):
     ])
     alone = Counter((r.kept_text, r.n_removed) for r in lines.dedupe_lines(spark.createDataFrame([(4, passage)] * 3, "doc_id long, text string")).collect())
     assert alone == Counter({(passage, 0): 1, ("", len(passage)): 2})
+
+
+def test_rates_solve_the_least_squares(spark):
+    rng = np.random.default_rng(6)
+    p, t = rng.dirichlet([2, 1, 0.6], 400), rng.integers(0, 300, 400)
+    names = [f"p_{d}" for d in mixing.DOMAINS]
+    rows = spark.createDataFrame([(k, int(n), *map(float, x)) for k, (n, x) in enumerate(zip(t, p, strict=True))], "doc_id long, n_tokens long, " + ", ".join(f"{n} double" for n in names))
+    steps, want, now = mixing.solve(rows, mixing.TARGETS)
+    mine = mixing.rates(p, steps)
+    assert (mine >= 0).all() and np.allclose((mine * t) @ p, now, rtol=1e-6) and np.allclose(now, want, rtol=1e-4)
+    a, r = p * t[:, None], np.ones(len(t))  # plain projected gradient, document by document
+    for _ in range(20_000):
+        r = np.maximum(0, r - a @ (r @ a - want) / np.linalg.norm(a, 2) ** 2)
+    assert ((r @ a - want) ** 2).sum() <= ((1e-3 * want) ** 2).sum() and ((mine @ a - want) ** 2).sum() <= ((r @ a - want) ** 2).sum() + 1
+    with pytest.warns(UserWarning, match="misses"):  # no document of the wanted domain
+        mixing.solve(rows.withColumn("p_toxic", rows.p_toxic * 0), {"high": 0.0, "low": 0.0, "toxic": 1.0})
