@@ -28,8 +28,8 @@ END, BEGIN, CLASSES = TOP + SUFFIXES, TOP + SUFFIXES + 1, TOP + SUFFIXES + 2
 WIDTH, NOISE, STEP, BATCH, ROUNDS = 16, 64, 0.15, 1024, 4
 #: Bytes of text in a chunk and behind a range of words, on average; at least so many of each.
 CHUNK_BYTES, RANGE_BYTES, LEAST = 4_000_000, 64_000_000, 32
-#: Training tokens behind a shard of trigrams, and distinct trigrams that a task holds before it sends them.
-SHARD_TOKENS, HELD = 2_000_000, 1_000_000
+#: Training tokens behind a shard of trigrams, and trigrams of blocks that a task holds before it sums or sends them.
+SHARD_TOKENS, HELD = 2_000_000, 2_000_000
 
 
 def tokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,17 +170,21 @@ def trigrams(documents: DataFrame, vocabulary: Vocabulary, shards: int) -> DataF
         return arrow_table(TRIGRAMS, rows).combine_chunks().to_batches()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, code, n = shared.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        vocabulary, held, size = shared.value, [], 0
         for b in batches:
             for _, _, flat, offsets in blocks(b):
                 target, begin = vocabulary.classes(*tokens(flat, offsets))
                 one, two = contexts(target, begin)
-                every = (two * CLASSES + one) * CLASSES + target
-                code, n = _summed(np.concatenate([code, every]), np.concatenate([n, np.ones(len(every), np.int64)]))
-                if len(code) > HELD:
-                    yield from sent(code, n)
-                    code, n = code[:0], n[:0]
-        yield from sent(code, n)
+                held.append(np.unique((two * CLASSES + one) * CLASSES + target, return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield from sent(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from sent(*_summed(*map(np.concatenate, zip(*held, strict=True))))
 
     def merge(key, table):
         code, n = _summed(joined(table.column("codes"), np.uint32), joined(table.column("counts"), np.int64))
