@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate, jaccard, langid, lines, lm, mixing, quality, sharding, suffix, warc
+from . import alignment, decontaminate, jaccard, langid, lines, lm, mixing, quality, sharding, suffix, tokencount, warc
 from .common import read
 
 
@@ -56,6 +57,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(read(spark, sf_dir, "documents", "doc_id", "text"), a, b)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -69,6 +79,7 @@ QUERIES = {
     for q in (
         op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_quality_rules, op4_mixing, op5_language_id,
         op6_warc, op7_substring_dedup, op8_lm_scoring, op9_sharding, op10_decontamination,
+        op12_tokenizer_alignment, op13_token_counts,
     )
 }
 
