@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import alignment, decontaminate, jaccard, langid, lines, lm, mixing, quality, sharding, suffix, tokencount, warc
+from . import alignment, decontaminate, divergence, jaccard, langid, lines, lm, mixing, quality, sharding, suffix, tokencount, warc
 from .common import read
 
 
@@ -57,6 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align(read(spark, sf_dir, "documents", "doc_id", "text"), a, b)
@@ -79,7 +83,7 @@ QUERIES = {
     for q in (
         op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_quality_rules, op4_mixing, op5_language_id,
         op6_warc, op7_substring_dedup, op8_lm_scoring, op9_sharding, op10_decontamination,
-        op12_tokenizer_alignment, op13_token_counts,
+        op11_source_divergence, op12_tokenizer_alignment, op13_token_counts,
     )
 }
 
@@ -166,7 +170,32 @@ SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: Every pair of groups meets over every kept term of its language.
+_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+g AS (SELECT d.lang, d.source, any_value(t.total) AS total FROM d LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) t ON t.lang = d.lang AND t.source = d.source GROUP BY d.lang, d.source),
+x AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(g.total, 0) + 2 * v.v) AS BIGINT) AS p,
+         CAST(1 + (1000000000 * (k.n + 2)) // (v.total + 2 * v.v) AS BIGINT) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM x a JOIN x b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM x WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows) WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLES = {
+    "op11_source_divergence": _DIVERGENCE,
     "op2_ngram_jaccard_join": _JACCARD,
     "op6_warc": _WARC,
     "op7_substring_dedup": _LINES,
