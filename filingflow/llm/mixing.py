@@ -14,8 +14,9 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .common import LOWER, blocks, fresh, span_hashes, words, written
 
@@ -54,7 +55,8 @@ def _sample(documents: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     part = lambda *c: F.pmod(F.xxhash64(*c, F.lit("mix")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     text = F.col("text").cast("string")
     rows = documents.select(F.col("doc_id").cast("long").alias("_doc"), text.alias("text"), F.xxhash64(text).alias("_h"))
-    met = rows.join(known.where(part("_id") <= share), F.col("_doc") == F.col("_id")).dropDuplicates(["_id", "_domain", "_h"])
+    few = F.broadcast(known.where(part("_id") <= share))  # about ``size`` narrow rows, however many are labelled: texts stay in place
+    met = rows.join(few, F.col("_doc") == F.col("_id")).dropDuplicates(["_id", "_domain", "_h"])
     met = written(met.select("_id", "_domain", "_h", "text"), "labelled")
     return met.where(part("_id", "_domain", "_h") <= min(1.0, size / max(met.count(), 1))).select("_domain", "text")
 
@@ -100,28 +102,29 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-POSTERIORS = "doc_id long, rid long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
+def _posterior(classifier: tuple[np.ndarray, np.ndarray], flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(posteriors, words) of each document; a text without words has the bias alone."""
+    w, bias = classifier
+    document, bucket, value, n = _bag(flat, offsets)
+    logits = np.stack([np.bincount(document, value * w[bucket, k], len(n)) for k in range(len(DOMAINS))], 1) + bias
+    return _softmax(logits), n
+
+
+POSTERIORS = "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
 
 
 def posteriors(documents: DataFrame, classifier: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, rid (a hash of doc_id and text), n_tokens and the posterior of each domain for every row; a text without words
-    has the bias alone."""
+    """doc_id, n_tokens and the posterior of each domain for every row."""
     shared = documents.sparkSession.sparkContext.broadcast(classifier)
     names = [x.split()[0] for x in POSTERIORS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias = shared.value
         for b in batches:
             for i, j, flat, offsets in blocks(b):
-                document, bucket, value, n = _bag(flat, offsets)
-                logits = np.stack([np.bincount(document, value * w[bucket, k], j - i) for k in range(len(DOMAINS))], 1) + bias
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("rid")[i:j], pa.array(n.astype(np.int64)), *map(pa.array, _softmax(logits).T.copy())], names=names)
-
-    return documents.select(F.col("doc_id").cast("long"), _rid().alias("rid"), F.col("text").cast("string")).mapInArrow(run, POSTERIORS)
+                p, n = _posterior(shared.value, flat, offsets)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.array(n.astype(np.int64)), *map(pa.array, p.T.copy())], names=names)
 
-
-def _rid():
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, POSTERIORS)
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -184,31 +187,54 @@ def solve(rows: DataFrame, targets: Mapping[str, float], budget: float | None =
     return steps, want, now
 
 
+def _copies(doc_id: Column, weight: list[Column], steps: list[np.ndarray]) -> tuple[Column, Column]:
+    """(rate, copies) of a row: ``rates`` as an expression, and the rate rounded by a hash of doc_id."""
+    moves = F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in steps])
+    gain = lambda r, u: F.greatest(F.lit(0.0), r - sum((w * u[i] for i, w in enumerate(weight)), F.lit(0.0)))
+    rate = F.aggregate(moves, F.lit(1.0), gain) if steps else F.lit(1.0)
+    part = F.pmod(F.xxhash64(doc_id, F.lit("copies")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    return rate, F.floor(rate + part).cast("long")
+
+
+def _solved(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float], budget: float | None) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame, list[np.ndarray]]:
+    """(classifier, posteriors, steps)."""
+    classifier = fit_classifier(documents, labels)
+    rows = written(posteriors(documents, classifier), "mixing")
+    known = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("_domain")).join(documents.select("doc_id"), "doc_id", "left_semi")
+    named = {r["_domain"] for r in known.select("_domain").distinct().collect()}
+    absent = np.array([d not in named for d in DOMAINS])
+    return classifier, rows, solve(rows, targets, budget, absent if not absent.all() else None)[0]
+
+
 def mix(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
-    """doc_id, rid, n_tokens, posteriors, rate and copies for each row of ``documents``.
+    """doc_id, n_tokens, posteriors, rate and copies for each row of ``documents``.
 
     ``copies`` rounds the rate by a hash of doc_id, so that its mean is the rate. Null and empty texts have no tokens and
     the rate of their posterior; a null doc_id has a number like any other. Repeated rows are mixed each; without labels
     all posteriors are equal and with an empty table nothing is solved. Other columns are not read.
     """
-    rows = written(posteriors(documents, fit_classifier(documents, labels)), "mixing")
-    known = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("_domain")).join(documents.select("doc_id"), "doc_id", "left_semi")
-    named = {r["_domain"] for r in known.select("_domain").distinct().collect()}
-    absent = np.array([d not in named for d in DOMAINS])
-    steps, _, _ = solve(rows, targets, budget, absent if not absent.all() else None)
-    out = rows.withColumn("rate", F.lit(1.0))
-    weight = [F.col(f"p_{d}") for d in DOMAINS]
-    if steps:
-        moves = F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in steps])
-        gain = lambda r, u: F.greatest(F.lit(0.0), r - sum((w * u[i] for i, w in enumerate(weight)), F.lit(0.0)))
-        out = rows.withColumn("rate", F.aggregate(moves, F.lit(1.0), gain))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return out.withColumn("copies", F.floor(F.col("rate") + part).cast("long"))
+    _, rows, steps = _solved(documents, labels, targets, budget)
+    rate, copies = _copies(F.col("doc_id"), [F.col(f"p_{d}") for d in DOMAINS], steps)
+    return rows.withColumn("rate", rate).withColumn("copies", copies)
 
 
 def mixed_documents(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """``documents`` with each row as often as its own copies say; all columns of the input stay as they are."""
-    rid, n, copy = fresh(documents, "rid"), fresh(documents, "copies"), fresh(documents, "copy")
-    table = mix(documents, labels, targets).where("copies > 0").select(F.col("rid").alias(rid), F.col("copies").alias(n)).distinct()
-    joined = documents.join(table, _rid() == F.col(rid))
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """``documents`` with each row as often as its own copies say; all columns of the input stay as they are.
+
+    A row's copies follow from its text and the few numbers of the classifier and the steps, so a second pass makes them
+    where the row lies: nothing is joined and no text is shuffled.
+    """
+    classifier, _, steps = _solved(documents, labels, targets, None)
+    shared = documents.sparkSession.sparkContext.broadcast(classifier)
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def posterior(texts: pa.Array) -> pa.Array:
+        found = [_posterior(shared.value, flat, offsets)[0] for _, _, flat, offsets in blocks(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        flat = np.concatenate([np.zeros(0), *(p.ravel() for p in found)])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(DOMAINS), dtype=np.int32)), pa.array(flat))
+
+    own, copy = fresh(documents, "posterior"), fresh(documents, "copy")
+    rows = documents.withColumn(own, posterior(F.col("text").cast("string")))
+    _, copies = _copies(F.col("doc_id").cast("long"), [F.col(own)[k] for k in range(len(DOMAINS))], steps)
+    rows = rows.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<long>"))))
+    return rows.select(*[F.col(f"`{c}`") for c in documents.columns])
