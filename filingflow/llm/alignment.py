@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sliced, squeezed, widened, written
-from .pretokens import ByteMerges, Pieces, byte_merges, pieces, pretokens, read_bytes
+from .pretokens import SPACE_MARK, ByteMerges, Pieces, byte_merges, pieces, pretokens, read_bytes
 
 #: Characters of text in a chunk, and the distinct pre-tokens that a task remembers from chunk to chunk.
 CHUNK_BYTES, MEMO = 4_000_000, 200_000
+#: Pre-tokens that are encoded together.
+GROUP = 2000
 
 CHUNK = (
     "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
@@ -94,27 +96,75 @@ class Aligner:
             out.extend(map(self.number.__getitem__, units))
         return out
 
+    def _encoded(self, units: list[str]) -> tuple:
+        """((ids, edges) of each tokenizer, whether its tokens' bytes are those of the pre-token), edges for those where they are.
+
+        Pre-tokens with a space in front and neither white space nor U+2581 at the end are encoded in groups, one behind
+        another, as in a text; the sizes of tokens tell them apart. The others are encoded one by one.
+        """
+        ids: list[list[np.ndarray]] = [[], []]
+        sizes: list[list[np.ndarray]] = [[], []]
+        order, same = [], []
+        plain = np.array([u[0] == " " and not u[-1].isspace() and u[-1] != SPACE_MARK for u in units], bool)
+        joinable = np.flatnonzero(plain)
+        groups = [joinable[k : k + GROUP] for k in range(0, len(joinable), GROUP)]
+        alone = [np.flatnonzero(~plain)]
+        for own in groups:
+            text = "".join([units[k] for k in own])
+            raw = text.encode()
+            ends = np.cumsum([len(units[k].encode()) for k in own])
+            found = []
+            for (x,), size, pieces in ((self.a.ids([text]), self.a_sizes, self.a_bytes), (self.b.ids([text]), self.b_sizes, self.b_bytes)):
+                x = np.array(x, np.int64)
+                at = np.cumsum(size[x])
+                cut = np.searchsorted(at, ends)
+                if b"".join([pieces[i] for i in x.tolist()]) == raw and (at[cut] == ends).all():
+                    found.append((x, np.diff(cut + 1, prepend=0)))
+            if len(found) < 2:
+                alone.append(own)
+                continue
+            order.append(own)
+            same.append(np.ones(len(own), bool))
+            for side, (x, n) in enumerate(found):
+                ids[side].append(x)
+                sizes[side].append(n)
+        rest = np.concatenate(alone)
+        own = [units[k] for k in rest]
+        pairs = [*zip(self.a.ids(own), self.b.ids(own), strict=True)]
+        ok = np.array([u.encode() == b"".join([self.a_bytes[i] for i in x]) == b"".join([self.b_bytes[i] for i in y]) for u, (x, y) in zip(own, pairs, strict=True)], bool)
+        order.append(rest)
+        same.append(ok)
+        for side in (0, 1):
+            good = [p[side] for p, k in zip(pairs, ok.tolist(), strict=True) if k]
+            ids[side].append(np.array([i for x in good for i in x], np.int64))
+            sizes[side].append(np.array([len(x) for x in good], np.int64))
+        # back to the order of the pre-tokens
+        where, flags = np.concatenate(order), np.concatenate(same)
+        turn = np.argsort(where[flags], kind="stable")
+        out = []
+        for side in (0, 1):
+            flat, n = np.concatenate(ids[side]), np.concatenate(sizes[side])
+            begin = (np.cumsum(n) - n)[turn]
+            n = n[turn]
+            edges = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+            out.append((flat[np.arange(edges[-1]) + np.repeat(begin - edges[:-1], n)], edges))
+        kept = np.zeros(len(units), bool)
+        kept[where] = flags
+        return *out, kept
+
     def learn(self) -> None:
         """Aligns the pre-tokens met since the last call."""
         units = self.number.new
         self.number.new = []
         if not units:
             return
-        ids = [*zip(self.a.ids(units), self.b.ids(units), strict=True)]
-        same = np.zeros(len(units), bool)
-        for k, (u, (x, y)) in enumerate(zip(units, ids, strict=True)):
-            raw = u.encode()
-            same[k] = raw == b"".join([self.a_bytes[i] for i in x]) and raw == b"".join([self.b_bytes[i] for i in y])
-        good = [ids[k] for k in np.flatnonzero(same)]
-        a, b = (np.array([i for own in side for i in own], np.int64) for side in ([x for x, _ in good], [y for _, y in good]))
+        (a, a_edges), (b, b_edges), same = self._encoded(units)
         first, last, boundary = overlaps(self.a_sizes[a], self.b_sizes[b])
         n_links = last - first + 1
         begins = np.cumsum(n_links) - n_links
         links = np.arange(int(n_links.sum())) + np.repeat(first - begins, n_links)
         codes = (b[links] << SHIFT) | np.repeat(a, n_links)
         group = np.cumsum(boundary) - boundary  # of each B token
-        a_edges = np.concatenate([[0], np.cumsum([len(x) for x, _ in good])]).astype(np.int64)
-        b_edges = np.concatenate([[0], np.cumsum([len(y) for _, y in good])]).astype(np.int64)
         link_edges = np.concatenate([[0], np.cumsum(n_links)]).astype(np.int64)[a_edges]
         n_groups = np.concatenate([[0], np.cumsum(boundary)]).astype(np.int64)[b_edges]
 
