@@ -107,6 +107,7 @@ def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES
         last = min(last, rows)
         yield first, last, flat[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
         first = last
+    pa.default_memory_pool().release_unused()  # else a waiting worker keeps what its last batches took
 
 
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:

@@ -196,14 +196,12 @@ def _copies(doc_id: Column, weight: list[Column], steps: list[np.ndarray]) -> tu
     return rate, F.floor(rate + part).cast("long")
 
 
-def _solved(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float], budget: float | None) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame, list[np.ndarray]]:
-    """(classifier, posteriors, steps)."""
-    classifier = fit_classifier(documents, labels)
-    rows = written(posteriors(documents, classifier), "mixing")
+def _steps(rows: DataFrame, documents: DataFrame, labels: DataFrame, targets: Mapping[str, float], budget: float | None) -> list[np.ndarray]:
+    """The steps for rows with posteriors and n_tokens."""
     known = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("_domain")).join(documents.select("doc_id"), "doc_id", "left_semi")
     named = {r["_domain"] for r in known.select("_domain").distinct().collect()}
     absent = np.array([d not in named for d in DOMAINS])
-    return classifier, rows, solve(rows, targets, budget, absent if not absent.all() else None)[0]
+    return solve(rows, targets, budget, absent if not absent.all() else None)[0]
 
 
 def mix(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
@@ -213,7 +211,8 @@ def mix(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float] =
     the rate of their posterior; a null doc_id has a number like any other. Repeated rows are mixed each; without labels
     all posteriors are equal and with an empty table nothing is solved. Other columns are not read.
     """
-    _, rows, steps = _solved(documents, labels, targets, budget)
+    rows = written(posteriors(documents, fit_classifier(documents, labels)), "mixing")
+    steps = _steps(rows, documents, labels, targets, budget)
     rate, copies = _copies(F.col("doc_id"), [F.col(f"p_{d}") for d in DOMAINS], steps)
     return rows.withColumn("rate", rate).withColumn("copies", copies)
 
@@ -221,20 +220,23 @@ def mix(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float] =
 def mixed_documents(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """``documents`` with each row as often as its own copies say; all columns of the input stay as they are.
 
-    A row's copies follow from its text and the few numbers of the classifier and the steps, so a second pass makes them
-    where the row lies: nothing is joined and no text is shuffled.
+    The documents are written once more with their posteriors; steps and copies follow from those alone, so nothing is
+    joined and no text is shuffled.
     """
-    classifier, _, steps = _solved(documents, labels, targets, None)
-    shared = documents.sparkSession.sparkContext.broadcast(classifier)
+    shared = documents.sparkSession.sparkContext.broadcast(fit_classifier(documents, labels))
+    width = len(DOMAINS) + 1
 
     @F.arrow_udf(ArrayType(DoubleType()))
     def posterior(texts: pa.Array) -> pa.Array:
-        found = [_posterior(shared.value, flat, offsets)[0] for _, _, flat, offsets in blocks(pa.RecordBatch.from_arrays([texts], names=["text"]))]
-        flat = np.concatenate([np.zeros(0), *(p.ravel() for p in found)])
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(DOMAINS), dtype=np.int32)), pa.array(flat))
+        """The posteriors and the words of each text."""
+        found = [_posterior(shared.value, flat, offsets) for _, _, flat, offsets in blocks(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        flat = np.concatenate([np.zeros(0), *(np.column_stack([p, n]).ravel() for p, n in found)])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat))
 
     own, copy = fresh(documents, "posterior"), fresh(documents, "copy")
-    rows = documents.withColumn(own, posterior(F.col("text").cast("string")))
-    _, copies = _copies(F.col("doc_id").cast("long"), [F.col(own)[k] for k in range(len(DOMAINS))], steps)
+    rows = written(documents.withColumn(own, posterior(F.col("text").cast("string"))), "mixing")
+    weight = [F.col(own)[k] for k in range(len(DOMAINS))]
+    steps = _steps(rows.select(*(w.alias(f"p_{d}") for w, d in zip(weight, DOMAINS, strict=True)), F.col(own)[len(DOMAINS)].cast("long").alias("n_tokens")), documents, labels, targets, None)
+    _, copies = _copies(F.col("doc_id").cast("long"), weight, steps)
     rows = rows.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<long>"))))
     return rows.select(*[F.col(f"`{c}`") for c in documents.columns])
