@@ -32,6 +32,8 @@ from .common import sliced, squeezed, widened, written
 LEAST_DOCUMENTS, TOP = 10, 10
 #: Terms in a slice and groups in a block, on average.
 SLICE_TERMS, BLOCK_GROUPS = 16_384, 8
+#: Parts of a language's terms where they meet what is known of the language.
+SALTS = 64
 #: Added to each count, and what all shares of a group add up to.
 PRIOR, SCALE = 2, 1_000_000_000
 #: Distinct terms that a task counts before it sends them on, and bytes of a text that it splits at a time.
@@ -101,7 +103,10 @@ def kept_terms(counts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     rows = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
     rows = written(rows, "divergence-terms")
     slices = rows.groupBy("lang").agg(F.ceil(F.count("*") / SLICE_TERMS).cast("int").alias("slices"))
-    rows = rows.join(slices, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), "slices").cast("int"))
+    # salted, as one language can have most terms
+    slices = slices.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(slices, ["lang", "salt"]).drop("salt")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("term", F.lit("slice")), "slices").cast("int")).repartition("lang", "slice")
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("term")) - 1)
 
 
