@@ -7,12 +7,15 @@ import importlib
 import sys
 from collections.abc import Callable
 from functools import partial
-from pathlib import Path
 
 from .config import TEMPLATE, Config, FilingError, Model, loads, need_model
 from .session import local_session
 
 
+#: Below the log of answers, where Spark's readers pass by names with an underscore.
+JOURNAL = "_journal"
+
+
 def _load(file: str | None) -> Config:
     if not file:
         return Config()
@@ -54,7 +57,7 @@ def _parser() -> argparse.ArgumentParser:
 
 def _unpack(spark, args, rows) -> None:
     from .plans.translate import unpack
-    from .sources.files import write_files
+    from .sources.sink import write_files
 
     files, documents = unpack(rows)
     if documents.isEmpty():
@@ -67,21 +70,29 @@ def _translate(spark, args) -> None:
 
     from .operators import cache as C
     from .plans.translate import outputs, translate
-    from .sources.files import read_cache_lines, read_pages, write_files
+    from .sources.files import read_cache_lines, read_pages
+    from .sources.sink import write_files
+    from .stages import Files
 
     config = _load(args.config)
     model, second = need_model(config), config.fallback_model
-    if args.source.rstrip("/").removeprefix("file://") == args.output.rstrip("/").removeprefix("file://"):
+    source, output = Files(spark, args.source), Files(spark, args.output)
+    if source.real == output.real:
         raise FilingError("output must not be the source")
-    pages = read_pages(spark, args.source)
-    known = C.last_wins(C.parse_lines(read_cache_lines(spark, args.cache))) if args.cache and Path(args.cache.removeprefix("file://")).exists() else None
-    ran = translate(pages, provider_factory(args.provider, model), provider_factory(args.provider, second) if second else None, known, config, run=C.next_run(known) if known is not None else 1)
-    # names follow the folders below the source
-    root = args.source.rstrip("/").removeprefix("file://")
-    names = pages.select("doc_id", F.regexp_replace(F.replace(F.regexp_replace("doc_id", "^file:/*", "/"), F.lit(root), F.lit("")), "^/+", "").alias("name"))
-    print(write_files(outputs(ran, names, config), args.output, args.overwrite), "files")
-    if args.cache:
-        C.append(ran.cache_rows, args.cache)
+    if not source.exists():
+        raise FilingError(f"no such file or folder: {args.source}")
+    pages = read_pages(spark, str(source))
+    log = Files(spark, args.cache) if args.cache and config.cache.enabled else None
+    known = C.last_wins(C.parse_lines(read_cache_lines(spark, str(log)))) if log and log.exists() else None
+    journal = f"{log}/{JOURNAL}" if log else None
+    ran = translate(pages, provider_factory(args.provider, model), provider_factory(args.provider, second) if second else None, known, config, run=C.next_run(known) if known is not None else 1, journal=journal)
+    # names follow the folders below the source, which is a prefix of each page's address; a single page has its own name
+    below = F.regexp_replace(F.substr("doc_id", F.lit(len(str(source)) + 1)), "^/+", "")
+    names = pages.select("doc_id", F.when(below == "", F.element_at(F.split("doc_id", "/"), -1)).otherwise(below).alias("name"))
+    print(write_files(outputs(ran, names, config), str(output), args.overwrite), "files")
+    if log:
+        C.append(ran.cache_rows, str(log))
+        Files(spark, ran.stages.base).remove()  # the log of answers has them now
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -79,8 +79,17 @@ class Output:
         _need(bool(self.suffix), "output.suffix")
 
 
+@dataclass(frozen=True)
+class Cache:
+    enabled: bool = True
+
+    def check(self) -> None:
+        _need(isinstance(self.enabled, bool), "cache.enabled")
+
+
 @dataclass(frozen=True)
 class Config:
+    cache: Cache = field(default_factory=Cache)
     batch: Batch = field(default_factory=Batch)
     block: Block = field(default_factory=Block)
     output: Output = field(default_factory=Output)
@@ -120,7 +129,7 @@ def loads(text: str) -> Config:
         raise ConfigError(f"not an e-mail address: {email}")
     translation = data.get("translation") if isinstance(data.get("translation"), dict) else {}
     return Config(
-        batch=_section(Batch, data.get("batch")), block=_section(Block, data.get("block")), output=_section(Output, data.get("output")),
+        batch=_section(Batch, data.get("batch")), block=_section(Block, data.get("block")), cache=_section(Cache, data.get("cache")), output=_section(Output, data.get("output")),
         model=_section(Model, model) if isinstance(model, dict) and model.get("model") else None,
         fallback_model=_section(Model, second) if isinstance(second, dict) and second.get("enabled") else None,
         target_language=translation.get("target_language", "zh-CN"), email=email,
@@ -169,6 +178,9 @@ enabled = true
 target_batch_units = 1
 max_batch_chars = 80000
 
+[cache]
+enabled = true
+
 [translation]
 target_language = "zh-CN"
 

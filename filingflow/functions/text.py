@@ -72,9 +72,21 @@ def number_tokens(text: Column) -> Column:
 
 
 def numbers_preserved(source: Column, translation: Column) -> Column:
-    """Whether each number of the source stands in the translation at least as often."""
-    a, b = number_tokens(source), number_tokens(translation)
-    return F.forall(F.array_distinct(a), lambda n: F.size(F.filter(a, lambda x: x == n)) <= F.size(F.filter(b, lambda x: x == n)))
+    """Whether each number of the source stands in the translation at least as often.
+
+    Both lists are sorted into one, in which a fold keeps how many more of a number the source has: one pass, and each list
+    is made once.
+    """
+    counted = lambda text, d: F.transform(number_tokens(text), lambda x: F.struct(x.alias("n"), F.lit(d).alias("d")))
+    both = F.array_sort(F.concat(counted(source, 1), counted(translation, -1)))
+
+    def step(state: Column, x: Column) -> Column:
+        same = state["n"] == x["n"]
+        more = F.when(same, state["d"]).otherwise(0) + x["d"]
+        return F.struct(x["n"].alias("n"), more.alias("d"), (state["ok"] & (same | (state["d"] <= 0))).alias("ok"))
+
+    start = F.struct(F.lit("").alias("n"), F.lit(0).alias("d"), F.lit(True).alias("ok"))
+    return F.aggregate(both, start, step, lambda state: state["ok"] & (state["d"] <= 0))
 
 
 def placeholder_names(text: Column) -> Column:

@@ -1,203 +1,205 @@
 """The ladder of attempts as rounds over DataFrames: first call, strict retry, repair, split, mini block, fallback, source.
 
-Every round works on the batches that failed before, of all documents at once; each stage of calls is materialised once, and a
-stage without rows is left out. A batch that is refused as a whole is halved, so there are about log2(batch size) rounds. A
-batch whose prompt does not fit the model's context goes on with half of its block around it, then with its own context, then
-alone; blocks that fit are not shrunk, so nothing has to grow again. A unit that nothing answers keeps its source.
+Every round works on the batches that failed before, of all documents at once, and each stage of calls is written once. A
+batch that is refused as a whole is halved, so there are about log2(batch size) rounds. Inside blocks, a prompt that does not
+fit the model's context ends the attempts on its whole block; the plan above decides how the block goes on. A unit that
+nothing answers keeps its source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
-from ..session import materialize
+from ..stages import Stages
 from . import prompts
 from .provider import USAGE, Provider, call, prime
 from .responses import parse_responses, validate_batches
 
-#: ``wide``: how many batches of its block stand around a batch; 0 its context alone, -1 nothing.
-STATE = ("doc_id", "batch", "units", "wide", "near")
+#: ``batch`` is the number of the first batch and, behind points, which halves of it; ``turn`` is the round of blocks.
+STATE = ("doc_id", "batch", "units", "near", "turn")
 ATTEMPT = (*STATE, "rung", "model", "reason", "response", "items", *USAGE)
+UNITS = "array<struct<ordinal:int,id:string,text:string,source_text:string,names:array<string>>>"
+
+
+def root() -> Column:
+    """The number of the first batch that a batch is part of."""
+    return F.substring_index("batch", ".", 1)
+
+
+def attempt_schema(key: T_.DataType) -> T_.StructType:
+    text = "near string, turn int, rung string, model string, reason string, response string, items array<struct<id:string,text:string>>"
+    tokens = ", ".join(f"{c} long" for c in USAGE)
+    return T_.StructType([T_.StructField("doc_id", key), *T_.StructType.fromDDL(f"batch string, units {UNITS}, {text}, {tokens}")])
 
 
 def batches_of(units: DataFrame) -> DataFrame:
     """doc_id, batch, units of rows with batch_no: the units of a batch in order."""
-    item = F.struct("ordinal", F.col("unit_id").alias("id"), "text", "source_text", F.transform("placeholders", lambda p: p["name"]).alias("names"))
+    item = F.struct(F.col("ordinal").cast("int").alias("ordinal"), F.col("unit_id").alias("id"), "text", "source_text", F.transform("placeholders", lambda p: p["name"]).alias("names"))
     rows = units.where("batch_no is not null").groupBy("doc_id", "batch_no").agg(F.sort_array(F.collect_list(item)).alias("units"))
     return rows.select("doc_id", F.col("batch_no").cast("string").alias("batch"), "units")
 
 
-class Surroundings:
-    """What stands around each first batch: its block, its place there, and the text before and after it."""
-
-    def __init__(self, batches: DataFrame, contexts: DataFrame | None, blocks: DataFrame | None, language: str):
-        rows = batches.select("doc_id", F.col("batch").alias("root"), F.col("batch").cast("int").alias("no"), prompts.framed(F.col("batch"), F.col("units")).alias("framed"))
-        none = F.lit("")
-        if contexts is not None:
-            given = contexts.select("doc_id", F.col("batch_no").alias("no"), F.col("context_before").alias("before"), F.col("context_after").alias("after"))
-            rows = rows.join(given, ["doc_id", "no"], "left").fillna("", ["before", "after"])
-        else:
-            rows = rows.withColumn("before", none).withColumn("after", none)
-        rows = rows.join(blocks.select("doc_id", F.col("batch_no").alias("no"), "block_no"), ["doc_id", "no"]) if blocks is not None else rows.withColumn("block_no", F.lit(1))
-        order = Window.partitionBy("doc_id", "block_no")
-        self._rows, self._kept = rows.withColumn("pos", F.row_number().over(order.orderBy("no")) - 1).withColumn("size", F.count("*").over(order)), None
-        self.language, self.outer, self.in_blocks = language, contexts is not None, blocks is not None
-
-    @property
-    def rows(self) -> DataFrame:
-        """Written when they are first asked for: without contexts and blocks only mini blocks need them."""
-        if self._kept is None:
-            self._kept = materialize(self._rows, "surroundings")
-        return self._kept
-
-    def start(self, batches: DataFrame) -> DataFrame:
-        """The batches with the widest surroundings there are."""
-        if not self.in_blocks:
-            return self.around(batches.select("doc_id", "batch", "units", F.lit(0 if self.outer else -1).alias("wide")))
-        rows = batches.join(self.rows.select("doc_id", F.col("root").alias("batch"), "size", "pos"), ["doc_id", "batch"])
-        return self.around(rows.select("doc_id", "batch", "units", F.col("size").cast("int").alias("wide")))
-
-    def around(self, batches: DataFrame) -> DataFrame:
-        """Rows doc_id, batch, units, wide with ``near``: the part of the block, or the context, that the prompt begins with."""
-        if not self.outer and not self.in_blocks:
-            return batches.select("doc_id", "batch", "units", "wide", F.lit("").alias("near"))
-        rows = batches.withColumn("root", F.substring_index("batch", ".", 1)).join(self.rows.select("doc_id", "root", "block_no", "pos", "before", "after"), ["doc_id", "root"])
-        rows = rows.withColumn("piece", F.when(F.col("wide") > 0, F.floor(F.try_divide(F.col("pos"), F.col("wide"))).cast("int")))
-        piece = ["doc_id", "block_no", "wide", "piece"]
-        wanted = rows.where("wide > 0").select(*piece).distinct()
-        inside = wanted.join(self.rows.select("doc_id", "block_no", "pos", "framed", "before", "after"), ["doc_id", "block_no"]).where(F.floor(F.col("pos") / F.col("wide")) == F.col("piece"))
-        parts = inside.groupBy(*piece).agg(F.sort_array(F.collect_list(F.struct("pos", "framed", "before", "after"))).alias("m"))
-        body = F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: x["framed"]), ", "), F.lit("]"))
-        block = parts.select(*piece, prompts.block_prompt(self.language, F.col("m")[0]["before"], body, F.element_at("m", -1)["after"]).alias("block"))
-        own = F.when(F.col("wide") == 0, prompts.context_prompt(F.col("before"), F.col("after"))).otherwise("")
-        return rows.join(block, piece, "left").select("doc_id", "batch", "units", "wide", F.coalesce("block", own).alias("near"))
-
-    def mini(self, singles: DataFrame, reach: int = 2) -> DataFrame:
-        """The units with the batches up to ``reach`` before and behind their own in the block, and no outer context."""
-        rows = singles.withColumn("root", F.substring_index("batch", ".", 1)).join(self.rows.select("doc_id", "root", "block_no", "pos"), ["doc_id", "root"])
-        other = self.rows.select("doc_id", "block_no", F.col("pos").alias("p"), "framed")
-        met = rows.select("doc_id", "block_no", "pos").distinct().withColumn("p", F.explode(F.sequence(F.col("pos") - reach, F.col("pos") + reach))).join(other, ["doc_id", "block_no", "p"])
-        near = met.groupBy("doc_id", "block_no", "pos").agg(F.sort_array(F.collect_list(F.struct("p", "framed"))).alias("m"))
-        body = F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: x["framed"]), ", "), F.lit("]"))
-        near = near.select("doc_id", "block_no", "pos", prompts.block_prompt(self.language, F.lit(""), body, F.lit("")).alias("near"))
-        return rows.drop("near").join(near, ["doc_id", "block_no", "pos"])
+class Calls:
+    """How calls are made: retries of a failed one, how many at a time, and, in a durable run, how many a stage has at most.
 
+    ``workers`` calls are under way at a time, dealt over partitions by as many as there are cores and over threads within
+    a partition.
+    """
 
-class Calls:
-    """How calls are made: retries of a failed one, and how many partitions, so calls at a time, a stage has."""
+    def __init__(self, stages: Stages, retries: int = 1, workers: int | None = None, language: str = "zh-CN", wave: int | None = 10_000):
+        self.stages, self.retries, self.language, self.wave = stages, retries, language, wave
+        self.parts = min(workers, stages.spark.sparkContext.defaultParallelism) if workers else None
+        self.threads = max(1, workers // self.parts) if workers else 1
 
-    def __init__(self, retries: int = 1, workers: int | None = None):
-        self.retries, self.workers = retries, workers
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.parts) if self.parts else rows
 
-    def attempt(self, batches: DataFrame, rung: str | Column, factory: Callable[[], Provider], strict: bool = False) -> DataFrame | None:
-        """One call for each batch, parsed and validated, as an attempt of this rung; None without a batch."""
-        if batches.isEmpty():
-            return None
+    def attempt(self, batches: DataFrame, rung: str, factory: Callable[[], Provider], strict: bool = False, named: str = "") -> DataFrame:
+        """One call for each batch, parsed and validated, as an attempt of this rung."""
         known = set(batches.columns)
-        reason, previous = (F.col(c) if c in known else F.lit(None).cast("string") for c in ("reason", "response"))
-        rung = F.lit(rung) if isinstance(rung, str) else rung
-        task = prompts.task_prompt(F.col("units"), F.lit(strict), reason if strict else F.lit(None).cast("string"), previous)
-        rows = batches.select(*STATE, rung.alias("rung"), F.concat("near", F.lit("\n"), task).alias("prompt"))
-        rows = rows.repartition(self.workers) if self.workers else rows
-        return materialize(validate_batches(parse_responses(call(rows, factory, self.retries))).select(*ATTEMPT), "attempt")
+        none = F.lit(None).cast("string")
+        reason, previous = (F.col(c) if strict and c in known else none for c in ("reason", "response"))
+        task = prompts.task_prompt(F.col("units"), F.lit(strict), reason, previous)
+        rows = batches.select(*STATE, F.lit(rung).alias("rung"), F.concat("near", F.lit("\n"), task).alias("prompt"), F.lit(prompts.system(self.language)).alias("system"))
 
+        def make(own: DataFrame) -> DataFrame:
+            said = validate_batches(parse_responses(call(self.dealt(own), factory, self.retries, workers=self.threads)))
+            marked = F.when(F.col("reason").isNotNull(), F.concat(F.lit(named), "reason")) if named else F.col("reason")
+            return said.withColumn("reason", marked).select(*ATTEMPT)
 
-def _failed(attempts: DataFrame | None, like: DataFrame) -> DataFrame:
-    return (like.limit(0) if attempts is None else attempts).where("reason is not null")
+        return self.stages.in_waves(rows, "attempts", ["doc_id", "batch"], self.wave, make)
+
+    def primed(self, blocks: DataFrame, factory: Callable[[], Provider], pause: float) -> None:
+        """The log of priming each block's prompt (doc_id, turn, near) once, tokens included."""
+        rows = blocks.select("doc_id", "turn", F.col("near").alias("block_prompt"))
+        said = prime(self.dealt(rows.distinct()), factory, pause, self.retries, self.threads).withColumnRenamed("error", "reason")
+        schema = attempt_schema(blocks.schema["doc_id"].dataType)
+        own = {"rung": F.lit("prime"), "near": F.col("block_prompt")}
+        self.stages.keep(said.select(*[own.get(f.name, F.col(f.name) if f.name in said.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]), "attempts")
 
 
 def _left(failed: DataFrame, later: DataFrame | None) -> DataFrame:
     """The failed batches after a later rung: those it did not try, and those that failed there too, as that rung left them."""
     if later is None:
         return failed
-    return failed.join(later.select("doc_id", "batch"), ["doc_id", "batch"], "left_anti").select(*ATTEMPT).unionByName(_failed(later, later))
+    return failed.join(later.select("doc_id", "batch"), ["doc_id", "batch"], "left_anti").select(*ATTEMPT).unionByName(later.where("reason is not null"))
 
 
-def _smaller(failed: DataFrame) -> DataFrame:
-    """doc_id, batch, units, wide, shrunk: batches over the context limit with less around them, others in two halves."""
-    limited = T.is_context_limit_error(F.col("reason")) & (F.col("wide") >= 0)
-    less = F.when(F.col("wide") > 1, F.ceil(F.col("wide") / 2).cast("int")).otherwise(F.col("wide") - 1)
+def _halves(failed: DataFrame) -> DataFrame:
+    """The state of batches of two units and more, in two halves."""
     half = F.floor(F.size("units") / 2).cast("int")
-    part = lambda name, units, wide, shrunk: F.struct(name.alias("batch"), units.alias("units"), wide.cast("int").alias("wide"), F.lit(shrunk).alias("shrunk"))
-    whole = F.array(part(F.col("batch"), F.col("units"), less, True))
-    halves = F.array(
-        part(F.concat("batch", F.lit(".0")), F.slice("units", F.lit(1), half), F.col("wide"), False),
-        part(F.concat("batch", F.lit(".1")), F.slice("units", half + 1, F.size("units") - half), F.col("wide"), False),
-    )
-    return failed.where(limited | (F.size("units") > 1)).select("doc_id", F.explode(F.when(limited, whole).otherwise(halves)).alias("p")).select("doc_id", "p.*")
+    part = lambda name, units: F.struct(F.concat("batch", F.lit(name)).alias("batch"), units.alias("units"))
+    halves = F.array(part(".0", F.slice("units", F.lit(1), half)), part(".1", F.slice("units", half + 1, F.size("units") - half)))
+    return failed.where(F.size("units") > 1).select("doc_id", F.explode(halves).alias("p"), "near", "turn").select("doc_id", "p.*", "near", "turn")
+
 
+class Climbed(NamedTuple):
+    singles: DataFrame
+    limited: DataFrame
 
-def _results(attempts: DataFrame) -> DataFrame:
-    """doc_id, unit_id, ordinal, text, provider of the units of accepted batches."""
+
+def climb(todo: DataFrame, calls: Calls, primary: Callable[[], Provider], in_blocks: bool, mini: Callable[[DataFrame], DataFrame] | None = None, early: DataFrame | None = None) -> Climbed:
+    """Attempts on the batches in ``todo`` with the primary model until each is answered or down to single units.
+
+    ``singles`` are the units that it did not answer, ``limited`` (doc_id, root) the first batches of blocks whose prompt does
+    not fit; both are written. ``early`` batches have been tried already. All attempts are in the stages' group ``attempts``.
+    """
+    stages, k, singles, limits = calls.stages, 0, [], []
+    while True:
+        rows = calls.attempt(todo, "primary" if k == 0 else f"split-{k}", primary)
+        tried, early = (rows if early is None else rows.unionByName(early)), None
+        if tried.isEmpty():
+            break
+        open_ = tried.where("reason is not null")
+        again = open_.where(T.is_format_error(F.col("reason")))
+        strict = None if again.isEmpty() else calls.attempt(again, f"strict-{k}", primary, strict=True)
+        open_ = _left(open_, strict)
+        if in_blocks:
+            limit = T.is_context_limit_error(F.col("reason"))
+            limits.append(open_.where(limit).select("doc_id", root().alias("root")).distinct())
+            open_ = open_.where(~limit)
+        again = open_.where(T.is_repairable_error(F.col("reason")))
+        repair = None if again.isEmpty() else calls.attempt(again, f"repair-{k}", primary, strict=True, named="repair_failed: ")
+        open_ = _left(open_, None if repair is None else repair.withColumn("reason", F.substring_index("reason", "repair_failed: ", -1)))
+        singles.append(open_.where(F.size("units") == 1))
+        todo = _halves(open_)
+        k += 1
+    schema = attempt_schema(todo.schema["doc_id"].dataType)
+    empty = stages.spark.createDataFrame([], schema)
+    left = reduce(DataFrame.unionByName, [s.select(*ATTEMPT) for s in singles], empty)
+    if mini is not None and singles:
+        single = left.where(T.is_repairable_error(F.col("reason")))
+        if not single.isEmpty():
+            answered = calls.attempt(mini(single.select(*STATE)), "mini", primary, named="mini_block_failed: ").where("reason is null")
+            left = left.join(answered.select("doc_id", "batch"), ["doc_id", "batch"], "left_anti")
+    none = empty.select("doc_id", F.col("batch").alias("root"))
+    return Climbed(left, reduce(DataFrame.unionByName, limits, none).distinct())
+
+
+def results_of(attempts: DataFrame) -> DataFrame:
+    """doc_id, ordinal, unit_id, source_text, result, provider, rung, root, turn of the units of accepted batches."""
     pairs = F.explode(F.zip_with("units", "items", lambda u, x: F.struct(u["ordinal"].alias("ordinal"), u["id"].alias("unit_id"), u["source_text"].alias("source_text"), x["text"].alias("result"))))
-    return attempts.where("reason is null").select("doc_id", F.col("model").alias("provider"), "rung", pairs.alias("r")).select("doc_id", "r.*", "provider", "rung")
+    rows = attempts.where("reason is null and items is not null").select("doc_id", F.col("model").alias("provider"), "rung", root().alias("root"), "turn", pairs.alias("r"))
+    return rows.select("doc_id", "r.*", "provider", "rung", "root", "turn")
 
 
-def _named(attempts: DataFrame, prefix: str) -> DataFrame:
-    return attempts.withColumn("reason", F.when(F.col("reason").isNotNull(), F.concat(F.lit(f"{prefix}: "), "reason")))
+RESULT = ("doc_id", "ordinal", "unit_id", "source_text", "result", "provider", "rung")
+
+
+def with_sources(answered: DataFrame, units: DataFrame) -> DataFrame:
+    """Results of all units: those that nothing answered keep their source."""
+    missing = units.join(answered.select("doc_id", "unit_id"), ["doc_id", "unit_id"], "left_anti")
+    kept = missing.select("doc_id", "ordinal", "unit_id", "source_text", F.col("source_text").alias("result"), F.lit("source").alias("provider"), F.lit("source").alias("rung"))
+    return answered.select(*RESULT).unionByName(kept)
+
+
+def framed_batches(batches: DataFrame) -> DataFrame:
+    """doc_id, root, no, framed: each first batch as it stands in a block."""
+    return batches.select("doc_id", F.col("batch").alias("root"), F.col("batch").cast("int").alias("no"), prompts.framed(F.col("batch"), F.col("units")).alias("framed"))
+
+
+def joined_batches(members: Column) -> Column:
+    """The batches of a block (structs with ``framed``), in order, as one JSON list."""
+    return F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(members), lambda x: x["framed"]), ", "), F.lit("]"))
+
+
+def mini_prompts(singles: DataFrame, placed: DataFrame, language: str, reach: int = 2) -> DataFrame:
+    """The state of single units with the batches up to ``reach`` before and behind their own in the block as their prompt.
+
+    ``placed`` has doc_id, root, block_no, pos and framed of each batch.
+    """
+    rows = singles.withColumn("root", root()).join(placed.select("doc_id", "root", "block_no", "pos"), ["doc_id", "root"])
+    other = placed.select("doc_id", "block_no", F.col("pos").alias("p"), "framed")
+    met = rows.select("doc_id", "block_no", "pos").distinct().withColumn("p", F.explode(F.sequence(F.col("pos") - reach, F.col("pos") + reach))).join(other, ["doc_id", "block_no", "p"])
+    near = met.groupBy("doc_id", "block_no", "pos").agg(joined_batches(F.collect_list(F.struct("p", "framed"))).alias("body"))
+    near = near.select("doc_id", "block_no", "pos", prompts.block_prompt(language, F.lit(""), F.col("body"), F.lit("")).alias("near"))
+    return rows.drop("near").join(near, ["doc_id", "block_no", "pos"]).select(*STATE)
 
 
 def run_ladder(
-    units: DataFrame, primary: Callable[[], Provider], fallback: Callable[[], Provider] | None = None, contexts: DataFrame | None = None, blocks: DataFrame | None = None,
-    language: str = "zh-CN", calls: Calls | None = None, fallback_calls: Calls | None = None, warm_up: float | None = None,
+    units: DataFrame, primary: Callable[[], Provider], fallback: Callable[[], Provider] | None = None, language: str = "zh-CN", calls: Calls | None = None, fallback_calls: Calls | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(results, attempts) for units with batch_no.
-
-    ``contexts`` (doc_id, batch_no, context_before, context_after) and ``blocks`` (doc_id, batch_no, block_no) give what
-    stands in front of every prompt of a batch and of its parts. With ``warm_up`` seconds each block's prompt is sent once
-    to fill the provider's prompt cache, and the first batch of a block is answered before the others.
+    """(results, attempts) for units with batch_no, whose batches have nothing around them.
 
     results: doc_id, ordinal, unit_id, source_text, result, provider, rung, one row per unit; units that nothing answered
     have provider ``source``. attempts: the log of every call, which failure counts are made from. Placeholders may be empty
     arrays; an empty table gives empty results.
     """
-    calls, fallback_calls = calls or Calls(), fallback_calls or Calls()
-    batches = materialize(batches_of(units), "batches")
-    around = Surroundings(batches, contexts, blocks, language)
-    start = around.start(batches)
-    todo = (materialize(start, "todo") if contexts is not None or blocks is not None else start).withColumn("shrunk", F.lit(False))
-    log, singles, k = [], [], 0
-    empty = todo.drop("shrunk").select(*STATE, *[F.lit(None).cast("string").alias(c) for c in ("rung", "model", "reason", "response")], F.lit(None).cast("array<struct<id:string,text:string>>").alias("items"), *[F.lit(None).cast("long").alias(c) for c in USAGE]).limit(0)
-    early = None
-    if warm_up is not None and blocks is not None:
-        primed = materialize(prime(todo.where("wide > 0").select("doc_id", F.col("near").alias("block_prompt")), primary, warm_up), "primed")
-        log.append(empty.unionByName(primed.where("error is not null").select("doc_id", F.lit("prime").alias("rung"), F.col("error").alias("reason")), allowMissingColumns=True))
-        first = around.rows.where("pos = 0").select("doc_id", F.col("root").alias("batch"))
-        early = calls.attempt(todo.join(first, ["doc_id", "batch"], "left_semi"), "primary", primary)
-        todo = todo.join(first, ["doc_id", "batch"], "left_anti")
-    while True:
-        rung = F.lit("primary") if k == 0 else F.when(F.col("shrunk"), F.lit(f"shrunk-{k}")).otherwise(F.lit(f"split-{k}"))
-        tried = [x for x in (early, calls.attempt(todo, rung, primary)) if x is not None]
-        if not tried:
-            break
-        first, early = reduce(DataFrame.unionByName, tried), None
-        log.append(first)
-        open_ = _failed(first, empty)
-        strict = calls.attempt(open_.where(T.is_format_error(F.col("reason"))), f"strict-{k}", primary, strict=True)
-        open_ = _left(open_, strict)
-        repair = calls.attempt(open_.where(T.is_repairable_error(F.col("reason"))), f"repair-{k}", primary, strict=True)
-        log += [x for x in (strict, None if repair is None else _named(repair, "repair_failed")) if x is not None]
-        open_ = materialize(_left(open_, repair), "open")
-        singles.append(open_.where((F.size("units") == 1) & ~(T.is_context_limit_error(F.col("reason")) & (F.col("wide") >= 0))))
-        less = _smaller(open_)
-        todo = materialize(around.around(less.drop("shrunk")).join(less.select("doc_id", "batch", "shrunk"), ["doc_id", "batch"]), "todo")
-        k += 1
-    left = reduce(DataFrame.unionByName, singles, empty)
-    single = left.where(T.is_repairable_error(F.col("reason")))
-    mini = None if single.isEmpty() else calls.attempt(around.mini(single), "mini", primary)
-    if mini is not None:
-        log.append(_named(mini, "mini_block_failed"))
-        left = left.join(mini.where("reason is null").select("doc_id", "batch"), ["doc_id", "batch"], "left_anti")
-    last = fallback_calls.attempt(left, "fallback", fallback) if fallback is not None else None
-    if last is not None:
-        log.append(last)
-    attempts = reduce(DataFrame.unionByName, log, empty)
-    answered = _results(attempts)
-    missing = units.where("batch_no is not null").join(answered.select("doc_id", "unit_id"), ["doc_id", "unit_id"], "left_anti")
-    kept = missing.select("doc_id", "ordinal", "unit_id", "source_text", F.col("source_text").alias("result"), F.lit("source").alias("provider"), F.lit("source").alias("rung"))
-    return answered.select("doc_id", "ordinal", "unit_id", "source_text", "result", "provider", "rung").unionByName(kept), attempts
+    calls = calls or Calls(Stages(units.sparkSession), language=language)
+    stages = calls.stages
+    batches = stages.keep(batches_of(units), "batches")
+    todo = batches.select("doc_id", "batch", "units", F.lit(prompts.bare_prompt(language)).alias("near"), F.lit(0).alias("turn"))
+    order = Window.partitionBy("doc_id").orderBy("no")
+    placed = framed_batches(batches).withColumn("block_no", F.lit(1)).withColumn("pos", F.row_number().over(order) - 1)
+    found = climb(todo, calls, primary, False, lambda singles: mini_prompts(singles, placed, language))
+    if fallback is not None:
+        (fallback_calls or calls).attempt(found.singles, "fallback", fallback)
+    attempts = stages.all("attempts", attempt_schema(units.schema["doc_id"].dataType))
+    return with_sources(results_of(attempts), units.where("batch_no is not null")), attempts

@@ -72,36 +72,49 @@ def grow_size(size: Column, most: int, factor: float) -> Column:
     return F.greatest(size, F.least(F.lit(most), F.greatest(size + 1, F.floor(size * factor)))).cast("int")
 
 
-def _context(units: DataFrame, before: bool, budget: int) -> DataFrame:
-    """doc_id, batch_no, context: the nearest lines before or after each batch within the budget, one at least."""
+def context_lines(units: DataFrame) -> DataFrame:
+    """doc_id, place, line, line_start, line_end: each unit's line with the characters before and up to it. Prefix sums have
+    no reset, so they serve every later choice of batches or blocks. Units are numbered by ``ordinal`` without gaps."""
     line = F.concat(F.col("unit_id"), F.lit(": "), F.col("source_text"))
-    order = Window.partitionBy("doc_id").orderBy("ordinal")
-    ran = units.withColumn("_line", line).withColumn("_end", F.sum(F.char_length("_line") + 1).over(order)).withColumn("_start", F.col("_end") - F.char_length("_line") - 1)
-    edges = ran.where("batch_no is not null").groupBy("doc_id", "batch_no").agg(F.min("ordinal").alias("_lo"), F.max("ordinal").alias("_hi"), F.min("_start").alias("_s"), F.max("_end").alias("_e"))
-    other = ran.select(F.col("doc_id").alias("_d"), F.col("ordinal").alias("_o"), "_line", F.col("_start").alias("_ls"), F.col("_end").alias("_le"))
-    # a line is near if it starts within the budget before the batch (or ends within it behind): prefix sums have no reset,
-    # and cells of the budget's width keep the join to neighbours; the next line is near in any case
-    own, edge, far = (F.col("_ls"), F.col("_s"), -1) if before else (F.col("_le"), F.col("_e"), 1)
-    cell = F.floor(edge / budget)
-    cells = edges.withColumn("_cell", F.explode(F.array(cell, cell + far)))
-    inside = (own < edge) & (edge - own <= budget) if before else (own > edge) & (own - edge <= budget)
-    met = cells.join(other.withColumn("_own", F.floor(own / budget)), (F.col("doc_id") == F.col("_d")) & (F.col("_cell") == F.col("_own")) & inside).select("doc_id", "batch_no", "_o", "_line")
-    next_line = F.col("_lo") - 1 if before else F.col("_hi") + 1
-    met = met.union(edges.join(other, (F.col("doc_id") == F.col("_d")) & (F.col("_o") == next_line)).select("doc_id", "batch_no", "_o", "_line"))
-    lines = F.sort_array(F.collect_set(F.struct("_o", "_line")))
-    return met.groupBy("doc_id", "batch_no").agg(F.array_join(F.transform(lines, lambda x: x["_line"]), "\n").alias("context"))
+    rows = units.select("doc_id", F.col("ordinal").alias("place"), line.alias("line"))
+    rows = rows.withColumn("line_end", F.sum(F.char_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("place")))
+    return rows.withColumn("line_start", F.col("line_end") - F.char_length("line") - 1)
+
+
+def context_of(lines: DataFrame, spans: DataFrame, key: str, before: bool, budget: int) -> DataFrame:
+    """doc_id, key, context: the nearest lines before or behind each span (doc_id, key, first, last: its places) within the
+    budget of characters, one at least."""
+    edge, name = ("first", "line_start") if before else ("last", "line_end")
+    at = lines.select("doc_id", F.col("place").alias(edge), F.col(name).alias("_edge"))
+    spans = spans.join(at, ["doc_id", edge])
+    other = lines.select(F.col("doc_id").alias("_d"), F.col("place").alias("_o"), F.col("line").alias("_line"), F.col("line_start").alias("_ls"), F.col("line_end").alias("_le"))
+    # a line is near if it starts within the budget before the span (or ends within it behind): cells of the budget's width
+    # keep the join to neighbours; the next line is near in any case
+    own, far = (F.col("_ls"), -1) if before else (F.col("_le"), 1)
+    cell, edged = F.floor(F.col("_edge") / budget), F.col("_edge")
+    cells = spans.withColumn("_cell", F.explode(F.array(cell, cell + far)))
+    inside = (own < edged) & (edged - own <= budget) if before else (own > edged) & (own - edged <= budget)
+    met = cells.join(other.withColumn("_own", F.floor(own / budget)), (F.col("doc_id") == F.col("_d")) & (F.col("_cell") == F.col("_own")) & inside).select("doc_id", key, "_o", "_line")
+    next_line = F.col("first") - 1 if before else F.col("last") + 1
+    met = met.union(spans.join(other, (F.col("doc_id") == F.col("_d")) & (F.col("_o") == next_line)).select("doc_id", key, "_o", "_line"))
+    listed = F.sort_array(F.collect_set(F.struct("_o", "_line")))
+    return met.groupBy("doc_id", key).agg(F.array_join(F.transform(listed, lambda x: x["_line"]), "\n").alias("context"))
+
+
+def contexts_of(lines: DataFrame, spans: DataFrame, key: str, before_chars: int, after_chars: int) -> DataFrame:
+    """``spans`` (doc_id, key, first, last) with context_before and context_after; no budget means no context, and a document's
+    first span has none before it."""
+    out = spans
+    for before, chars, name in ((True, before_chars, "context_before"), (False, after_chars, "context_after")):
+        got = context_of(lines, spans, key, before, chars).withColumnRenamed("context", name) if chars > 0 else None
+        out = out.join(got, ["doc_id", key], "left").fillna("", [name]) if got is not None else out.withColumn(name, F.lit(""))
+    return out
 
 
 def with_contexts(units: DataFrame, before_chars: int = 3000, after_chars: int = 2000) -> DataFrame:
-    """doc_id, batch_no, context_before, context_after of every batch of ``greedy_batches``; ordinals are consecutive.
-
-    No budget means no context; a document's first batch has none before it.
-    """
-    batches = units.where("batch_no is not null").select("doc_id", "batch_no").distinct()
-    for before, chars, name in ((True, before_chars, "context_before"), (False, after_chars, "context_after")):
-        got = _context(units, before, chars).withColumnRenamed("context", name) if chars > 0 else None
-        batches = batches.join(got, ["doc_id", "batch_no"], "left").fillna("", [name]) if got is not None else batches.withColumn(name, F.lit(""))
-    return batches
+    """doc_id, batch_no, context_before, context_after of every batch of ``greedy_batches``; ordinals are consecutive."""
+    spans = units.where("batch_no is not null").groupBy("doc_id", "batch_no").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    return contexts_of(context_lines(units), spans, "batch_no", before_chars, after_chars).drop("first", "last")
 
 
 def input_budget(window: int, max_output: int, ratio: float, system_tokens: int) -> int:
@@ -121,32 +134,45 @@ def json_size(text: Column, unit_id: Column) -> Column:
     return (compact + 3).cast("long")  # one space behind each colon and behind the comma
 
 
-def plan_blocks(units: DataFrame, body_tokens: int, max_batches: int = 20) -> DataFrame:
-    """doc_id, batch_no, block_no: consecutive batches share a block while their JSON fits the body budget and their count
-    the limit; the first batch of a block always fits."""
-    sizes = units.where("batch_no is not null").groupBy("doc_id", "batch_no").agg((F.sum(json_size(F.col("text"), F.col("unit_id"))) + 2 * F.count("*") - 2).alias("size"))
-    lists = sizes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("batch_no", "size"))).alias("items"))
-    frame = len('{"batch_id": "batch_001", "items": []}')
+#: The frame of a batch in a block, and what joins it to the next.
+FRAME = len('{"batch_id": "batch_001", "items": []}') + 2
 
-    def start() -> Callable[[int, bool], int | None]:
-        no = n = chars = 0
 
-        def number(size: int, skip: bool) -> int:
-            nonlocal no, n, chars
-            own = size + frame + 2
-            if n == 0 or n >= max_batches or (chars + own + 1) // 2 > body_tokens:
+def batch_sizes(units: DataFrame) -> DataFrame:
+    """doc_id, batch_no, size: characters of each batch's JSON in a block."""
+    rows = units.where("batch_no is not null").groupBy("doc_id", "batch_no")
+    return rows.agg((F.sum(json_size(F.col("text"), F.col("unit_id"))) + 2 * F.count("*") - 2 + FRAME).alias("size"))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _fold_blocks(sizes: pd.Series, most: pd.Series, tokens: pd.Series) -> pd.Series:
+    out = []
+    for own, limit, budget in zip(sizes, most, tokens, strict=True):
+        no = n = chars = 0
+        numbers = []
+        for size in own:
+            if n == 0 or n >= limit or (chars + int(size) + 1) // 2 > budget:
                 no, n, chars = no + 1, 0, 0
-            n, chars = n + 1, chars + own
-            return no
+            n, chars = n + 1, chars + int(size)
+            numbers.append(no)
+        out.append(numbers)
+    return pd.Series(out)
 
-        return number
 
-    none = F.transform("items", lambda x: F.lit(False))
-    numbered = lists.withColumn("no", _folded(start)(F.transform("items", lambda x: x["size"].cast("int")), none))
+def number_blocks(sizes: DataFrame, body_tokens: int) -> DataFrame:
+    """doc_id, batch_no, block_no for rows doc_id, batch_no, size, most: consecutive batches share a block while their JSON
+    fits the body budget and their count the document's limit; the first batch of a block always fits."""
+    lists = sizes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("batch_no", "size"))).alias("items"), F.first("most").alias("most"))
+    numbered = lists.withColumn("no", _fold_blocks(F.transform("items", lambda x: x["size"]), "most", F.lit(body_tokens)))
     pairs = numbered.select("doc_id", F.explode(F.arrays_zip(F.transform("items", lambda x: x["batch_no"]).alias("batch_no"), F.col("no"))).alias("b"))
     return pairs.select("doc_id", F.col("b.batch_no").alias("batch_no"), F.col("b.no").alias("block_no"))
 
 
+def plan_blocks(units: DataFrame, body_tokens: int, max_batches: int = 20) -> DataFrame:
+    """doc_id, batch_no, block_no of all batches, with one limit for all documents."""
+    return number_blocks(batch_sizes(units).withColumn("most", F.lit(max_batches)), body_tokens)
+
+
 def mini_blocks(batches: DataFrame, reach: int = 2) -> DataFrame:
     """``batches`` (doc_id, block_no, batch_no, items) with ``near``: the batches up to ``reach`` around each in its block."""
     around = Window.partitionBy("doc_id", "block_no").orderBy("batch_no").rowsBetween(-reach, reach)

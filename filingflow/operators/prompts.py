@@ -6,9 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SYSTEM = "You translate passages of regulatory filings. Keep every <PH_n> tag pair, every number and every id as they are."
+#: What follows it in each request; the cache knows the language by itself.
+LANGUAGE = " The target language is %s."
 REMINDER = "\nAnswer with a JSON array of objects with id and text, and nothing else."
 
 
+def system(language: str) -> str:
+    """The system message of every request."""
+    return SYSTEM + LANGUAGE % language
+
+
 def items_json(units: Column) -> Column:
     return F.to_json(F.transform(units, lambda u: F.struct(u["id"].alias("id"), u["text"].alias("text"))))
 
@@ -23,9 +30,14 @@ def block_prompt(language: str, before: Column, batches: Column, after: Column)
     return F.concat(F.lit(f"Target language: {language}\n# Text before\n"), before, F.lit("\n# Block\n"), batches, F.lit("\n# Text after\n"), after)
 
 
-def context_prompt(before: Column, after: Column) -> Column:
+def context_prompt(language: str, before: str, after: str) -> str:
     """The text around a batch that has no block around it."""
-    return F.concat(F.lit("# Text before\n"), before, F.lit("\n# Text after\n"), after)
+    return f"Target language: {language}\n# Text before\n{before}\n# Text after\n{after}"
+
+
+def bare_prompt(language: str) -> str:
+    """What stands in front of a batch with nothing around it."""
+    return f"Target language: {language}"
 
 
 def task_prompt(units: Column, strict: Column, reason: Column, previous: Column) -> Column:

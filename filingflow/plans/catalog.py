@@ -24,6 +24,7 @@ from ..operators.provider import KeyedProvider, usage_totals
 from ..session import materialize, ship
 from ..sources.files import empty_files
 from . import translate as W
+from .blocks import next_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -484,6 +485,21 @@ def block_run(spark, sf_dir):
     return W.blocks(_units(spark, sf_dir), _narrow_provider, _second_provider, config)[0].select("doc_id", "unit_id", "provider", "result")
 
 
+@query(f"""
+WITH {_UNITS}, d AS (
+  SELECT doc_id, CAST(1 + doc_id % 9 AS INTEGER) AS most, CAST(doc_id % 5 AS INTEGER) AS good, min(CASE WHEN length(text) % 10 = 3 THEN ordinal END) FILTER (WHERE ordinal <= 4) AS stop, max(ordinal) FILTER (WHERE ordinal <= 4) AS last FROM u GROUP BY doc_id
+), g AS (SELECT *, good + coalesce(stop - 1, last, 0) AS now FROM d)
+SELECT doc_id, CAST(CASE WHEN stop IS NOT NULL AND most > 1 THEN CASE WHEN most // 2 >= 1 AND most // 2 < most THEN most // 2 ELSE most - 1 END
+  WHEN stop IS NULL AND now >= 5 THEN greatest(most, least(8, greatest(most + 1, CAST(floor(most * 1.25) AS INTEGER)))) ELSE most END AS INTEGER) AS most,
+  CAST(CASE WHEN (stop IS NOT NULL AND most > 1) OR now >= 5 THEN 0 ELSE now END AS INTEGER) AS good FROM g""")
+def block_states(spark, sf_dir):
+    """How many batches a document's blocks may have after a round, in which some of its first four blocks did not fit."""
+    units = _units(spark, sf_dir)
+    state = units.select("doc_id").distinct().select("doc_id", (F.lit(1) + F.pmod("doc_id", F.lit(9))).cast("int").alias("most"), F.pmod("doc_id", F.lit(5)).cast("int").alias("good"))
+    done = units.where("ordinal <= 4").select("doc_id", F.col("ordinal").alias("block_no"), (F.char_length("text") % 10 == 3).alias("limited"))
+    return next_state(state, done, Config(block=Block(max_batches_per_block=8)))
+
+
 @query(_RUN)
 def linear_run(spark, sf_dir):
     """Linear mode over all documents, with validation, shrinking batches and the fallback model."""

@@ -1,28 +1,26 @@
-"""Whole runs: pages to translated pages with reports and cache rows, bundles to files, block and linear mode."""
+"""Whole runs: pages to translated pages with reports and cache rows, bundles to files."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any, NamedTuple
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..config import Config, Model
-from ..functions.text import FORMAT_ERRORS
+from ..config import Config
 from ..operators import cache as C
 from ..operators import html_units as H
-from ..operators import ladder as L
-from ..operators import planning as P
 from ..operators import report as R
 from ..operators import submission as S
-from ..operators.prompts import REMINDER, SYSTEM
+from ..operators.ladder import RESULT
+from ..operators.prompts import SYSTEM
 from ..operators.provider import Provider
-from ..operators.responses import answered, first_failure
 from ..session import materialize
 from ..sources.files import pretty
+from ..stages import Stages, fingerprint
+from .blocks import blocks
+from .linear import linear
 
 CACHE = "cache_key string, text string, provider string"
 #: Names of files that are made beside a bundle's documents.
@@ -35,16 +33,19 @@ class Run(NamedTuple):
     attempts: DataFrame
     reports: DataFrame
     cache_rows: DataFrame
+    stages: Stages
 
 
 def translate(
     pages: DataFrame, primary: Callable[[], Provider], fallback: Callable[[], Provider] | None = None, cache: DataFrame | None = None, config: Config | None = None,
-    model: str | None = None, fallback_model: str | None = None, run: int = 0,
+    model: str | None = None, fallback_model: str | None = None, run: int = 0, journal: str | None = None,
 ) -> Run:
     """Translate ``pages`` (doc_id, html): units, cache lookup, block or linear mode for the misses, and the pages rebuilt.
 
     A page without units stays as it is and has no report. Answers of the fallback model are highlighted, cached ones too.
-    ``run`` numbers the run for the cache log, whose latest run wins.
+    ``run`` numbers the run for the cache log, whose latest run wins. With a ``journal`` folder the stages of calls are kept
+    there, each with a commit marker: a run over the same units, settings and models that is started again after it was
+    stopped makes none of the calls of the stages that were finished.
     """
     config = config or Config()
     model = model or (config.model.model if config.model else "model")
@@ -55,35 +56,17 @@ def translate(
     names = F.transform("placeholders", lambda p: p["name"])
     key = C.cache_key(F.col("file_hash"), F.col("unit_id"), F.col("text"), names, C.prompt_hash(SYSTEM), F.lit(config.target_language), F.lit(model))
     units = materialize(C.lookup(found.join(hashed, "doc_id").withColumn("cache_key", key), cache).withColumn("cached", F.col("cached_text").isNotNull()), "units")
-    fresh, attempts = (blocks if config.block.enabled else linear)(units, primary, fallback, config)
+    own = f"{journal.rstrip('/')}/{fingerprint(units.where('not cached').select('doc_id', 'ordinal', 'cache_key'), config, model, fallback_model)}" if journal else None
+    stages = Stages(pages.sparkSession, own)
+    fresh, attempts = (blocks if config.block.enabled else linear)(units, primary, fallback, config, stages)
+    fresh = fresh.select(*RESULT)
     hits = units.where("cached").select("doc_id", "ordinal", "unit_id", "source_text", F.col("cached_text").alias("result"), F.col("cached_provider").alias("provider"), F.lit("cache").alias("rung"))
     results = materialize(fresh.unionByName(hits), "results")
     second = F.col("provider") == F.lit(fallback_model) if fallback_model else F.lit(False)
     answers = results.where("provider <> 'source'").select("doc_id", "ordinal", F.col("result").alias("text"), second.alias("is_fallback"))
     new = results.where("rung <> 'cache'").join(units.select("doc_id", "unit_id", "cache_key", "file_hash"), ["doc_id", "unit_id"])
     models = [(kind, m.model, m.base_url, m.api_key, m.context_window_tokens, m.max_output_tokens) for kind, m in (("primary", config.model), ("fallback", config.fallback_model)) if m]
-    return Run(H.apply_units(pages, answers), results, attempts, R.reports(results, attempts, models), C.cache_rows(new, C.prompt_hash(SYSTEM), config.target_language, model, run))
-
-
-def blocks(units: DataFrame, primary: Callable[[], Provider], fallback: Callable[[], Provider] | None = None, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results, attempts) of block mode: what is not cached is cut into batches, batches into blocks that share a prompt.
-
-    As many blocks as there are run at once, the calls of a stage in at most ``max_workers`` partitions. The token budget of a
-    prompt is dealt to the text before, the block and the text behind; a token is counted as two characters.
-    """
-    config = config or Config()
-    model, own = config.model or Model(), config.block
-    todo = units.where("not cached") if "cached" in units.columns else units
-    todo = todo.withColumn("place", F.expr("CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS INT)"))
-    batched = materialize(P.greedy_batches(todo.drop("cached"), min(own.target_batch_units, config.batch.max_units), own.max_batch_chars), "batched")
-    budget = P.input_budget(model.context_window_tokens, model.max_output_tokens, own.max_input_ratio, max(1, (len(SYSTEM) + 1) // 2))
-    before, body, after = P.block_budgets(budget, own.before_context_ratio, own.block_body_ratio, own.after_context_ratio)
-    planned = materialize(P.plan_blocks(batched, body, own.max_batches_per_block), "planned")
-    # contexts see consecutive numbers; the units keep theirs
-    contexts = materialize(P.with_contexts(batched.withColumn("ordinal", F.col("place")), 2 * before, 2 * after), "contexts")
-    second = config.fallback_model or model
-    calls, later = L.Calls(model.max_retries, own.max_workers), L.Calls(second.max_retries, own.max_workers)
-    return L.run_ladder(batched, primary, fallback, contexts, planned, config.target_language, calls, later, own.warmup_delay_seconds if own.max_workers > 1 else None)
+    return Run(H.apply_units(pages, answers), results, attempts, R.reports(results, attempts, models), C.cache_rows(new, C.prompt_hash(SYSTEM), config.target_language, model, run), stages)
 
 
 def unpack(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,110 +90,6 @@ def unpack(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files, documents
 
 
-def _around(rows: list[dict], at: int, step: int, budget: int) -> str:
-    """The lines next to a place, walking away from it while they fit the budget, one at least; in document order."""
-    lines, left = [], budget
-    while 0 <= at < len(rows) and budget > 0:
-        line = f"{rows[at]['unit_id']}: {rows[at]['source_text']}"
-        if lines and len(line) + 1 > left:
-            break
-        lines.append(line)
-        left -= len(line) + 1
-        at += step
-    return "\n".join(lines[::step])
-
-
-class _Document:
-    """One document's calls in the linear mode: what was answered, and the log of attempts."""
-
-    def __init__(self, rows: list[dict], primary: Provider, fallback: Provider | None, config: Config):
-        self.rows, self.primary, self.fallback, self.config = rows, primary, fallback, config
-        self.out: list[dict] = []
-        self.log: list[dict] = []
-
-    def ask(self, provider: Provider, batch: list[dict], at: int, rung: str, strict: bool) -> tuple[list[dict] | None, str | None]:
-        """(items, reason) of one call; any failure of the call is its reason."""
-        own = self.config.batch
-        before, after = _around(self.rows, at - 1, -1, own.previous_context_chars), _around(self.rows, at + len(batch), 1, own.next_context_chars)
-        units = [{"id": u["unit_id"], "text": u["text"]} for u in batch]
-        task = "# Task\n" + "\n".join(f"{u['id']}: {u['text']}" for u in units) + (REMINDER if strict else "")
-        try:
-            items, reason = answered(provider.translate({"rung": rung, "units": units, "prompt": f"# Text before\n{before}\n# Text after\n{after}\n{task}"}) or "")
-        except Exception as e:  # noqa: BLE001 - a failed call is a failed batch
-            items, reason = None, f"provider_error: {str(e) or type(e).__name__}"
-        reason = reason or first_failure(batch, items)
-        self.log.append({"rung": rung, "model": provider.model, "reason": reason})
-        return items, reason
-
-    def keep(self, batch: list[dict], texts: list[str], provider: str, rung: str) -> None:
-        self.out += [{"unit_id": u["unit_id"], "ordinal": u["ordinal"], "source_text": u["source_text"], "result": t, "provider": provider, "rung": rung, "batch_size": len(batch), "calls": len(self.log)} for u, t in zip(batch, texts, strict=True)]
-
-    def alone(self, unit: dict, at: int) -> None:
-        """The fallback's answer to a unit that the primary model failed alone, or its source."""
-        if self.fallback is not None:
-            items, reason = self.ask(self.fallback, [unit], at, "fallback", False)
-            if reason is None:
-                self.keep([unit], [items[0]["text"]], self.fallback.model, "fallback")
-                return
-        self.keep([unit], [unit["source_text"]], "source", "source")
-
-    def run(self) -> None:
-        own, at, good = self.config.batch, 0, 0
-        size = max(own.min_units, min(own.initial_units, own.max_units))
-        while at < len(self.rows):
-            if self.rows[at]["cached"]:
-                at += 1
-                continue
-            batch, chars = [], 0
-            for u in self.rows[at : at + size]:
-                if u["cached"] or (batch and chars + len(u["text"]) > own.max_batch_chars):
-                    break
-                batch.append(u)
-                chars += len(u["text"])
-            items, reason = self.ask(self.primary, batch, at, "primary", False)
-            if reason in FORMAT_ERRORS:
-                items, reason = self.ask(self.primary, batch, at, "strict", True)
-            if reason is None:
-                self.keep(batch, [x["text"] for x in items], self.primary.model, "primary")
-                good += 1
-                if good >= own.grow_after_successes:
-                    size, good = max(size, min(own.max_units, max(size + 1, int(size * own.grow_factor)))), 0
-            elif len(batch) > 1:  # below min_units too, else a failing batch would never end
-                size, good = max(1, min(int(len(batch) * own.shrink_factor), len(batch) - 1)), 0
-                continue
-            else:
-                good = 0
-                self.alone(batch[0], at)
-            at += len(batch)
-
-
-LINEAR = "unit_id string, ordinal int, source_text string, result string, provider string, rung string, batch_size int, calls int, model string, reason string"
-
-
-def linear(units: DataFrame, primary: Callable[[], Provider], fallback: Callable[[], Provider] | None = None, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results, attempts) of the linear mode: a document call by call, with a batch size that shrinks on failure and grows
-    after successes; the next call depends on the last one, so documents run in parallel, one group each.
-
-    Cached units are left out and end a batch. Every answer is validated as in block mode; a format error is retried once,
-    a unit that fails alone goes to the fallback model, and one that nothing answers keeps its source.
-    """
-    config = config or Config()
-    rows = units if "cached" in units.columns else units.withColumn("cached", F.lit(False))
-    names = F.transform("placeholders", lambda p: p["name"]) if "placeholders" in units.columns else F.array().cast("array<string>")
-    rows = rows.select("doc_id", "ordinal", "unit_id", "text", "source_text", "cached", names.alias("names"))
-    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(LINEAR)])
-
-    def run(key: tuple[Any, ...], table: pd.DataFrame) -> pd.DataFrame:
-        own = table.sort_values("ordinal").to_dict("records")
-        document = _Document(own, primary(), fallback() if fallback else None, config)
-        document.run()
-        return pd.DataFrame([{"doc_id": key[0], **r} for r in document.out + document.log], columns=schema.names, dtype=object)
-
-    ran = materialize(rows.groupBy("doc_id").applyInPandas(run, schema), "linear")
-    results = ran.where("unit_id is not null").select("doc_id", "ordinal", "unit_id", "source_text", "result", "provider", "rung", "batch_size", "calls")
-    return results.drop("batch_size", "calls") if "cached" in units.columns else results, ran.where("unit_id is null").select("doc_id", "rung", "model", "reason")
-
-
 def outputs(run: Run, names: DataFrame, config: Config) -> DataFrame:
     """name, content: the translated pages and their reports, named after each page's file (doc_id, name)."""
     stem, suffix = F.regexp_extract("name", r"(?s)\A(.*?)(\.[^./]*)?\z", 1), F.regexp_extract("name", r"(?s)\A(.*?)(\.[^./]*)?\z", 2)

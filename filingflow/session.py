@@ -50,17 +50,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return f"_{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once under ``spark.checkpoint.dir`` and read from there, so that costly calls are not
-    repeated when executors are lost or a second action runs. Only a local session without that setting gets a temporary
-    folder; on a cluster, where other machines would not see it, this is an error."""
-    spark = df.sparkSession
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for tables in between, which the session names in ``spark.checkpoint.dir``. Only a local session
+    without that setting gets a temporary folder; on a cluster, where other machines would not see it, this is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="filingflow-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/filingflow/{name}-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once under the shared folder and read from there, so that costly work is not repeated when
+    executors are lost or a second action runs."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/filingflow/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Readers of submissions, pages and cache lines, the check of a download tree, and file sinks."""
+"""Readers of submissions, pages and cache lines, and the check of a download tree."""
 
 from __future__ import annotations
 
@@ -91,37 +91,6 @@ def check_download(spark: SparkSession, path: str, count: int | None) -> None:
         raise FilingError("empty files: " + ", ".join(found))
 
 
-def write_files(rows: DataFrame, folder: str, overwrite: bool = False) -> int:
-    """Write rows (name, content binary) as files of ``folder``; returns how many.
-
-    Names are data, so executors write them; nothing is written if a name is unsafe, doubled or already there. The check is
-    a distributed job over names alone.
-    """
-    fs, root = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
-    names = rows.select("name")
-    bad = names.where(F.col("name").isNull() | F.col("name").rlike(r"(^|/)\.\.?(/|$)|^/|\\")).union(names.groupBy("name").count().where("count > 1").select("name")).first()
-    if bad:
-        raise FilingError(f"unsafe or doubled name: {bad[0]}")
-    if not overwrite:
-        there = names.sparkSession.createDataFrame([(i.path.removeprefix(root).lstrip("/"),) for i in fs.get_file_info(pafs.FileSelector(root, recursive=True))], "name string")
-        clash = names.join(there, "name", "left_semi").first()
-        if clash:
-            raise FilingError(f"file exists: {clash[0]}")
-
-    def put(part: Iterator) -> None:
-        own, base = pafs.FileSystem.from_uri(folder)
-        for r in part:
-            target = f"{base}/{r['name']}"
-            own.create_dir(target.rpartition("/")[0], recursive=True)
-            with own.open_output_stream(f"{target}.tmp") as out:
-                out.write(bytes(r["content"]))
-            own.move(f"{target}.tmp", target)
-
-    rows.select("name", "content").foreachPartition(put)
-    return rows.count()
-
-
 @F.arrow_udf(StringType())
 def pretty(texts: pa.Array) -> pa.Array:
     """JSON texts with an indent of two and non-ASCII letters kept."""

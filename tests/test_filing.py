@@ -16,7 +16,7 @@ from filingflow.operators import planning as P
 from filingflow.operators import report as R
 from filingflow.operators import submission as S
 from filingflow.operators.provider import KeyedProvider, call, prime
-from filingflow.sources import files
+from filingflow.sources import files, sink
 
 
 def value(spark, column):
@@ -198,12 +198,12 @@ def test_sources_and_sinks(spark, tmp_path):
             files.check_download(spark, path, count)
     rows = spark.createDataFrame([("a/x.bin", b"1"), ("y.bin", b"2")], "name string, content binary")
     out = f"file://{tmp_path}/out"
-    assert files.write_files(rows, out) == 2 and (tmp_path / "out/a/x.bin").read_bytes() == b"1"
+    assert sink.write_files(rows, out) == 2 and (tmp_path / "out/a/x.bin").read_bytes() == b"1"
     with pytest.raises(config.FilingError):
-        files.write_files(rows, out)
-    assert files.write_files(rows, out, overwrite=True) == 2
+        sink.write_files(rows, out)
+    assert sink.write_files(rows, out, overwrite=True) == 2
     with pytest.raises(config.FilingError):
-        files.write_files(spark.createDataFrame([("../x", b"")], "name string, content binary"), out)
+        sink.write_files(spark.createDataFrame([("../x", b"")], "name string, content binary"), out)
 
 
 def test_stream(spark, tmp_path):

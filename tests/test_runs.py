@@ -11,7 +11,7 @@ from filingflow.config import Batch, Block, Config, Model
 from filingflow.operators.provider import KeyedProvider
 from filingflow.operators.report import reports
 from filingflow.plans.translate import blocks, linear, translate, unpack
-from filingflow.sources.files import write_files
+from filingflow.sources.sink import write_files
 
 
 def test_translate_and_rerun(spark):
@@ -57,7 +57,7 @@ def test_linear_mode_adapts(spark):
     results, attempts = linear(units, factory, config=Config(batch=Batch(initial_units=4, grow_after_successes=2)))
     got = {r.unit_id: r for r in results.collect()}
     assert got["u2"].provider == "source" and got["u2"].result == "text 2" and got["u6"].result == "TEXT 6"
-    assert max(r.calls for r in got.values()) > 4 and got["u0"].batch_size == 2
+    assert max(r.call for r in got.values()) > 4 and got["u0"].batch_size == 2
     assert attempts.where("reason is not null").count() >= 3
 
 
@@ -90,7 +90,7 @@ def test_block_mode_shrinks_primes_and_falls_back(spark):
     assert len(got) == 24 and got[(1, 6)] == ("text 5!", "two") and got[(2, 1)] == ("TEXT 0", "one")
     reasons = [(r.rung, r.reason) for r in attempts.where("reason is not null").collect()]
     assert any(x[0] == "prime" and x[1].startswith("cache_warmup_failed") for x in reasons)
-    assert any("context length" in x[1] for x in reasons) and any(r.rung.startswith("shrunk") for r in attempts.select("rung").collect())
+    assert any("context length" in x[1] for x in reasons) and attempts.agg({"turn": "max"}).first()[0] > 0  # planned again
     report = json.loads(reports(results, attempts, [("primary", "one", "u", "secret-key", 1000, 10)]).where("doc_id = 1").first().report)
     assert report["models"][0]["api_key"] == "se***ey" and report["usage"][0]["prompt_cache_hit_ratio"] == 0.8
 
