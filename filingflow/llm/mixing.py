@@ -28,6 +28,8 @@ BUCKETS = 1 << 14
 TRAIN_DOCUMENTS = 4000
 EPOCHS, BATCH, STEP, DECAY = 60, 64, 1.0, 1e-4
 STEPS, CLOSE = 25, 1e-6
+#: A domain that must grow by more than this to meet its target keeps its share.
+MOST_GROWTH = 4.0
 
 
 def _bag(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +160,12 @@ def solve(rows: DataFrame, targets: Mapping[str, float], budget: float | None =
     """(steps, targets in tokens, expected tokens): projected gradient until the residual is below a millionth.
 
     Without a budget the total is the smallest that lets every domain whose share grows keep all its expected tokens.
-    An ``absent`` domain has no labelled row to learn it from, so it keeps its share instead of meeting a target.
+    An ``absent`` domain has no labelled row to learn it from, and a scarce one would have to grow more than ``MOST_GROWTH``
+    times (when a filter has left next to none of it): neither has a target to meet, as rates that made up for them would
+    repeat a few documents without end; they are expected to keep their share.
+
+    A step is first scaled by the Gram matrix, in ever smaller parts, then by its bound, which never makes the residual
+    larger; a step that does not lessen the residual is not taken.
     """
     share = np.array([targets[d] for d in DOMAINS], float)
     if share.min() < 0 or not share.sum():
@@ -166,22 +173,33 @@ def solve(rows: DataFrame, targets: Mapping[str, float], budget: float | None =
     share /= share.sum()
     steps: list[np.ndarray] = []
     now, gram = _expected(rows, steps)
-    if absent is not None and absent.any() and now.sum() and share[~absent].sum():
-        share[absent] = now[absent] / now.sum()
-        share[~absent] *= (1 - share[absent].sum()) / share[~absent].sum()
+    fixed = np.zeros(len(share), bool) if absent is None else absent.copy()
+    fixed |= share * now.sum() > MOST_GROWTH * now
+    if fixed.any() and now.sum() and share[~fixed].sum():
+        share[fixed] = now[fixed] / now.sum()
+        share[~fixed] *= (1 - share[fixed].sum()) / share[~fixed].sum()
     grows = (share > 0) & (share * now.sum() >= now * (1 - 1e-9))
     total = budget if budget is not None else max((now[grows] / share[grows]).max(initial=0.0), now.sum())
     want = share * total
+    free = np.diag((~fixed).astype(float))
+    bound = max(np.linalg.eigvalsh(gram)[-1], 1e-300)  # with all rates above zero: no later one is larger
     for _ in range(STEPS):
-        if np.abs(now - want).sum() <= CLOSE * max(total, 1):
+        off = free @ (now - want)
+        if np.abs(off).sum() <= CLOSE * max(total, 1):
+            break
+        scaled = np.linalg.pinv(free @ gram @ free, rcond=1e-9) @ off
+        for step in (scaled, scaled / 4, scaled / 16, off / bound):
+            later, its_gram = _expected(rows, [*steps, step])
+            if np.square(free @ (later - want)).sum() < np.square(off).sum():
+                break
+        else:
             break
-        steps.append(np.linalg.pinv(gram, rcond=1e-9) @ (now - want))
-        later, gram = _expected(rows, steps)
+        steps.append(step)
         stuck = np.abs(later - now).sum() <= 1e-3 * CLOSE * max(total, 1)
-        now = later
+        now, gram = later, its_gram
         if stuck:
             break
-    rest = np.abs(now - want).sum() / max(total, 1)
+    rest = np.abs(free @ (now - want)).sum() / max(total, 1)
     if rest > 1e-3:
         warnings.warn(f"the mixture misses its targets by {rest:.2%} of all tokens", stacklevel=2)
     return steps, want, now

@@ -197,6 +197,20 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.rates(p, [np.array([2.0, 0, 0]), np.array([-1.0, 0, 0])])[0] == pytest.approx(0.9)
 
 
+def test_a_domain_that_a_filter_has_left_next_to_nothing_of_has_no_target(spark):
+    """Else a few documents would be repeated without end: rates stay small, and the other targets are met."""
+    rng = np.random.default_rng(9)
+    toxic = np.where(rng.random(5000) < 0.08, rng.uniform(0.5, 0.95, 5000), rng.uniform(0.005, 0.05, 5000))
+    low = rng.uniform(1e-4, 1e-3, 5000)
+    rows = spark.createDataFrame([(float(1 - a - b), float(b), float(a), int(n)) for a, b, n in zip(toxic, low, rng.integers(0, 900, 5000), strict=True)], "p_high double, p_low double, p_toxic double, n_tokens long")
+    steps, want, now = mixing.solve(rows, mixing.TARGETS)
+    p = np.stack([1 - toxic - low, low, toxic], 1)
+    rate = mixing.rates(p, steps)
+    assert rate.max() < 4 and (rate > 0).mean() > 0.9
+    assert abs(now[0] - want[0]) + abs(now[2] - want[2]) < 1e-3 * want.sum() and now[1] < 4 * want[1]
+    assert want[2] / (want[0] + want[2]) == pytest.approx(5 / 92)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
