@@ -70,7 +70,7 @@ def _translate(spark, args) -> None:
 
     from .operators import cache as C
     from .plans.translate import outputs, translate
-    from .sources.files import read_cache_lines, read_pages
+    from .sources.files import read_pages
     from .sources.sink import write_files
     from .stages import Files
 
@@ -83,7 +83,7 @@ def _translate(spark, args) -> None:
         raise FilingError(f"no such file or folder: {args.source}")
     pages = read_pages(spark, str(source))
     log = Files(spark, args.cache) if args.cache and config.cache.enabled else None
-    known = C.last_wins(C.parse_lines(read_cache_lines(spark, str(log)))) if log and log.exists() else None
+    known = C.read_log(spark, str(log), pages) if log and log.exists() else None
     journal = f"{log}/{JOURNAL}" if log else None
     ran = translate(pages, provider_factory(args.provider, model), provider_factory(args.provider, second) if second else None, known, config, run=C.next_run(known) if known is not None else 1, journal=journal)
     # names follow the folders below the source, which is a prefix of each page's address; a single page has its own name

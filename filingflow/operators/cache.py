@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from ..stages import Files
+
 PROMPT_VERSION = "1"
 
 
@@ -81,9 +83,65 @@ def cache_rows(results: DataFrame, prompt: Column, language: str, model: str, ru
     )
 
 
+def read_cache_lines(spark: SparkSession, path: str, shelves: list[str] | None = None) -> DataFrame:
+    """value, seq: the lines of JSONL files; later lines of a file, and later files by name, have larger numbers.
+
+    Within a split Spark numbers rows in the order of the file; splits are ordered by file and start, not by when they are read.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path)
+    if shelves is not None:  # before lines are numbered, as no filter passes that
+        lines = lines.where(F.col(SHELF).isin(shelves))
+    return lines.select("value", F.struct(meta["file_name"].alias("file"), meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("line")).alias("seq"))
+
+
+#: Of a cache folder: the versions of its table, and what marks one as complete. A shelf holds the pages whose hash begins
+#: with the same two digits, so there are 256 at most.
+VERSION, COMPLETE, SHELF = "version-", "_COMPLETE-", "shelf"
+
+
+def _version(files: Files) -> int:
+    """The latest version that was completed; 0 before the first compaction."""
+    return max([int(n.removeprefix(COMPLETE)) for n in files.names() if n.startswith(COMPLETE)], default=0)
+
+
+def _shelf() -> Column:
+    """A letter comes first, as names of digits alone would be read back as numbers."""
+    return F.concat(F.lit("h"), F.coalesce(F.substring("file_hash", 1, 2), F.lit("")))
+
+
 def append(rows: DataFrame, path: str) -> None:
-    """Add rows to a log of JSON lines; their run numbers order them, whatever the names of their files."""
-    rows.write.mode("append").json(path)
+    """Add rows to the log of answers, as JSON lines on the shelf of their page; run numbers order them, whatever the names of
+    their files."""
+    files = Files(rows.sparkSession, path)
+    rows.withColumn(SHELF, _shelf()).repartition(SHELF).write.partitionBy(SHELF).mode("append").json(f"{files}/{VERSION}{_version(files)}")
+
+
+def read_log(spark: SparkSession, path: str, pages: DataFrame | None = None) -> DataFrame:
+    """The log of answers, its latest rows: ``ROW``'s columns and seq. With ``pages`` (file_hash) only the shelves of these
+    pages are read: a list of 256 names at most is all that the driver takes of them."""
+    files = Files(spark, path)
+    name = f"{VERSION}{_version(files)}"
+    if not files.exists(name):  # lines that something else has written, on no shelves
+        return last_wins(parse_lines(read_cache_lines(spark, str(files))))
+    shelves = None if pages is None else [r[0] for r in pages.select(_shelf().alias(SHELF)).distinct().collect()]
+    return last_wins(parse_lines(read_cache_lines(spark, f"{files}/{name}", shelves)))
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Merge the log's runs: the latest usable row of each key stays, sorted by key, with about one file for each shelf. The
+    new version takes over when its marker is made, so a compaction that is stopped changes nothing; returns its number.
+
+    A log has one writer at a time. The version before stays until the next compaction.
+    """
+    files = Files(spark, path)
+    now = _version(files)
+    rows = read_log(spark, path).drop("seq").withColumn(SHELF, _shelf())
+    rows.repartition(SHELF).sortWithinPartitions(SHELF, "cache_key").write.partitionBy(SHELF).mode("overwrite").json(f"{files}/{VERSION}{now + 1}")
+    files.touch(f"{COMPLETE}{now + 1}")
+    if now:
+        Files(spark, f"{files}/{VERSION}{now - 1}").remove()
+    return now + 1
 
 
 def next_run(cache: DataFrame) -> int:

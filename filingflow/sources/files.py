@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from ..config import FilingError
 from ..operators.submission import as_text, header_fields
+from .mirror import open_mirror, wanted_folders
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
@@ -31,10 +32,12 @@ def read_mirror(spark: SparkSession, root: str, requests: DataFrame) -> DataFram
     """The submissions of a local mirror ``root/TICKER/FORM/accession/…`` that the requests (ticker, form) name, in any case.
 
     A request may have ``after`` and ``before``, the first and last day of filing as YYYY-MM-DD, and ``limit``: so many of
-    the latest. A null sets no bound; a bundle without a filing date meets no bound of time and counts as the oldest.
+    the latest. A null sets no bound; a bundle without a filing date meets no bound of time and counts as the oldest. Only
+    the folders of the tickers and forms are listed and opened.
     """
-    rows = read_submissions(spark, root).withColumn("_p", F.split("source_file", "/"))
-    rows = rows.withColumn("ticker", F.element_at("_p", -4)).withColumn("form", F.element_at("_p", -3)).drop("_p")
+    tickers, forms = wanted_folders(requests)
+    rows = open_mirror(spark, root).where(F.col("ticker").isin(tickers) & F.col("form").isin(forms))
+    rows = rows.select("filing_id", "source_file", as_text(F.col("content")).alias("submission"), "content", "ticker", "form")
     known = {"after": "string", "before": "string", "limit": "int"}
     bounds = [(F.col(c) if c in requests.columns else F.lit(None)).cast(t).alias(c) for c, t in known.items()]
     wanted = requests.select(F.upper("ticker").alias("ticker"), F.upper("form").alias("form"), *bounds).distinct()
@@ -47,15 +50,6 @@ def read_mirror(spark: SparkSession, root: str, requests: DataFrame) -> DataFram
     return rows.join(ranks.select("source_file").distinct(), "source_file", "left_semi")
 
 
-def read_cache_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, seq: the lines of JSONL files; later lines of a file, and later files by name, have larger numbers.
-
-    Within a split Spark numbers rows in the order of the file; splits are ordered by file and start, not by when they are read.
-    """
-    meta = F.col("_metadata")
-    return spark.read.text(path).select("value", F.struct(meta["file_name"].alias("file"), meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("line")).alias("seq"))
-
-
 def empty_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length of files without bytes, from a listing: Spark's file sources leave such files out when they plan a scan.
 

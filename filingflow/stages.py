@@ -52,6 +52,10 @@ class Files:
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self.below(name))
 
+    def names(self) -> list[str]:
+        """What lies in the folder; nothing where there is none."""
+        return [f.getPath().getName() for f in self._fs.listStatus(self.path)] if self.exists() else []
+
     def touch(self, name: str) -> None:
         self._fs.create(self.below(name), True).close()
 

@@ -143,7 +143,7 @@ def test_retries_and_priming(spark):
 
 def test_cache_files(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('\n{"cache_key":"a","text":"1"}\nnot json\n[1]\n{"cache_key":"a","text":"2"}\n{"cache_key":"b","text":"\\ufffd"}\n{"cache_key":"","text":"x"}\n')
-    rows = C.last_wins(C.parse_lines(files.read_cache_lines(spark, str(tmp_path))))
+    rows = C.last_wins(C.parse_lines(C.read_cache_lines(spark, str(tmp_path))))
     assert [(r.cache_key, r.text) for r in rows.collect()] == [("a", "2")]
 
 
@@ -154,13 +154,13 @@ def test_cache_log_orders_runs_and_files(spark, tmp_path):
         folder.mkdir()
         (folder / "a.jsonl").write_text(line("older") + line(first))
         (folder / "b.jsonl").write_text(line(second))
-        rows = C.last_wins(C.parse_lines(files.read_cache_lines(spark, str(folder)))).collect()
+        rows = C.last_wins(C.parse_lines(C.read_cache_lines(spark, str(folder)))).collect()
         assert [r.text for r in rows] == [second]
     log = str(tmp_path / "log")
     for run, text in ((1, "one"), (2, "two")):
         results = spark.createDataFrame([("k", "f", 1, "u_0001", "source", text, "m")], "cache_key string, file_hash string, doc_id long, unit_id string, source_text string, result string, provider string")
         C.append(C.cache_rows(results, C.prompt_hash("p"), "zh-CN", "m", run), log)
-    found = C.last_wins(C.parse_lines(files.read_cache_lines(spark, log)))
+    found = C.read_log(spark, log)
     assert found.first().text == "two" and C.next_run(found) == 3
     assert {f.name for f in found.schema} >= {"file_hash", "source_hash", "prompt_hash", "target_language", "model", "source_preview"}
 
