@@ -6,10 +6,12 @@ bytes. Word counts are exact over all training texts. They never meet in one pla
 chunk sends its distinct words (as sorted hash arrays, cut by hash range) to the tasks that own the ranges, and gets back
 the counts of just these words.
 
-The bilinear model is fitted to the counts of class trigrams over all training texts. Spark sums them into shards, whose
-number follows from the number of training tokens and a trigram's shard from its hash, so that shards hold the same counts
-however the table is partitioned. In each round every shard trains from the common parameters, and their means, weighted
-by how often a shard saw what a parameter belongs to and summed as integers, start the next round.
+The bilinear model is fitted to the counts of class trigrams over all training texts. Spark sums them in parts by hash,
+whose number follows from the training tokens. Parts are then gathered into shards by how many distinct trigrams there are,
+of which the model knows at most ``CLASSES**3``: a shard's pass takes as many steps in a large corpus as in a small one, and
+more tokens only make its counts more exact. Shards hold the same counts however the table is partitioned. In each round
+every shard trains from the common parameters, and their means, weighted by how often a shard saw what a parameter belongs
+to and summed as integers, start the next round.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ END, BEGIN, CLASSES = TOP + SUFFIXES, TOP + SUFFIXES + 1, TOP + SUFFIXES + 2
 WIDTH, NOISE, STEP, BATCH, ROUNDS = 16, 64, 0.15, 1024, 4
 #: Bytes of text in a chunk and behind a range of words, on average; at least so many of each.
 CHUNK_BYTES, RANGE_BYTES, LEAST = 4_000_000, 64_000_000, 32
-#: Training tokens behind a shard of trigrams, and trigrams of blocks that a task holds before it sums or sends them.
-SHARD_TOKENS, HELD = 2_000_000, 2_000_000
+#: Training tokens behind a part of trigrams, and trigrams of blocks that a task holds before it sums or sends them.
+PART_TOKENS, HELD = 2_000_000, 2_000_000
+#: Distinct trigrams that a shard trains on, on average.
+SHARD_CODES = 400_000
 
 
 def tokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +153,7 @@ def contexts(classes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nda
 
 # --- the counts of class trigrams ------------------------------------------------------------------------------------
 
-TRIGRAMS = "shard int, codes binary, counts binary"
+TRIGRAMS = "part int, codes binary, counts binary"
 
 
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +161,14 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return code, np.bincount(back, counts, len(code)).astype(np.int64)
 
 
-def trigrams(documents: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
-    """For each shard the codes of its class trigrams, sorted, and how often the texts have each."""
+def trigrams(documents: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
+    """For each part the codes of its class trigrams, sorted, and how often the texts have each."""
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def sent(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        shard = (mix(code.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        part = (mix(code.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
         code, n = code[order].astype(np.uint32), n[order].astype(np.int64)
         rows = [(k, code[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         return arrow_table(TRIGRAMS, rows).combine_chunks().to_batches()
@@ -190,7 +194,37 @@ def trigrams(documents: DataFrame, vocabulary: Vocabulary, shards: int) -> DataF
         code, n = _summed(joined(table.column("codes"), np.uint32), joined(table.column("counts"), np.int64))
         return arrow_table(TRIGRAMS, [(key[0].as_py(), code.astype(np.uint32).tobytes(), n.tobytes())])
 
-    return documents.select("text").mapInArrow(count, TRIGRAMS).groupBy("shard").applyInArrow(merge, TRIGRAMS)
+    return documents.select("text").mapInArrow(count, TRIGRAMS).groupBy("part").applyInArrow(merge, TRIGRAMS)
+
+
+def sharded(parts: DataFrame) -> tuple[DataFrame, int]:
+    """(shards, their number): the trigrams of whole parts, sorted, with about ``SHARD_CODES`` in each.
+
+    A part's trigrams are in no other, and which part a trigram is in follows from its hash, so a shard is a random share.
+    """
+    distinct = (parts.agg(F.sum(F.octet_length("codes"))).first()[0] or 0) // 4
+    n = max(1, -(-distinct // SHARD_CODES))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part can hold more than a shard does, so its trigrams are dealt by other bits of their hash."""
+        for b in batches:
+            for codes, counts in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                code, count = np.frombuffer(codes, np.uint32), np.frombuffer(counts, np.int64)
+                shard = ((mix(code.astype(np.uint64)) >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                edges = np.searchsorted(shard[order], np.arange(n + 1))
+                rows = [(k, code[order[a:z]].tobytes(), count[order[a:z]].tobytes()) for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
+                yield from arrow_table(SHARDS, rows).combine_chunks().to_batches()
+
+    def gather(key, table):
+        code, count = joined(table.column("codes"), np.uint32), joined(table.column("counts"), np.int64)
+        order = np.argsort(code)
+        return arrow_table(SHARDS, [(key[0].as_py(), code[order].tobytes(), count[order].tobytes())])
+
+    return parts.select("codes", "counts").mapInArrow(spread, SHARDS).groupBy("shard").applyInArrow(gather, SHARDS), n
+
+
+SHARDS = "shard int, codes binary, counts binary"
 
 
 # --- the log-bilinear model --------------------------------------------------------------------------------------------
@@ -272,8 +306,9 @@ class LogBilinear:
 UNIT, SHARE = 1 << 20, 1 << 12
 
 
-def fit(counts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """The model of the shards of ``trigrams``: rounds of one pass over every shard and a weighted mean."""
+def fit(counts: DataFrame, shards: int, vocabulary: Vocabulary) -> LogBilinear:
+    """The model of the rows of ``sharded``: rounds of one pass over every shard and a weighted mean."""
+    scale = SHARE * 64 * shards / max(vocabulary.tokens, 1)  # weights are shares of a shard's tokens, so that their sums stay small
     flat = LogBilinear.start(vocabulary.class_tokens)
     noise = (vocabulary.class_tokens + 0.5) / (vocabulary.class_tokens + 0.5).sum()
     context = counts.sparkSession.sparkContext
@@ -294,7 +329,7 @@ def fit(counts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
                     code, n = np.frombuffer(codes, np.uint32).astype(np.int64), np.frombuffer(n, np.int64)
                     model = LogBilinear(shared.value)
                     model.train(code, n, noise, 1000 * k + shard, STEP / (1 + k))
-                    weight = np.rint(masses(code, n) * (SHARE / SHARD_TOKENS * 64)).astype(np.int64)
+                    weight = np.rint(masses(code, n) * scale).astype(np.int64)
                     at = np.flatnonzero(weight)
                     x = np.rint(model.flat()[at] * UNIT).astype(np.int64) * weight[at]
                     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(x), pa.array(weight[at])], names=["k", "x", "w"])
@@ -338,8 +373,9 @@ def score_texts(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(_training(), F.lit(True)).alias("train"), F.pmod(F.xxhash64("doc_id", text), F.lit(chunks)).cast("int").alias("chunk"))
     answers = written(_answers(_distinct_words(rows, parts)), "lm-words")
     vocabulary = Vocabulary(answers, texts)
-    shards = max(1, -(-vocabulary.tokens // SHARD_TOKENS))
-    model = fit(written(trigrams(rows.where("train"), vocabulary, shards), "lm-trigrams", 1), vocabulary)
+    parts = written(trigrams(rows.where("train"), vocabulary, max(1, -(-vocabulary.tokens // PART_TOKENS))), "lm-trigrams")
+    shards, n = sharded(parts)
+    model = fit(written(shards, "lm-shards", 1), n, vocabulary)
     shared = spark.sparkContext.broadcast((vocabulary, model, normalisers(spark, model)))
 
     def score(key, left, right):
