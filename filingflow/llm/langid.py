@@ -23,6 +23,8 @@ BUCKETS, WIDTH = 8192, 16
 #: About so many labelled documents are sampled by a hash of doc_id and text, and of a rarer language about so many of its
 #: own; a fifth of them calibrates.
 TRAIN_DOCUMENTS, TRAIN_OF_EACH = 3000, 200
+#: Values of lang that are learned at most, the most frequent ones.
+MOST_LANGUAGES = 512
 EPOCHS, BATCH, STEP = 15, 32, 0.5
 #: Share of calibration documents whose score lies above the rejection threshold.
 ACCEPT = 0.995
@@ -128,14 +130,17 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(documents: DataFrame, size: int = TRAIN_DOCUMENTS, each: int = TRAIN_OF_EACH) -> Model | None:
     """A model of the labelled rows of ``documents``, or None without any; about ``size`` of them are used, and of a language
-    that would have fewer than ``each`` among these, about so many of its own. There is one count per language."""
-    labelled = documents.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    that would have fewer than ``each`` among these, about so many of its own. Rows that repeat in full count once. The
+    ``MOST_LANGUAGES`` most frequent values of lang are learned, so that a dirty column does not make the model without end."""
+    labelled = documents.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    key = F.xxhash64("doc_id", "text", F.lit("sample"))
+    each_once = labelled.select("lang", key.alias("key")).distinct()  # rows that repeat in full count once
+    counts = {r["lang"]: r["count"] for r in each_once.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, max(size / sum(counts.values()), each / n)))])
-    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    bags = _bags(labelled.where(drawn < share[F.col("lang")]))
+    drawn = labelled.where(F.pmod(key, F.lit(1_000_003)) / F.lit(1_000_003.0) < share[F.col("lang")])
+    bags = _bags(drawn.dropDuplicates(["doc_id", "lang", "text"]))
     return train(bags) if bags.num_rows else None
 
 
