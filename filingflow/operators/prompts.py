@@ -16,13 +16,21 @@ def system(language: str) -> str:
     return SYSTEM + LANGUAGE % language
 
 
+def quoted(text: Column) -> Column:
+    """A string as JSON, non-ASCII letters kept; null counts as empty."""
+    whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("v")))
+    return F.substring(whole, 6, F.char_length(whole) - 6)  # behind {"v": and before }
+
+
 def items_json(units: Column) -> Column:
-    return F.to_json(F.transform(units, lambda u: F.struct(u["id"].alias("id"), u["text"].alias("text"))))
+    """The units as a JSON list with a space behind each colon and comma, as the planned sizes count them."""
+    one = lambda u: F.concat(F.lit('{"id": '), quoted(u["id"]), F.lit(', "text": '), quoted(u["text"]), F.lit("}"))
+    return F.concat(F.lit("["), F.array_join(F.transform(units, one), ", "), F.lit("]"))
 
 
 def framed(batch: Column, units: Column) -> Column:
     """A batch as it stands in a block: its id and its items."""
-    return F.concat(F.lit('{"batch_id": "batch_'), F.lpad(batch, 3, "0"), F.lit('", "items": '), items_json(units), F.lit("}"))
+    return F.concat(F.lit('{"batch_id": "batch_'), F.when(F.char_length(batch) < 3, F.lpad(batch, 3, "0")).otherwise(batch), F.lit('", "items": '), items_json(units), F.lit("}"))
 
 
 def block_prompt(language: str, before: Column, batches: Column, after: Column) -> Column:

@@ -15,6 +15,8 @@ from test_filing import PAGE
 from filingflow.__main__ import main
 from filingflow.config import Batch, Block, Config, FilingError, Model
 from filingflow.functions import text as T
+from filingflow.operators import ladder as L
+from filingflow.operators import planning as P
 from filingflow.operators.provider import KeyedProvider, call, prime, usage_totals
 from filingflow.operators.responses import first_failure
 from filingflow.plans.blocks import blocks, next_state
@@ -173,6 +175,17 @@ def test_requests_name_the_language_and_carry_the_system_message(spark, tmp_path
         assert "Target language: fr-FR" in said[3] and "filings" in said[4] and "fr-FR" in said[4]
 
 
+def test_prompts_are_as_long_as_planned(spark):
+    """A block's body is Python's JSON of its batches, and the plan counts the same characters."""
+    texts = ['say "hi"', "tab\tline\nend", "日本 é", "back\\slash /", "", "plain"]
+    batched = P.greedy_batches(units_of(spark, texts, docs=(1, 2)).drop("cached"), 2, 99)
+    rows = L.framed_batches(L.batches_of(batched)).join(P.batch_sizes(batched).withColumnRenamed("batch_no", "no"), ["doc_id", "no"]).collect()
+    assert len(rows) == 6
+    for r in rows:
+        items = [{"id": f"u_{k + 1:04d}", "text": texts[k]} for k in (2 * r.no - 2, 2 * r.no - 1)]
+        assert r.framed == json.dumps({"batch_id": f"batch_{r.no:03d}", "items": items}, ensure_ascii=False) and len(r.framed) + 2 == r.size
+
+
 # --- states -----------------------------------------------------------------------------------------------------------
 
 
