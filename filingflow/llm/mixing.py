@@ -174,7 +174,12 @@ def solve(rows: DataFrame, targets: Mapping[str, float], budget: float | None =
     steps: list[np.ndarray] = []
     now, gram = _expected(rows, steps)
     fixed = np.zeros(len(share), bool) if absent is None else absent.copy()
-    fixed |= share * now.sum() > MOST_GROWTH * now
+    scarce = ~fixed & (share * now.sum() > MOST_GROWTH * now)
+    if scarce.any():
+        warnings.warn(f"the mixture misses its targets: {', '.join(np.array(DOMAINS)[scarce])} would have to grow more than {MOST_GROWTH:g} times", stacklevel=2)
+    fixed |= scarce
+    if not share[~fixed].sum():
+        fixed[:] = True  # no other domain has a target
     if fixed.any() and now.sum() and share[~fixed].sum():
         share[fixed] = now[fixed] / now.sum()
         share[~fixed] *= (1 - share[fixed].sum()) / share[~fixed].sum()
