@@ -9,20 +9,21 @@ Nothing of a model meets in one place. Texts are packed into chunks of some mega
 their counts, as compressed arrays cut by hash range. Spark sums them, lower orders count distinct left contexts, and
 joins of the orders give each n-gram its probability. The model is kept as sorted hash arrays by range, and a chunk gets back
 the probabilities of just the n-grams it sent. An n-gram that no other text has counts as unseen in its own text: else junk
-would be predicted from itself.
+would be predicted from itself. Copies are one text in this: what only they have is counted as in one of them, so junk that
+stands many times in the table fares like junk that stands once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow_table, blocks, fresh, mix, run_hashes, span_hashes, squeezed, sums_by_document, widened, words, written
+from .common import SECOND, SPACE, arrow_table, blocks, fresh, mix, run_hashes, span_hashes, squeezed, sums_by_document, widened, words, written
 
 ORDER = 4
 #: Stands before and behind each text; code points beyond 16 bits share the numbers of the surrogates, which no text has.
@@ -78,24 +79,25 @@ def codes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # --- chunks of texts and their n-grams -------------------------------------------------------------------------------
 
 PACKED = "chunk long, blob binary"
-SENT = "part int, chunk long, lang_key long, codes binary, counts binary"
+SENT = "part int, chunk long, lang_key long, codes binary, counts binary, lone binary, owners binary, times binary"
 
 
 def packed(documents: DataFrame) -> DataFrame:
     """chunk, blob: the rows (doc_id, lang, lang_key, rid, text), some megabytes of text in each compressed blob.
 
-    A chunk is named by a digest of its blob; where two are equal, so is all that is known of them.
+    A chunk is known by the task that packed it and a number: what is made of the packs must read them from a written table.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             for i, j, _, _ in blocks(b, limit=PACK_BYTES):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, b.schema, options=options) as out:
                     out.write_batch(b.slice(i, j - i))
                 blob = sink.getvalue().to_pybytes()
-                chunk = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "big", signed=True)
+                chunk += 1
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "blob"])
 
     return documents.mapInArrow(pack, PACKED)
@@ -109,14 +111,36 @@ def _languages(blob: bytes) -> Iterator[tuple[int, pa.RecordBatch]]:
             yield int(k), b.filter(pa.array(key == k))
 
 
-def _grams(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of the rows, sorted, and how often they have each."""
-    code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _text_digests(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A digest of each text of a block that is not 0; equal texts have equal ones."""
+    return mix(span_hashes(flat, offsets[:-1], offsets[1:], SECOND) ^ np.diff(offsets).astype(np.uint64)) | np.uint64(1)
+
+
+def _grams(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of the rows, sorted; how often the rows have each; the digest of the text that alone has it, copies
+    being one text, or 0; and how often that text has it."""
+    code, n, low, high = (np.zeros(0, t) for t in (np.uint64, np.int64, np.uint64, np.uint64))
+    texts = []
     for _, _, flat, offsets in blocks(rows):
-        own, times = np.unique(codes(flat, offsets)[0], return_counts=True)
-        code, back = np.unique(np.concatenate([code, own]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([n, times]), len(code)).astype(np.int64)
-    return code, n
+        own, bound = codes(flat, offsets)
+        texts.append(_text_digests(flat, offsets))
+        order = np.argsort(own, kind="stable")
+        own, text = own[order], np.repeat(texts[-1], np.diff(bound))[order]
+        start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        new = own[start], np.diff(start, append=len(own)), np.minimum.reduceat(text, start), np.maximum.reduceat(text, start)
+        if len(code):
+            both = [np.concatenate(x) for x in zip((code, n, low, high), new, strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            both = [x[order] for x in both]
+            start = np.flatnonzero(np.append(True, both[0][1:] != both[0][:-1]))
+            new = both[0][start], np.add.reduceat(both[1], start), np.minimum.reduceat(both[2], start), np.maximum.reduceat(both[3], start)
+        code, n, low, high = new
+    lone = low == high
+    if not lone.any():
+        return code, n, np.zeros(len(code), np.uint64), np.zeros(len(code), np.int64)
+    digest, copies = np.unique(np.concatenate(texts), return_counts=True)
+    times = np.where(lone, n // copies[np.minimum(np.searchsorted(digest, low), len(digest) - 1)], 0)
+    return code, n, np.where(lone, low, np.uint64(0)), times
 
 
 def _dealt(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,16 +151,25 @@ def _dealt(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sent_grams(packs: DataFrame, bits: int) -> DataFrame:
-    """For each chunk, hash range and language the distinct n-grams, as differences, and how often the chunk has each."""
+    """For each chunk, hash range and language the distinct n-grams, as differences, and how often the chunk has each.
+
+    ``lone`` tells those that one text of the chunk has; ``owners`` and ``times`` hold its digest and how often it has them.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob"), strict=True):
                 for key, rows in _languages(blob.as_py()):
-                    code, n = _grams(rows)
-                    order, edges = _dealt(code, bits)
-                    code, n = code[order], n[order].astype(np.uint32)
-                    yield from arrow_table(SENT, [(p, chunk, key, squeezed(np.diff(code[x:y], prepend=np.uint64(0))), squeezed(n[x:y])) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]).to_batches()
+                    grams = _grams(rows)
+                    order, edges = _dealt(grams[0], bits)
+                    code, n, owner, times = (x[order] for x in grams)
+                    out = []
+                    for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+                        if y > x:
+                            lone = owner[x:y] > 0
+                            arrays = np.diff(code[x:y], prepend=np.uint64(0)), n[x:y].astype(np.uint32), np.packbits(lone), owner[x:y][lone], times[x:y][lone].astype(np.uint32)
+                            out.append((p, chunk, key, *map(squeezed, arrays)))
+                    yield from arrow_table(SENT, out).to_batches()
 
     return packs.mapInArrow(send, SENT)
 
@@ -146,23 +179,35 @@ def _codes_of(data: bytes) -> np.ndarray:
 
 
 def gram_counts(sent: DataFrame) -> DataFrame:
-    """lang_key, code, n: how often all texts of a language have each n-gram."""
+    """lang_key, code, n, alone: how often all texts of a language have each n-gram, or, where a single text is ``alone`` in
+    having it, how often that one does, however many copies it has."""
 
     def total(key, table):
         langs, out = table.column("lang_key").to_numpy(), []
         for k in np.unique(langs):
             own = table.filter(pa.array(langs == k))
-            code, back = np.unique(np.concatenate([_codes_of(x) for x in own.column("codes").to_pylist()]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([widened(x, np.uint32) for x in own.column("counts").to_pylist()])).astype(np.int64)
-            out.append(pa.table({"lang_key": pa.array(np.full(len(code), k)), "code": pa.array(code.view(np.int64)), "n": pa.array(n)}))
+            parts = []
+            for codes_, counts, lone, owners, times in zip(*(own.column(c).to_pylist() for c in ("codes", "counts", "lone", "owners", "times")), strict=True):
+                code = _codes_of(codes_)
+                single = np.unpackbits(widened(lone, np.uint8), count=len(code)).astype(bool)
+                owner, once = np.zeros(len(code), np.uint64), np.zeros(len(code), np.uint32)
+                owner[single], once[single] = widened(owners, np.uint64), widened(times, np.uint32)
+                parts.append((code, widened(counts, np.uint32), owner, once))
+            code, n, owner, once = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(code, kind="stable")
+            code, n, owner, once = code[order], n[order].astype(np.int64), owner[order], once[order]
+            start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            alone = (np.minimum.reduceat(owner, start) == np.maximum.reduceat(owner, start)) & (owner[start] > 0)
+            n = np.where(alone, once[start], np.add.reduceat(n, start))
+            out.append(pa.table({"lang_key": pa.array(np.full(len(start), k)), "code": pa.array(code[start].view(np.int64)), "n": pa.array(n), "alone": pa.array(alone)}))
         return pa.concat_tables(out)
 
-    return sent.groupBy("part").applyInArrow(total, "lang_key long, code long, n long")
+    return sent.groupBy("part").applyInArrow(total, "lang_key long, code long, n long, alone boolean")
 
 
 # --- the model --------------------------------------------------------------------------------------------------------
 
-MODEL = "part int, lang_key long, hashes binary, logs binary, lower_logs binary, counts binary"
+MODEL = "part int, lang_key long, hashes binary, logs binary"
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
@@ -177,21 +222,21 @@ def _discounts(grams: DataFrame) -> DataFrame:
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
-    """lang_key, code, p, lower, n: the probability of the last symbol of each n-gram after its context, what it would be had
-    the n-gram not been seen, and its count.
+    """lang_key, code, p: the probability of the last symbol of each n-gram after its context; for an n-gram that one text is
+    alone in having, what it would be had the n-gram not been seen.
 
     Lower orders count distinct left contexts. A group of one context has at most as many rows as there are symbols, 65,536.
     """
     orders = [counts]
     for k in range(ORDER - 1, 0, -1):
-        orders.insert(0, orders[0].groupBy("lang_key", F.col("code").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("code")).agg(F.count("*").alias("n")))
+        orders.insert(0, orders[0].groupBy("lang_key", F.col("code").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("code")).agg(F.count("*").alias("n"), F.lit(False).alias("alone")))
     below = None
     for k, grams in enumerate(orders, 1):
         context = Window.partitionBy("lang_key", F.shiftrightunsigned("code", 16))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = grams.join(_discounts(grams), "lang_key").withColumn("cut", cut)
         total = F.sum("n").over(context)
-        rows = rows.select("lang_key", "code", "n", ((F.col("n") - F.col("cut")) / total).alias("share"), (F.sum("cut").over(context) / total).alias("rest"))
+        rows = rows.select("lang_key", "code", "alone", ((F.col("n") - F.col("cut")) / total).alias("share"), (F.sum("cut").over(context) / total).alias("rest"))
         if below is None:
             sizes = grams.groupBy("lang_key").agg((F.count("*") + 1).alias("symbols"))
             rows = rows.join(sizes, "lang_key").withColumn("under", 1 / F.col("symbols"))
@@ -199,7 +244,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
             under = below.select("lang_key", F.col("code").alias("suffix"), F.col("p").alias("under"))
             rows = rows.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))).join(under, ["lang_key", "suffix"])
         lower = F.col("rest") * F.col("under")
-        below = rows.select("lang_key", "code", (F.col("share") + lower).alias("p"), lower.alias("lower"), "n")
+        below = rows.select("lang_key", "code", F.when(F.col("alone"), lower).otherwise(F.col("share") + lower).alias("p"))
     return below
 
 
@@ -210,67 +255,42 @@ def model(probability: DataFrame, bits: int) -> DataFrame:
         for b in batches:
             h = mix(b.column("code").to_numpy().view(np.uint64))
             part = (h >> np.uint64(64 - bits)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), b.column("lang_key"), pa.array(h.view(np.int64)), *(pa.array(np.log10(b.column(c).to_numpy()).astype(np.float32)) for c in ("p", "lower")), b.column("n")], names=["part", "lang_key", "h", "log", "low", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), b.column("lang_key"), pa.array(h.view(np.int64)), pa.array(np.log10(b.column("p").to_numpy()).astype(np.float32))], names=["part", "lang_key", "h", "log"])
 
     def sort(key, table):
-        langs, h, log, low, n = (table.column(c).to_numpy() for c in ("lang_key", "h", "log", "low", "n"))
+        langs, h, log = (table.column(c).to_numpy() for c in ("lang_key", "h", "log"))
         order = np.lexsort((h.view(np.uint64), langs))
-        langs, h, log, low, n = (x[order] for x in (langs, h, log, low, n))
+        langs, h, log = langs[order], h[order], log[order]
         edges = [*np.flatnonzero(np.append(True, langs[1:] != langs[:-1])).tolist(), len(langs)]
-        return arrow_table(MODEL, [(key[0].as_py(), int(langs[a]), h[a:b].tobytes(), log[a:b].tobytes(), low[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)])
+        return arrow_table(MODEL, [(key[0].as_py(), int(langs[a]), h[a:b].tobytes(), log[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)])
 
-    return probability.mapInArrow(keyed, "part int, lang_key long, h long, log float, low float, n long").groupBy("part").applyInArrow(sort, MODEL)
+    return probability.mapInArrow(keyed, "part int, lang_key long, h long, log float").groupBy("part").applyInArrow(sort, MODEL)
 
 
-ANSWERS = "chunk long, part int, lang_key long, logs binary, alone binary, lower_logs binary"
+ANSWERS = "chunk long, part int, lang_key long, logs binary"
 
 
 def answers(sent: DataFrame, model: DataFrame) -> DataFrame:
-    """chunk, part, lang_key, logs, alone, lower_logs: what is known of the n-grams that a chunk sent, in their order.
-
-    ``alone`` tells those that no other chunk has; ``lower_logs`` holds the logs of these, had they not been seen.
-    """
+    """chunk, part, lang_key, logs: the log probabilities of the n-grams that a chunk sent, in their order."""
 
     def find(key, left, right):
-        names = ("lang_key", "hashes", "logs", "lower_logs", "counts")
-        known = {k: [np.frombuffer(x, t) for x, t in zip(own, (np.uint64, np.float32, np.float32, np.int64), strict=True)] for k, *own in zip(*(right.column(c).to_pylist() for c in names), strict=True)}
+        known = {k: (np.frombuffer(h, np.uint64), np.frombuffer(log, np.float32)) for k, h, log in zip(*(right.column(c).to_pylist() for c in ("lang_key", "hashes", "logs")), strict=True)}
         rows = []
-        for chunk, k, wanted, count in zip(*(left.column(c).to_pylist() for c in ("chunk", "lang_key", "codes", "counts")), strict=True):
-            h, log, low, n = known[k]
-            at = np.searchsorted(h, mix(_codes_of(wanted)))
-            alone = n[at] == widened(count, np.uint32)
-            rows.append((chunk, key[0].as_py(), k, squeezed(log[at]), squeezed(np.packbits(alone)), squeezed(low[at[alone]])))
+        for chunk, k, wanted in zip(*(left.column(c).to_pylist() for c in ("chunk", "lang_key", "codes")), strict=True):
+            h, log = known[k]
+            rows.append((chunk, key[0].as_py(), k, squeezed(log[np.searchsorted(h, mix(_codes_of(wanted)))])))
         return arrow_table(ANSWERS, rows)
 
-    return sent.select("part", "chunk", "lang_key", "codes", "counts").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(find, ANSWERS)
+    return sent.select("part", "chunk", "lang_key", "codes").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(find, ANSWERS)
 
 
-def told(rows: pa.Table, code: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(logs, logs had they not been seen, counts) of a chunk's n-grams of one language, from the answers in the order of
-    their ranges; the count of an n-gram that other chunks have too is more than any document can have."""
+def told(rows: pa.Table, code: np.ndarray, bits: int) -> np.ndarray:
+    """The logs of a chunk's n-grams of one language, from the answers in the order of their ranges."""
     order, edges = _dealt(code, bits)
-    if set(rows.column("part").to_pylist()) != set(np.flatnonzero(np.diff(edges)).tolist()):
-        raise ValueError("a chunk was not the same when it was made again: the rows of the input must keep their order")
-    log, low, count = np.zeros(len(code), np.float32), np.zeros(len(code), np.float32), np.full(len(code), np.iinfo(np.int64).max)
-    for part, logs, alone, lower in zip(*(rows.column(c).to_pylist() for c in ("part", "logs", "alone", "lower_logs")), strict=True):
-        own = order[edges[part] : edges[part + 1]]
-        log[own] = widened(logs, np.float32)
-        single = own[np.unpackbits(widened(alone, np.uint8), count=len(own)).astype(bool)]
-        low[single], count[single] = widened(lower, np.float32), n[single]
-    return log, low, count
-
-
-def log_sums(gram: np.ndarray, bound: np.ndarray, code: np.ndarray, log: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The log10 probability of each document of a block; ``code`` and what belongs to it are sorted by code."""
-    at = np.searchsorted(code, gram)
-    value = log[at].astype(np.float64)
-    # only n-grams that the block has as often as all texts can belong to one document alone
-    alone = np.flatnonzero((np.bincount(at, minlength=len(code)) >= n)[at])
-    document = np.repeat(np.arange(len(bound) - 1), np.diff(bound))[alone]
-    _, back, times = np.unique(document * len(code) + at[alone], return_inverse=True, return_counts=True)
-    own = alone[times[back] >= n[at[alone]]]
-    value[own] = low[at[own]]
-    return np.add.reduceat(value, bound[:-1])
+    log = np.zeros(len(code), np.float32)
+    for part, logs in zip(rows.column("part").to_pylist(), rows.column("logs").to_pylist(), strict=True):
+        log[order[edges[part] : edges[part + 1]]] = widened(logs, np.float32)
+    return log
 
 
 # --- the measures -----------------------------------------------------------------------------------------------------
@@ -334,8 +354,7 @@ def measure(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.xxhash64(lang).alias("lang_key"), F.xxhash64(F.col("doc_id").cast("long"), lang, text).alias("rid"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = int(np.ceil(np.log2(max(LEAST_RANGES, total / RANGE_BYTES))))
-    # chunks are made anew in each job, as they are as large as the texts; only the counts and the model are kept
-    packs = packed(rows)
+    packs = written(packed(rows), "quality-packs")
     sent = sent_grams(packs, bits)
     arrays = written(model(probabilities(written(gram_counts(sent), "quality-counts")), bits), "quality-model")
     names = [x.split()[0] for x in MEASURES.split(", ")]
@@ -345,12 +364,14 @@ def measure(documents: DataFrame) -> DataFrame:
         out = []
         for blob in left.column("blob"):
             for k, b in _languages(blob.as_py()):
-                code, n = _grams(b)
-                known = told(right.filter(pa.array(langs == k)), code, n, bits)
+                code = np.zeros(0, np.uint64)
+                for _, _, flat, offsets in blocks(b):
+                    code = np.union1d(code, codes(flat, offsets)[0])
+                log = told(right.filter(pa.array(langs == k)), code, bits).astype(np.float64)
                 for i, j, flat, offsets in blocks(b):
                     start, end, first = words(flat, offsets)
                     gram, bound = codes(flat, offsets)
-                    total = log_sums(gram, bound, code, *known)
+                    total = np.add.reduceat(log[np.searchsorted(code, gram)], bound[:-1])
                     columns = [
                         b.column("doc_id")[i:j], b.column("lang")[i:j], b.column("rid")[i:j],
                         *map(pa.array, (

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from oracle import difference
+from pyspark.sql import functions as F
 
 from filingflow.llm import decontaminate, jaccard, langid, lines, lm, mixing, quality, sharding, suffix, warc
 from filingflow.llm.queries import ORACLES, QUERIES
@@ -78,13 +79,18 @@ def test_quality_counts(spark, odd):
 
 
 def brute_kneser_ney(texts):
-    """For each 4-gram of symbols its probability by the definition, the same had it not been seen, and its count, over the
-    texts of one language."""
+    """For each 4-gram of symbols its probability by the definition, the same had it not been seen, and how many different
+    texts have it, over the texts of one language. What one text is alone in having is counted as in one of its copies."""
     fold = lambda c: "\x00" if c is None else " " if c in " \t\n\r\x0b\x0c" else "0" if c in "0123456789" else c.lower() if "A" <= c <= "Z" else c
-    grams = Counter()
+    grams, owners, copies = Counter(), defaultdict(set), Counter(t or "" for t in texts)
     for t in texts:
         s = [None] * 3 + list(t or "") + [None]
-        grams.update(tuple(map(fold, s[k - 3 : k + 1])) for k in range(3, len(s)))
+        for g in (tuple(map(fold, s[k - 3 : k + 1])) for k in range(3, len(s))):
+            grams[g] += 1
+            owners[g].add(t or "")
+    for g, own in owners.items():
+        if len(own) == 1:
+            grams[g] //= copies[min(own)]
     orders = [grams]
     for _ in range(3):
         orders.insert(0, Counter(g[1:] for g in orders[0]))
@@ -101,22 +107,22 @@ def brute_kneser_ney(texts):
         lower = (lambda g, c=c: 1 / (len(c) + 1)) if p is None else (lambda g, p=p: p[g[1:]])
         low = {g: rest[g[:-1]] * lower(g) / total[g[:-1]] for g in c}
         p = {g: (v - d[min(v, 3) - 1]) / total[g[:-1]] + low[g] for g, v in c.items()}
-    return p, low, grams
+    return p, low, {g: len(own) for g, own in owners.items()}
 
 
 def test_perplexities_follow_the_definition(spark):
-    texts = [("en", "abab abba, ABBA 12"), ("en", "baba, abab.\n"), ("en", None), (None, "ab"), ("zh", "\u65e5\u672c\u8a9e \u65e5\u672c \U0001f600"), ("zh", "\u672c\u65e5"), ("en", "")]
+    texts = [("en", "abab abba, ABBA 12"), ("en", "baba, abab.\n"), ("en", None), (None, "ab"), ("zh", "\u65e5\u672c\u8a9e \u65e5\u672c \U0001f600"), ("zh", "\u672c\u65e5"), ("en", ""), ("en", "zq zq!"), ("en", "zq zq!"), ("en", "zq zq!")]
     frame = spark.createDataFrame([(k, *r) for k, r in enumerate(texts)], "doc_id long, lang string, text string").repartition(3)
     got = {r.doc_id: r.log10_ppl for r in quality.judge(frame).collect()}
     fold = lambda t: "".join(" " if c in " \t\n" else "0" if c in "0123456789" else c.lower() if "A" <= c <= "Z" else c for c in t or "")
     for lang in ("en", None, "zh"):
-        p, low, count = brute_kneser_ney([t for x, t in texts if x == lang])
+        p, low, holders = brute_kneser_ney([t for x, t in texts if x == lang])
         for k, (x, t) in enumerate(texts):
             if x == lang:
                 s = ["\x00"] * 3 + list(fold(t)) + ["\x00"]
                 lettered = sum(any(c.isdigit() or c.isalpha() or ord(c) > 127 for c in w) for w in words(t))
                 own = Counter(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))
-                want = -sum(v * math.log10(low[g] if v == count[g] else p[g]) for g, v in own.items()) / max(lettered, 1)
+                want = -sum(v * math.log10(low[g] if holders[g] == 1 else p[g]) for g, v in own.items()) / max(lettered, 1)
                 assert got[k] == pytest.approx(want, rel=1e-5), (k, t)
 
 
@@ -136,6 +142,31 @@ def test_planted_junk_leaves_the_band_in_every_language(spark):
     assert sum(r.kept for r in good) >= 0.98 * len(good) and not any(r.kept for r in laden)
 
 
+def test_copied_junk_and_word_salad_leave_the_band(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    rng, planted = np.random.default_rng(9), []
+    salad = {"en": "the of and to in is that it for on".split(), "de": "der die und in den von zu das mit sich".split(), "fr": "le de un et la les des en du est".split(), "es": "de la que el en y los se del las".split()}
+    for k, (lang, common) in enumerate(salad.items()):
+        junk = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(150))
+        planted += [(-1000 * k - 1 - i, lang, junk) for i in range((5, 50, 5, 50)[k])]
+        planted.append((-1000 * k - 900, lang, " ".join(rng.choice(common, 400))))
+    rows = {r.doc_id: r for r in quality.judge(docs.unionByName(spark.createDataFrame(planted, "doc_id long, lang string, text string"))).collect()}
+    for doc_id, _, _ in planted:
+        r = rows[doc_id]
+        assert not r.kept, r
+        if -doc_id % 1000 < 900:
+            assert r.log10_ppl > r.high, r  # copies or not, what only they have is unseen
+
+
+def test_rows_in_another_order_and_copies_of_whole_chunks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    once = {r.doc_id: r for r in quality.judge(docs).collect()}
+    mixed = {r.doc_id: r for r in quality.judge(docs.repartition(5).orderBy(F.rand(3))).collect()}
+    assert once.keys() == mixed.keys() and all(once[k].kept == mixed[k].kept and once[k].log10_ppl == pytest.approx(mixed[k].log10_ppl, rel=1e-6) for k in once)
+    row = spark.createDataFrame([(1, "en", "one row that stands many times " * 8)], "doc_id long, lang string, text string")
+    assert quality.judge(row.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("_n")).groupBy("log10_ppl").count().collect()[0]["count"] == 20_000
+
+
 def test_symbol_laden_junk_leaves_the_band_and_prose_stays(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
     prose = next(r.text for r in docs.where("lang = 'en' and length(text) > 1200").sort("doc_id").collect() if not set("#*$%&|<>") & set(r.text)).split()[:150]
