@@ -79,6 +79,7 @@ def codes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # --- chunks of texts and their n-grams -------------------------------------------------------------------------------
 
 PACKED = "chunk long, blob binary"
+ASKED = "part int, chunk long, lang_key long, codes binary"
 SENT = "part int, chunk long, lang_key long, codes binary, counts binary, lone binary, owners binary, times binary"
 
 
@@ -89,7 +90,7 @@ def packed(documents: DataFrame) -> DataFrame:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 12))
         chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             for i, j, _, _ in blocks(b, limit=PACK_BYTES):
@@ -143,6 +144,14 @@ def _grams(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return code, n, np.where(lone, low, np.uint64(0)), times
 
 
+def _own_codes(rows: pa.RecordBatch) -> np.ndarray:
+    """The distinct n-grams of the rows, sorted."""
+    code = np.zeros(0, np.uint64)
+    for _, _, flat, offsets in blocks(rows):
+        code = np.union1d(code, codes(flat, offsets)[0])
+    return code
+
+
 def _dealt(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of n-grams by hash range, and by code within each, and where the ranges begin and the last one ends."""
     part = (mix(code) >> np.uint64(64 - bits)).astype(np.int64)
@@ -174,6 +183,21 @@ def sent_grams(packs: DataFrame, bits: int) -> DataFrame:
     return packs.mapInArrow(send, SENT)
 
 
+def asked_grams(packs: DataFrame, bits: int) -> DataFrame:
+    """part, chunk, lang_key, codes: the n-grams of ``sent_grams`` without what is known of them."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob"), strict=True):
+                for key, rows in _languages(blob.as_py()):
+                    code = _own_codes(rows)
+                    order, edges = _dealt(code, bits)
+                    code = code[order]
+                    yield from arrow_table(ASKED, [(p, chunk, key, squeezed(np.diff(code[x:y], prepend=np.uint64(0)))) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]).to_batches()
+
+    return packs.mapInArrow(send, ASKED)
+
+
 def _codes_of(data: bytes) -> np.ndarray:
     return np.cumsum(widened(data, np.uint64), dtype=np.uint64)
 
@@ -270,8 +294,8 @@ def model(probability: DataFrame, bits: int) -> DataFrame:
 ANSWERS = "chunk long, part int, lang_key long, logs binary"
 
 
-def answers(sent: DataFrame, model: DataFrame) -> DataFrame:
-    """chunk, part, lang_key, logs: the log probabilities of the n-grams that a chunk sent, in their order."""
+def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """chunk, part, lang_key, logs: the log probabilities of the n-grams that a chunk asks for, in their order."""
 
     def find(key, left, right):
         known = {k: (np.frombuffer(h, np.uint64), np.frombuffer(log, np.float32)) for k, h, log in zip(*(right.column(c).to_pylist() for c in ("lang_key", "hashes", "logs")), strict=True)}
@@ -281,7 +305,7 @@ def answers(sent: DataFrame, model: DataFrame) -> DataFrame:
             rows.append((chunk, key[0].as_py(), k, squeezed(log[np.searchsorted(h, mix(_codes_of(wanted)))])))
         return arrow_table(ANSWERS, rows)
 
-    return sent.select("part", "chunk", "lang_key", "codes").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(find, ANSWERS)
+    return asked.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(find, ANSWERS)
 
 
 def told(rows: pa.Table, code: np.ndarray, bits: int) -> np.ndarray:
@@ -355,8 +379,7 @@ def measure(documents: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = int(np.ceil(np.log2(max(LEAST_RANGES, total / RANGE_BYTES))))
     packs = written(packed(rows), "quality-packs")
-    sent = sent_grams(packs, bits)
-    arrays = written(model(probabilities(written(gram_counts(sent), "quality-counts")), bits), "quality-model")
+    arrays = written(model(probabilities(written(gram_counts(sent_grams(packs, bits)), "quality-counts")), bits), "quality-model")
     names = [x.split()[0] for x in MEASURES.split(", ")]
 
     def run(key, left, right):
@@ -364,9 +387,7 @@ def measure(documents: DataFrame) -> DataFrame:
         out = []
         for blob in left.column("blob"):
             for k, b in _languages(blob.as_py()):
-                code = np.zeros(0, np.uint64)
-                for _, _, flat, offsets in blocks(b):
-                    code = np.union1d(code, codes(flat, offsets)[0])
+                code = _own_codes(b)
                 log = told(right.filter(pa.array(langs == k)), code, bits).astype(np.float64)
                 for i, j, flat, offsets in blocks(b):
                     start, end, first = words(flat, offsets)
@@ -386,7 +407,7 @@ def measure(documents: DataFrame) -> DataFrame:
                     out.append(pa.RecordBatch.from_arrays(columns, names=names))
         return pa.Table.from_batches(out)
 
-    return packs.groupBy("chunk").cogroup(answers(sent, arrays).groupBy("chunk")).applyInArrow(run, MEASURES)
+    return packs.groupBy("chunk").cogroup(answers(asked_grams(packs, bits), arrays).groupBy("chunk")).applyInArrow(run, MEASURES)
 
 
 def bands(measures: DataFrame, reach: float = REACH, least: float = LEAST) -> DataFrame:
