@@ -5,6 +5,9 @@ Regular expressions follow Unicode rules for digits and white space, as texts co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +27,9 @@ REFUSALS = (
     "拒绝(回答|翻译|处理)",
 )
 
+#: What a refusal cannot do without: each pattern needs one of these, so that other texts are not matched against patterns.
+REFUSAL_WORDS = ("i cannot", "i can't", "cannot comply", "unable to assist", "policy", "无法", "不能", "拒绝")
+
 #: Fixed value: parts of an error that tell of a full context window, in lower case.
 CONTEXT_LIMITS = ("context length", "context_length", "maximum context", "context window", "too many tokens", "token limit")
 
@@ -41,6 +47,18 @@ LOW_VALUE = (
 FORMAT_ERRORS = ("model_response_invalid", "id_validation_failed", "count_validation_failed", "empty_translation")
 REPAIRABLE_ERRORS = (*FORMAT_ERRORS, "placeholder_validation_failed", "number_validation_failed", "replacement_character_validation_failed")
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+#: The same characters one by one.
+SPACE_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, as a lambda's variable, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends; what lies between is not looked at."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def normalize_spaces(text: Column) -> Column:
@@ -62,8 +80,7 @@ def is_low_value(text: Column) -> Column:
     """Whether a text is empty, protected, of a low-value shape or without an ASCII letter."""
     shapes = r"(?U)\A(?:" + "|".join(LOW_VALUE) + r")\z"
     rules = lambda t: (t == "") | F.lower(t).isin(*PROTECTED_TERMS) | t.rlike(shapes) | ~t.rlike("[A-Za-z]")
-    # a lambda's variable: the text is normalised once, though four rules name it
-    return F.element_at(F.transform(F.array(normalize_spaces(text)), rules), 1)
+    return once(normalize_spaces(text), rules)
 
 
 def number_tokens(text: Column) -> Column:
@@ -75,7 +92,7 @@ def numbers_preserved(source: Column, translation: Column) -> Column:
     """Whether each number of the source stands in the translation at least as often.
 
     Both lists are sorted into one, in which a fold keeps how many more of a number the source has: one pass, and each list
-    is made once.
+    is made once. A source without a digit has no number to keep.
     """
     counted = lambda text, d: F.transform(number_tokens(text), lambda x: F.struct(x.alias("n"), F.lit(d).alias("d")))
     both = F.array_sort(F.concat(counted(source, 1), counted(translation, -1)))
@@ -86,7 +103,8 @@ def numbers_preserved(source: Column, translation: Column) -> Column:
         return F.struct(x["n"].alias("n"), more.alias("d"), (state["ok"] & (same | (state["d"] <= 0))).alias("ok"))
 
     start = F.struct(F.lit("").alias("n"), F.lit(0).alias("d"), F.lit(True).alias("ok"))
-    return F.aggregate(both, start, step, lambda state: state["ok"] & (state["d"] <= 0))
+    kept = F.aggregate(both, start, step, lambda state: state["ok"] & (state["d"] <= 0))
+    return F.when(source.rlike(r"\p{Nd}") | translation.isNull(), kept).when(source.isNotNull(), True)
 
 
 def placeholder_names(text: Column) -> Column:
@@ -95,11 +113,14 @@ def placeholder_names(text: Column) -> Column:
 
 
 def placeholders_match(text: Column, names: Column) -> Column:
-    return F.array_sort(placeholder_names(text)) == F.array_sort(names)
+    some = F.sort_array(placeholder_names(text)) == F.sort_array(names)
+    return F.when(F.contains(text, F.lit("<PH_")), some).when(text.isNotNull(), F.array_size(names) == 0)
 
 
 def looks_like_refusal(text: Column) -> Column:
-    return F.lower(text).rlike("(?U)" + "|".join(f"(?:{p})" for p in REFUSALS))
+    """Whether a text has one of the patterns; most texts have none of their words, which are found faster."""
+    some = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in REFUSAL_WORDS])
+    return once(F.lower(text), lambda t: some(t) & t.rlike("(?U)" + "|".join(f"(?:{p})" for p in REFUSALS)))
 
 
 def has_replacement_character(text: Column) -> Column:
@@ -124,10 +145,9 @@ def is_repairable_error(reason: Column) -> Column:
 
 def json_payload(response: Column) -> Column:
     """An answer without its code fence, from the first bracket to the last one; the text itself where there is none."""
-    t = F.regexp_replace(response, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
-    t = F.when(F.startswith(t, F.lit("```")), F.regexp_replace(F.regexp_replace(t, r"(?i)\A```(?:json)?\s*", ""), r"\s*```\s*\z", "")).otherwise(t)
-    inner = F.regexp_extract(t, r"(?s)([\[{].*[\]}])", 1)
-    return F.when(inner != "", inner).otherwise(t)
+    bare = lambda t: F.when(F.startswith(t, F.lit("```")), F.regexp_replace(F.regexp_replace(t, r"(?i)\A```(?:json)?\s*", ""), r"\s*```\s*\z", "")).otherwise(t)
+    inner = lambda t: once(F.regexp_extract(t, r"(?s)([\[{].*[\]}])", 1), lambda x: F.when(x != "", x).otherwise(t))
+    return once(once(stripped(response), bare), inner)
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 SYSTEM = "You translate passages of regulatory filings. Keep every <PH_n> tag pair, every number and every id as they are."
 #: What follows it in each request; the cache knows the language by itself.
 LANGUAGE = " The target language is %s."
@@ -19,7 +21,7 @@ def system(language: str) -> str:
 def quoted(text: Column) -> Column:
     """A string as JSON, non-ASCII letters kept; null counts as empty."""
     whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("v")))
-    return F.substring(whole, 6, F.char_length(whole) - 6)  # behind {"v": and before }
+    return once(whole, lambda x: F.substring(x, 6, F.char_length(x) - 6))  # behind {"v": and before }
 
 
 def items_json(units: Column) -> Column:

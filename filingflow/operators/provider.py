@@ -61,7 +61,13 @@ def pooled(batches: Iterable[pa.RecordBatch], one: Callable[[dict[str, Any]], An
     A slow row does not stop the others; but no more than about ``AHEAD`` rows (or twice the workers) are taken before the
     oldest is answered, so that a partition is never held whole.
     """
-    size, most = max(1, min(AHEAD, 2 * workers) // 4), max(AHEAD, 2 * workers)
+    size, most = AHEAD // 4, max(AHEAD, 2 * workers)
+    if workers == 1:  # nothing runs beside it
+        for b in batches:
+            for k in range(0, b.num_rows, size):
+                part = b.slice(k, size)
+                yield part, [one(r) for r in part.to_pylist()]
+        return
     waiting: deque[tuple[pa.RecordBatch, list]] = deque()
     with ThreadPoolExecutor(workers) as pool:
         held = 0
