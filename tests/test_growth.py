@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as T
+from filingflow.operators import html_units as H
 from filingflow.operators import responses as V
 from filingflow.operators.provider import pooled
 
@@ -41,3 +42,10 @@ def test_shortened_checks_say_what_the_patterns_say(spark):
     names = [("<PH_0>a</PH_0>", ["PH_0"]), ("a", []), ("a", ["PH_0"]), ("<PH_0>", []), (None, []), ("a", None)]
     got = spark.createDataFrame(names, "t string, n array<string>").select(T.placeholders_match(F.col("t"), F.col("n")).alias("ok")).collect()
     assert [r.ok for r in got] == [True, True, False, True, None, None]
+
+
+def test_units_leave_a_large_batch_in_slices():
+    """Neither the units nor the rebuilt pages of a whole Arrow batch are Python objects at a time."""
+    pages = pa.RecordBatch.from_pydict({"k": pa.array([None, *range(1, 500)], pa.int64()), "p": ["<p>Revenue grew</p><p>Costs <b>fell</b> too</p>"] * 500})
+    parts = list(H._units(iter([pages])))
+    assert len(parts) == 10 and sum(p.num_rows for p in parts) == 1000 and parts[0].column(0).to_pylist()[:4] == [None, None, 1, 1]
