@@ -49,3 +49,8 @@ def test_units_leave_a_large_batch_in_slices():
     pages = pa.RecordBatch.from_pydict({"k": pa.array([None, *range(1, 500)], pa.int64()), "p": ["<p>Revenue grew</p><p>Costs <b>fell</b> too</p>"] * 500})
     parts = list(H._units(iter([pages])))
     assert len(parts) == 10 and sum(p.num_rows for p in parts) == 1000 and parts[0].column(0).to_pylist()[:4] == [None, None, 1, 1]
+    kind = pa.list_(pa.struct([("ordinal", pa.int32()), ("text", pa.string()), ("is_fallback", pa.bool_())]))
+    answers = pa.array([[{"ordinal": 1, "text": "Up", "is_fallback": False}] if k % 2 else None for k in range(500)], kind)
+    out = list(H._splice.func(iter([(pages.column(1), answers)])))
+    rows = [x for p in out for x in p.to_pylist()]
+    assert len(out) == 10 and rows[:2] == [pages.column(1)[0].as_py(), "<p>Up</p><p>Costs <b>fell</b> too</p>"] and len(rows) == 500
