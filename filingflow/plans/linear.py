@@ -23,8 +23,10 @@ from ..operators.provider import USAGE, Client, Provider, _Clients, pooled
 from ..operators.responses import answered, first_failure
 from ..stages import Stages
 
-#: Calls of a document in one round; its fallback and strict ones among them, the last batch may take two more.
+#: Calls of a document in one round; its fallback and strict ones among them, the last batch may take two more. Later rounds
+#: make half as many as all before them, so that a long document takes few rounds, up to a bound on what is held of it.
 CALLS_PER_ROUND = 8
+MOST_CALLS = 256
 
 LOG = "array<struct<rung:string,model:string,reason:string," + ",".join(f"{c}:bigint" for c in USAGE) + ">>"
 FOUND = "array<struct<ordinal:int,unit_id:string,source_text:string,result:string,provider:string,rung:string,batch_size:int,call:int>>"
@@ -152,33 +154,45 @@ def linear(
     rows = stages.keep(rows.select("doc_id", place.alias("place"), F.col("ordinal").cast("int").alias("ordinal"), "unit_id", "text", "source_text", "cached", names.alias("names")), "linear-units")
     schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(ROUND)])
     first, second = _Clients(primary, model.max_retries), _Clients(fallback, (config.fallback_model or model).max_retries) if fallback else None
-    back, ahead = reach(config, calls_per_round)
     workers = config.block.max_workers
     parts = min(workers, stages.spark.sparkContext.defaultParallelism)
     kinds = [pa.int32()] * 5
 
-    def step(row: dict[str, Any]) -> dict[str, Any]:
-        return Walk(row, first.own, second.own if second else None, config).run(calls_per_round)
+    def rounds(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def step(row: dict[str, Any]) -> dict[str, Any]:
+            return Walk(row, first.own, second.own if second else None, config).run(most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
 
-        fields = to_arrow_schema(schema)
-        for part, found in pooled(batches, step, max(1, workers // parts)):
-            own = [pa.array([f[n] for f in found], k) for n, k in zip(("next", "size", "good", "calls", "n"), kinds, strict=True)]
-            lists = [pa.array([f[n] for f in found], fields.field(n).type) for n in ("found", "log")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *own, *lists], names=schema.names)
+            fields = to_arrow_schema(schema)
+            for part, found in pooled(batches, step, max(1, workers // parts)):
+                own = [pa.array([f[n] for f in found], k) for n, k in zip(("next", "size", "good", "calls", "n"), kinds, strict=True)]
+                lists = [pa.array([f[n] for f in found], fields.field(n).type) for n in ("found", "log")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *own, *lists], names=schema.names)
+
+        return run
 
     size = max(config.batch.min_units, min(config.batch.initial_units, config.batch.max_units))
     state = rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("n")).select("doc_id", F.lit(0).alias("next"), F.lit(size).alias("size"), F.lit(0).alias("good"), F.lit(0).alias("calls"), "n")
+    made, held = 0, None
     while True:
+        most = max(calls_per_round, min(MOST_CALLS, made // 2))
+        back, ahead = reach(config, most)
         near = rows.join(state, "doc_id").where((F.col("place") >= F.col("next") - back) & (F.col("place") < F.col("next") + ahead))
         unit = F.struct("place", "ordinal", "unit_id", "text", "source_text", "cached", "names")
         windows = near.groupBy("doc_id", "next", "size", "good", "calls", "n").agg(F.sort_array(F.collect_list(unit)).alias("units"))
-        done = stages.keep(windows.repartition(parts).mapInArrow(run, schema), "linear")
+        done = stages.keep(windows.repartition(parts).mapInArrow(rounds(most), schema), "linear")
+        made += most
         state = done.where("next < n").select("doc_id", "next", "size", "good", "calls", "n")
-        if state.isEmpty():
+        before = held
+        held, left = state.agg(F.sum("n").cast("long"), F.sum("n") - F.sum("next")).first()
+        if not left:
             break
+        if before is None or 2 * held <= before:  # few documents are open: the next rounds read their units alone
+            rows = stages.keep(rows.join(state.select("doc_id"), "doc_id", "left_semi"), "linear-units")
+        else:
+            held = before
     ran = stages.all("linear", schema)
     results = ran.select("doc_id", F.explode("found").alias("r")).select("doc_id", "r.*")
     attempts = ran.select("doc_id", F.explode("log").alias("r")).select("doc_id", "r.*")

@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 from .session import scratch_root
 
 MARKER = "_COMMITTED"
+#: The order of a run's stages: a change of it makes journals of before meet no run of after.
+ORDER = 2
 
 
 class Files:
@@ -67,7 +69,7 @@ def fingerprint(rows: DataFrame, *settings: object) -> str:
     """A digest of all rows in any order, and of the settings."""
     each = F.xxhash64(F.to_json(F.struct("*")))
     n, x, total = rows.agg(F.count("*"), F.bit_xor(each), F.sum(F.pmod(each, F.lit(1_000_000_007)))).first()
-    return hashlib.sha256(repr((n, x, total, settings)).encode()).hexdigest()[:32]
+    return hashlib.sha256(repr((ORDER, n, x, total, settings)).encode()).hexdigest()[:32]
 
 
 class Stages:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from filingflow.config import Batch, Config
 from filingflow.functions import text as T
 from filingflow.operators import html_units as H
 from filingflow.operators import responses as V
-from filingflow.operators.provider import pooled
+from filingflow.operators.provider import KeyedProvider, pooled
+from filingflow.plans.linear import linear
+from filingflow.stages import Stages
 
 
 def test_answers_leave_in_batches():
@@ -54,3 +59,14 @@ def test_units_leave_a_large_batch_in_slices():
     out = list(H._splice.func(iter([(pages.column(1), answers)])))
     rows = [x for p in out for x in p.to_pylist()]
     assert len(out) == 10 and rows[:2] == [pages.column(1)[0].as_py(), "<p>Up</p><p>Costs <b>fell</b> too</p>"] and len(rows) == 500
+
+
+def test_a_long_document_takes_few_rounds(spark, tmp_path):
+    """Rounds follow the logarithm of a document's calls, and answers are those of any rounds."""
+    none = F.array().cast("array<struct<name:string,html:string>>")
+    rows = spark.range(200).select(F.expr("id div 100").alias("doc_id"), (F.col("id") % 100 + 1).cast("int").alias("ordinal"), F.concat(F.lit("u_"), F.col("id")).alias("unit_id"), F.concat(F.lit("t "), F.col("id")).alias("text"))
+    rows = rows.withColumn("source_text", F.col("text")).withColumn("placeholders", none).where("doc_id = 0 OR ordinal < 9")
+    config = Config(batch=Batch(initial_units=1, max_units=1))
+    results, attempts = linear(rows, lambda: KeyedProvider("k"), config=config, stages=Stages(spark, f"file://{tmp_path}/s"), calls_per_round=2)
+    assert results.count() == attempts.count() == 108 and results.where("result = upper(source_text)").count() == 108
+    assert len(os.listdir(tmp_path / "s/linear")) <= 12  # 50 rounds of two calls
