@@ -133,8 +133,8 @@ def _with(part: pa.RecordBatch, names: list[str], added: T.StructType, rows: lis
     return pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], names=[*names, *added.names])
 
 
-def _called(rows: DataFrame, added: T.StructType, one: Callable[[dict[str, Any]], tuple], workers: int) -> DataFrame:
-    passed = [f for f in rows.schema if f.name not in added.names]
+def _called(rows: DataFrame, added: T.StructType, one: Callable[[dict[str, Any]], tuple], workers: int, left: tuple[str, ...] = ()) -> DataFrame:
+    passed = [f for f in rows.schema if f.name not in (*added.names, *left)]
     names = [f.name for f in passed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +144,12 @@ def _called(rows: DataFrame, added: T.StructType, one: Callable[[dict[str, Any]]
     return rows.mapInArrow(run, T.StructType([*passed, *added]))
 
 
-def call(requests: DataFrame, factory: Callable[[], Provider], retries: int = 1, pause: Callable[[float], None] = time.sleep, workers: int = 1) -> DataFrame:
-    """``requests`` with model, response, error and the token fields of ``USAGE``, null where a provider does not tell and where
+def call(requests: DataFrame, factory: Callable[[], Provider], retries: int = 1, pause: Callable[[float], None] = time.sleep, workers: int = 1, left: tuple[str, ...] = ()) -> DataFrame:
+    """``requests`` without the columns that are ``left`` behind, with model, response, error and the token fields of ``USAGE``, null where a provider does not tell and where
     the request failed. Each partition has ``workers`` calls at a time; a failed or empty call is retried."""
     added = T.StructType([T.StructField(c, T.StringType()) for c in ("model", "response", "error")] + [T.StructField(c, T.LongType()) for c in USAGE])
     clients = _Clients(factory, retries, pause)
-    return _called(requests, added, lambda r: clients.own.ask(r), workers)
+    return _called(requests, added, lambda r: clients.own.ask(r), workers, left)
 
 
 def prime(blocks: DataFrame, factory: Callable[[], Provider], pause_seconds: float = 0.0, retries: int = 1, workers: int = 1) -> DataFrame:

@@ -72,6 +72,7 @@ def blocks(
     state = framed.select("doc_id").distinct().select("doc_id", F.lit(own.max_batches_per_block).alias("most"), F.lit(0).alias("good"))
     turn = 0
     while not open_.isEmpty():
+        calls.group = f"attempts/{turn:06d}"
         sizes = open_.join(state, "doc_id").select("doc_id", F.col("no").alias("batch_no"), "size", "most")
         planned = P.number_blocks(sizes, body).where(F.col("block_no") <= blocks_per_round)
         members = planned.withColumnRenamed("batch_no", "no").join(framed, ["doc_id", "no"])
@@ -94,7 +95,7 @@ def blocks(
         # a limited block keeps the batches whose units are all answered or down to the fallback
         limited = placed.join(climbed.limited, ["doc_id", "root"]).select("doc_id", "block_no").distinct().withColumn("limited", F.lit(True))
         done = stages.keep(placed.select("doc_id", "block_no").distinct().join(limited, ["doc_id", "block_no"], "left").fillna(False, ["limited"]), "done")
-        attempts = stages.all("attempts", L.attempt_schema(key)).where(F.col("turn") == turn)
+        attempts = stages.all(calls.group, L.attempt_schema(key))
         settled_units = L.results_of(attempts).select("doc_id", "root", "unit_id").unionByName(singles.select("doc_id", L.root().alias("root"), F.col("units")[0]["id"].alias("unit_id"))).distinct()
         n = settled_units.groupBy("doc_id", "root").agg(F.count("*").alias("n")).join(batches.select("doc_id", F.col("batch").alias("root"), F.size("units").alias("of")), ["doc_id", "root"])
         whole = n.where("n = of").select("doc_id", "root", F.lit(True).alias("whole"))

@@ -11,7 +11,7 @@ from filingflow.config import Batch, Config
 from filingflow.functions import text as T
 from filingflow.operators import html_units as H
 from filingflow.operators import responses as V
-from filingflow.operators.provider import KeyedProvider, pooled
+from filingflow.operators.provider import KeyedProvider, call, pooled
 from filingflow.plans.linear import linear
 from filingflow.stages import Stages
 
@@ -70,3 +70,9 @@ def test_a_long_document_takes_few_rounds(spark, tmp_path):
     results, attempts = linear(rows, lambda: KeyedProvider("k"), config=config, stages=Stages(spark, f"file://{tmp_path}/s"), calls_per_round=2)
     assert results.count() == attempts.count() == 108 and results.where("result = upper(source_text)").count() == 108
     assert len(os.listdir(tmp_path / "s/linear")) <= 12  # 50 rounds of two calls
+
+
+def test_a_prompt_does_not_come_back_with_its_answer(spark):
+    rows = spark.createDataFrame([(1, "primary", "long", [("a", "x")])], "n int, rung string, prompt string, units array<struct<id:string,text:string>>")
+    back = call(rows, lambda: KeyedProvider("k"), left=("prompt",))
+    assert "prompt" not in back.columns and back.first().response == '[{"id": "a", "text": "X"}]'
