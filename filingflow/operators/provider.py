@@ -152,9 +152,9 @@ def call(requests: DataFrame, factory: Callable[[], Provider], retries: int = 1,
     return _called(requests, added, lambda r: clients.own.ask(r), workers, left)
 
 
-def prime(blocks: DataFrame, factory: Callable[[], Provider], pause_seconds: float = 0.0, retries: int = 1, workers: int = 1) -> DataFrame:
-    """``blocks`` (block_prompt and, it may be, others) with model, error and tokens: one priming call for each distinct row,
-    and a pause behind it."""
+def prime(blocks: DataFrame, factory: Callable[[], Provider], pause_seconds: float = 0.0, retries: int = 1, workers: int = 1, single: bool = False) -> DataFrame:
+    """``blocks`` (block_prompt and, it may be, others) with model, error and tokens: one priming call for each
+    distinct row, and a pause behind it. Rows that are ``single`` already are not compared, and their prompts left behind."""
     added = T.StructType([T.StructField(c, T.StringType()) for c in ("model", "error")] + [T.StructField(c, T.LongType()) for c in USAGE])
     clients = _Clients(factory, retries, time.sleep)
 
@@ -164,6 +164,8 @@ def prime(blocks: DataFrame, factory: Callable[[], Provider], pause_seconds: flo
             time.sleep(pause_seconds)
         return found
 
+    if single:
+        return _called(blocks, added, one, workers, ("block_prompt",))
     return _called(blocks.distinct(), added, one, workers)
 
 

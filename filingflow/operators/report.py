@@ -13,12 +13,12 @@ from .provider import USAGE, usage_totals
 COUNTERS = ("total_units", "cache_hits", "primary_success", "repair_success", "mini_block_success", "fallback_success", "source_retained")
 
 
-def summary(results: DataFrame) -> DataFrame:
-    """Counters per document from rows doc_id, provider, rung; rung ``cache`` marks hits."""
+def summary(results: DataFrame, *more: Column) -> DataFrame:
+    """Counters per document from rows doc_id, provider, rung, and what is aggregated beside them; rung ``cache`` marks hits."""
     of = lambda *rungs: F.count_if(F.coalesce(F.regexp_replace("rung", "-\\d+$", ""), F.lit("")).isin(*rungs))
     return results.groupBy("doc_id").agg(
         F.count("*").alias("total_units"), of("cache").alias("cache_hits"), of("primary", "strict", "split", "shrunk").alias("primary_success"), of("repair").alias("repair_success"),
-        of("mini").alias("mini_block_success"), of("fallback").alias("fallback_success"), of("source").alias("source_retained"),
+        of("mini").alias("mini_block_success"), of("fallback").alias("fallback_success"), of("source").alias("source_retained"), *more,
     )
 
 
@@ -43,8 +43,9 @@ def reports(results: DataFrame, attempts: DataFrame, models: list[tuple] | None
     """doc_id, report (JSON) and markdown: counters, failure counts sorted by key, the units each late rung answered, token
     sums, and the models: (kind, model, base_url, api_key, context window, output tokens) with masked keys."""
     counts = failure_histogram(attempts).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("reason", "n"))).alias("failure_reasons"))
-    late = results.where("rung rlike '^(repair|mini|fallback|source)'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col("unit_id").alias("id"), F.regexp_replace("rung", "-\\d+$", "").alias("kind"), F.col("source_text").alias("source")))).alias("listed"))
-    rows = summary(results).join(counts, "doc_id", "left").join(late, "doc_id", "left").join(_usage(attempts), "doc_id", "left")
+    late = F.when(F.col("rung").rlike("^(repair|mini|fallback|source)"), F.struct("ordinal", F.col("unit_id").alias("id"), F.regexp_replace("rung", "-\\d+$", "").alias("kind"), F.col("source_text").alias("source")))
+    listed = F.sort_array(F.collect_list(late))
+    rows = summary(results, F.when(F.size(listed) > 0, listed).alias("listed")).join(counts, "doc_id", "left").join(_usage(attempts), "doc_id", "left")
     title = {"total_units": "Total units", "cache_hits": "Cache hits", "primary_success": "Primary success", "repair_success": "Repair success", "mini_block_success": "Mini-block success", "fallback_success": "Fallback success", "source_retained": "Source retained"}
     parts = [F.lit("# Translation report\n\n"), *[F.concat(F.lit(f"- {title[c]}: "), F.col(c).cast("string"), F.lit("\n")) for c in COUNTERS], F.lit("\n## Failure reasons\n")]
     parts.append(F.coalesce(F.array_join(F.transform("failure_reasons", lambda r: F.concat(F.lit("- "), r["reason"], F.lit(": "), r["n"].cast("string"))), "\n"), F.lit("- none")))

@@ -21,7 +21,7 @@ from ..operators import report as R
 from ..operators import responses as V
 from ..operators import submission as S
 from ..operators.provider import KeyedProvider, usage_totals
-from ..session import materialize, ship
+from ..session import ship
 from ..sources.files import empty_files
 from . import translate as W
 from .blocks import next_state
@@ -429,8 +429,7 @@ def _fallback_provider():
 
 
 def _ran(spark, sf_dir):
-    results, attempts = L.run_ladder(P.greedy_batches(_units(spark, sf_dir), 4, 2000), _keyed_provider, _fallback_provider)
-    return materialize(results, "results"), attempts
+    return L.run_ladder(P.greedy_batches(_units(spark, sf_dir), 4, 2000), _keyed_provider, _fallback_provider)
 
 
 @query(f"WITH {_UNITS} SELECT doc_id, unit_id, CASE WHEN length(text) % 20 = 3 THEN 'source' WHEN length(text) % 10 = 3 THEN 'second' ELSE 'keyed' END AS provider FROM u")

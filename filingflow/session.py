@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,10 +64,30 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: With it Spark deletes the shuffle files of a query when the query ends, and does not wait for the driver's garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """While a table in between is written: nothing later reads the shuffle files of that write."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def write_once(df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``df``, written to ``path`` in little space and read from there."""
+    spark = df.sparkSession
+    with tidy(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once under the shared folder and read from there, so that costly work is not repeated when
     executors are lost or a second action runs."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/filingflow/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_once(df, f"{scratch_root(df.sparkSession)}/filingflow/{name}-{uuid.uuid4().hex[:12]}")

@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .session import scratch_root
+from .session import scratch_root, write_once
 
 MARKER = "_COMMITTED"
 #: The order of a run's stages: a change of it makes journals of before meet no run of after.
-ORDER = 2
+ORDER = 3
 
 
 class Files:
@@ -90,7 +90,7 @@ class Stages:
         if files and files.exists(MARKER):
             self.resumed += 1
         else:
-            rows.write.mode("overwrite").parquet(path)
+            write_once(rows, path)
             if files:
                 files.touch(MARKER)
         return self.spark.read.schema(rows.schema).parquet(path)

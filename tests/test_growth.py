@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from filingflow.config import Batch, Config
 from filingflow.functions import text as T
 from filingflow.operators import html_units as H
+from filingflow.operators import ladder as L
+from filingflow.operators import planning as P
 from filingflow.operators import responses as V
 from filingflow.operators.provider import KeyedProvider, call, pooled
 from filingflow.plans.linear import linear
@@ -76,3 +80,37 @@ def test_a_prompt_does_not_come_back_with_its_answer(spark):
     rows = spark.createDataFrame([(1, "primary", "long", [("a", "x")])], "n int, rung string, prompt string, units array<struct<id:string,text:string>>")
     back = call(rows, lambda: KeyedProvider("k"), left=("prompt",))
     assert "prompt" not in back.columns and back.first().response == '[{"id": "a", "text": "X"}]'
+
+
+UNIT = "doc_id long, ordinal int, unit_id string, text string, source_text string, placeholders array<struct<name:string,html:string>>"
+
+
+def parquet_bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+
+
+def test_a_ladder_writes_each_text_few_times(spark, tmp_path):
+    """Accepted batches hold their answers alone, and a source that is the text is not kept beside it."""
+    long = lambda k: "x" + "".join(hashlib.sha256(b"%d %d" % (k, n)).hexdigest() for n in range(8))
+    rows = [(k // 20, k % 20 + 1, f"u_{k % 20 + 1:04d}", t, t, []) for k, t in enumerate(map(long, range(400)))]
+    odd = [(99, 1, "u_0001", "down", "its source", []), (99, 2, "u_0002", "down", None, []), (99, 3, "u_0003", "fine", "other", [])]
+    size = sum(len(r[3]) for r in rows)
+    calls = L.Calls(Stages(spark, f"file://{tmp_path}/s"))
+    make = lambda t: "!error" if t == "down" else t.upper()
+    results, attempts = L.run_ladder(P.greedy_batches(spark.createDataFrame(rows + odd, UNIT), 4, 9999), lambda: KeyedProvider("one", make=make), calls=calls)
+    got = {(r.doc_id, r.ordinal): (r.unit_id, r.source_text, r.result, r.provider) for r in results.collect()}
+    assert len(got) == results.count() == 403 and all(got[r[:2]] == (r[2], r[3], r[3].upper(), "one") for r in rows)
+    assert [got[(99, k)][1:] for k in (1, 2, 3)] == [("its source", "its source", "source"), (None, None, "source"), ("other", "FINE", "one")]
+    assert parquet_bytes(tmp_path / "s") < 2 * size  # eight times before
+    assert attempts.where("reason is null and (units is not null or response is not null)").count() == 0
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark, tmp_path):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    found = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before = found()
+    Stages(spark, f"file://{tmp_path}/s").keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "g")
+    deadline = time.time() + 20
+    while found() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not found() - before
