@@ -6,12 +6,15 @@ sizes, in Arrow batches and linear time. Texts do not enter it. Units are rows o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..session import fresh
 
@@ -144,19 +147,20 @@ def batch_sizes(units: DataFrame) -> DataFrame:
     return rows.agg((F.sum(json_size(F.col("text"), F.col("unit_id"))) + 2 * F.count("*") - 2 + FRAME).alias("size"))
 
 
+def _fold_block(sizes: Iterable[int], limit: int, budget: int) -> list[int]:
+    no = n = chars = 0
+    numbers = []
+    for size in sizes:
+        if n == 0 or n >= limit or (chars + int(size) + 1) // 2 > budget:
+            no, n, chars = no + 1, 0, 0
+        n, chars = n + 1, chars + int(size)
+        numbers.append(no)
+    return numbers
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def _fold_blocks(sizes: pd.Series, most: pd.Series, tokens: pd.Series) -> pd.Series:
-    out = []
-    for own, limit, budget in zip(sizes, most, tokens, strict=True):
-        no = n = chars = 0
-        numbers = []
-        for size in own:
-            if n == 0 or n >= limit or (chars + int(size) + 1) // 2 > budget:
-                no, n, chars = no + 1, 0, 0
-            n, chars = n + 1, chars + int(size)
-            numbers.append(no)
-        out.append(numbers)
-    return pd.Series(out)
+    return pd.Series([_fold_block(*row) for row in zip(sizes, most, tokens, strict=True)])
 
 
 def number_blocks(sizes: DataFrame, body_tokens: int) -> DataFrame:
@@ -173,6 +177,52 @@ def plan_blocks(units: DataFrame, body_tokens: int, max_batches: int = 20) -> Da
     return number_blocks(batch_sizes(units).withColumn("most", F.lit(max_batches)), body_tokens)
 
 
+def blocks_from(open_: list[int], sizes: list[int], lines: list[list[int]], most: int, body_tokens: int, before_chars: int, after_chars: int, first_blocks: int) -> list[dict]:
+    """The first blocks of the batches that are open: their numbers and how many units each has, and the characters of the
+    document's lines at which the text before, the block, and the text behind begin and end.
+
+    ``sizes`` and ``lines`` are of all batches: their JSON, and the lines of their units with what ends them. Text around a
+    block are the nearest whole lines within the budget of characters, one at least; no budget means none.
+    """
+    ends = list(accumulate(n for own in lines for n in own))
+    starts, firsts = [0, *ends[:-1]], list(accumulate((len(own) for own in lines), initial=0))
+    blocks: dict[int, list[int]] = {}
+    for no, block in zip(open_, _fold_block((sizes[n - 1] for n in open_), most, body_tokens), strict=True):
+        if block > first_blocks:
+            break
+        blocks.setdefault(block, []).append(no)
+    out = []
+    for k, nos in blocks.items():
+        a, z = firsts[nos[0] - 1], firsts[nos[-1]] - 1
+        first, last = starts[a], ends[z]
+        low = starts[min(bisect_left(starts, first - before_chars), a - 1)] if a and before_chars > 0 else first
+        high = ends[max(bisect_right(ends, last + after_chars) - 1, z + 1)] if z + 1 < len(ends) and after_chars > 0 else last
+        out.append({"block": {"no": k, "nos": nos, "low": low, "first": first, "last": last, "high": high}, "units": [len(lines[n - 1]) for n in nos]})
+    return out
+
+
+def laid_blocks(rows: DataFrame, body_tokens: int, before_chars: int, after_chars: int, first_blocks: int, block: str) -> DataFrame:
+    """doc_id, most, block, units: a row for each of the first blocks of a document. ``rows`` (doc_id, most, open, sizes, lines)
+    are numbers alone; ``block`` is the type of that column."""
+    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL(f"most int, block {block}, units array<int>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        fields = to_arrow_schema(schema)
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                part, at, found = b.slice(k, 200), [], []
+                for n, r in enumerate(part.select(["most", "open", "sizes", "lines"]).to_pylist()):
+                    own = blocks_from(r["open"], r["sizes"], r["lines"], r["most"], body_tokens, before_chars, after_chars, first_blocks)
+                    at += [n] * len(own)
+                    found += [{"most": r["most"], **x} for x in own]
+                cols = [pa.array([x[c] for x in found], fields.field(c).type) for c in ("most", "block", "units")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int64())), *cols], names=schema.names)
+
+    return rows.select("doc_id", "most", "open", "sizes", "lines").mapInArrow(run, schema)
+
+
 def mini_blocks(batches: DataFrame, reach: int = 2) -> DataFrame:
     """``batches`` (doc_id, block_no, batch_no, items) with ``near``: the batches up to ``reach`` around each in its block."""
     around = Window.partitionBy("doc_id", "block_no").orderBy("batch_no").rowsBetween(-reach, reach)

@@ -9,13 +9,14 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from filingflow.config import Batch, Config
+from filingflow.config import Batch, Block, Config, Model
 from filingflow.functions import text as T
 from filingflow.operators import html_units as H
 from filingflow.operators import ladder as L
 from filingflow.operators import planning as P
 from filingflow.operators import responses as V
 from filingflow.operators.provider import KeyedProvider, call, pooled
+from filingflow.plans.blocks import blocks
 from filingflow.plans.linear import linear
 from filingflow.stages import Stages
 
@@ -114,3 +115,33 @@ def test_a_written_stage_leaves_no_shuffle_files(spark, tmp_path):
     while found() - before and time.time() < deadline:
         time.sleep(0.2)
     assert not found() - before
+
+
+def test_text_around_a_block_follows_from_numbers(spark):
+    """The same lines as the joins of whole texts find."""
+    rows = [(d, k + 1, f"u_{k + 1:04d}", t, t, []) for d in (1, 2) for k, t in enumerate(["é" * (7 * k * d % 23) for k in range(12 * d)])]
+    batched = P.greedy_batches(spark.createDataFrame(rows, UNIT), 2, 30)
+    numbers = {(r.doc_id, r.ordinal): r.batch_no for r in batched.collect()}
+    for before, after in ((24, 5), (0, 60), (90, 1)):
+        want = {(r.doc_id, r.batch_no): (r.context_before, r.context_after) for r in P.with_contexts(batched, before, after).collect()}
+        for d in (1, 2):
+            own = {}
+            for r in rows:
+                if r[0] == d:
+                    own.setdefault(numbers[r[:2]], []).append(f"{r[2]}: {r[4]}\n")
+            text, nos = "".join(x for n in sorted(own) for x in own[n]), sorted(own)
+            found = P.blocks_from(nos, [9] * len(nos), [[len(x) for x in own[n]] for n in nos], 1, 99, before, after, 99)
+            assert [b["units"] for b in found] == [[len(own[n])] for n in nos]
+            for n, b in zip(nos, (x["block"] for x in found), strict=True):
+                assert b["nos"] == [n] and text[b["first"] : b["last"]] == "".join(own[n])
+                assert (text[b["low"] : b["first"]].removesuffix("\n"), text[b["last"] : b["high"]].removesuffix("\n")) == want[(d, n)]
+
+
+def test_blocks_write_no_prompts(spark, tmp_path):
+    """The prompts of a document hold it many times; what is written holds it a few times."""
+    long = lambda k: "x" + "".join(hashlib.sha256(b"%d %d" % (k, n)).hexdigest() for n in range(64))
+    rows = [(1, k + 1, f"u_{k + 1:04d}", t, t, []) for k, t in enumerate(map(long, range(60)))]
+    config = Config(batch=Batch(max_units=2), block=Block(enabled=True, target_batch_units=2, max_batches_per_block=2, max_workers=2, warmup_delay_seconds=0.0), model=Model("one", max_retries=1))
+    results, attempts = blocks(spark.createDataFrame(rows, UNIT), lambda: KeyedProvider("one"), config=config, stages=Stages(spark, f"file://{tmp_path}/s"))
+    assert {(r.unit_id, r.result) for r in results.collect()} == {(r[2], r[3].upper()) for r in rows} and attempts.where("rung = 'prime'").count() == 15
+    assert parquet_bytes(tmp_path / "s") < 2 * sum(len(r[3]) for r in rows)
