@@ -135,7 +135,7 @@ def blocks(
         early = None
         if own.max_workers > 1:
             calls.primed(placed.select("doc_id", "turn", "block"), primary, own.warmup_delay_seconds)
-            early = calls.attempt(rows.where("pos = 0"), "primary", primary)
+            early = calls.attempt(rows.where("pos = 0"), "primary", primary, replanned=True)
             rows = rows.where("pos > 0")
         climbed = L.climb(rows, calls, primary, True, mini_prompted(texts, language), early)
         singles = stages.keep(climbed.singles, "pending")

@@ -138,10 +138,19 @@ def test_text_around_a_block_follows_from_numbers(spark):
 
 
 def test_blocks_write_no_prompts(spark, tmp_path):
-    """The prompts of a document hold it many times; what is written holds it a few times."""
-    long = lambda k: "x" + "".join(hashlib.sha256(b"%d %d" % (k, n)).hexdigest() for n in range(64))
-    rows = [(1, k + 1, f"u_{k + 1:04d}", t, t, []) for k, t in enumerate(map(long, range(60)))]
-    config = Config(batch=Batch(max_units=2), block=Block(enabled=True, target_batch_units=2, max_batches_per_block=2, max_workers=2, warmup_delay_seconds=0.0), model=Model("one", max_retries=1))
-    results, attempts = blocks(spark.createDataFrame(rows, UNIT), lambda: KeyedProvider("one"), config=config, stages=Stages(spark, f"file://{tmp_path}/s"))
-    assert {(r.unit_id, r.result) for r in results.collect()} == {(r[2], r[3].upper()) for r in rows} and attempts.where("rung = 'prime'").count() == 15
+    """The prompts of a document hold it many times; what is written holds it a few times, also where blocks do not fit."""
+
+    class Narrow(KeyedProvider):
+        def translate(self, request):
+            if request["prompt"].count('"batch_id"') > 1:
+                raise RuntimeError("context length exceeded")
+            return super().translate(request)
+
+    long = lambda k: "x" + "".join(hashlib.sha256(b"%d %d" % (k, n)).hexdigest() for n in range(512))
+    rows = [(1, k + 1, f"u_{k + 1:04d}", t, t, []) for k, t in enumerate(map(long, range(16)))]
+    config = Config(batch=Batch(max_units=1), block=Block(enabled=True, target_batch_units=1, max_batches_per_block=2, max_workers=2, warmup_delay_seconds=0.0), model=Model("one", max_retries=1))
+    results, attempts = blocks(spark.createDataFrame(rows, UNIT), lambda: Narrow("one"), config=config, stages=Stages(spark, f"file://{tmp_path}/s"))
+    assert {(r.unit_id, r.result) for r in results.collect()} == {(r[2], r[3].upper()) for r in rows} and attempts.where("rung = 'prime'").count() == 24
+    limited = attempts.where("reason like '%context length%'")
+    assert limited.count() == 16 and limited.where("units is not null").count() == 0  # they are planned again from the document
     assert parquet_bytes(tmp_path / "s") < 2 * sum(len(r[3]) for r in rows)
